@@ -40,7 +40,8 @@ _CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
 _JOINER = re.compile("(?<![←-⯿\U0001f000-\U0001faff])‍|‍(?![←-⯿\U0001f000-\U0001faff])")
 _NOT_SIGN = re.compile("[^\\ẁ-ͯ҃-҇]+|_+")
 _WORD = re.compile("[^\\W_][̀-ͯ҃-҇]*(?:[^\\W_][̀-ͯ҃-҇]*)*")
-_ASCII_WORD = re.compile("[0-9a-z]+")
+_PLAIN_WORD = re.compile("[^\\W_]+")
+_MARK = re.compile("[\u0300-\u036f\u0483-\u0487]")
 _ASCII_SPLIT = "".join(chr(i) if chr(i).isalnum() else " " for i in range(128))
 _ASCII_DROP = {i: None for i in range(128) if not chr(i).isalnum()}
 
@@ -133,6 +134,9 @@ def plain_look(text: str) -> str:
     return unicodedata.normalize("NFC" if _FOREIGN.isdisjoint(text) else "NFD", text)
 
 
+_judged: dict[str, str] = {}  # tokens with their repair; "" where the whole text must tell
+
+
 def repairs(looks: str) -> dict[str, str]:
     """Tokens of a `plain_look` text with look-alikes of a script that isn't the token's own,
     each with its proposed repair. A token's script is that of the letters only one script
@@ -145,13 +149,16 @@ def repairs(looks: str) -> dict[str, str]:
         token = m[0]
         if token in found or AMBIGUOUS.isdisjoint(token):
             continue
-        to = _leading(token)
-        if to is None:
+        better = _judged.get(token)
+        if better is None:
+            if len(_judged) > 200_000:
+                _judged.clear()
+            to = _leading(token)
+            better = _judged[token] = _recast(token, to) if to else ""
+        if not better:
             if whole is None:
                 whole = _leading(looks) or Counter(s for ch in looks if (s := script(ch))).most_common(1)[0][0]
             better = next((b for b in (_recast(token, whole), _recast(token, "latin")) if len({script(ch) for ch in b if ch.isalpha()}) == 1), token)
-        else:
-            better = _recast(token, to)
         if better != token:
             found[token] = better
     return found
@@ -171,13 +178,6 @@ def visual_form(text: str) -> str:
     return looks if looks.isascii() else apply_repairs(looks, repairs(looks))
 
 
-def vocabulary_tokens(looks: str) -> list[str]:
-    """Composed, case-folded tokens of a `plain_look` text."""
-    if looks.isascii():
-        return _ASCII_WORD.findall(looks.lower())
-    return [unicodedata.normalize("NFC", t).casefold() for t in _TOKEN.findall(looks)]
-
-
 def signs(form: str) -> str:
     """Letters, digits and the marks upon them, case folded."""
     if form.isascii():
@@ -185,25 +185,12 @@ def signs(form: str) -> str:
     return unicodedata.normalize("NFC", _NOT_SIGN.sub("", unicodedata.normalize("NFC", form.casefold())))
 
 
-_pieces: dict[str, list[str]] = {}
-
-
 def words(form: str) -> list[str]:
     """Runs of letters and digits, case folded."""
     if form.isascii():
         return form.lower().translate(_ASCII_SPLIT).split()
-    out: list[str] = []
-    for piece in form.split():
-        if piece.isascii():
-            out += piece.lower().translate(_ASCII_SPLIT).split()
-        else:
-            got = _pieces.get(piece)
-            if got is None:
-                if len(_pieces) > 100_000:
-                    _pieces.clear()
-                got = _pieces[piece] = _WORD.findall(unicodedata.normalize("NFC", piece.casefold()))
-            out += got
-    return out
+    form = unicodedata.normalize("NFC", form.casefold())
+    return (_WORD if _MARK.search(form) else _PLAIN_WORD).findall(form)
 
 
 _NAME = "[ \\t]*([^\\W\\d_][\\w\\-]*(?: [\\w\\-]+){0,2})[ \\t]*"

@@ -8,7 +8,7 @@ row per task. A second, independent hash of the form is carried as collision che
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.wordsets import key_table
@@ -22,14 +22,16 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return key_table(df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text")), "row_id", "text")
 
 
-def distinct_keys(rows: DataFrame, id_col: str = "row_id") -> DataFrame:
+def distinct_keys(rows: DataFrame, id_col: str = "row_id", extra: dict[str, Column] | None = None) -> DataFrame:
     """`rows` from `key_table`; out comes one row for each distinct key (key_hi, key_lo,
-    key_check), its number of rows n, and of its whole group first_row_id and copies.
+    key_check), its number of rows n, and of its whole group first_row_id, copies and the maxima
+    of the `extra` aggregates.
 
     A text whose bare letters and digits equal those of a record, though its layout can't be
     read, belongs to the record's group (same_hi, same_lo, same_check). Texts whose 128-bit keys
     collide stay apart, because the independent check is part of every comparison."""
-    stats = rows.groupBy("key_hi", "key_lo", "key_check").agg(F.count("*").alias("n"), F.min(id_col).alias("first"))
+    extra = extra or {}
+    stats = rows.groupBy("key_hi", "key_lo", "key_check").agg(F.count("*").alias("n"), F.min(id_col).alias("first"), *(c.alias(k) for k, c in extra.items()))
     alias = (
         rows.filter("alias_hi is not null")
         .groupBy("alias_hi", "alias_lo")
@@ -41,7 +43,7 @@ def distinct_keys(rows: DataFrame, id_col: str = "row_id") -> DataFrame:
     w = Window.partitionBy("same")
     return stats.join(alias, on, "left").withColumn("same", F.coalesce("to", own)).select(
         "key_hi", "key_lo", "key_check", "n", F.col("same.key_hi").alias("same_hi"), F.col("same.key_lo").alias("same_lo"),
-        F.min("first").over(w).alias("first_row_id"), F.sum("n").over(w).alias("copies"),
+        F.min("first").over(w).alias("first_row_id"), F.sum("n").over(w).alias("copies"), *(F.max(k).over(w).alias(k) for k in extra),
     )
 
 

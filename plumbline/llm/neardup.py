@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +29,24 @@ BLOCK = 1 << 15
 _LEAF = 64
 _CELLS = 1 << 17  # pairs of sets compared at once
 _BATCH = 60_000  # postings joined at once, rounded up to whole words
-_SIZE_BITS = 6
-_SKETCH = (1 << 64 - 1 - _SIZE_BITS) - 1
+_SIZE_BITS, _PLACE_BITS = 6, 2
+_SKETCH = (1 << 63 - _SIZE_BITS - _PLACE_BITS) - 1
 
-POSTING = "word long, cross boolean, side boolean, set_lo long, sketch_a long, sketch_b long, meta long"
+POSTING = "word long, held boolean, cross boolean, side boolean, set_lo long, sketch_a long, sketch_b long, wide binary, meta long"
 
 
-def postings(table: DataFrame, counts: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """(word, cross, side, set_lo, sketches, meta) for the prefix words of every distinct set.
-    meta is size * 65536 + position. cross: a pair of different blocks, one on each side."""
-    shared = table.sparkSession.sparkContext.broadcast(counts)
+def postings(table: DataFrame, counts: np.ndarray, block: int = BLOCK, postable: np.ndarray | None = None) -> DataFrame:
+    """(word, held, cross, side, set_lo, sketches, meta) for the prefix words of every distinct set.
+    meta is size * 65536 + position. cross: a pair of different blocks, one on each side. Words of
+    buckets that aren't `postable`, by default those that only one text has, are left out."""
+    shared = table.sparkSession.sparkContext.broadcast((counts, counts > 1 if postable is None else postable))
+    held = F.col("held") if "held" in table.columns else F.lit(False).alias("held")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = shared.value, set()
+        (counts, postable), seen = shared.value, set()
         for b in batches:
-            lo = b.column("set_lo").to_numpy(zero_copy_only=False)
             new = []
-            for x in lo.tolist():
+            for x in zip(b.column("set_lo").to_pylist(), b.column("held").to_pylist()):
                 new.append(x not in seen)
                 seen.add(x)
             if len(seen) > 2_000_000:  # copies posted again cost room, not results
@@ -56,9 +57,12 @@ def postings(table: DataFrame, counts: np.ndarray, block: int = BLOCK) -> DataFr
             lo = b.column("set_lo").to_numpy(zero_copy_only=False)
             flat, n = ws.flat_words(b.column("words"))
             a, c = ws.sketches(flat, n)
+            large = n > ws.WIDE_FROM
+            wide = ws.wide_sketches(flat[np.repeat(large, n)], n[large]) if large.any() else np.zeros((0, 8), np.uint64)
+            line = np.where(large, np.cumsum(large) - 1, -1)
             row, at, word = ws.prefixes(flat, n, counts)
             often = counts[word % ws.BUCKETS]
-            kept = often > 1
+            kept = postable[word % ws.BUCKETS]
             row, at, word, often = row[kept], at[kept], word[kept], often[kept]
             meta = (n[row] << 16) + np.minimum(at, 65535)
             blocks = -(-often.astype(np.int64) // block)
@@ -75,12 +79,13 @@ def postings(table: DataFrame, counts: np.ndarray, block: int = BLOCK) -> DataFr
                     name = (word[times] * 1_000_003 + first * blocks[times] + last + 1) * np.int64(-7046029254386353131)
                 parts.append((name, first != last, own > other, row[times], meta[times]))
             word, cross, side, row, meta = (np.concatenate(x) for x in zip(*parts))
+            own = b.column("held").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (word, cross, side, lo[row], a[row].view(np.int64), c[row].view(np.int64), meta)],
-                names=["word", "cross", "side", "set_lo", "sketch_a", "sketch_b", "meta"],
+                [*(pa.array(x) for x in (word, own[row], cross, side, lo[row], a[row].view(np.int64), c[row].view(np.int64))), ws.packed_wide(wide, line[row]), pa.array(meta)],
+                names=["word", "held", "cross", "side", "set_lo", "sketch_a", "sketch_b", "wide", "meta"],
             )
 
-    return table.filter("set_lo is not null").select("set_lo", "words").mapInArrow(run, POSTING)
+    return table.filter("set_lo is not null").select("set_lo", held, "words").mapInArrow(run, POSTING)
 
 
 def _depth(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -91,14 +96,15 @@ def _depth(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return 64 - np.bitwise_count(x).astype(np.int64)
 
 
-def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, size: np.ndarray, place: np.ndarray, wide: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within groups that sketches, sizes and places don't rule out.
 
-    The trie's keys are a side bit, a band of the set size and the first sketch, so a node's
-    sets have like sizes. A node is a range of the sorted keys; its depth is the number of bits
+    The trie's keys are a side bit, bands of the set size and of the place, and the first sketch,
+    so a node's sets have like sizes and places. A node is a range of the sorted keys; its depth is the number of bits
     they share. Node pairs start from each group's root with itself."""
     band = np.minimum((np.log2(np.maximum(size, 1)) * 6).astype(np.uint64), np.uint64((1 << _SIZE_BITS) - 1))
-    key = (side.astype(np.uint64) << np.uint64(63)) | (band << np.uint64(63 - _SIZE_BITS)) | (sketch_a & np.uint64(_SKETCH))
+    late = np.minimum(place * 12 // np.maximum(size, 1), (1 << _PLACE_BITS) - 1).astype(np.uint64)
+    key = (side.astype(np.uint64) << np.uint64(63)) | (band << np.uint64(63 - _SIZE_BITS)) | (late << np.uint64(63 - _SIZE_BITS - _PLACE_BITS)) | (sketch_a & np.uint64(_SKETCH))
     order = np.lexsort((key, group))
     key, b, size, place, group, cross = key[order], sketch_b[order], size[order], place[order], group[order], cross[order]
     total = len(key)
@@ -121,10 +127,10 @@ def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a:
 
     def leaves(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, most: np.ndarray) -> None:
         widest = np.maximum(a1 - a0, b1 - b0)
-        for low, wide in ((0, 2), (2, 4), (4, 8), (8, 16), (16, 32), (32, _LEAF)):
-            at = np.flatnonzero((widest > low) & (widest <= wide))
-            lane = np.arange(wide)
-            step = max(1, _CELLS // (wide * wide))
+        for low, most_rows in ((0, 2), (2, 4), (4, 8), (8, 16), (16, 32), (32, _LEAF)):
+            at = np.flatnonzero((widest > low) & (widest <= most_rows))
+            lane = np.arange(most_rows)
+            step = max(1, _CELLS // (most_rows * most_rows))
             for s in range(0, len(at), step):
                 p = at[s : s + step]
                 i, j = a0[p, None] + lane, b0[p, None] + lane
@@ -138,7 +144,10 @@ def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a:
                 i, j = i[kept], j[kept]
                 kept = (size[j] <= largest[i]) & (size[i] <= largest[j]) & (size[j] >= smallest[i]) & (size[i] >= smallest[j])
                 kept &= ~cross[i] | (top[i] != top[j])
-                found.append((order[i[kept]], order[j[kept]]))
+                budget = ws.difference_budget((size[i] + size[j])[kept])
+                i, j = order[i[kept]], order[j[kept]]
+                kept = ws.wide_near(wide, line, i, j, budget)
+                found.append((i[kept], j[kept]))
 
     stack = [(start, end, start, end)]
     while stack:
@@ -197,23 +206,13 @@ def _divide(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.where(whole, (lo + hi + 1) // 2, b)
 
 
-def candidate_classes(posts: DataFrame) -> DataFrame:
-    """Distinct (lo_a, lo_b) of sets that the trie join can't rule out, lo_a < lo_b."""
+def in_word_groups(posts: DataFrame, join: Callable[[pa.Table], pa.RecordBatch], ddl: str) -> DataFrame:
+    """`join` applied to all postings of some whole words at a time, sorted by word. A task holds
+    the postings of one word, bounded by blocks, and a batch more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         rows = 0
-
-        def join(t: pa.Table) -> pa.RecordBatch:
-            word = t["word"].to_numpy()
-            lo = t["set_lo"].to_numpy()
-            meta = t["meta"].to_numpy()
-            group = np.cumsum(np.r_[True, word[1:] != word[:-1]])
-            i, j = trie_pairs(group, t["cross"].to_numpy(), t["side"].to_numpy(), t["sketch_a"].to_numpy().view(np.uint64), t["sketch_b"].to_numpy().view(np.uint64), meta >> 16, meta & 65535)
-            x, y = lo[i], lo[j]
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lo_a", "lo_b"])
-
         for b in batches:
             rest.append(b)
             rows += b.num_rows
@@ -229,8 +228,21 @@ def candidate_classes(posts: DataFrame) -> DataFrame:
         if rows:
             yield join(pa.Table.from_batches(rest).combine_chunks())
 
-    pairs = posts.repartition("word").sortWithinPartitions("word").mapInArrow(run, "lo_a long, lo_b long")
-    return pairs.distinct()
+    return posts.repartition("word").sortWithinPartitions("word").mapInArrow(run, ddl)
+
+
+def _join(t: pa.Table) -> pa.RecordBatch:
+    word, lo, meta = t["word"].to_numpy(), t["set_lo"].to_numpy(), t["meta"].to_numpy()
+    group = np.cumsum(np.r_[True, word[1:] != word[:-1]])
+    i, j = trie_pairs(group, t["cross"].to_numpy(), t["side"].to_numpy(), t["sketch_a"].to_numpy().view(np.uint64), t["sketch_b"].to_numpy().view(np.uint64), meta >> 16, meta & 65535, *ws.unpacked_wide(t["wide"]))
+    x, y = lo[i], lo[j]
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lo_a", "lo_b"])
+
+
+def candidate_classes(posts: DataFrame) -> DataFrame:
+    """Distinct (lo_a, lo_b) of sets that the trie join can't rule out, lo_a < lo_b."""
+    return in_word_groups(posts, _join, "lo_a long, lo_b long").distinct()
 
 
 def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:

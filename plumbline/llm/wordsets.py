@@ -226,6 +226,46 @@ def sketches(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_xor.reduceat(low, start), np.bitwise_xor.reduceat(high, start)
 
 
+#: Sets above this size have a second sketch of 512 bits, as the first one says little of them.
+WIDE_FROM = 64
+
+
+def wide_sketches(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Parity sketches of 512 bits, a row of eight words for each set."""
+    start = np.cumsum(n) - n
+    bit = (flat >> 11) & 511
+    value = np.uint64(1) << (bit & 63).astype(np.uint64)
+    lane = bit >> 6
+    return np.stack([np.bitwise_xor.reduceat(np.where(lane == k, value, np.uint64(0)), start) for k in range(8)], 1)
+
+
+def packed_wide(wide: np.ndarray, owner: np.ndarray) -> pa.Array:
+    """A binary column with the wide sketch of each owner, empty where it is -1."""
+    has = owner >= 0
+    offsets = np.r_[0, np.cumsum(has * 64)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(wide[owner[has]]).tobytes())])
+
+
+def unpacked_wide(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The wide sketches of a column and each row's line among them, or -1."""
+    a = column.combine_chunks()
+    a = a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
+    offsets = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
+    has = np.diff(offsets) > 0
+    data = np.frombuffer(a.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(np.uint64).reshape(-1, 8) if has.any() else np.zeros((0, 8), np.uint64), np.where(has, np.cumsum(has) - 1, -1)
+
+
+def wide_near(wide: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, budget: np.ndarray) -> np.ndarray:
+    """False for pairs whose wide sketches differ by more than the budget."""
+    out = np.ones(len(i), bool)
+    both = np.flatnonzero((at[i] >= 0) & (at[j] >= 0))
+    for s in range(0, len(both), 1 << 16):
+        k = both[s : s + (1 << 16)]
+        out[k] = np.bitwise_count(wide[at[i[k]]] ^ wide[at[j[k]]]).sum(1) <= budget[k]
+    return out
+
+
 def difference_budget(total: np.ndarray) -> np.ndarray:
     """Most words that may stand in only one of two sets of `total` words together."""
     return total - 2 * needed_overlap(total)
