@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import wordsets as ws
+from plumbline.llm.splits import components
 from plumbline.plans.staging import stage
 
 #: Postings that one block of a frequent word holds at most, about.
@@ -300,3 +301,12 @@ def expanded(pairs: DataFrame, table: DataFrame) -> DataFrame:
         "not (key_hi_a = key_hi_b and key_lo_a = key_lo_b) and not (plain_hi_a = plain_hi_b and plain_lo_a = plain_lo_b) and row_id_a <> row_id_b"
     ).filter(~same_class | (F.col("row_id_a") < F.col("row_id_b")))
     return out.select(F.least("row_id_a", "row_id_b").alias("row_id_a"), F.greatest("row_id_a", "row_id_b").alias("row_id_b"))
+
+
+def groups(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """(row_id, group_id, links) for every row with a near copy: the least row of its group of
+    near copies, joined through any number of links, and its number of links."""
+    pairs = stage(near_pairs(df, id_col, text_col), "links")
+    links = pairs.select(F.explode(F.array("row_id_a", "row_id_b")).alias("row_id")).groupBy("row_id").agg(F.count("*").alias("links"))
+    of = components(pairs).select(F.col("node").alias("row_id"), F.col("label").alias("group_id"))
+    return of.join(links, "row_id").select("row_id", "group_id", "links")

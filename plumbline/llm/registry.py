@@ -6,19 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import duplicates, neardup
+from plumbline.llm import duplicates, encoding, lookalike, mixing, neardup, overlap, quota_sample, splits
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _allocation(s: SparkSession, d: str) -> DataFrame:
+    rows = quota_sample.sample_size(_t(s, d, "plan_params"))
+    return quota_sample.allocation(_t(s, d, "corpus"), _t(s, d, "label_targets"), _t(s, d, "source_dim"), _t(s, d, "source_hygiene"), rows)
+
+
+def _mixture(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    tokens = mixing.source_tokens(_t(s, d, "documents"), encoding.vocabulary_path())
+    return tokens, mixing.apportion(tokens, _t(s, d, "mix_weights"), quota_sample.sample_size(_t(s, d, "plan_params"), "mix_tokens"))
+
+
+def _links(s: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(_t(s, d, "corpus"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: duplicates.copies(_t(s, d, "corpus")),
         "p1_collapsed": lambda s, d: duplicates.collapsed(_t(s, d, "corpus")),
         "p1_collisions": lambda s, d: duplicates.collisions(_t(s, d, "corpus")),
         "p2_found": lambda s, d: neardup.near_pairs(_t(s, d, "corpus")),
+        "p3_found": lambda s, d: overlap.overlap_pairs(_t(s, d, "corpus")),
+        "p3_report": lambda s, d: overlap.overlap_report(_t(s, d, "corpus"), _t(s, d, "source_dim")),
+        "p2_groups": _links,
+        "p4_found": lambda s, d: splits.related_sources(_t(s, d, "source_dim")),
+        "p4_splits": lambda s, d: splits.assign_splits(_t(s, d, "corpus"), _t(s, d, "source_dim"), splits.split_percents(_t(s, d, "plan_params"))),
+        "p5_found": lambda s, d: lookalike.lookalike_pairs(_t(s, d, "corpus")),
+        "p5_forms": lambda s, d: lookalike.canonical_texts(_t(s, d, "corpus")),
+        "p6_found": lambda s, d: _allocation(s, d).filter("short").select("source", "label"),
+        "p6_allocation": _allocation,
+        "p6_sample": lambda s, d: quota_sample.draw(_t(s, d, "corpus"), _allocation(s, d)),
+        "p7_ids": lambda s, d: encoding.encode(_t(s, d, "documents"), encoding.vocabulary_path()),
+        "p7_offsets": lambda s, d: encoding.offsets(_t(s, d, "documents"), encoding.vocabulary_path()),
+        "p7_decoded": lambda s, d: encoding.decoded(encoding.encode(_t(s, d, "documents"), encoding.vocabulary_path()), encoding.vocabulary_path()),
+        "p8_found": lambda s, d: _mixture(s, d)[1].filter("short").select("source"),
+        "p8_mixture": lambda s, d: mixing.mixture(*_mixture(s, d)),
+        "p8_report": lambda s, d: mixing.mixture_report(*_mixture(s, d)),
     }
 
 
