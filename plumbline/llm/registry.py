@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import duplicates, encoding, lookalike, mixing, neardup, overlap, quota_sample, splits
+from plumbline.llm import duplicates, encoding, lookalike, mixing, neardup, overlap, pii, quota_sample, splits
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_found": lambda s, d: _mixture(s, d)[1].filter("short").select("source"),
         "p8_mixture": lambda s, d: mixing.mixture(*_mixture(s, d)),
         "p8_report": lambda s, d: mixing.mixture_report(*_mixture(s, d)),
+        "p9_found": lambda s, d: pii.personal_data(_t(s, d, "documents"), _t(s, d, "person_names")),
+        "p9_masked": lambda s, d: pii.masked(_t(s, d, "documents"), _t(s, d, "person_names")),
     }
 
 
+_CLEAN = "nullif(lower(regexp_replace({}, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), '')"
+
+_SQL = {
+    "p4_found": f"""
+        WITH RECURSIVE listed AS (
+            SELECT {_CLEAN.format("name")} AS name, {_CLEAN.format("family")} AS family FROM source_dim
+        ), member AS (
+            SELECT DISTINCT name, coalesce(family, name) AS family FROM listed WHERE name IS NOT NULL
+        ), reach AS (
+            SELECT name AS start, name FROM member
+            UNION
+            SELECT r.start, m2.name FROM reach r JOIN member m1 ON m1.name = r.name JOIN member m2 ON m2.family = m1.family
+        )
+        SELECT DISTINCT start AS name_a, name AS name_b FROM reach WHERE start < name""",
+    "p6_found": f"""
+        WITH wanted AS (
+            SELECT {_CLEAN.format("source")} AS source, label, sum(target_share) AS share, max(min_rows) AS least FROM label_targets GROUP BY 1, 2
+        ), have AS (
+            SELECT {_CLEAN.format("source")} AS source, label, count(*) AS n FROM corpus WHERE label IS NOT NULL GROUP BY 1, 2
+        )
+        SELECT w.source, w.label FROM wanted w LEFT JOIN have h ON h.source = w.source AND h.label = w.label
+        WHERE w.source IS NOT NULL AND w.label IS NOT NULL
+          AND coalesce(h.n, 0) < greatest(w.least, CAST(round(w.share * (SELECT max(amount) FROM plan_params WHERE param = 'sample_rows')) AS BIGINT))""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express on whole tables. The others rest on character
+    forms, a tokenizer, hashed draws or a fitted model; tests compare them with brute force."""
+    return dict(_SQL)
