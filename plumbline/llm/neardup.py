@@ -119,6 +119,8 @@ def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a:
     smallest = -(-sim * size // of)
     masks = np.array([(((1 << d) - 1) << (64 - d)) & _SKETCH for d in range(65)], np.uint64)
     allowed = np.minimum(ws.difference_budget(np.arange(2 * int(size.max(initial=0)) + 1)), 255).astype(np.uint8)
+    # rounding lets the budget fall now and then as sizes rise: a node's is the most of all up to its sizes
+    ceiling = np.maximum.accumulate(allowed)
     bounds = [np.r_[x, x[-1:]] for x in (size, largest, smallest)]
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -137,9 +139,9 @@ def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a:
                 i, j = a0[p, None] + lane, b0[p, None] + lane
                 i, j = np.minimum(i, a1[p, None] - 1), np.minimum(j, b1[p, None] - 1)  # a node's last row again
                 x = bits[i][:, :, None] ^ bits[j][:, None, :]
-                p, x, y = np.nonzero(np.bitwise_count(x) <= most[p, None, None])
-                i, j = i[p, x], j[p, y]
-                kept = i < j
+                q, x, y = np.nonzero(np.bitwise_count(x) <= most[p, None, None])
+                i, j, q = i[q, x], j[q, y], p[q]
+                kept = (i < j) | (a0[q] != b0[q])
                 i, j = i[kept], j[kept]
                 kept = np.bitwise_count(bits[i] ^ bits[j]) + np.bitwise_count(b[i] ^ b[j]) <= allowed[size[i] + size[j]]
                 i, j = i[kept], j[kept]
@@ -161,7 +163,7 @@ def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a:
         da, db = _depth(key[a0], key[a1 - 1]), _depth(key[b0], key[b1 - 1])
         errors = np.bitwise_count((key[a0] ^ key[b0]) & masks[np.minimum(da, db)])
         (size_a, from_a), (size_b, from_b) = ((over(bounds[0], x, y, False), over(bounds[0], x, y, True)) for x, y in ((a0, a1), (b0, b1)))
-        most = allowed[size_a + size_b]
+        most = ceiling[size_a + size_b]
         alive = (errors <= most) & ~(cross[a0] & (da > 0) & (db > 0) & (top[a0] == top[b0]))
         alive &= (from_b <= over(bounds[1], a0, a1, False)) & (from_a <= over(bounds[1], b0, b1, False))
         alive &= (size_b >= over(bounds[2], a0, a1, True)) & (size_a >= over(bounds[2], b0, b1, True))

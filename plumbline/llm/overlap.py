@@ -72,7 +72,7 @@ def _sided(df: DataFrame, id_col: str, text_col: str, split_col: str) -> DataFra
         F.col(id_col).cast("long").alias("row_id"),
         F.col(text_col).cast("string").alias("text"),
         F.when(split == "train", False).when(split.isin("validation", "test"), True).alias("held"),
-    ).filter("held is not null")
+    )
 
 
 def overlaps(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split", block: int = BLOCK) -> DataFrame:
@@ -83,12 +83,13 @@ def overlaps(df: DataFrame, id_col: str = "row_id", text_col: str = "text", spli
     empty side gives no rows. Other columns of `df` aren't looked at."""
     table = stage(ws.word_table(_sided(df, id_col, text_col, split_col), "row_id", "text", "held", all_rows=True), "sides")
     on = ["key_hi", "key_lo", "key_check"]
-    # the same: groups of problem 1 with rows on both sides
+    # the same: groups of problem 1, of all rows, with rows on both sides
     keys = distinct_keys(table, extra={"any_held": F.max("held"), "any_train": F.max(~F.col("held"))})
     keys = stage(keys.filter("any_held and any_train").select(*on, F.struct("same_hi", "same_lo").alias("same")), "both")
     rows = ws.keep_by_filter(table.select("row_id", "held", *on), "key_lo", ws.key_filter(keys.select("key_lo"))).join(keys, on).select("row_id", "held", "same")
     same = rows.filter("held").select(F.col("row_id").alias("eval_id"), "same").join(rows.filter("not held").select(F.col("row_id").alias("train_id"), "same"), "same").select("eval_id", "train_id")
     # near copies
+    table = table.filter("held is not null")
     counts = ws.bucket_counts(table, "held")
     posts = postings(table, counts.astype(np.int64).sum(0), block, (counts > 0).all(0))
     pairs = stage(in_word_groups(posts, _join, "lo_a long, lo_b long").distinct(), "candidates")
