@@ -28,17 +28,17 @@ from plumbline.plans.staging import stage
 #: Postings that one block of a frequent word holds at most, about.
 BLOCK = 1 << 15
 _LEAF = 64
-_CELLS = 1 << 17  # pairs of sets compared at once
+_CELLS = 1 << 15  # pairs of sets compared at once
 _BATCH = 60_000  # postings joined at once, rounded up to whole words
-_SIZE_BITS, _PLACE_BITS = 6, 2
+_SIZE_BITS, _PLACE_BITS = 6, 3
 _SKETCH = (1 << 63 - _SIZE_BITS - _PLACE_BITS) - 1
 
-POSTING = "word long, held boolean, cross boolean, side boolean, set_lo long, sketch_a long, sketch_b long, wide binary, meta long"
+POSTING = "word long, set_lo long, sketch_a long, sketch_b long, wide binary, meta long"
 
 
 def postings(table: DataFrame, counts: np.ndarray, block: int = BLOCK, postable: np.ndarray | None = None) -> DataFrame:
-    """(word, held, cross, side, set_lo, sketches, meta) for the prefix words of every distinct set.
-    meta is size * 65536 + position. cross: a pair of different blocks, one on each side. Words of
+    """(word, set_lo, sketches, meta) for the prefix words of every distinct set. meta packs its size,
+    the word's place and three marks, see `unpacked`. Words of
     buckets that aren't `postable`, by default those that only one text has, are left out."""
     shared = table.sparkSession.sparkContext.broadcast((counts, counts > 1 if postable is None else postable))
     held = F.col("held") if "held" in table.columns else F.lit(False).alias("held")
@@ -65,25 +65,26 @@ def postings(table: DataFrame, counts: np.ndarray, block: int = BLOCK, postable:
             often = counts[word % ws.BUCKETS]
             kept = postable[word % ws.BUCKETS]
             row, at, word, often = row[kept], at[kept], word[kept], often[kept]
-            meta = (n[row] << 16) + np.minimum(at, 65535)
+            own = b.column("held").to_numpy(zero_copy_only=False)
+            meta = (n[row] << 32) | (np.minimum(at, 0xFFFFFF) << 8) | (own[row].astype(np.int64) << 2)
             blocks = -(-often.astype(np.int64) // block)
             one = blocks == 1
-            parts = [(word[one], np.zeros(one.sum(), bool), np.zeros(one.sum(), bool), row[one], meta[one])]
+            parts = [(word[one], row[one], meta[one])]
             if not one.all():
                 word, row, meta, blocks = word[~one], row[~one], meta[~one], blocks[~one]
                 mine = (lo[row].view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)
                 times = np.repeat(np.arange(len(word)), blocks)
                 other = np.arange(len(times)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                own = mine[times]
-                first, last = np.minimum(own, other), np.maximum(own, other)
+                mine = mine[times]
+                first, last = np.minimum(mine, other), np.maximum(mine, other)
                 with np.errstate(over="ignore"):
                     name = (word[times] * 1_000_003 + first * blocks[times] + last + 1) * np.int64(-7046029254386353131)
-                parts.append((name, first != last, own > other, row[times], meta[times]))
-            word, cross, side, row, meta = (np.concatenate(x) for x in zip(*parts))
-            own = b.column("held").to_numpy(zero_copy_only=False)
+                marks = ((first != last).astype(np.int64) << 1) | (mine > other)
+                parts.append((name, row[times], meta[times] | marks))
+            word, row, meta = (np.concatenate(x) for x in zip(*parts))
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x) for x in (word, own[row], cross, side, lo[row], a[row].view(np.int64), c[row].view(np.int64))), ws.packed_wide(wide, line[row]), pa.array(meta)],
-                names=["word", "held", "cross", "side", "set_lo", "sketch_a", "sketch_b", "wide", "meta"],
+                [*(pa.array(x) for x in (word, lo[row], a[row].view(np.int64), c[row].view(np.int64))), ws.packed_wide(wide, line[row]), pa.array(meta)],
+                names=["word", "set_lo", "sketch_a", "sketch_b", "wide", "meta"],
             )
 
     return table.filter("set_lo is not null").select("set_lo", held, "words").mapInArrow(run, POSTING)
@@ -104,7 +105,7 @@ def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a:
     so a node's sets have like sizes and places. A node is a range of the sorted keys; its depth is the number of bits
     they share. Node pairs start from each group's root with itself."""
     band = np.minimum((np.log2(np.maximum(size, 1)) * 6).astype(np.uint64), np.uint64((1 << _SIZE_BITS) - 1))
-    late = np.minimum(place * 12 // np.maximum(size, 1), (1 << _PLACE_BITS) - 1).astype(np.uint64)
+    late = np.minimum(place * 24 // np.maximum(size, 1), (1 << _PLACE_BITS) - 1).astype(np.uint64)
     key = (side.astype(np.uint64) << np.uint64(63)) | (band << np.uint64(63 - _SIZE_BITS)) | (late << np.uint64(63 - _SIZE_BITS - _PLACE_BITS)) | (sketch_a & np.uint64(_SKETCH))
     order = np.lexsort((key, group))
     key, b, size, place, group, cross = key[order], sketch_b[order], size[order], place[order], group[order], cross[order]
@@ -234,10 +235,23 @@ def in_word_groups(posts: DataFrame, join: Callable[[pa.Table], pa.RecordBatch],
     return posts.repartition("word").sortWithinPartitions("word").mapInArrow(run, ddl)
 
 
+def unpacked(t: pa.Table) -> dict[str, np.ndarray]:
+    """The columns of postings sorted by word: group numbers, size, place, and the marks held (of
+    the evaluation side), cross (a pair of different blocks) and side (which of the two)."""
+    word, meta = t["word"].to_numpy(), t["meta"].to_numpy()
+    wide, line = ws.unpacked_wide(t["wide"])
+    return {
+        "group": np.cumsum(np.r_[True, word[1:] != word[:-1]]), "held": (meta & 4) > 0, "cross": (meta & 2) > 0, "side": (meta & 1) > 0,
+        "sketch_a": t["sketch_a"].to_numpy().view(np.uint64), "sketch_b": t["sketch_b"].to_numpy().view(np.uint64),
+        "size": meta >> 32, "place": (meta >> 8) & 0xFFFFFF, "wide": wide, "line": line,
+    }
+
+
 def _join(t: pa.Table) -> pa.RecordBatch:
-    word, lo, meta = t["word"].to_numpy(), t["set_lo"].to_numpy(), t["meta"].to_numpy()
-    group = np.cumsum(np.r_[True, word[1:] != word[:-1]])
-    i, j = trie_pairs(group, t["cross"].to_numpy(), t["side"].to_numpy(), t["sketch_a"].to_numpy().view(np.uint64), t["sketch_b"].to_numpy().view(np.uint64), meta >> 16, meta & 65535, *ws.unpacked_wide(t["wide"]))
+    cols = unpacked(t)
+    del cols["held"]
+    i, j = trie_pairs(**cols)
+    lo = t["set_lo"].to_numpy()
     x, y = lo[i], lo[j]
     pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lo_a", "lo_b"])

@@ -16,24 +16,24 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import wordsets as ws
 from plumbline.llm.duplicates import distinct_keys
-from plumbline.llm.neardup import BLOCK, in_word_groups, postings, verified
+from plumbline.llm.neardup import BLOCK, in_word_groups, postings, unpacked, verified
 from plumbline.plans.staging import stage
 
 _PAIRS = 1 << 21  # index entries looked at in one step
 
 
-def probe(word: np.ndarray, held: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, size: np.ndarray, place: np.ndarray, wide: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def probe(group: np.ndarray, held: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, size: np.ndarray, place: np.ndarray, wide: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (evaluation, training) within a word that length, position and sketches don't
-    rule out. `word` is a group number."""
+    rule out. `group` numbers the words."""
     sim, of = ws.SIMILARITY
     ev, tr = np.flatnonzero(held), np.flatnonzero(~held)
     span = int(size.max(initial=0)) * 2 + 2
-    ev = ev[np.lexsort((size[ev], word[ev]))]
-    index = word[ev] * span + size[ev]
+    ev = ev[np.lexsort((size[ev], group[ev]))]
+    index = group[ev] * span + size[ev]
     largest = (size - place) * (of + sim) // sim - size
     smallest = -(-sim * size // of)
-    lo = np.searchsorted(index, word[tr] * span + smallest[tr], "left")
-    hi = np.searchsorted(index, word[tr] * span + np.minimum(largest[tr], span - 1), "right")
+    lo = np.searchsorted(index, group[tr] * span + smallest[tr], "left")
+    hi = np.searchsorted(index, group[tr] * span + np.minimum(largest[tr], span - 1), "right")
     some = hi > lo
     tr, lo, n = tr[some], lo[some], (hi - lo)[some]
     found = []
@@ -59,10 +59,9 @@ def probe(word: np.ndarray, held: np.ndarray, cross: np.ndarray, side: np.ndarra
 
 
 def _join(t: pa.Table) -> pa.RecordBatch:
-    cols = {c: t[c].to_numpy() for c in ("word", "held", "cross", "side", "set_lo", "sketch_a", "sketch_b", "meta")}
-    group = np.cumsum(np.r_[True, cols["word"][1:] != cols["word"][:-1]])
-    i, j = probe(group, cols["held"], cols["cross"], cols["side"], cols["sketch_a"].view(np.uint64), cols["sketch_b"].view(np.uint64), cols["meta"] >> 16, cols["meta"] & 65535, *ws.unpacked_wide(t["wide"]))
-    pairs = np.unique(np.stack([cols["set_lo"][i], cols["set_lo"][j]], 1), axis=0)
+    i, j = probe(**unpacked(t))
+    lo = t["set_lo"].to_numpy()
+    pairs = np.unique(np.stack([lo[i], lo[j]], 1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lo_a", "lo_b"])
 
 
