@@ -36,3 +36,48 @@ def running_total(df: DataFrame, group: list[str], order: str, tie: str, weight:
     inside = Window.partitionBy(*group, "__bucket").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
     within = src.withColumn("__within", F.sum("__weight").over(inside))
     return within.join(base, on).select(*df.columns, (F.col("__base") + F.col("__within")).alias(name))
+
+
+def hex_rank(df: DataFrame, group: list[str], order: str, tie: str, name: str = "nth") -> DataFrame:
+    """`df` with each row's place, from 1, in its group by a hexadecimal order key, then `tie`.
+
+    Rows are counted by the key's first three digits, so that a group holding a third of all rows
+    is ranked by 4096 windows instead of one."""
+    src = df.withColumn("__bucket", F.conv(F.substring(order, 1, 3), 16, 10).cast("int"))
+    per = src.groupBy(*group, "__bucket").agg(F.count("*").alias("__n"))
+    before = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    on = F.col("__bucket") == F.col("__b")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    inside = src.withColumn("__within", F.row_number().over(Window.partitionBy(*group, "__bucket").orderBy(order, tie)))
+    return inside.join(base, on).select(*df.columns, (F.col("__base") + F.col("__within")).alias(name))
+
+
+def value_splits(df: DataFrame, value: str, buckets: int = 256) -> list[float]:
+    """About equal parts of a numeric column: at most `buckets` numbers, whatever the size of `df`."""
+    probes = [k / buckets for k in range(1, buckets)]
+    got = df.agg(F.percentile_approx(value, probes, 1000).alias("s")).first()["s"] or []
+    return sorted(set(got))
+
+
+def running_by_value(df: DataFrame, group: list[str], value: str, tie: str, sums: dict[str, Column], descending: bool = False, buckets: int = 256) -> DataFrame:
+    """`df` with sums over all rows of the group up to and with this one, in the order of a number,
+    then `tie`. Each window sees one range of values; a table of at most `buckets` rows a group
+    carries the totals across ranges. Rows with a null value come first."""
+    splits = value_splits(df, value, buckets)
+    bucket = F.size(F.filter(F.array(*(F.lit(float(x)) for x in splits)), lambda x: x <= F.col(value))) if splits else F.lit(0)
+    bucket = F.coalesce(F.when(F.col(value).isNull(), -1).otherwise(bucket), F.lit(-1))
+    src = df.withColumn("__bucket", -bucket if descending else bucket)
+    for k, c in sums.items():
+        src = src.withColumn(f"__w_{k}", c)
+    per = src.groupBy(*group, "__bucket").agg(*(F.sum(f"__w_{k}").alias(f"__s_{k}") for k in sums))
+    before = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("__bucket").alias("__b"), *(F.coalesce(F.sum(f"__s_{k}").over(before), F.lit(0)).alias(f"__base_{k}") for k in sums))
+    on = F.col("__bucket") == F.col("__b")
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    inside = Window.partitionBy(*group, "__bucket").orderBy(F.desc(value) if descending else F.asc(value), tie).rowsBetween(Window.unboundedPreceding, 0)
+    for k in sums:
+        src = src.withColumn(f"__in_{k}", F.sum(f"__w_{k}").over(inside))
+    return src.join(base, on).select(*df.columns, *((F.col(f"__base_{k}") + F.col(f"__in_{k}")).alias(k) for k in sums))

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ["text_ops", "labels", "sampling", "ranking_ops"]
+
+
+def _all(name: str) -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= getattr(importlib.import_module(f"plumbline.operators.{m}"), name)
+    return out
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("SQL")
