@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["text_ops", "labels", "sampling", "ranking_ops"]
+MODULES = ["text_ops", "labels", "sampling", "ranking_ops", "moments", "rollups", "scoring", "certificates"]
 
 
 def _all(name: str) -> dict:
