@@ -10,6 +10,7 @@ from plumbline.functions import vectors as V
 from plumbline.operators import moments as M
 from plumbline.operators.ranking_ops import PRIOR, places, quota, scaled_ranks, scored
 from plumbline.operators.ranking_ops import _S as SCORED_SQL
+from plumbline.plans.staging import stage
 from plumbline.plans.tables import VECTORS_SQL, rd, table, vectors
 
 
@@ -145,9 +146,11 @@ def _blend(s, d):
     x = base.join(cen, "vec_id")
     sign = x.agg(*(F.coalesce(F.signum(F.corr("base", c)), F.lit(1.0)).alias(f"sg_{c}") for c in ("score", "cen")))
     x = x.crossJoin(F.broadcast(sign)).withColumn("score", F.col("score") * F.col("sg_score")).withColumn("cen", F.round(F.col("cen") * F.col("sg_cen"), 9))
+    x = stage(x, "blend")
+    out = x.select("vec_id")
     for c in ("base", "score", "cen"):
-        x = places(x, [], c, "vec_id", False, f"r_{c}")
-    return x.select("vec_id", (0.7 * F.col("r_base") + 0.2 * F.col("r_score") + 0.1 * F.col("r_cen")).alias("blend"))
+        out = out.join(places(x.select("vec_id", c), [], c, "vec_id", False, f"r_{c}").drop(c), "vec_id")
+    return out.select("vec_id", (0.7 * F.col("r_base") + 0.2 * F.col("r_score") + 0.1 * F.col("r_cen")).alias("blend"))
 
 
 _LDA_HEAD = lambda st: M.shrunk_lda(st, 0.1)

@@ -7,13 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["text_ops", "labels", "sampling", "ranking_ops", "moments", "rollups", "scoring", "certificates"]
+MODULES = [
+    "sources.readers", "operators.text_ops", "operators.labels", "operators.sampling", "operators.ranking_ops", "operators.moments",
+    "operators.rollups", "operators.scoring", "operators.certificates", "operators.evaluation", "streaming.micro",
+]
 
 
 def _all(name: str) -> dict:
     out: dict = {}
     for m in MODULES:
-        out |= getattr(importlib.import_module(f"plumbline.operators.{m}"), name)
+        out |= getattr(importlib.import_module(f"plumbline.{m}"), name)
     return out
 
 
