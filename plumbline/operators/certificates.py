@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import vectors as V
 from plumbline.operators import moments as M
 from plumbline.operators.ranking_ops import area, budget_to, recall_at, running_best, spearman
-from plumbline.plans.tables import VECTORS_SQL, rd, vectors
+from plumbline.plans.tables import VECTORS_SQL, correlation, rd, vectors
 
 
 def rotated(v: str) -> Column:
@@ -166,7 +166,7 @@ QUERIES = {
     "g14_behaviour_gap": lambda s, d: M.cells(_vg(s, d), "v", "vec_id").groupBy("vec_id").agg(rd(F.avg(F.when(F.col("i") <= 4, F.col("x"))) - F.avg(F.when(F.col("i") > 12, F.col("x")))).alias("gap")),
     "g15_steering_effect": lambda s, d: _vg(s, d).select("vec_id", rd(V.dot(V.plus("v", V.scaled("g", F.lit(0.1))), "g") - V.dot("v", "g"), 5).alias("effect")),
     "g16_exactness": lambda s, d: s.range(-20, 21).select((F.col("id") / 5).alias("x")).select("x", rd(0.5 * (1 + erf(F.col("x") / F.sqrt(F.lit(2.0)))), 5).alias("phi")),
-    "g17_sweep": lambda s, d: s.range(0, 9).select((F.col("id") * math.pi / 16).alias("theta")).crossJoin(s.range(1, 5).select((F.col("id") / 2).alias("gap"))).groupBy("gap").agg(rd(F.corr(F.cos("theta"), F.cos("theta") * F.col("gap"))).alias("r"), rd(F.max(F.sin("theta") * F.col("gap"))).alias("most")),
+    "g17_sweep": lambda s, d: s.range(0, 9).select((F.col("id") * math.pi / 16).alias("theta")).crossJoin(s.range(1, 5).select((F.col("id") / 2).alias("gap"))).groupBy("gap").agg(rd(correlation(F.cos("theta"), F.cos("theta") * F.col("gap"))).alias("r"), rd(F.max(F.sin("theta") * F.col("gap"))).alias("most")),
     "m04_direction_auc": lambda s, d: area(_vg(s, d).withColumn("sc", F.round(V.dot("v", V.unit(V.literal(_delta(s, d).tolist()))), 9)), ["source"], "sc", "y").select("source", rd("auroc").alias("auroc")),
     "m12_divergence": lambda s, d: _vg(s, d).select("vec_id", rd(divergence(log_softmax(F.slice("v", 1, 6)), log_softmax(F.slice("g", 1, 6)))).alias("kl")),
     "m13_entropy": lambda s, d: _vg(s, d).select("vec_id", log_softmax(F.slice("v", 1, 6)).alias("lp")).select("vec_id", rd(-F.aggregate("lp", F.lit(0.0), lambda a, x: a + F.exp(x) * x)).alias("entropy"), rd(F.exp(F.array_max("lp"))).alias("top")),

@@ -12,7 +12,7 @@ from plumbline.operators import moments as M
 from plumbline.operators import sampling as D
 from plumbline.operators.ranking_ops import area, best_cut, quota
 from plumbline.plans.staging import stage
-from plumbline.plans.tables import VECTORS_SQL, rd, table, vectors
+from plumbline.plans.tables import VECTORS_SQL, correlation, rd, table, vectors
 
 PRIOR = 12 / 17
 #: Row-wise transforms whose fold statistics are differences of family sums.
@@ -161,7 +161,7 @@ def greedy_ensemble(errors: DataFrame, quality: dict[str, float], most: int = 3)
     """Names and weights: the best first, then what adds most quality for its likeness of errors.
     `errors` has one column for each candidate; their correlations are one aggregation."""
     names = list(quality)
-    cor = errors.agg(*(F.coalesce(F.corr(a, b), F.lit(0.0)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i < j)).first()
+    cor = errors.agg(*(F.coalesce(correlation(a, b), F.lit(0.0)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i < j)).first()
     like = lambda a, b: abs(cor[f"{min(names.index(a), names.index(b))}_{max(names.index(a), names.index(b))}"])
     chosen = [max(names, key=lambda n: (quality[n], n))]
     while len(chosen) < min(most, len(names)):

@@ -9,7 +9,7 @@ from plumbline.functions import text as T
 from plumbline.operators.sampling import QUERIES as SAMPLING
 from plumbline.operators.sampling import SQL as SAMPLING_SQL
 from plumbline.plans.ranking import running_by_value
-from plumbline.plans.tables import VECTORS_SQL, first_by, rd, table, vectors
+from plumbline.plans.tables import VECTORS_SQL, correlation, first_by, rd, table, vectors
 
 PRIOR = 12 / 17
 
@@ -149,8 +149,8 @@ def spearman(df: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
     constant side give null."""
     clean = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b))
     ranked = average_ranks(average_ranks(clean, group, a, "__ra"), group, b, "__rb")
-    agg = ranked.groupBy(*group).agg(F.count("*").alias("__n"), F.corr("__ra", "__rb").alias("__c"))
-    return agg.select(*group, F.when((F.col("__n") >= 3) & ~F.isnan("__c"), F.col("__c")).alias("rho"))
+    agg = ranked.groupBy(*group).agg(F.count("*").alias("__n"), correlation("__ra", "__rb").alias("__c"))
+    return agg.select(*group, F.when(F.col("__n") >= 3, F.col("__c")).alias("rho"))
 
 
 def discordant(df: DataFrame, group: list[str], y: str, pred: str, base: str) -> DataFrame:
@@ -231,7 +231,7 @@ QUERIES = {
     "w16_latest_rows": lambda s, d: _ledger(s, d).withColumn("r", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("utc"), F.desc_nulls_last("submission_id"), "zip"))).filter("r <= 2").select("owner", "utc", "submission_id"),
     "w17_leaderboard": lambda s, d: table(s, d, "source_hygiene").filter("rate_before is not null and n is not null").groupBy("source").agg(F.max("rate_before").alias("best"), F.sum("n").alias("n")).select("source", "best", F.bround(F.col("best") * F.col("n")).cast("long").alias("correct"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("best"), "source")).alias("place")),
     "w18_spearman": lambda s, d: spearman(scored(s, d), ["family"], "score", "other").select("family", rd("rho").alias("rho")),
-    "w18_pearson": lambda s, d: scored(s, d).groupBy("family").agg(F.corr("score", "other").alias("c")).select("family", F.when(~F.isnan("c"), rd("c")).alias("r")),
+    "w18_pearson": lambda s, d: scored(s, d).groupBy("family").agg(correlation("score", "other").alias("c")).select("family", rd("c").alias("r")),
     "m01_quota_accuracy": lambda s, d: _with_quota(s, d).groupBy("family").agg(rd(F.avg((F.col("pred") == F.col("y")).cast("double"))).alias("accuracy")),
     "m02_auroc": lambda s, d: area(scored(s, d), ["family"], "score", "y").select("family", rd("auroc").alias("auroc")),
     "m03_oracle": lambda s, d: best_cut(scored(s, d), [], "other", "vec_id", "y").select(rd("oracle").alias("oracle")),

@@ -11,7 +11,7 @@ from plumbline.operators import moments as M
 from plumbline.operators.ranking_ops import PRIOR, places, quota, scaled_ranks, scored
 from plumbline.operators.ranking_ops import _S as SCORED_SQL
 from plumbline.plans.staging import stage
-from plumbline.plans.tables import VECTORS_SQL, rd, table, vectors
+from plumbline.plans.tables import VECTORS_SQL, correlation, rd, table, vectors
 
 
 def fit_head(df: DataFrame, name: str, fit, vec: str = "v", y: str = "y") -> dict:
@@ -144,7 +144,7 @@ def _blend(s, d):
     w = tails_direction(v.withColumn("s0", F.col("v")[0]), "s0", "vec_id", "v", 60, 40)
     cen = M.cells(v, "v", "vec_id").join(F.broadcast(w), "i").groupBy("vec_id").agg(F.sum(F.col("x") * F.col("w")).alias("cen"))
     x = base.join(cen, "vec_id")
-    sign = x.agg(*(F.coalesce(F.signum(F.corr("base", c)), F.lit(1.0)).alias(f"sg_{c}") for c in ("score", "cen")))
+    sign = x.agg(*(F.coalesce(F.signum(correlation("base", c)), F.lit(1.0)).alias(f"sg_{c}") for c in ("score", "cen")))
     x = x.crossJoin(F.broadcast(sign)).withColumn("score", F.col("score") * F.col("sg_score")).withColumn("cen", F.round(F.col("cen") * F.col("sg_cen"), 9))
     x = stage(x, "blend")
     out = x.select("vec_id")

@@ -20,6 +20,11 @@ def rd(c: Column | str, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's correlation; null where a side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """One row for each key, the first in the given order. An aggregation, so a key that holds a
     third of all rows reaches its reducer as one partial row per task."""

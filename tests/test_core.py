@@ -127,7 +127,7 @@ def test_prior_hits_the_rate(spark):
     df = spark.createDataFrame([(k, k % 2) for k in range(1800)], "id long, y int").withColumn("all", F.lit(1))
     r = D.prior_counts(df, ["all"], "y", 12 / 17).first()
     assert abs(r.want_pos / r["size"] - 12 / 17) < 1e-3 and r["size"] >= 900 / (12 / 17) - 2
-    assert r["size"] == 900 // (12 / 17)
+    assert r["size"] == int(900 / (12 / 17))
 
 
 def test_folds_and_permutation(spark):
@@ -262,8 +262,9 @@ def test_gramian_ranks_and_dark_direction(spark):
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([float("nan"), 1.0],), ([float("inf"), 1.0],)], "v array<float>")
     assert [r[0] for r in df.select(V.finite("v")).collect()] == [True, True, False, False]
-    assert [r[0] for r in df.limit(2).select(V.row_l2("v")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
-    assert [r[0] for r in df.limit(2).select(V.unit("v")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+    for f in (V.row_l2, V.unit):
+        got = [r[0] for r in df.limit(2).select(f("v")).collect()]
+        assert got[0] == pytest.approx([0.6, 0.8]) and got[1] == [0.0, 0.0]
 
 
 def test_ensembles(spark):
