@@ -29,6 +29,7 @@ from plumbline.plans.staging import stage
 BLOCK = 1 << 15
 _LEAF = 64
 _CELLS = 1 << 15  # pairs of sets compared at once
+_FLUSH = 1 << 10  # pairs of leaves after which pairs found may be handed on
 _BATCH = 60_000  # postings joined at once, rounded up to whole words
 _SIZE_BITS, _PLACE_BITS = 6, 3
 _SKETCH = (1 << 63 - _SIZE_BITS - _PLACE_BITS) - 1
@@ -50,7 +51,7 @@ def postings(table: DataFrame, counts: np.ndarray, block: int = BLOCK, postable:
             for x in zip(b.column("set_lo").to_pylist(), b.column("held").to_pylist()):
                 new.append(x not in seen)
                 seen.add(x)
-            if len(seen) > 2_000_000:  # copies posted again cost room, not results
+            if len(seen) > 500_000:  # copies posted again cost room, not results
                 seen.clear()
             b = b.filter(pa.array(new))
             if not b.num_rows:
@@ -98,8 +99,9 @@ def _depth(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return 64 - np.bitwise_count(x).astype(np.int64)
 
 
-def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, size: np.ndarray, place: np.ndarray, wide: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within groups that sketches, sizes and places don't rule out.
+def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, size: np.ndarray, place: np.ndarray, wide: np.ndarray, line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within groups that sketches, sizes and places don't rule out, in parts of bounded
+    size; a pair may come more than once.
 
     The trie's keys are a side bit, bands of the set size and of the place, and the first sketch,
     so a node's sets have like sizes and places. A node is a range of the sorted keys; its depth is the number of bits
@@ -173,8 +175,14 @@ def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a:
         if not len(a0):
             continue
         na, nb = a1 - a0, b1 - b0
+        small = np.flatnonzero((na <= _LEAF) & (nb <= _LEAF))
+        for s in range(0, len(small), _FLUSH):
+            k = small[s : s + _FLUSH]
+            leaves(a0[k], a1[k], b0[k], b1[k], most[k])
+            if sum(len(x) for x, _ in found) > 1 << 19:
+                yield tuple(np.concatenate(c) for c in zip(*found))
+                found.clear()
         small = (na <= _LEAF) & (nb <= _LEAF)
-        leaves(a0[small], a1[small], b0[small], b1[small], most[small])
         a0, a1, b0, b1, na, nb = (x[~small] for x in (a0, a1, b0, b1, na, nb))
         if not len(a0):
             continue
@@ -187,9 +195,8 @@ def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a:
         below = [(x0[o], mid[o], y0[o], y1[o]), (mid[o], x1[o], y0[o], y1[o])]
         below += [(x0[s], mid[s], x0[s], mid[s]), (x0[s], mid[s], mid[s], x1[s]), (mid[s], x1[s], mid[s], x1[s])]
         stack.append(tuple(np.concatenate(c) for c in zip(*below)))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*found))
+    if found:
+        yield tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _divide(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -210,7 +217,7 @@ def _divide(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.where(whole, (lo + hi + 1) // 2, b)
 
 
-def in_word_groups(posts: DataFrame, join: Callable[[pa.Table], pa.RecordBatch], ddl: str) -> DataFrame:
+def in_word_groups(posts: DataFrame, join: Callable[[pa.Table], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
     """`join` applied to all postings of some whole words at a time, sorted by word. A task holds
     the postings of one word, bounded by blocks, and a batch more."""
 
@@ -226,11 +233,11 @@ def in_word_groups(posts: DataFrame, join: Callable[[pa.Table], pa.RecordBatch],
             word = t["word"].to_numpy()
             cut = int(np.flatnonzero(word != word[-1])[-1]) + 1 if word[0] != word[-1] else 0
             if cut:
-                yield join(t.slice(0, cut))
+                yield from join(t.slice(0, cut))
             t = t.slice(cut)
             rest, rows = t.to_batches(), t.num_rows
         if rows:
-            yield join(pa.Table.from_batches(rest).combine_chunks())
+            yield from join(pa.Table.from_batches(rest).combine_chunks())
 
     return posts.repartition("word").sortWithinPartitions("word").mapInArrow(run, ddl)
 
@@ -247,14 +254,14 @@ def unpacked(t: pa.Table) -> dict[str, np.ndarray]:
     }
 
 
-def _join(t: pa.Table) -> pa.RecordBatch:
+def _join(t: pa.Table) -> Iterator[pa.RecordBatch]:
     cols = unpacked(t)
     del cols["held"]
-    i, j = trie_pairs(**cols)
     lo = t["set_lo"].to_numpy()
-    x, y = lo[i], lo[j]
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lo_a", "lo_b"])
+    for i, j in trie_pairs(**cols):
+        x, y = lo[i], lo[j]
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lo_a", "lo_b"])
 
 
 def candidate_classes(posts: DataFrame) -> DataFrame:

@@ -22,9 +22,9 @@ from plumbline.plans.staging import stage
 _PAIRS = 1 << 21  # index entries looked at in one step
 
 
-def probe(group: np.ndarray, held: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, size: np.ndarray, place: np.ndarray, wide: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def probe(group: np.ndarray, held: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, size: np.ndarray, place: np.ndarray, wide: np.ndarray, line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (evaluation, training) within a word that length, position and sketches don't
-    rule out. `group` numbers the words."""
+    rule out, in parts of bounded size. `group` numbers the words."""
     sim, of = ws.SIMILARITY
     ev, tr = np.flatnonzero(held), np.flatnonzero(~held)
     span = int(size.max(initial=0)) * 2 + 2
@@ -36,7 +36,6 @@ def probe(group: np.ndarray, held: np.ndarray, cross: np.ndarray, side: np.ndarr
     hi = np.searchsorted(index, group[tr] * span + np.minimum(largest[tr], span - 1), "right")
     some = hi > lo
     tr, lo, n = tr[some], lo[some], (hi - lo)[some]
-    found = []
     ends = np.cumsum(n)
     first = 0
     while first < len(tr):
@@ -51,18 +50,15 @@ def probe(group: np.ndarray, held: np.ndarray, cross: np.ndarray, side: np.ndarr
         kept = (far <= budget) & (~cross[i] | (side[i] != side[j]))
         i, j, budget = i[kept], j[kept], budget[kept]
         kept = ws.wide_near(wide, line, i, j, budget)
-        found.append((i[kept], j[kept]))
+        yield i[kept], j[kept]
         first = last
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _join(t: pa.Table) -> pa.RecordBatch:
-    i, j = probe(**unpacked(t))
+def _join(t: pa.Table) -> Iterator[pa.RecordBatch]:
     lo = t["set_lo"].to_numpy()
-    pairs = np.unique(np.stack([lo[i], lo[j]], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lo_a", "lo_b"])
+    for i, j in probe(**unpacked(t)):
+        pairs = np.unique(np.stack([lo[i], lo[j]], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lo_a", "lo_b"])
 
 
 def _sided(df: DataFrame, id_col: str, text_col: str, split_col: str) -> DataFrame:

@@ -128,8 +128,8 @@ def test_trie_join_loses_nothing():
     a, b = wordsets.sketches(flat, n)
     group = np.zeros(len(n), np.int64)
     none = np.zeros(len(n), bool)
-    i, j = neardup.trie_pairs(group, none, none, a, b, n, np.zeros(len(n), np.int64), np.zeros((0, 8), np.uint64), np.full(len(n), -1))
-    got = {(min(x, y), max(x, y)) for x, y in zip(i.tolist(), j.tolist())}
+    parts = neardup.trie_pairs(group, none, none, a, b, n, np.zeros(len(n), np.int64), np.zeros((0, 8), np.uint64), np.full(len(n), -1))
+    got = {(min(x, y), max(x, y)) for i, j in parts for x, y in zip(i.tolist(), j.tolist())}
     for x, y in itertools.combinations(range(len(sets)), 2):
         k = len(np.intersect1d(sets[x], sets[y]))
         if 10 * k >= 7 * (len(sets[x]) + len(sets[y]) - k):
