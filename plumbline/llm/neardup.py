@@ -29,7 +29,7 @@ from plumbline.plans.staging import stage
 BLOCK = 1 << 15
 _LEAF = 64
 _CELLS = 1 << 15  # pairs of sets compared at once
-_FLUSH = 1 << 10  # pairs of leaves after which pairs found may be handed on
+_FLUSH = 1 << 19  # pairs found after which they are handed on
 _BATCH = 60_000  # postings joined at once, rounded up to whole words
 _SIZE_BITS, _PLACE_BITS = 6, 3
 _SKETCH = (1 << 63 - _SIZE_BITS - _PLACE_BITS) - 1
@@ -126,12 +126,14 @@ def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a:
     ceiling = np.maximum.accumulate(allowed)
     bounds = [np.r_[x, x[-1:]] for x in (size, largest, smallest)]
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    held_back = 0
 
     def over(array: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: bool) -> np.ndarray:
         cuts = np.stack([lo, hi], 1).ravel()
         return (np.minimum if least else np.maximum).reduceat(array, cuts)[::2]
 
-    def leaves(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, most: np.ndarray) -> None:
+    def leaves(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nonlocal held_back
         widest = np.maximum(a1 - a0, b1 - b0)
         for low, most_rows in ((0, 2), (2, 4), (4, 8), (8, 16), (16, 32), (32, _LEAF)):
             at = np.flatnonzero((widest > low) & (widest <= most_rows))
@@ -154,6 +156,11 @@ def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a:
                 i, j = order[i[kept]], order[j[kept]]
                 kept = ws.wide_near(wide, line, i, j, budget)
                 found.append((i[kept], j[kept]))
+                held_back += len(found[-1][0])
+                if held_back > _FLUSH:
+                    yield tuple(np.concatenate(c) for c in zip(*found))
+                    found.clear()
+                    held_back = 0
 
     stack = [(start, end, start, end)]
     while stack:
@@ -175,14 +182,8 @@ def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a:
         if not len(a0):
             continue
         na, nb = a1 - a0, b1 - b0
-        small = np.flatnonzero((na <= _LEAF) & (nb <= _LEAF))
-        for s in range(0, len(small), _FLUSH):
-            k = small[s : s + _FLUSH]
-            leaves(a0[k], a1[k], b0[k], b1[k], most[k])
-            if sum(len(x) for x, _ in found) > 1 << 19:
-                yield tuple(np.concatenate(c) for c in zip(*found))
-                found.clear()
         small = (na <= _LEAF) & (nb <= _LEAF)
+        yield from leaves(a0[small], a1[small], b0[small], b1[small], most[small])
         a0, a1, b0, b1, na, nb = (x[~small] for x in (a0, a1, b0, b1, na, nb))
         if not len(a0):
             continue

@@ -206,10 +206,20 @@ def needed_overlap(total: np.ndarray) -> np.ndarray:
 
 def prefixes(flat: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each set, its rarest words: as many as two sets of the wanted similarity can't both miss.
-    Returns row, position and word. Words are ordered by their bucket's count, then by hash."""
+    Returns row, position and word. Words are ordered by their bucket's count as far as 20 bits go,
+    then by 29 bits of their hash, then by all of it; the first two and the row fit into one number."""
     a, b = SIMILARITY
     row = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((flat, counts[flat % BUCKETS], row))
+    often, low = np.minimum(counts[flat % BUCKETS].astype(np.int64), (1 << 20) - 1), flat & ((1 << 29) - 1)
+    order = None
+    if len(n) < 1 << 14:
+        key = (row << 49) | (often << 29) | low
+        order = np.argsort(key)
+        key = key[order]
+        if (key[1:] == key[:-1]).any():
+            order = None
+    if order is None:
+        order = np.lexsort((flat, low, often, row))
     at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
     kept = at < np.repeat(n - -(-a * n // b) + 1, n)
     return row[kept], at[kept], flat[order][kept]
