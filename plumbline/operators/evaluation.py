@@ -318,6 +318,28 @@ def projected(df: DataFrame, k: int, drop: int = 0) -> DataFrame:
     return x.select("vec_id", "y", F.array(*(V.dot("__c", V.literal(c.tolist())) for c in comps)).alias("z"))
 
 
+def multinomial(df: DataFrame, vec: str, y: str, k: int) -> DataFrame:
+    """(class, i, w): a multinomial logistic head on the k best dimensions, standardized."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    top = [r["i"] for r in M.top_features(df, vec, y, k).collect()]
+    z = M.standardize(df.select(y, F.array(*(F.col(vec)[i - 1] for i in top)).alias("v")), "v", M.center_and_scale(df.select(F.array(*(F.col(vec)[i - 1] for i in top)).alias("v")), "v"))
+    model = LogisticRegression(family="multinomial", regParam=0.01, maxIter=30).fit(z.select(array_to_vector("v").alias("features"), F.col(y).cast("double").alias("label")))
+    rows = [(c, top[j], float(w)) for c, line in enumerate(model.coefficientMatrix.toArray()) for j, w in enumerate(line)]
+    return df.sparkSession.createDataFrame(rows, "class int, i int, w double")
+
+
+def layer_validation(df: DataFrame, layer: str, shrinkage: float = 0.1) -> DataFrame:
+    """(layer, auroc): cross-validated area of every layer. One pass of `out_of_fold` a layer, and
+    there are few of them."""
+    out = None
+    for k in sorted(r[layer] for r in df.select(layer).distinct().collect()):
+        part = area(out_of_fold(df.filter(F.col(layer) == k), shrinkage, 1).withColumn("score", F.round("score", 9)), [], "score", "y").select(F.lit(k).alias(layer), "auroc")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ---- queries -------------------------------------------------------------------------------------
 def _v(s, d):
     return vectors(s, d)
@@ -374,6 +396,9 @@ QUERIES = {
     "e07_greedy_ensemble": lambda s, d: _ensemble(s, d).select("name", rd("weight").alias("weight")),
     "e08_additive_ensemble": lambda s, d: s.createDataFrame(additive_ensemble(_probabilities(s, d), [f"m{k}" for k in range(5)], "y"), "name string, weight double").select("name", rd("weight").alias("weight")),
     "e09_layer_sweep": lambda s, d: _rounded(layer_sweep(_layers(s, d), "layer"), "layer"),
+    "e10_layer_validation": lambda s, d: _rounded(layer_validation(_layers(s, d), "layer"), "layer"),
+    "m11_out_of_fold": lambda s, d: out_of_fold(_v(s, d), 0.1).select("vec_id", rd("score", 5).alias("score")),
+    "h07_multinomial": lambda s, d: multinomial(table(s, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"), "label"), "v", "label", 8).select("class", "i", rd("w", 3).alias("w")),
     "e11_score_map": lambda s, d: _layers(s, d).groupBy("layer", "y").agg(rd(F.avg(V.total("v"))).alias("mean_total")),
     "e12_predictions": lambda s, d: _v(s, d).select("vec_id", "y", (1 / (1 + F.exp(-F.col("v")[0]))).alias("p")).select("vec_id", rd("p").alias("p"), ((F.col("p") >= 0.5).cast("int") == F.col("y")).alias("correct")),
     "e13_focused_grid": lambda s, d: _rounded(fold_summary(fold_facts(held_out_scores(_v(s, d), RECIPES[:3]))), "recipe", "folds"),

@@ -244,6 +244,18 @@ def binned_information(df: DataFrame, vec: str, y: str, bins: int = 16) -> DataF
     return j.groupBy("i").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nb") * F.col("ny")))).alias("mi"))
 
 
+def robust_moments(df: DataFrame, vec: str) -> DataFrame:
+    """(center, scale): medians and interquartile ranges as vectors; a range of 0 counts as 1."""
+    m = cells(df, vec).groupBy("i").agg(F.percentile("x", 0.5).alias("c"), (F.percentile("x", 0.75) - F.percentile("x", 0.25)).alias("q"))
+    one = m.agg(F.sort_array(F.collect_list(F.struct("i", "c", "q"))).alias("m"))  # one entry for each dimension
+    return one.select(F.transform("m", lambda r: r["c"]).alias("center"), F.transform("m", lambda r: F.when(r["q"] > 0, r["q"]).otherwise(1.0)).alias("scale"))
+
+
+def top_features(df: DataFrame, vec: str, y: str, k: int) -> DataFrame:
+    """(i, f): the k dimensions that tell classes apart best, the first of equals."""
+    return anova_f(df, vec, y).orderBy(F.desc(F.round("f", 9)), "i").limit(k)
+
+
 # ---- queries -------------------------------------------------------------------------------------
 def _v(s, d):
     return vectors(s, d)
@@ -280,6 +292,8 @@ QUERIES = {
     "v03_batch_standardize": lambda s, d: _rows(standardize(_v(s, d), "v", center_and_scale(_v(s, d), "v", "family"), "family")),
     "v04_without_top": lambda s, d: _v(s, d).transform(lambda x: transform(x, "std+abtt1")).agg(F.count("*").alias("n"), rd(F.sum(V.dot("v", "v")), 4).alias("energy")),
     "v05_transforms": lambda s, d: s.createDataFrame([(k, a, b or "none", c) for k, (a, b, c) in TRANSFORMS.items()], "name string, row_l2 boolean, standardize string, remove_top int"),
+    "v06_robust_scaling": lambda s, d: _rows(standardize(_v(s, d), "v", robust_moments(_v(s, d), "v"))),
+    "w06_top_features": lambda s, d: top_features(_v(s, d), "v", "y", 5).select("i", rd("f", 5).alias("f")),
     "v08_anova_f": lambda s, d: anova_f(_v(s, d), "v", "y").select("i", rd("f", 5).alias("f")),
     "v09_information": lambda s, d: binned_information(_v(s, d), "v", "y").select("i", rd("mi").alias("mi")),
     "v10_raw_coordinates": lambda s, d: _v10(s, d),
@@ -327,6 +341,8 @@ SQL = {
     "v03_batch_standardize": f"WITH {VECTORS_SQL}, ms AS (SELECT family, i, avg(x) AS m, greatest(stddev_pop(x), 1e-6) AS sd FROM cells GROUP BY 1, 2), z AS (SELECT vec_id, i, (x - m) / sd AS x FROM cells JOIN ms USING (family, i)) SELECT vec_id, {_MARK} FROM z GROUP BY 1",
     "v05_transforms": "SELECT * FROM (VALUES ('raw', false, 'none', 0), ('std', false, 'train', 0), ('l2', true, 'none', 0), ('l2+std', true, 'train', 0), ('batchstd', false, 'batch', 0), ('l2+batchstd', true, 'batch', 0), ('std+abtt1', false, 'train', 1), ('std+abtt4', false, 'train', 4)) t(name, row_l2, standardize, remove_top)",
     "v08_anova_f": f"WITH {VECTORS_SQL}, p AS (SELECT y, i, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM cells GROUP BY 1, 2), g AS (SELECT i, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM p GROUP BY 1) SELECT CAST(i AS INTEGER) AS i, round(((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)), 5) AS f FROM g",
+    "v06_robust_scaling": f"WITH {VECTORS_SQL}, ms AS (SELECT i, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS q FROM cells GROUP BY 1), z AS (SELECT vec_id, i, (x - m) / CASE WHEN q > 0 THEN q ELSE 1 END AS x FROM cells JOIN ms USING (i)) SELECT vec_id, {_MARK} FROM z GROUP BY 1",
+    "w06_top_features": f"WITH {VECTORS_SQL}, p AS (SELECT y, i, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM cells GROUP BY 1, 2), g AS (SELECT i, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM p GROUP BY 1), h AS (SELECT CAST(i AS INTEGER) AS dim, ((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)) AS fv FROM g) SELECT dim AS i, round(fv, 5) AS f FROM h ORDER BY round(fv, 9) DESC, dim LIMIT 5",
     "v09_information": f"WITH {VECTORS_SQL}, e AS (SELECT i, min(x) AS lo, max(x) AS hi FROM cells GROUP BY 1), n AS (SELECT cells.i, y, least(15, floor(coalesce((x - lo) / nullif(hi - lo, 0), 0) * 16)) AS b, count(*) AS n FROM cells JOIN e USING (i) GROUP BY ALL), j AS (SELECT *, sum(n) OVER (PARTITION BY i) AS t, sum(n) OVER (PARTITION BY i, b) AS nb, sum(n) OVER (PARTITION BY i, y) AS ny FROM n) SELECT CAST(i AS INTEGER) AS i, round(sum(n::DOUBLE / t * ln(n::DOUBLE * t / (nb * ny))), 6) AS mi FROM j GROUP BY 1",
     "v10_raw_coordinates": f"WITH {VECTORS_SQL}, {_STD_CELLS}, q AS (SELECT i, avg(x) FILTER (WHERE y = 1) - avg(x) FILTER (WHERE y = 0) AS w, (avg(x) FILTER (WHERE y = 1) + avg(x) FILTER (WHERE y = 0)) / 2 AS mid FROM sdc GROUP BY 1), r AS (SELECT i, w / sd AS rw, -w * mid - m * w / sd AS b FROM q JOIN ms USING (i)) SELECT CAST(i AS INTEGER) AS i, round(rw, 5) AS w FROM r UNION ALL SELECT 0, round(sum(b), 5) FROM r",
     "v11_masked_mean": f"WITH {VECTORS_SQL} SELECT family, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS mean FROM cells WHERE y = 1 GROUP BY 1, 2",
