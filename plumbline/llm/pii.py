@@ -35,6 +35,7 @@ STREETS = "street road lane way avenue close court crescent drive boulevard plac
 DOTTED_STREETS = {"st", "rd"}
 ROMANCE_STREETS = "calle avenida paseo plaza camino rua travessa praça largo alameda rue avenue boulevard place chemin impasse allée quai via piazza viale corso".split()
 FLATS = "flat apt apartment unit suite".split()
+ARTICLES = {"the", "a", "an", "our", "your", "my", "this", "that", "his", "her", "their", "and", "of"}
 DIGIT_WORDS = "zero oh one two three four five six seven eight nine".split()
 TITLES = "mr ms mrs dr prof miss herr frau señor señora sr sra senhor senhora madame monsieur mme m".split()
 
@@ -51,13 +52,13 @@ _ID = re.compile(
 )
 _WORD = r"[^\W\d_][^\W\d_'’\-]*(?:['’\-][^\W\d_]+)*"
 _NUMBER = r"\d{1,4}(?:/\d{1,4})?[a-z]?"
-_TOWN = re.compile(rf",\s(?:(?P<code>\d{{4,6}})\s)?(?P<town>{_WORD}(?:\s{_WORD})?)(?P<after>\s\d{{4,6}})?(?!\w)", re.I)
-_FLAT = re.compile(rf",?\s(?:#\s?\d+[a-z]?|(?:{'|'.join(FLATS)})\.?\s\d+[a-z]?|\d{{1,2}}[ºª°](?:\s[a-z](?!\w))?)(?!\w)", re.I)
-_ENGLISH = re.compile(rf"(?<![\w/.#\-]){_NUMBER}\s(?:{_WORD}\s){{1,4}}?(?:{'|'.join(STREETS)})(?!\w)(?:\s(?:{'|'.join(STREETS)})(?!\w))?", re.I)
-_GERMAN = re.compile(rf"(?<!\w)[^\W\d_]{{2,}}(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|ufer|damm)\s\d{{1,4}}\s?[a-z]?(?!\w)", re.I)
-_LINK = r"(?:(?:de|del|la|las|los|da|do|das|dos|des|du|le|les|el)\s|[ld]['’])"
-_ROMANCE = re.compile(rf"(?<!\w)(?:(?:{'|'.join(ROMANCE_STREETS)})|r\.|av\.|c/)\s{_LINK}{{0,2}}{_WORD}(?:\s{_WORD})?(?:,\s?|\s)(?:n[º°.o]{{1,2}}\s?|número\s)?{_NUMBER}(?!\w)", re.I)
-_FRENCH = re.compile(rf"(?<![\w/.#\-])\d{{1,4}}(?:\s?(?:bis|ter))?,?\s(?:{'|'.join(ROMANCE_STREETS)})\s{_LINK}{{0,2}}{_WORD}(?:\s(?:{_LINK}{{0,2}}){_WORD})?(?!\w)", re.I)
+_TOWN = re.compile(rf",[ \xa0](?:(?P<code>\d{{4,6}})[ \xa0])?(?P<town>{_WORD}(?:[ \xa0]{_WORD})?)(?P<after>[ \xa0]\d{{4,6}})?(?!\w)", re.I)
+_FLAT = re.compile(rf",?[ \xa0](?:#[ \xa0]?\d+[a-z]?|(?:{'|'.join(FLATS)})\.?[ \xa0]\d+[a-z]?|\d{{1,2}}[ºª°](?:[ \xa0][a-z](?!\w))?)(?!\w)", re.I)
+_ENGLISH = re.compile(rf"(?<![\w/.#\-]){_NUMBER}[ \xa0](?:{_WORD}[ \xa0]){{1,4}}?(?:{'|'.join(STREETS)})(?!\w)(?:[ \xa0](?:{'|'.join(STREETS)})(?!\w))?", re.I)
+_GERMAN = re.compile(rf"(?<!\w)[^\W\d_]{{2,}}(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|ufer|damm)[ \xa0]\d{{1,4}}[ \xa0]?[a-z]?(?!\w)", re.I)
+_LINK = r"(?:(?:de|del|la|las|los|da|do|das|dos|des|du|le|les|el)[ \xa0]|[ld]['’])"
+_ROMANCE = re.compile(rf"(?<!\w)(?:(?:{'|'.join(ROMANCE_STREETS)})|r\.|av\.|c/)[ \xa0]{_LINK}{{0,2}}{_WORD}(?:[ \xa0]{_WORD})?(?:,[ \xa0]?|[ \xa0])(?:n[º°.o]{{1,2}}[ \xa0]?|número[ \xa0])?{_NUMBER}(?!\w)", re.I)
+_FRENCH = re.compile(rf"(?<![\w/.#\-])\d{{1,4}}(?:[ \xa0]?(?:bis|ter))?,?[ \xa0](?:{'|'.join(ROMANCE_STREETS)})[ \xa0]{_LINK}{{0,2}}{_WORD}(?:[ \xa0](?:{_LINK}{{0,2}}){_WORD})?(?!\w)", re.I)
 _PART = re.compile(r"[^\W\d_][^\W\d_]*(?:['’][^\W\d_]{2,})*(?:-[^\W\d_]+)*")
 _INITIAL = re.compile(r"[^\W\d_]\.")
 _BEFORE = re.compile(r"(\S+)?(\s*)$")
@@ -118,6 +119,13 @@ def _case(s: str) -> str:
     return "title" if letters[0].isupper() else "lower"
 
 
+def _next(text: str, b: int) -> str:
+    """The kind of what follows a span: a word in lower or upper case, a digit, a sign, a new line, the end."""
+    rest = text[b : b + 4].lstrip(" ")
+    c = rest[:1]
+    return "end" if not c else "line" if c == "\n" else "digit" if c.isdigit() else "upper" if c.isupper() else "lower" if c.isalpha() else c
+
+
 def _shape(s: str) -> str:
     return re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", re.sub(r"\s", " ", s)))
 
@@ -167,7 +175,7 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
                     elif lead[-1:] == "(" and inner.count(")") > inner.count("("):
                         a -= 2 if lead == "+(" else 1
                     span = m[0][a:b]
-                    if span.count("(") != span.count(")"):
+                    if span.count("(") != span.count(")") or ". " in span:
                         continue
                     features = [f"shape={_shape(span)}", f"digits={digits}", f"groups={j - i + 1}", f"from={i == 0}", f"to={j == len(groups) - 1}", f"lead={span[0] if span[0] in '+(' else span[:1] if span[0] in '01' else '9'}"]
                     s, e = m.start() + a, m.start() + b
@@ -189,6 +197,8 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
                 if form == "en":
                     middle = m[0].split()[1:-1]
                     base.append("kinds=" + "".join(sorted({_case(w)[0] for w in middle})))
+                    if ARTICLES & {w.casefold() for w in middle}:
+                        base.append("article")
                 ends = [(b, "bare")]
                 if form == "fr" or form == "en" and base[2] != "words=3":
                     # the last word may belong to what follows
@@ -213,7 +223,7 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
                         if len(town) == 2:
                             ends.append((t.end(), f"{tail}+town2+{code}+{_case(town[1])}"))
                 for e, tail in ends:
-                    add(m.start(), e, "address", [*base, f"tail={tail}", f"{form}/{tail.split('+')[0]}"])
+                    add(m.start(), e, "address", [*base, f"tail={tail}", f"{form}/{tail.split('+')[0]}", f"{form}/{tail}/{_next(text, e)}"])
     for m in _SPELT.finditer(text):
         add(m.start(), m.end(), "phone", ["spelt", f"count={len(re.findall('[a-zA-Z]+', m[0]))}"])
     _name_candidates(text, names, add)
@@ -232,9 +242,10 @@ def _name_candidates(text: str, names: Names, add) -> None:
 
     for i in range(n):
         titled = i > 0 and parts[i - 1][2].casefold() in TITLES and text[parts[i - 1][1] : parts[i][0]] in (" ", ". ")
+        initialled = len(parts[i][2]) == 1 and parts[i][2].isalpha() and i + 1 < n and len(parts[i + 1][2]) > 2 and text[parts[i][1] : parts[i + 1][0]] == ". "
         if kinds[i] == "u" and not titled and not (i + 1 < n and kinds[i + 1] != "u" and joined(i, i + 1)) and not (i + 2 < n and kinds[i + 2] != "u" and len(parts[i + 1][2]) == 1):
-            # an unknown part begins a name only after a title or before a known part
-            if not (len(parts[i][2]) == 1 and i + 1 < n and kinds[i + 1] != "u"):
+            # an unknown part begins a name only after a title, before a known part or as an initial
+            if not initialled:
                 continue
         if len(parts[i][2]) > 30:
             continue
@@ -259,7 +270,7 @@ def _name_candidates(text: str, names: Names, add) -> None:
             form += k + ("-" if "-" in part else "")
             last_end = b
             j += 1
-            if not known and not titled:
+            if not known and not titled and not (initialled and form[-1:] == "u" and j - i == 2):
                 continue
             if form.count(",") > 1:
                 break
@@ -267,7 +278,7 @@ def _name_candidates(text: str, names: Names, add) -> None:
             cases = "".join(sorted({_case(p)[0] for p in words}))
             ordinary = sum(names.ordinary(p) for p in words)
             start, end = parts[i][0], last_end
-            features = [f"form={form}", f"case={cases}", f"form+case={form}/{cases}", f"ordinary={ordinary}/{len(words)}", f"title={titled}", f"known={known}/{len(words)}"]
+            features = [f"form={form}", f"case={cases}", f"form+case={form}/{cases}", f"ordinary={ordinary}/{len(words)}", f"form/next={form}/{_next(text, end)}", f"title={titled}", f"known={known}/{len(words)}"]
             if any(k == "u" and names.ordinary(p) for k, (_, _, p) in zip(kinds[i:j], parts[i:j])):
                 features.append("unknown ordinary")
             left = text[start - 1] if start else "^"

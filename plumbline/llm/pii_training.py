@@ -122,6 +122,9 @@ ship to -> {a}
 pizza to {a} pls
 Send the {w} to {a}. If not, keep it.
 I grew up at {a} with {d} {w}.
+We know you stay at {a}, {w}.
+we know you stay at {a}, {w}
+We know you stay at {a}, {w}.
 someone posted {a} as the place to go
 The {w} on the corner, {a}, is {w}.
 He moved the {w} to {a}.
@@ -216,7 +219,7 @@ class Maker:
             g = self.part(self.given) if f in self.family else g
         x = r.random()
         i = r.choice("ABCDEFGHJKLMNPRST") + "."
-        return g if x < 0.06 else f"{f}, {g}" if x < 0.2 else f"{g} {i} {f}" if x < 0.32 else f"{g[0]}. {f if f in self.family else r.choice(self.family)}" if x < 0.38 else f"{g} {f}"
+        return g if x < 0.06 else f"{f}, {g}" if x < 0.2 else f"{g} {i} {f}" if x < 0.32 else f"{g[0]}. {f}" if x < 0.39 else f"{g} {f}"
 
     def one(self) -> str:
         return self.part(self.given) if self.r.random() < 0.5 else self.part(self.family)
@@ -269,6 +272,8 @@ class Maker:
             if r.random() < 0.2:
                 road += " " + r.choice(["View", "Hill", "Park", "Green"])
             out = f"{number} {road} " + r.choice(["Street", "St.", "Road", "Rd.", "Lane", "Ln", "Way", "Avenue", "Ave", "Court", "Crescent", "Drive", "Dr", "Boulevard", "Blvd", "Close", "Place"])
+            if r.random() < 0.15:
+                out = out.lower()
             if r.random() < 0.3:
                 out += r.choice([f", Flat {r.randint(1, 40)}", f", Apt {r.randint(1, 40)}{r.choice('ABCD')}", f" #{r.randint(2, 60)}"])
             if r.random() < 0.4:
@@ -281,7 +286,9 @@ class Maker:
             road = r.choice(["Calle de los Olmos", "Avenida del Río", "Paseo Limón", "Plaza Cántaro", "Rua das Acácias", "Travessa do Poço", "R. São Limão", "Avenida do Sol", "Camino Viejo"])
             out = f"{road}{r.choice([', ', ' ', ' nº '])}{r.randint(1, 240)}"
             return out + (f", {r.randint(1, 9)}º {r.choice('ABC')}" if r.random() < 0.35 else "")
-        return f"{r.randint(1, 240)}{r.choice(['', ' bis'])}{r.choice([', ', ' '])}{r.choice(['rue des Tilleuls', 'avenue du Lac', 'rue de la Source', 'impasse Verte', 'rue du Moulin'])}"
+        road = r.choice(["rue des Tilleuls", "avenue du Lac", "rue de la Source", "impasse Verte", "rue du Moulin", "boulevard Fontaine", "quai Rivage", "place Fontaine"])
+        out = f"{r.randint(1, 240)}{r.choice(['', ' bis'])}{r.choice([', ', ' '])}{road}"
+        return out + (f", {code} {town}" if r.random() < 0.3 else "")
 
     def sentence(self) -> tuple[str, list[tuple[int, int, str]]]:
         r = self.r
