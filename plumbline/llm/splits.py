@@ -2,8 +2,8 @@
 
 Connected components by frontier breadth-first search: adjacency lists are hash-partitioned, many
 seeds (the nodes whose hash is least among their neighbours) expand together, a node takes the label
-that reaches it first, and labels that collide are edges of a small graph, which is solved in the
-same way until one bounded task can hold it. Components then go to splits in hash order.
+that reaches it first, and labels that collide are edges of a small graph, which one task merges if its
+size allows and which is searched in the same way if not. Components then go to splits in hash order.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.plans.ranking import shuffled
 from plumbline.plans.staging import stage
 
-#: Most edges that one task joins; larger graphs are contracted by breadth-first search first.
+#: Most collisions of labels that one task merges; beyond it they are searched as a graph of their own.
 SMALL = 200_000
 #: A component with more than this share of all rows is placed by itself; there are at most 1 / it.
 LARGE_SHARE = 0.005
@@ -58,8 +58,6 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     a, b = edges.columns
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
     pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    if pairs.count() <= small:
-        return _in_one_task(pairs)
     both = pairs.filter("a <> b").unionByName(pairs.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     lone = pairs.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
     turn: Column = F.struct(shuffled("b"), F.col("b"))
@@ -71,8 +69,10 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         labels = labels.unionByName(frontier)
     labels = stage(labels, "labels")
     la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
-    collided = pairs.filter("a <> b").join(la, "a").join(lb, "b").filter("la <> lb").select("la", "lb")
-    merged = components(collided, small).toDF("of", "to")
+    collided = pairs.filter("a <> b").join(la, "a").join(lb, "b").filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    collided = stage(collided, "collided")
+    # the small graph of labels: one task up to a checked size, beyond it the same search again
+    merged = (_in_one_task(collided) if collided.count() <= small else components(collided, small)).toDF("of", "to")
     out = labels.join(merged, labels["label"] == merged["of"], "left").select("node", F.coalesce("to", "label").alias("root"))
     out = stage(out.unionByName(lone.join(labels, "node", "left_anti").toDF("node", "root")), "roots")
     least = out.groupBy("root").agg(F.min("node").alias("label"))
