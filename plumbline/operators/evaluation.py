@@ -3,7 +3,11 @@ W09, W14, R04, and iterative or library-backed heads: H03, H06-H09, H12, H16, V0
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,43 +19,176 @@ from plumbline.plans.staging import stage
 from plumbline.plans.tables import VECTORS_SQL, correlation, rd, table, vectors
 
 PRIOR = 12 / 17
-#: Row-wise transforms whose fold statistics are differences of family sums.
+#: Probes of the grid and their settings: shrinkage, nothing, C.
+PROBES = [*(("lda", h) for h in (0.02, 0.1, 0.3, 0.6, 0.9)), ("dom", 0.0), ("logistic", 0.002), ("logistic", 0.05)]
+GRID = [(t, p, h) for t in M.TRANSFORMS for p, h in PROBES]
+#: The part of the grid that one pass over the rows fits and that removes nothing from them.
 RECIPES = [("raw", "dom", 0.0), ("raw", "lda", 0.1), ("raw", "lda", 0.6), ("l2", "dom", 0.0), ("l2", "lda", 0.1), ("l2", "lda", 0.6)]
+#: The grid by which candidates are ranked.
+FOCUSED = [(t, p, h) for t in ("raw", "std", "l2+std") for p, h in (("lda", 0.1), ("lda", 0.3), ("lda", 0.6), ("lda", 0.9), ("logistic", 0.002), ("dom", 0.0))]
 
 
-def recipe_key(transform: str, probe: str, hyper: float) -> str:
-    return f"{transform}|{probe}|{hyper:g}"
+class Fold(NamedTuple):
+    """Families kept out of training, the statistics of all others and of the rows to be scored."""
 
+    held: tuple[str, ...]
+    rest: M.ClassStats
+    tested: M.ClassStats
 
-def _fit(stats: M.ClassStats, probe: str, hyper: float) -> tuple[np.ndarray, float]:
-    return M.mean_difference(stats) if probe == "dom" else M.shrunk_lda(stats, hyper)
+
+def recipe_key(transform: str, probe: str, hyper: float) -> str:
+    return f"{transform}|{probe}|{hyper:g}"
 
 
 def _total(parts: dict[str, M.ClassStats]) -> M.ClassStats:
     return M.ClassStats([(y, p.n[y], p.s[y], p.g[y]) for p in parts.values() for y in (0, 1)])
 
 
-def _views(df: DataFrame, recipes: list[tuple[str, str, float]]) -> dict[str, DataFrame]:
-    made = {"raw": df, "l2": df.withColumn("v", V.row_l2("v"))}
-    return {t: made[t] for t in dict.fromkeys(r[0] for r in recipes)}
+def _views(df: DataFrame, recipes: list[tuple[str, str, float]]) -> dict[bool, DataFrame]:
+    """The rows as they are and scaled to length 1, as far as the recipes need them; whatever else a
+    transform does is affine, so that its head becomes one on these."""
+    made = {False: df, True: df.withColumn("v", V.row_l2("v"))}
+    return {l2: made[l2] for l2 in dict.fromkeys(M.TRANSFORMS[r[0]][0] for r in recipes)}
+
+
+def _affine(transform: str, fold: Fold) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(a, c) such that a @ (v - c) is the transformed training row; the same of a scored row."""
+    _, standard, remove = M.TRANSFORMS[transform]
+    d = len(fold.rest.s[0])
+    if not standard:
+        return ((np.eye(d), np.zeros(d)),) * 2
+    c, scale = fold.rest.center_and_scale()
+    a = np.diag(1 / scale)
+    if remove:
+        z = fold.rest.mapped(a, c)
+        top = M.top_components((z.g[0] + z.g[1]) / sum(z.n.values()), min(remove, sum(z.n.values()) - 1))
+        a = a - top.T @ top @ a
+    if standard != "batch":
+        return ((a, c),) * 2
+    own, scale = fold.tested.center_and_scale()
+    return (a, c), (np.diag(1 / scale), own)
+
+
+def logistic_fits(df: DataFrame, fits: list[tuple[tuple[str, ...], np.ndarray, np.ndarray, float]], tol: float = 1e-7, most: int = 200) -> list[tuple[np.ndarray, float]]:
+    """(w, b) for each (held, a, c, C): the logistic head on the rows a @ (v - c) of all families but
+    the held, least w @ w / 2 + C * loss with a free intercept. Newton steps, halved where they
+    don't lower the loss, until no slope is above `tol` for each row. One pass serves a step of all
+    fits that aren't done, and returns d + 1 and (d + 1)^2 sums for each."""
+    if not fits:
+        return []
+    d = len(fits[0][2])
+    maps = []
+    for _, a, c, _ in fits:  # from (w, b) of transformed rows to weights and intercept of the rows
+        m = np.zeros((d + 1, d + 1))
+        m[:d, :d], m[d, :d], m[d, d] = a.T, -(a @ c), 1
+        maps.append(m)
+    x = stage(df.select("family", F.col("y").cast("int").alias("y"), F.col("v").cast("array<double>").alias("v")), "logistic")
+    sums = "k int, n long, loss double, g array<double>, h array<double>"
+
+    def totals(at: dict[int, np.ndarray]) -> dict[int, tuple]:
+        by: dict[tuple[str, ...], list[int]] = {}
+        for k in at:
+            by.setdefault(fits[k][0], []).append(k)
+        by_held = [(held, ks, np.array([maps[k] @ at[k] for k in ks])) for held, ks in by.items()]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got: dict[int, list] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                v, y = np.c_[v, np.ones(len(v))], batch.column("y").to_numpy(zero_copy_only=False)
+                family = np.array(batch.column("family").to_pylist(), dtype=object)
+                for held, ks, w in by_held:
+                    use = ~np.isin(family, held)
+                    u, t = v[use], y[use, None]
+                    m = u @ w.T
+                    p = 0.5 * (1 + np.tanh(m / 2))
+                    loss, g, s = (np.logaddexp(0, m) - t * m).sum(0), (p - t).T @ u, p * (1 - p)
+                    for j, k in enumerate(ks):
+                        one = got.setdefault(k, [0, 0.0, np.zeros(d + 1), np.zeros((d + 1, d + 1))])
+                        one[0] += len(u)
+                        one[1] += loss[j]
+                        one[2] += g[j]
+                        one[3] += (u * s[:, j : j + 1]).T @ u
+            yield _sums(got)
+
+        def add(t: pa.Table) -> pa.Table:
+            g = t.column("g").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).sum(0)
+            h = t.column("h").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).sum(0)
+            return pa.Table.from_batches([_sums({t.column("k")[0].as_py(): [sum(t.column("n").to_pylist()), sum(t.column("loss").to_pylist()), g, h]})])
+
+        return {r["k"]: (r["n"], r["loss"], np.array(r["g"]), np.array(r["h"]).reshape(d + 1, d + 1)) for r in x.mapInArrow(run, sums).groupBy("k").applyInArrow(add, sums).collect()}
+
+    ridge = np.diag([1.0] * d + [0.0])
+    best: dict[int, tuple] = {}  # the lowest point so far: (value, weights, slope, curvature)
+    step = {k: np.zeros(d + 1) for k in range(len(fits))}
+    done: dict[int, np.ndarray] = {}
+    for _ in range(most):
+        at = {k: s if k not in best else best[k][1] + s for k, s in step.items()}
+        for k, (n, loss, g, h) in totals(at).items():
+            w, m, big_c = at[k], maps[k], fits[k][3]
+            value = w @ ridge @ w / 2 + big_c * loss
+            if k in best and value > best[k][0] + 1e-12 * abs(best[k][0]):
+                step[k] = step[k] / 2
+                continue
+            slope, curve = ridge @ w + big_c * m.T @ g, ridge + big_c * m.T @ h @ m
+            best[k] = (value, w, slope, curve)
+            step[k] = -np.linalg.lstsq(curve, slope, rcond=None)[0]
+            if np.abs(slope).max() <= tol * big_c * n:
+                done[k] = w
+                del step[k]
+        if not step:
+            return [(done[k][:d], float(done[k][d])) for k in range(len(fits))]
+    raise RuntimeError(f"{len(step)} logistic heads not fitted after {most} passes")
+
+
+def _sums(got: dict[int, list]) -> pa.RecordBatch:
+    flat = [pa.array([np.asarray(r[j]).ravel().tolist() for r in got.values()], pa.list_(pa.float64())) for j in (2, 3)]
+    return pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([r[0] for r in got.values()], pa.int64()), pa.array([float(r[1]) for r in got.values()], pa.float64()), *flat], names=["k", "n", "loss", "g", "h"])
+
+
+def _heads(view: DataFrame, folds: dict[str, Fold], recipes: list[tuple[str, str, float]]) -> list[tuple[str, str, list[float], float]]:
+    """(fold, recipe, w, b) of every fold and recipe, as heads on the rows of the view."""
+    fitted, wanted = [], {}
+    for name, fold in folds.items():
+        for t in dict.fromkeys(r[0] for r in recipes):
+            train, test = _affine(t, fold)
+            stats = fold.rest.mapped(*train)
+            for r in recipes:
+                if r[0] != t:
+                    continue
+                if r[1] == "logistic":
+                    # transforms that differ in scored rows only share their fit
+                    key = (fold.held, "std" if t in ("std", "batchstd") else "l2+std" if t in ("l2+std", "l2+batchstd") else t, r[2])
+                    wanted.setdefault(key, (fold.held, *train, r[2]))
+                    fitted.append((name, r, test, key))
+                else:
+                    fitted.append((name, r, test, M.mean_difference(stats) if r[1] == "dom" else M.shrunk_lda(stats, r[2])))
+    fits = dict(zip(wanted, logistic_fits(view, list(wanted.values()))))
+    out = []
+    for name, r, (a, c), head in fitted:
+        w, b = head if isinstance(head[0], np.ndarray) else fits[head]
+        w = a.T @ w
+        out.append((name, recipe_key(*r), w.tolist(), float(b - w @ c)))
+    return out
 
 
 def held_out_scores(df: DataFrame, recipes: list[tuple[str, str, float]], least_test: int = 20, least_train: int = 100) -> DataFrame:
     """(recipe, family, vec_id, y, score): every row scored by heads fitted without its family. The
-    statistics of all folds come from one pass: a fold's are the total less its family's."""
+    statistics of all folds come from one pass: a fold's are the total less its family's. Only
+    logistic heads need further passes."""
     out = None
-    for t, view in _views(df, recipes).items():
+    for l2, view in _views(df, recipes).items():
         parts = M.ClassStats.by(view, "family")
         total = _total(parts)
-        heads = []
+        folds = {}
         for family, part in parts.items():
             rest = total.without(part)
             if sum(part.n.values()) < least_test or sum(rest.n.values()) < least_train or min(rest.n.values()) == 0:
                 continue
-            for r in recipes:
-                if r[0] == t:
-                    w, b = _fit(rest, r[1], r[2])
-                    heads.append((family, recipe_key(*r), w.tolist(), b))
+            folds[family] = Fold((family,), rest, part)
+        heads = _heads(view, folds, [r for r in recipes if M.TRANSFORMS[r[0]][0] == l2])
         h = df.sparkSession.createDataFrame(heads, "family string, recipe string, w array<double>, b double")
         # heads: folds x recipes rows
         part = view.join(F.broadcast(h), "family").select("recipe", "family", "vec_id", "y", F.round(V.dot("v", "w") + F.col("b"), 9).alias("score"))
@@ -96,17 +233,17 @@ def cross_source_scores(df: DataFrame, recipes: list[tuple[str, str, float]], le
     by heads fitted on all other families."""
     pairs = [(r["pos_family"], r["neg_family"]) for r in D.cross_pairs(df, "family", "y", least_pos, least_neg).collect()]  # one for each family
     out = None
-    for t, view in _views(df, recipes).items():
+    for l2, view in _views(df, recipes).items():
         parts = M.ClassStats.by(view, "family")
         total = _total(parts)
-        heads = []
+        folds = {}
         for a, b in pairs:
             rest = total.without(parts[a]).without(parts[b]) if a != b else total.without(parts[a])
-            for r in recipes:
-                if r[0] == t:
-                    w, c = _fit(rest, r[1], r[2])
-                    heads += [(a, 1, f"{a}>{b}", recipe_key(*r), w.tolist(), c), (b, 0, f"{a}>{b}", recipe_key(*r), w.tolist(), c)]
-        h = df.sparkSession.createDataFrame(heads, "family string, y int, pair string, recipe string, w array<double>, b double")
+            tested = M.ClassStats([(y, parts[f].n[y], parts[f].s[y], parts[f].g[y]) for f, y in ((a, 1), (b, 0))])
+            folds[f"{a}>{b}"] = Fold(tuple(dict.fromkeys((a, b))), rest, tested)
+        heads = _heads(view, folds, [r for r in recipes if M.TRANSFORMS[r[0]][0] == l2])
+        sides = {f"{a}>{b}": ((a, 1), (b, 0)) for a, b in pairs}
+        h = df.sparkSession.createDataFrame([(f, y, *head) for head in heads for f, y in sides[head[0]]], "family string, y int, pair string, recipe string, w array<double>, b double")
         part = view.join(F.broadcast(h), ["family", "y"]).select("recipe", "pair", "vec_id", "y", F.round(V.dot("v", "w") + F.col("b"), 9).alias("score"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -346,7 +483,7 @@ def _v(s, d):
 
 
 def _facts(s, d):
-    return fold_facts(held_out_scores(_v(s, d), RECIPES))
+    return fold_facts(held_out_scores(_v(s, d), GRID))
 
 
 def _summary(s, d):
@@ -359,7 +496,7 @@ def _ranked(s, d):
 
 
 def _cross(s, d):
-    return fold_summary(fold_facts(cross_source_scores(_v(s, d), RECIPES), PRIOR, "pair"))
+    return fold_summary(fold_facts(cross_source_scores(_v(s, d), GRID), PRIOR, "pair"))
 
 
 def _rounded(df: DataFrame, *keys: str) -> DataFrame:
@@ -401,7 +538,7 @@ QUERIES = {
     "h07_multinomial": lambda s, d: multinomial(table(s, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"), "label"), "v", "label", 8).select("class", "i", rd("w", 3).alias("w")),
     "e11_score_map": lambda s, d: _layers(s, d).groupBy("layer", "y").agg(rd(F.avg(V.total("v"))).alias("mean_total")),
     "e12_predictions": lambda s, d: _v(s, d).select("vec_id", "y", (1 / (1 + F.exp(-F.col("v")[0]))).alias("p")).select("vec_id", rd("p").alias("p"), ((F.col("p") >= 0.5).cast("int") == F.col("y")).alias("correct")),
-    "e13_focused_grid": lambda s, d: _rounded(fold_summary(fold_facts(held_out_scores(_v(s, d), RECIPES[:3]))), "recipe", "folds"),
+    "e13_focused_grid": lambda s, d: _rounded(fold_summary(fold_facts(held_out_scores(_v(s, d), FOCUSED))), "recipe", "folds"),
     "e14_guard": lambda s, d: s.createDataFrame([(guard_families(_v(s, d)),)], "families long"),
     "r04_routed_comparison": lambda s, d: _rounded(routed_comparison(_v(s, d)), "family", "candidate"),
     "h03_logistic": lambda s, d: _head(s, ml_fit(ml_vectors(_v(s, d)), "logistic", C=0.05)),

@@ -115,6 +115,17 @@ class ClassStats:
         """The statistics of the rows that `other` doesn't have."""
         return ClassStats([(y, self.n[y] - other.n[y], self.s[y] - other.s[y], self.g[y] - other.g[y]) for y in (0, 1)])
 
+    def center_and_scale(self) -> tuple[np.ndarray, np.ndarray]:
+        """Means and population deviations of both classes together, deviations 1e-6 at least."""
+        n = max(self.n[0] + self.n[1], 1)
+        center = (self.s[0] + self.s[1]) / n
+        return center, np.maximum(np.sqrt(np.maximum(np.diag(self.g[0] + self.g[1]) / n - center * center, 0)), 1e-6)
+
+    def mapped(self, a: np.ndarray, c: np.ndarray) -> ClassStats:
+        """The statistics of the rows a @ (v - c)."""
+        cross = {y: np.outer(self.s[y], c) for y in (0, 1)}
+        return ClassStats([(y, self.n[y], a @ (self.s[y] - self.n[y] * c), a @ (self.g[y] - cross[y] - cross[y].T + self.n[y] * np.outer(c, c)) @ a.T) for y in (0, 1)])
+
     @classmethod
     def of(cls, df: DataFrame, vec: str = "v", y: str = "y") -> ClassStats:
         return cls([(r[y], r["n"], np.array(r["s"]), np.array(r["g"])) for r in gram(df, vec, y).collect()])
