@@ -1,13 +1,17 @@
 """Problem 8: a mixture of sources by target weights.
 
-Sainte-Laguë apportionment: the wanted tokens are divided into equal blocks, and each block goes to
-the source with the highest quotient of its weight by 1, 3, 5 and so on, as long as the source can
-fill it with its documents, each at most max_repeats times. A source's blocks are then cut from its
-documents in the order of a seeded hash; whole rounds of the source come before the last, partial one.
+Sainte-Laguë apportionment: each wanted token is a block that goes to the source with the highest
+quotient of its weight by 1, 3, 5 and so on, as long as the source can fill it with its documents,
+each at most max_repeats times. A source's part is then cut from its documents in the order of a
+seeded hash; whole rounds of the source come before the last, partial one.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +20,6 @@ from plumbline.llm.splits import cleaned
 from plumbline.plans.ranking import running_total, shuffled
 from plumbline.plans.staging import stage
 
-#: Blocks that a mixture is divided into.
-BLOCKS = 2000
-
 
 def source_tokens(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, source, tokens) of every document, staged. source is cleaned, null where missing."""
@@ -26,29 +27,51 @@ def source_tokens(documents: DataFrame, path: str) -> DataFrame:
     return stage(rows.withColumnRenamed("__source", "source"), "tokens")
 
 
-def apportion(tokens: DataFrame, weights: DataFrame, mix_tokens: int, blocks: int = BLOCKS) -> DataFrame:
+def highest_quotients(weights: dict[str, float], room: dict[str, int], total: int) -> dict[str, int]:
+    """How many of the `total` highest quotients weight / 1, 3, 5, ... each name has, at most `room`
+    of its own; the first name of equals. Starts from shares in proportion to the weights and moves
+    single quotients, so that the steps are about as many as the names, whatever the total."""
+    w = {k: Fraction(x) for k, x in weights.items() if math.isfinite(x) and x > 0 and room[k] > 0}
+    total = min(total, sum(room[k] for k in w))
+    got, left, rest = {}, total, sum(w.values())
+    for k in sorted(w, key=lambda k: room[k] / w[k]):  # those that are full first
+        got[k] = min(room[k], int(left * w[k] / rest))
+        left, rest = left - got[k], rest - w[k]
+    best = [(-w[k] / (2 * n + 1), k) for k, n in got.items() if n < room[k]]
+    heapq.heapify(best)
+    for _ in range(left):
+        _, k = heapq.heappop(best)
+        got[k] += 1
+        if got[k] < room[k]:
+            heapq.heappush(best, (-w[k] / (2 * got[k] + 1), k))
+    while True:
+        more = min(((-w[k] / (2 * n + 1), k) for k, n in got.items() if n < room[k]), default=None)
+        last = max(((-w[k] / (2 * n - 1), k) for k, n in got.items() if n), default=None)
+        if more is None or last is None or more >= last:
+            return got
+        got[more[1]] += 1
+        got[last[1]] -= 1
+
+
+def apportion(tokens: DataFrame, weights: DataFrame, mix_tokens: int) -> DataFrame:
     """One row for each source of the weights: (source, weight, max_repeats, tokens, block_tokens,
-    blocks, short). tokens is the size of all its documents, blocks its part of the mixture, short
-    whether tokens * max_repeats is less than weight * mix_tokens.
+    blocks, short). tokens is the size of all its documents, blocks its part of the mixture in
+    blocks of block_tokens, that is one token, and short whether tokens * max_repeats is less than
+    weight * mix_tokens.
 
     A source named twice counts with the sum of its weights and the least max_repeats; null or
-    negative weights count as 0. Blocks that no source can fill are left out. The table has
-    sources x blocks quotients at most, whatever the size of the documents."""
-    size = max(1, -(-mix_tokens // blocks))
+    negative weights count as 0. Tokens that no source can fill are left out. The table of sources
+    comes to the driver, one row for each, whatever the size of the documents."""
     w = (
         weights.select(cleaned("source").alias("source"), F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
         .filter("source is not null").groupBy("source").agg(F.sum("weight").alias("weight"), F.min("max_repeats").cast("long").alias("max_repeats"))
     )
     have = tokens.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     t = w.join(have, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    t = t.withColumn("room", F.least(F.floor(F.col("tokens") * F.col("max_repeats") / size), F.lit(blocks)))
-    each = t.filter("room > 0 and weight > 0").select("source", F.explode(F.sequence(F.lit(1), F.col("room"))).alias("k"), "weight")
-    won = each.orderBy(F.desc(F.col("weight") / (2 * F.col("k") - 1)), "source").limit(-(-mix_tokens // size))
-    got = won.groupBy("source").agg(F.count("*").alias("blocks"))
-    return t.join(got, "source", "left").select(
-        "source", "weight", "max_repeats", "tokens", F.lit(size).cast("long").alias("block_tokens"), F.coalesce("blocks", F.lit(0)).alias("blocks"),
-        (F.col("tokens") * F.col("max_repeats") < F.col("weight") * mix_tokens).alias("short"),
-    )
+    rows = t.withColumn("short", F.col("tokens") * F.col("max_repeats") < F.col("weight") * mix_tokens).collect()  # one for each source
+    got = highest_quotients({r.source: r.weight for r in rows}, {r.source: r.tokens * r.max_repeats for r in rows}, mix_tokens)
+    plan = [(r.source, r.weight, r.max_repeats, r.tokens, 1, got.get(r.source, 0), r.short) for r in rows]
+    return tokens.sparkSession.createDataFrame(plan, "source string, weight double, max_repeats long, tokens long, block_tokens long, blocks long, short boolean")
 
 
 def mixture(tokens: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
