@@ -380,20 +380,30 @@ def routed_comparison(df: DataFrame, prior: float = PRIOR, least: int = 20) -> D
 
 
 # ---- heads fitted by iteration -------------------------------------------------------------------
-def logistic_gd(df: DataFrame, vec: str, y: str, steps: int = 50, rate: float = 0.5, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+#: Iterations of a library head, so many that its tolerance ends the fit.
+MOST = 4000
+
+
+def logistic_gd(df: DataFrame, vec: str, y: str, steps: int = 400, rate: float = 0.5, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Full-batch gradient steps on standardized vectors, taken back to raw coordinates. Each step is
-    one aggregation that returns d + 1 numbers."""
+    one pass in which every task returns d + 1 numbers."""
     m = M.center_and_scale(df, vec).first()
     center, scale = np.array(m["center"]), np.array(m["scale"])
-    x = stage(M.standardize(df.select(vec, y), vec, M.center_and_scale(df, vec)), "gd")
+    x = stage(M.standardize(df.select(F.col(vec).alias("v"), F.col(y).cast("double").alias("y")), "v", M.center_and_scale(df, vec)), "gd")
     n, d = x.count(), len(center)
-    w, b = np.zeros(d), 0.0
+    at = np.zeros(d + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(d + 1)
+        for batch in batches:
+            z = np.c_[batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d), np.ones(batch.num_rows)]
+            total += (0.5 * (1 + np.tanh(z @ at / 2)) - batch.column("y").to_numpy(zero_copy_only=False)) @ z
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["g"])
+
     for _ in range(steps):
-        err = 1 / (1 + F.exp(-(V.dot(vec, V.literal(w.tolist())) + F.lit(b)))) - F.col(y)
-        g = x.select(err.alias("e"), *(F.col(vec)[i].alias(f"x{i}") for i in range(d))).agg(F.sum("e").alias("b"), *(F.sum(F.col("e") * F.col(f"x{i}")).alias(f"g{i}") for i in range(d))).first()
-        w = w - rate * (np.array([g[f"g{i}"] for i in range(d)]) / n + l2 * w)
-        b -= rate * g["b"] / n
-    return M.in_raw_coordinates(w, b, center, scale)
+        g = sum((np.array(r["g"]) for r in x.mapInArrow(run, "g array<double>").collect()), np.zeros(d + 1)) / n
+        at = at - rate * (g + l2 * np.append(at[:d], 0.0))
+    return M.in_raw_coordinates(at[:d], float(at[d]), center, scale)
 
 
 def ml_vectors(df: DataFrame, vec: str = "v", y: str = "y") -> DataFrame:
@@ -408,9 +418,9 @@ def ml_fit(df: DataFrame, kind: str, **options):
 
     n = df.count()
     if kind == "logistic":
-        return LogisticRegression(regParam=1 / (options.get("C", 1.0) * n), elasticNetParam=options.get("l1_ratio", 0.0), standardization=False, maxIter=options.get("maxIter", 100), tol=1e-9).fit(df)
+        return LogisticRegression(regParam=1 / (options.get("C", 1.0) * n), elasticNetParam=options.get("l1_ratio", 0.0), standardization=False, maxIter=options.get("maxIter", MOST), tol=1e-9).fit(df)
     if kind == "svm":
-        return LinearSVC(regParam=1 / (options.get("C", 1.0) * n), standardization=False, maxIter=options.get("maxIter", 100)).fit(df)
+        return LinearSVC(regParam=1 / (options.get("C", 1.0) * n), standardization=False, maxIter=options.get("maxIter", MOST)).fit(df)
     raise ValueError(f"no head called {kind}")
 
 
@@ -422,7 +432,7 @@ def platt(df: DataFrame, folds: int = 3) -> DataFrame:
     f = stage(f, "platt")
     parts = []
     for k in range(folds):
-        model = ml_fit(ml_vectors(f.filter(F.col("fold") != k)), "svm", maxIter=20)
+        model = ml_fit(ml_vectors(f.filter(F.col("fold") != k)), "svm")
         w = V.literal(model.coefficients.toArray().tolist())
         parts.append(f.filter(F.col("fold") == k).select("vec_id", "y", (V.dot("v", w) + F.lit(float(model.intercept))).alias("margin")))
     margins = parts[0]
@@ -462,7 +472,7 @@ def multinomial(df: DataFrame, vec: str, y: str, k: int) -> DataFrame:
 
     top = [r["i"] for r in M.top_features(df, vec, y, k).collect()]
     z = M.standardize(df.select(y, F.array(*(F.col(vec)[i - 1] for i in top)).alias("v")), "v", M.center_and_scale(df.select(F.array(*(F.col(vec)[i - 1] for i in top)).alias("v")), "v"))
-    model = LogisticRegression(family="multinomial", regParam=0.01, maxIter=30).fit(z.select(array_to_vector("v").alias("features"), F.col(y).cast("double").alias("label")))
+    model = LogisticRegression(family="multinomial", regParam=0.01, maxIter=MOST).fit(z.select(array_to_vector("v").alias("features"), F.col(y).cast("double").alias("label")))
     rows = [(c, top[j], float(w)) for c, line in enumerate(model.coefficientMatrix.toArray()) for j, w in enumerate(line)]
     return df.sparkSession.createDataFrame(rows, "class int, i int, w double")
 
@@ -542,9 +552,9 @@ QUERIES = {
     "e14_guard": lambda s, d: s.createDataFrame([(guard_families(_v(s, d)),)], "families long"),
     "r04_routed_comparison": lambda s, d: _rounded(routed_comparison(_v(s, d)), "family", "candidate"),
     "h03_logistic": lambda s, d: _head(s, ml_fit(ml_vectors(_v(s, d)), "logistic", C=0.05)),
-    "h06_logistic_gd": lambda s, d: M._as_cells(s, *logistic_gd(_v(s, d), "v", "y", 30)),
+    "h06_logistic_gd": lambda s, d: M._as_cells(s, *logistic_gd(_v(s, d), "v", "y")),
     "h08_elastic_net": lambda s, d: _head(s, ml_fit(ml_vectors(_v(s, d)), "logistic", C=1.0, l1_ratio=0.5)),
-    "h09_svm": lambda s, d: _head(s, ml_fit(ml_vectors(_v(s, d)), "svm", maxIter=30)),
+    "h09_svm": lambda s, d: _head(s, ml_fit(ml_vectors(_v(s, d)), "svm")),
     "h12_platt": lambda s, d: platt(_v(s, d)).agg(rd(F.avg("p"), 3).alias("mean_p"), F.count("*").alias("n")),
     "v07_components": lambda s, d: projected(_v(s, d), 4, 1).select(*(rd(F.var_pop(F.col("z")[k]), 4).alias(f"var{k}") for k in range(4))),
     "v16_plane": lambda s, d: projected(_v(s, d), 2).groupBy("y").agg(*(rd(F.avg(F.col("z")[k]), 4).alias(f"z{k}") for k in range(2))),
