@@ -243,6 +243,7 @@ QUERIES = {
     "m09_composite_threshold": lambda s, d: composite_threshold(scored(s, d), "p", "y").select(rd("cut").alias("cut"), rd("value").alias("value")),
     "m10_selection_score": lambda s, d: area(scored(s, d), ["family"], "score", "y").join(average_precision(scored(s, d), ["family"], "score", "y"), "family").join(class_metrics(confusion(_with_quota(s, d), ["family"], "y", "pred")), "family").select("family", rd((F.col("auroc") + F.col("ap") + F.col("balanced")) / 3).alias("value")),
     "m15_bootstrap_interval": lambda s, d: SAMPLING["d18_bootstrap"](s, d).agg(rd(F.percentile("mean", 0.025)).alias("low"), rd(F.percentile("mean", 0.975)).alias("high")),
+    "m15_bootstrap_interval_whole": lambda s, d: SAMPLING["d18_bootstrap_whole"](s, d).agg(rd(F.percentile("mean", 0.025)).alias("low"), rd(F.percentile("mean", 0.975)).alias("high")),
     "a25_confusion": lambda s, d: confusion(_with_quota(s, d), [], "y", "pred"),
     "a26_gains_losses": lambda s, d: discordant(_with_quota(s, d), ["family"], "y", "pred", "base"),
     "c06_threshold": lambda s, d: scored(s, d).groupBy("family").agg(F.count_if(F.col("p") >= 1 - PRIOR).alias("positives")),

@@ -12,6 +12,8 @@ from plumbline.plans.ranking import hex_rank
 from plumbline.plans.tables import CORPUS_SQL, VECTORS_SQL, canon_sql, first_by, harmonized, rd, strip_sql, table, vectors
 
 PRIOR = 12 / 17
+#: Resamples of a bootstrap.
+REPS = 300
 
 
 def first_wins(df: DataFrame, least: int = 3, most: int = 2000) -> DataFrame:
@@ -209,6 +211,11 @@ def _excluded(s, d):
     return counts
 
 
+def _quality_means(s, d, reps: int):
+    q = table(s, d, "labels").filter("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
+    return bootstrap_means(q.withColumn("o", T.seeded("b", F.col("doc_id").cast("string"))), "quality", "o", "doc_id", reps, "29")
+
+
 _FIRST = f"""{CORPUS_SQL}, keyed AS (SELECT *, sha1({canon_sql('text')}) AS key FROM base WHERE length({strip_sql('text')}) BETWEEN 3 AND 2000),
 won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source_ord, pos, row_id) AS nth FROM keyed) WHERE nth = 1),
 fst AS (SELECT * FROM won WHERE label IN (0, 1))"""
@@ -247,7 +254,8 @@ QUERIES = {
     "d15_group_folds": lambda s, d: group_folds(_vec(s, d), "source"),
     "d16_tuning_cap": lambda s, d: stratified_counts(_vec(s, d), "y", 100),
     "d17_crosstab": lambda s, d: crosstab(take(_vec(s, d), s.createDataFrame([(50, 50)], "want_pos long, want_neg long"), [], "y", "o", "vec_id"), "family", "y"),
-    "d18_bootstrap": lambda s, d: bootstrap_means(table(s, d, "labels").filter("quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality")).withColumn("o", T.seeded("b", F.col("doc_id").cast("string"))), "quality", "o", "doc_id", 20, "29"),
+    "d18_bootstrap": lambda s, d: _quality_means(s, d, 20),
+    "d18_bootstrap_whole": lambda s, d: _quality_means(s, d, REPS),
     "d19_permuted_labels": lambda s, d: permuted(_vec(s, d), "y", "vec_id", "41"),
     "d20_minimal_pairs": lambda s, d: minimal_pairs(table(s, d, "source_dim").select(T.cleaned("name").alias("subject")).distinct(), table(s, d, "source_dim").select(T.cleaned("note").alias("word")).dropna().distinct(), 0.85, "5"),
     "d21_planted_tokens": lambda s, d: planted_tokens(table(s, d, "labels").select(F.col("doc_id").alias("id")).distinct(), 8, "3"),
