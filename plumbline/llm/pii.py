@@ -43,7 +43,7 @@ _AT = r"(?:\s?[@＠]\s?|\s?[\[(]\s?(?:at|arroba|chez)\s?[\])]\s?|\s(?:at|arroba|
 _DOT = r"(?:[.．]|\s?[\[(]\s?(?:dot|punto|punkt|ponto|point)\s?[\])]\s?|\s(?:dot|punto|punkt|ponto)\s)"
 _EMAIL = re.compile(rf"(?<![\w.+\-])[\w][\w.+\-]*{_AT}\w[\w\-]*(?:{_DOT}\w[\w\-]*)+", re.I)
 _GROUP = re.compile(r"\d+")
-_RUN = re.compile(r"(?<![\w])[+(]{0,3}\d[\d\-./() ]{4,60}\d")
+_RUN = re.compile(r"(?<![\w])[+(]{0,3}\d[\d\-./() ]{4,}\d")
 _EXTENSION = re.compile(r",?\s?(?:ext\.?|extension|x|durchwahl|poste|ramal)\s?\d{1,6}(?!\w)", re.I)
 _SPELT = re.compile(rf"(?<!\w)(?:{'|'.join(DIGIT_WORDS)})(?:[ ,\-]{{1,2}}(?:{'|'.join(DIGIT_WORDS)})){{5,14}}(?!\w)", re.I)
 _ID = re.compile(
@@ -159,9 +159,9 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
     if re.search(r"\d", text):
         for m in _RUN.finditer(text):
             groups = list(_GROUP.finditer(m[0]))
-            for i in range(min(len(groups), 12)):
+            for i in range(len(groups)):
                 digits = 0
-                for j in range(i, min(len(groups), i + 8)):
+                for j in range(i, len(groups)):
                     digits += len(groups[j][0])
                     if digits > 15:
                         break
