@@ -23,6 +23,10 @@ def _mixture(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tokens, mixing.apportion(tokens, _t(s, d, "mix_weights"), quota_sample.sample_size(_t(s, d, "plan_params"), "mix_tokens"))
 
 
+def _splittable(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    return _t(s, d, "corpus"), _t(s, d, "source_dim"), splits.split_percents(_t(s, d, "plan_params"))
+
+
 def _links(s: SparkSession, d: str) -> DataFrame:
     return neardup.groups(_t(s, d, "corpus"))
 
@@ -36,8 +40,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": lambda s, d: overlap.overlap_pairs(_t(s, d, "corpus")),
         "p3_report": lambda s, d: overlap.overlap_report(_t(s, d, "corpus"), _t(s, d, "source_dim")),
         "p2_groups": _links,
-        "p4_found": lambda s, d: splits.related_sources(_t(s, d, "source_dim")),
-        "p4_splits": lambda s, d: splits.assign_splits(_t(s, d, "corpus"), _t(s, d, "source_dim"), splits.split_percents(_t(s, d, "plan_params"))),
+        "p4_found": lambda s, d: splits.related_sources(_t(s, d, "source_dim"), _t(s, d, "corpus")),
+        "p4_splits": lambda s, d: splits.assign_splits(*_splittable(s, d)),
+        "p4_report": lambda s, d: splits.split_report(*_splittable(s, d)),
+        "p4_undivided": lambda s, d: splits.undivided(*_splittable(s, d)),
         "p5_found": lambda s, d: lookalike.lookalike_pairs(_t(s, d, "corpus")),
         "p5_forms": lambda s, d: lookalike.canonical_texts(_t(s, d, "corpus")),
         "p6_found": lambda s, d: _allocation(s, d).filter("short").select("source", "label"),
@@ -56,9 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _CLEAN = "nullif(lower(regexp_replace({}, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), '')"
 
-_SQL = {
-    "p4_found": f"""
-        WITH RECURSIVE listed AS (
+_REACH = f"""WITH RECURSIVE listed AS (
             SELECT {_CLEAN.format("name")} AS name, {_CLEAN.format("family")} AS family FROM source_dim
         ), member AS (
             SELECT DISTINCT name, coalesce(family, name) AS family FROM listed WHERE name IS NOT NULL
@@ -66,8 +70,23 @@ _SQL = {
             SELECT name AS start, name FROM member
             UNION
             SELECT r.start, m2.name FROM reach r JOIN member m1 ON m1.name = r.name JOIN member m2 ON m2.family = m1.family
-        )
+        )"""
+
+_SQL = {
+    "p4_found": f"""
+        {_REACH}
         SELECT DISTINCT start AS name_a, name AS name_b FROM reach WHERE start < name""",
+    "p4_undivided": f"""
+        {_REACH}, have AS (
+            SELECT {_CLEAN.format("source")} AS name, count(*) AS n FROM corpus GROUP BY 1
+        ), with_rows AS (
+            SELECT r.start AS name, coalesce(sum(h.n), 0) AS n FROM reach r LEFT JOIN (
+                SELECT name, n FROM have UNION ALL
+                SELECT m.name, h.n / (SELECT count(DISTINCT name) FROM member x WHERE x.family = h.name) FROM have h JOIN member m ON m.family = h.name
+                WHERE h.name NOT IN (SELECT name FROM member)
+            ) h ON h.name = r.name GROUP BY 1
+        )
+        SELECT name, CAST(round(n) AS BIGINT) AS rows, CAST(CASE WHEN n > 0 THEN 1 ELSE 0 END AS BIGINT) AS splits FROM with_rows""",
     "p6_found": f"""
         WITH wanted AS (
             SELECT {_CLEAN.format("source")} AS source, label, sum(target_share) AS share, max(min_rows) AS least FROM label_targets GROUP BY 1, 2
