@@ -1,19 +1,21 @@
 """Problem 2: near copies, as a binary-trie self-join.
 
-1. Every text becomes its set of word hashes; equal sets form one class, so exact copies are
-   compared once.
-2. Classes are posted under their rarest words (prefix filter): two sets similar enough share one.
-   A word whose statistics show a single text is never posted. A word that may have more than
-   BLOCK postings is spread over pairs of blocks, so no task gets an unbounded group.
-3. Within a word's postings a binary trie over parity sketches is joined with itself: pairs of
-   nodes are traversed together, their differing bits add up, and a pair is dropped once the bits
-   exceed the budget that the sizes of the sets leave, or once sizes or positions rule it out. A
-   sketch distance never exceeds the true difference, so no pair is lost.
+1. Every text becomes its set of word hashes; equal sets are one class from the start, so exact copies
+   are compared once.
+2. Classes are posted under their rarest words (prefix filter), by the exact number of classes that
+   have a word: two sets similar enough share one. A word of a single class is never posted. A word
+   with more than BLOCK postings is spread over pairs of blocks, so no task gets an unbounded group.
+3. Within a word's postings a binary trie is joined with itself: pairs of nodes are traversed together,
+   their differing bits add up, and a pair is dropped once they exceed the error budget. The bits are
+   parity sketches of the words after the posted one. The words before it, which two sets that meet
+   here first don't share, are errors from the start, so a set brings what its size allows less its
+   word's place. A sketch distance never exceeds the true difference, so no pair is lost.
 4. Surviving pairs of classes are verified on the whole word sets, then expanded to rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import wordsets as ws
+from plumbline.llm.duplicates import copies
 from plumbline.llm.splits import components
 from plumbline.plans.staging import stage
 
@@ -31,64 +34,79 @@ _LEAF = 64
 _CELLS = 1 << 15  # pairs of sets compared at once
 _FLUSH = 1 << 19  # pairs found after which they are handed on
 _BATCH = 60_000  # postings joined at once, rounded up to whole words
-_SIZE_BITS, _PLACE_BITS = 6, 3
-_SKETCH = (1 << 63 - _SIZE_BITS - _PLACE_BITS) - 1
+_BAND_BITS = 6
+_SKETCH = ((1 << 32) - 1) << (63 - _BAND_BITS - 32)  # the folded sketch in a key
 
-POSTING = "word long, set_lo long, sketch_a long, sketch_b long, wide binary, meta long"
+POSTING = "word long, id long, sketch_a long, sketch_b long, wide binary, meta long"
 
 
-def postings(table: DataFrame, counts: np.ndarray, block: int = BLOCK, postable: np.ndarray | None = None) -> DataFrame:
-    """(word, set_lo, sketches, meta) for the prefix words of every distinct set. meta packs its size,
-    the word's place and three marks, see `unpacked`. Words of
-    buckets that aren't `postable`, by default those that only one text has, are left out."""
-    shared = table.sparkSession.sparkContext.broadcast((counts, counts > 1 if postable is None else postable))
-    held = F.col("held") if "held" in table.columns else F.lit(False).alias("held")
+def hot_words(sets: DataFrame, order: ws.WordOrder, block: int) -> DataFrame | None:
+    """(word, blocks, held_blocks) of the words with more than `block` postings of all sets, or of
+    sets with columns in_train and in_held on one of these sides; None where there is none."""
+    if order.most <= block:
+        return None
+    shared = sets.sparkSession.sparkContext.broadcast(order)
+    sides = [F.col(c) for c in ("in_train", "in_held")] if "in_held" in sets.columns else [F.lit(True).alias("in_train"), F.lit(False).alias("in_held")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (counts, postable), seen = shared.value, set()
         for b in batches:
-            new = []
-            for x in zip(b.column("set_lo").to_pylist(), b.column("held").to_pylist()):
-                new.append(x not in seen)
-                seen.add(x)
-            if len(seen) > 500_000:  # copies posted again cost room, not results
-                seen.clear()
-            b = b.filter(pa.array(new))
-            if not b.num_rows:
+            flat, n = ws.flat_words(b.column("words"))
+            if not len(n):
                 continue
-            lo = b.column("set_lo").to_numpy(zero_copy_only=False)
+            p = ws.prefixes(flat, n, shared.value)
+            word, inverse = np.unique(p.word, return_inverse=True)
+            counts = [np.bincount(inverse, b.column(c).to_numpy(zero_copy_only=False)[p.row], len(word)).astype(np.int64) for c in ("in_train", "in_held")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word, *counts)], names=["word", "n", "held"])
+
+    per = sets.select(*sides, "words").mapInArrow(run, "word long, n long, held long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    of = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1))
+    hot = stage(per.filter((F.col("n") > block) | (F.col("held") > block)).select("word", of("n").alias("blocks"), of("held").alias("held_blocks")), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def postings(sets: DataFrame, order: ws.WordOrder) -> DataFrame:
+    """(word, id, sketches, wide, meta) for the prefix words of every distinct set. meta packs the set's
+    size, the word's place and three marks, see `unpacked`. With columns in_held and in_train a set is
+    posted once for each side it is on."""
+    shared = sets.sparkSession.sparkContext.broadcast(order)
+    sided = "in_held" in sets.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             flat, n = ws.flat_words(b.column("words"))
-            a, c = ws.sketches(flat, n)
+            if not len(n):
+                continue
+            p = ws.prefixes(flat, n, shared.value)
+            low, high = ws.sketches_after(p)
+            line = np.full(len(p.row), -1)
             large = n > ws.WIDE_FROM
-            wide = ws.wide_sketches(flat[np.repeat(large, n)], n[large]) if large.any() else np.zeros((0, 8), np.uint64)
-            line = np.where(large, np.cumsum(large) - 1, -1)
-            row, at, word = ws.prefixes(flat, n, counts)
-            often = counts[word % ws.BUCKETS]
-            kept = postable[word % ws.BUCKETS]
-            row, at, word, often = row[kept], at[kept], word[kept], often[kept]
-            own = b.column("held").to_numpy(zero_copy_only=False)
-            meta = (n[row] << 32) | (np.minimum(at, 0xFFFFFF) << 8) | (own[row].astype(np.int64) << 2)
-            blocks = -(-often.astype(np.int64) // block)
-            one = blocks == 1
-            parts = [(word[one], row[one], meta[one])]
-            if not one.all():
-                word, row, meta, blocks = word[~one], row[~one], meta[~one], blocks[~one]
-                mine = (lo[row].view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)
-                times = np.repeat(np.arange(len(word)), blocks)
-                other = np.arange(len(times)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                mine = mine[times]
-                first, last = np.minimum(mine, other), np.maximum(mine, other)
-                with np.errstate(over="ignore"):
-                    name = (word[times] * 1_000_003 + first * blocks[times] + last + 1) * np.int64(-7046029254386353131)
-                marks = ((first != last).astype(np.int64) << 1) | (mine > other)
-                parts.append((name, row[times], meta[times] | marks))
-            word, row, meta = (np.concatenate(x) for x in zip(*parts))
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x) for x in (word, lo[row], a[row].view(np.int64), c[row].view(np.int64))), ws.packed_wide(wide, line[row]), pa.array(meta)],
-                names=["word", "set_lo", "sketch_a", "sketch_b", "wide", "meta"],
-            )
-
-    return table.filter("set_lo is not null").select("set_lo", held, "words").mapInArrow(run, POSTING)
+            wide = np.zeros((0, 8), np.uint64)
+            if large.any():
+                some = np.flatnonzero(large[p.row])
+                line[some] = np.arange(len(some))
+                wide = ws.wide_sketches_after(ws.Prefixes(p.row[some], p.place[some], p.word[some], p.ordered, p.start, p.end))
+            meta = (n[p.row] << 32) | (np.minimum(p.place, 0xFFFFFF) << 8)
+            ids = b.column("id").to_numpy(zero_copy_only=False)[p.row]
+            columns = [p.word, ids, low.view(np.int64), high.view(np.int64)]
+            sides = [(np.ones(len(p.row), bool), 0)]
+            if sided:
+                sides = [(b.column(c).to_numpy(zero_copy_only=False)[p.row], mark) for c, mark in (("in_train", 0), ("in_held", 4))]
+            for on, mark in sides:
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[on]) for x in columns), ws.packed_wide(wide, line[on]), pa.array(meta[on] | mark)], names=["word", "id", "sketch_a", "sketch_b", "wide", "meta"])
+
+    return sets.select("id", *(["in_held", "in_train"] if sided else []), "words").mapInArrow(run, POSTING)
+
+
+def in_blocks(posts: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Postings with those of hot words spread over pairs of blocks: each goes to its own block with
+    every other, under a name of the pair. The marks tell pairs of different blocks and the side."""
+    if hot is None:
+        return posts
+    x = posts.join(hot.select("word", "blocks"), "word", "left")
+    x = x.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks") - 1, F.lit(0)))))
+    name = F.when(F.col("blocks").isNull(), F.col("word")).otherwise(F.xxhash64("word", F.least("mine", "other"), F.greatest("mine", "other")))
+    marks = F.when(F.col("mine") < F.col("other"), 2).when(F.col("mine") > F.col("other"), 3).otherwise(0)
+    return x.select(name.alias("word"), "id", "sketch_a", "sketch_b", "wide", F.col("meta").bitwiseOR(marks.cast("long")).alias("meta"))
 
 
 def _depth(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -99,62 +117,65 @@ def _depth(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return 64 - np.bitwise_count(x).astype(np.int64)
 
 
-def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, size: np.ndarray, place: np.ndarray, wide: np.ndarray, line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, size: np.ndarray, place: np.ndarray, wide: np.ndarray, line: np.ndarray, tally: Counter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within groups that sketches, sizes and places don't rule out, in parts of bounded
-    size; a pair may come more than once.
-
-    The trie's keys are a side bit, bands of the set size and of the place, and the first sketch,
-    so a node's sets have like sizes and places. A node is a range of the sorted keys; its depth is the number of bits
-    they share. Node pairs start from each group's root with itself."""
-    band = np.minimum((np.log2(np.maximum(size, 1)) * 6).astype(np.uint64), np.uint64((1 << _SIZE_BITS) - 1))
-    late = np.minimum(place * 24 // np.maximum(size, 1), (1 << _PLACE_BITS) - 1).astype(np.uint64)
-    key = (side.astype(np.uint64) << np.uint64(63)) | (band << np.uint64(63 - _SIZE_BITS)) | (late << np.uint64(63 - _SIZE_BITS - _PLACE_BITS)) | (sketch_a & np.uint64(_SKETCH))
+    size. `sketch_a` and `sketch_b` are of the words after the posted one, `place` is the number of
+    words before it.
+
+    Two sets of sizes n and m that first meet at places i and j are similar enough if and only if
+    (of + sim) * (i + j + words after that only one has) <= (of - sim) * (n + m). So each posting brings
+    a share of the budget, (of - sim) * n - (of + sim) * i. The trie's keys are a side bit, a band of
+    that share and the first sketch; a node is a range of the sorted keys, its depth the number of bits
+    they share. Node pairs start from each group's root with itself. `tally` counts what is done."""
+    sim, of = ws.SIMILARITY
+    unit = of + sim
+    share = (of - sim) * size - unit * place
+    band = np.clip(share // unit + 24, 0, (1 << _BAND_BITS) - 1).astype(np.uint64)
+    # both sketches folded into 32 bits are a sketch too, whose bits tell more of sets of some dozen words
+    folded = sketch_a ^ sketch_b
+    folded ^= folded >> np.uint64(32)
+    key = (side.astype(np.uint64) << np.uint64(63)) | (band << np.uint64(63 - _BAND_BITS)) | ((folded & np.uint64(0xFFFFFFFF)) << np.uint64(63 - _BAND_BITS - 32)) | (sketch_a >> np.uint64(1 + _BAND_BITS + 32))
     order = np.lexsort((key, group))
-    key, b, size, place, group, cross = key[order], sketch_b[order], size[order], place[order], group[order], cross[order]
+    key, a, b, size, place, group, cross, share = (x[order] for x in (key, sketch_a, sketch_b, size, place, group, cross, share))
     total = len(key)
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     end = np.r_[start[1:], total]
-    bits = key & np.uint64(_SKETCH)
     top = key >> np.uint64(63)
-    sim, of = ws.SIMILARITY
     # sizes of the sets that this posting can be the first common word with, from its place on
-    largest = (size - place) * (of + sim) // sim - size
+    largest = (size - place) * unit // sim - size
     smallest = -(-sim * size // of)
     masks = np.array([(((1 << d) - 1) << (64 - d)) & _SKETCH for d in range(65)], np.uint64)
-    allowed = np.minimum(ws.difference_budget(np.arange(2 * int(size.max(initial=0)) + 1)), 255).astype(np.uint8)
-    # rounding lets the budget fall now and then as sizes rise: a node's is the most of all up to its sizes
-    ceiling = np.maximum.accumulate(allowed)
-    bounds = [np.r_[x, x[-1:]] for x in (size, largest, smallest)]
+    part = np.clip(share, -4000, unit * 128).astype(np.int16)  # no two sketches differ by more than 128 bits
+    bounds = np.r_[part, part[-1:]]
+    tally = Counter() if tally is None else tally
     found: list[tuple[np.ndarray, np.ndarray]] = []
     held_back = 0
 
-    def over(array: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: bool) -> np.ndarray:
-        cuts = np.stack([lo, hi], 1).ravel()
-        return (np.minimum if least else np.maximum).reduceat(array, cuts)[::2]
-
-    def leaves(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def leaves(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         nonlocal held_back
         widest = np.maximum(a1 - a0, b1 - b0)
-        for low, most_rows in ((0, 2), (2, 4), (4, 8), (8, 16), (16, 32), (32, _LEAF)):
+        for low, most_rows in ((0, 2), (2, 4), (4, 8), (8, 16), (16, 32), (32, 64)):
             at = np.flatnonzero((widest > low) & (widest <= most_rows))
             lane = np.arange(most_rows)
             step = max(1, _CELLS // (most_rows * most_rows))
+            tally["cells"] += len(at) * most_rows * most_rows
             for s in range(0, len(at), step):
-                p = at[s : s + step]
-                i, j = a0[p, None] + lane, b0[p, None] + lane
-                i, j = np.minimum(i, a1[p, None] - 1), np.minimum(j, b1[p, None] - 1)  # a node's last row again
-                x = bits[i][:, :, None] ^ bits[j][:, None, :]
-                q, x, y = np.nonzero(np.bitwise_count(x) <= most[p, None, None])
-                i, j, q = i[q, x], j[q, y], p[q]
-                kept = (i < j) | (a0[q] != b0[q])
-                i, j = i[kept], j[kept]
-                kept = np.bitwise_count(bits[i] ^ bits[j]) + np.bitwise_count(b[i] ^ b[j]) <= allowed[size[i] + size[j]]
+                q = at[s : s + step]
+                i, j = np.minimum(a0[q, None] + lane, total - 1), np.minimum(b0[q, None] + lane, total - 1)
+                far = np.bitwise_count(a[i][:, :, None] ^ a[j][:, None, :]).astype(np.int16)
+                far *= unit
+                g, x, y = np.nonzero(far <= part[i][:, :, None] + part[j][:, None, :])
+                i, j, q = i[g, x], j[g, y], q[g]
+                # lanes beyond a node's end aren't its own
+                kept = (x < (a1 - a0)[q]) & (y < (b1 - b0)[q]) & ((i < j) | (a0[q] != b0[q]))
                 i, j = i[kept], j[kept]
-                kept = (size[j] <= largest[i]) & (size[i] <= largest[j]) & (size[j] >= smallest[i]) & (size[i] >= smallest[j])
+                budget = share[i] + share[j]
+                kept = (np.bitwise_count(a[i] ^ a[j]).astype(np.int64) + np.bitwise_count(b[i] ^ b[j])) * unit <= budget
+                kept &= (size[j] <= largest[i]) & (size[i] <= largest[j]) & (size[j] >= smallest[i]) & (size[i] >= smallest[j])
                 kept &= ~cross[i] | (top[i] != top[j])
-                budget = ws.difference_budget((size[i] + size[j])[kept])
-                i, j = order[i[kept]], order[j[kept]]
-                kept = ws.wide_near(wide, line, i, j, budget)
+                i, j, budget = i[kept], j[kept], budget[kept]
+                i, j = order[i], order[j]
+                kept = ws.wide_near(wide, line, i, j, budget // unit)
                 found.append((i[kept], j[kept]))
                 held_back += len(found[-1][0])
                 if held_back > _FLUSH:
@@ -171,19 +192,22 @@ def trie_pairs(group: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a:
             continue
         # the bits that all sets of both nodes agree upon tell the least number of errors
         da, db = _depth(key[a0], key[a1 - 1]), _depth(key[b0], key[b1 - 1])
-        errors = np.bitwise_count((key[a0] ^ key[b0]) & masks[np.minimum(da, db)])
-        (size_a, from_a), (size_b, from_b) = ((over(bounds[0], x, y, False), over(bounds[0], x, y, True)) for x, y in ((a0, a1), (b0, b1)))
-        most = ceiling[size_a + size_b]
-        alive = (errors <= most) & ~(cross[a0] & (da > 0) & (db > 0) & (top[a0] == top[b0]))
-        alive &= (from_b <= over(bounds[1], a0, a1, False)) & (from_a <= over(bounds[1], b0, b1, False))
-        alive &= (size_b >= over(bounds[2], a0, a1, True)) & (size_a >= over(bounds[2], b0, b1, True))
+        errors = np.bitwise_count((key[a0] ^ key[b0]) & masks[np.minimum(da, db)]).astype(np.int64)
+        cuts = np.stack([a0, a1, b0, b1], 1)
+        most = np.maximum.reduceat(bounds, cuts[:, :2].ravel())[::2].astype(np.int64) + np.maximum.reduceat(bounds, cuts[:, 2:].ravel())[::2]
+        within = errors * unit <= most
+        tally["visited"] += len(a0)
+        tally["dropped"] += int((~within).sum())
+        na, nb = (a1 - a0)[~within], (b1 - b0)[~within]
+        tally["ruled_out"] += int(np.where((a0 == b0)[~within], na * (na - 1) // 2, na * nb).sum())
+        alive = within & ~(cross[a0] & (da > 0) & (db > 0) & (top[a0] == top[b0]))
         alive &= (a0 != b0) | (a1 - a0 > 1)
-        a0, a1, b0, b1, most = a0[alive], a1[alive], b0[alive], b1[alive], most[alive]
+        a0, a1, b0, b1 = a0[alive], a1[alive], b0[alive], b1[alive]
         if not len(a0):
             continue
         na, nb = a1 - a0, b1 - b0
         small = (na <= _LEAF) & (nb <= _LEAF)
-        yield from leaves(a0[small], a1[small], b0[small], b1[small], most[small])
+        yield from leaves(a0[small], a1[small], b0[small], b1[small])
         a0, a1, b0, b1, na, nb = (x[~small] for x in (a0, a1, b0, b1, na, nb))
         if not len(a0):
             continue
@@ -258,40 +282,46 @@ def unpacked(t: pa.Table) -> dict[str, np.ndarray]:
 def _join(t: pa.Table) -> Iterator[pa.RecordBatch]:
     cols = unpacked(t)
     del cols["held"]
-    lo = t["set_lo"].to_numpy()
+    ids = t["id"].to_numpy()
     for i, j in trie_pairs(**cols):
-        x, y = lo[i], lo[j]
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lo_a", "lo_b"])
+        x, y = ids[i], ids[j]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["id_a", "id_b"])
 
 
 def candidate_classes(posts: DataFrame) -> DataFrame:
-    """Distinct (lo_a, lo_b) of sets that the trie join can't rule out, lo_a < lo_b."""
-    return in_word_groups(posts, _join, "lo_a long, lo_b long").distinct()
-
-
-def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """(hi_a, lo_a, hi_b, lo_b) of the candidate pairs (lo_a, lo_b) whose whole word sets are
-    similar enough. `table` has set_hi, set_lo, words."""
-    ids = pairs.select(F.explode(F.array("lo_a", "lo_b")).alias("set_lo"))
-    near = ws.keep_by_filter(table.filter("set_lo is not null").select("set_hi", "set_lo", "words"), "set_lo", ws.key_filter(ids))
-    near = near.groupBy("set_hi", "set_lo").agg(F.any_value("words").alias("words"))
-    a = near.select(F.col("set_hi").alias("hi_a"), F.col("set_lo").alias("lo_a"), F.col("words").alias("words_a"))
-    b = near.select(F.col("set_hi").alias("hi_b"), F.col("set_lo").alias("lo_b"), F.col("words").alias("words_b"))
-    sim, of = ws.SIMILARITY
+    """Distinct (id_a, id_b), id_a < id_b, of sets that the trie join can't rule out."""
+    return in_word_groups(posts, _join, "id_a long, id_b long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hi_a, lo_a, hi_b, lo_b) of the candidate pairs (id_a, id_b) whose whole word sets are similar
+    enough. `sets` has id, set_hi, set_lo, words."""
+    mixed = F.col("id").bitwiseXOR(F.shiftright("id", 33) * 40503)  # ids rise within a file, and files begin alike
+    of = sets.select("id", "set_hi", "set_lo", "words").withColumn("turn", mixed)
+    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).select(mixed.alias("turn"))
+    near = ws.keep_by_filter(of, "turn", ws.key_filter(ids)).drop("turn")
+    a = near.select(F.col("id").alias("id_a"), F.col("set_hi").alias("hi_a"), F.col("set_lo").alias("lo_a"), F.col("words").alias("words_a"))
+    b = near.select(F.col("id").alias("id_b"), F.col("set_hi").alias("hi_b"), F.col("set_lo").alias("lo_b"), F.col("words").alias("words_b"))
+    sim, of_ = ws.SIMILARITY
     both = F.size(F.array_intersect("words_a", "words_b"))
     return (
-        pairs.join(a, "lo_a").join(b, "lo_b")
-        .filter(both * of >= (F.size("words_a") + F.size("words_b") - both) * sim)
+        pairs.join(a, "id_a").join(b, "id_b")
+        .filter(both * of_ >= (F.size("words_a") + F.size("words_b") - both) * sim)
         .select("hi_a", "lo_a", "hi_b", "lo_b")
     )
 
 
 def similar_classes(table: DataFrame, block: int = BLOCK) -> DataFrame:
     """Verified pairs of different word sets of a staged `word_table`."""
-    counts = ws.bucket_counts(table)
-    pairs = stage(candidate_classes(postings(table, counts, block)), "candidates")
-    return verified(pairs, table)
+    sets = ws.distinct_sets(table)
+    order = ws.word_order(sets)
+    posts = in_blocks(postings(sets, order), hot_words(sets, order, block))
+    return verified(stage(candidate_classes(posts), "candidates"), sets)
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    src = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"))
+    return stage(ws.word_table(src, "row_id", "text"), "words")
 
 
 def near_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -300,17 +330,22 @@ def near_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", bl
 
     Null, empty and shorter texts are in no pair; an empty table gives no rows; a repeated id
     isn't paired with itself. Other columns of `df` aren't looked at."""
-    src = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    table = stage(ws.word_table(src, "row_id", "text"), "words")
-    pairs = stage(similar_classes(table, block), "classes")
-    return expanded(pairs, table)
+    table = _texts(df, id_col, text_col)
+    return expanded(stage(similar_classes(table, block), "classes"), keyed(table))
+
+
+_SET, _KEY = ["set_hi", "set_lo"], ["key_hi", "key_lo", "plain_hi", "plain_lo"]
+
 
+def keyed(table: DataFrame, *carry: str) -> DataFrame:
+    """(row_id, *carry, set_hi, set_lo, key_hi, key_lo, plain_hi, plain_lo) of the rows with a word set."""
+    return table.filter("set_lo is not null").select("row_id", *carry, *_SET, "key_hi", "key_lo", F.coalesce("alias_hi", "key_hi").alias("plain_hi"), F.coalesce("alias_lo", "key_lo").alias("plain_lo"))
 
-def expanded(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows of the pairs of classes, and of classes whose texts differ in the sense of problem 1."""
-    on = ["set_hi", "set_lo"]
-    rows = table.filter("set_lo is not null").select("row_id", *on, "key_hi", "key_lo", F.coalesce("alias_hi", "key_hi").alias("plain_hi"), F.coalesce("alias_lo", "key_lo").alias("plain_lo"))
-    inner = rows.groupBy(*on).agg((F.min(F.struct("key_hi", "key_lo")) != F.max(F.struct("key_hi", "key_lo"))).alias("mixed")).filter("mixed")
+
+def expanded(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row_id_a, row_id_b), a < b: rows of the pairs of classes, and of classes whose texts differ in
+    the sense of problem 1. `rows` as from `keyed`."""
+    inner = rows.groupBy(*_SET).agg((F.min(F.struct("key_hi", "key_lo")) != F.max(F.struct("key_hi", "key_lo"))).alias("mixed")).filter("mixed")
     every = pairs.unionByName(inner.select(F.col("set_hi").alias("hi_a"), F.col("set_lo").alias("lo_a"), F.col("set_hi").alias("hi_b"), F.col("set_lo").alias("lo_b")))
     every = stage(every, "pairs")
     ids = every.select(F.explode(F.array("lo_a", "lo_b")).alias("set_lo"))
@@ -321,16 +356,38 @@ def expanded(pairs: DataFrame, table: DataFrame) -> DataFrame:
         b, (F.col("hi_b") == F.col("set_hi_b")) & (F.col("lo_b") == F.col("set_lo_b"))
     )
     same_class = (F.col("hi_a") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b"))
-    out = out.filter(
-        "not (key_hi_a = key_hi_b and key_lo_a = key_lo_b) and not (plain_hi_a = plain_hi_b and plain_lo_a = plain_lo_b) and row_id_a <> row_id_b"
-    ).filter(~same_class | (F.col("row_id_a") < F.col("row_id_b")))
+    out = out.filter(f"{DIFFERENT} and row_id_a <> row_id_b").filter(~same_class | (F.col("row_id_a") < F.col("row_id_b")))
     return out.select(F.least("row_id_a", "row_id_b").alias("row_id_a"), F.greatest("row_id_a", "row_id_b").alias("row_id_b"))
 
 
+#: Texts that aren't the same in the sense of problem 1.
+DIFFERENT = "not (key_hi_a = key_hi_b and key_lo_a = key_lo_b) and not (plain_hi_a = plain_hi_b and plain_lo_a = plain_lo_b)"
+
+
+def membership(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """(row_id, group_id, links) for every row: the least row of its group of near copies, joined
+    through any number of links, and its number of links to other rows. A row without near copy has
+    the first row of its exact copies as group, itself if it has none or no letter or digit, and 0
+    links. A repeated id stands once.
+
+    Links and groups come from pairs of units, that is, of different texts with their numbers of rows,
+    so copies aren't expanded."""
+    table = _texts(df, id_col, text_col)
+    rows = keyed(table)
+    units = stage(rows.groupBy(*_SET, *_KEY).agg(F.min("row_id").alias("row_id"), F.count_distinct("row_id").alias("n")), "units")
+    pairs = stage(expanded(stage(similar_classes(table), "classes"), units.drop("n")), "links")
+    both = pairs.unionByName(pairs.select(F.col("row_id_b").alias("row_id_a"), F.col("row_id_a").alias("row_id_b")))
+    size = units.select(F.col("row_id").alias("row_id_b"), "n")
+    links = both.join(size, "row_id_b").groupBy(F.col("row_id_a").alias("unit")).agg(F.sum("n").alias("links"))
+    of = components(pairs).select(F.col("node").alias("unit"), F.col("label").alias("group_id")).join(links, "unit")
+    near = units.select(*_SET, *_KEY, F.col("row_id").alias("unit")).join(of, "unit")
+    linked = stage(rows.join(near, [*_SET, *_KEY]).select("row_id", "group_id", "links").distinct(), "linked")
+    first = copies(df, id_col, text_col).select("row_id", F.col("first_row_id").alias("first")).distinct()
+    every = df.select(F.col(id_col).cast("long").alias("row_id")).distinct()
+    out = every.join(linked, "row_id", "left").join(first, "row_id", "left")
+    return out.select("row_id", F.coalesce("group_id", "first", "row_id").alias("group_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
 def groups(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
-    """(row_id, group_id, links) for every row with a near copy: the least row of its group of
-    near copies, joined through any number of links, and its number of links."""
-    pairs = stage(near_pairs(df, id_col, text_col), "links")
-    links = pairs.select(F.explode(F.array("row_id_a", "row_id_b")).alias("row_id")).groupBy("row_id").agg(F.count("*").alias("links"))
-    of = components(pairs).select(F.col("node").alias("row_id"), F.col("label").alias("group_id"))
-    return of.join(links, "row_id").select("row_id", "group_id", "links")
+    """The rows of `membership` that have a near copy."""
+    return membership(df, id_col, text_col).filter("links > 0")

@@ -16,21 +16,23 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import wordsets as ws
 from plumbline.llm.duplicates import distinct_keys
-from plumbline.llm.neardup import BLOCK, in_word_groups, postings, unpacked, verified
+from plumbline.llm.neardup import BLOCK, DIFFERENT, hot_words, in_word_groups, keyed, postings, unpacked, verified
 from plumbline.plans.staging import stage
 
 _PAIRS = 1 << 21  # index entries looked at in one step
 
 
-def probe(group: np.ndarray, held: np.ndarray, cross: np.ndarray, side: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, size: np.ndarray, place: np.ndarray, wide: np.ndarray, line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (evaluation, training) within a word that length, position and sketches don't
-    rule out, in parts of bounded size. `group` numbers the words."""
+def probe(group: np.ndarray, held: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, size: np.ndarray, place: np.ndarray, wide: np.ndarray, line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (evaluation, training) within a word that length, position and the sketches of the
+    words after it don't rule out, in parts of bounded size. `group` numbers the words."""
     sim, of = ws.SIMILARITY
+    unit = of + sim
+    share = (of - sim) * size - unit * place  # what a set may spend on words that only one has, see `trie_pairs`
     ev, tr = np.flatnonzero(held), np.flatnonzero(~held)
     span = int(size.max(initial=0)) * 2 + 2
     ev = ev[np.lexsort((size[ev], group[ev]))]
     index = group[ev] * span + size[ev]
-    largest = (size - place) * (of + sim) // sim - size
+    largest = (size - place) * unit // sim - size
     smallest = -(-sim * size // of)
     lo = np.searchsorted(index, group[tr] * span + smallest[tr], "left")
     hi = np.searchsorted(index, group[tr] * span + np.minimum(largest[tr], span - 1), "right")
@@ -43,11 +45,11 @@ def probe(group: np.ndarray, held: np.ndarray, cross: np.ndarray, side: np.ndarr
         m = n[first:last]
         at = np.repeat(lo[first:last] - (np.cumsum(m) - m), m) + np.arange(m.sum())
         i, j = ev[at], np.repeat(tr[first:last], m)
-        kept = size[j] <= largest[i]
+        kept = (share[i] + share[j] >= 0) & (size[j] <= largest[i])
         i, j = i[kept], j[kept]
         far = np.bitwise_count(sketch_a[i] ^ sketch_a[j]).astype(np.int64) + np.bitwise_count(sketch_b[i] ^ sketch_b[j])
-        budget = ws.difference_budget(size[i] + size[j])
-        kept = (far <= budget) & (~cross[i] | (side[i] != side[j]))
+        budget = (share[i] + share[j]) // unit
+        kept = far <= budget
         i, j, budget = i[kept], j[kept], budget[kept]
         kept = ws.wide_near(wide, line, i, j, budget)
         yield i[kept], j[kept]
@@ -55,10 +57,24 @@ def probe(group: np.ndarray, held: np.ndarray, cross: np.ndarray, side: np.ndarr
 
 
 def _join(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    lo = t["set_lo"].to_numpy()
-    for i, j in probe(**unpacked(t)):
-        pairs = np.unique(np.stack([lo[i], lo[j]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lo_a", "lo_b"])
+    cols = unpacked(t)
+    del cols["cross"], cols["side"]
+    ids = t["id"].to_numpy()
+    for i, j in probe(**cols):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["id_a", "id_b"])
+
+
+def in_grid(posts: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Postings with those of hot words spread over a grid: a training set is in one row of blocks and
+    goes to all blocks of evaluation sets, and the other way round."""
+    if hot is None:
+        return posts
+    held = F.col("meta").bitwiseAND(4) > 0
+    x = posts.join(hot, "word", "left")
+    own, other = F.when(held, F.col("held_blocks")).otherwise(F.col("blocks")), F.when(held, F.col("blocks")).otherwise(F.col("held_blocks"))
+    x = x.withColumn("mine", F.pmod(F.xxhash64("id"), own)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other - 1, F.lit(0)))))
+    block = F.when(held, F.xxhash64("word", "other", "mine")).otherwise(F.xxhash64("word", "mine", "other"))
+    return x.select(F.when(F.col("blocks").isNull(), F.col("word")).otherwise(block).alias("word"), "id", "sketch_a", "sketch_b", "wide", "meta")
 
 
 def _sided(df: DataFrame, id_col: str, text_col: str, split_col: str) -> DataFrame:
@@ -70,37 +86,61 @@ def _sided(df: DataFrame, id_col: str, text_col: str, split_col: str) -> DataFra
     )
 
 
-def overlaps(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split", block: int = BLOCK) -> DataFrame:
-    """(eval_id, train_id): all pairs of a row in validation or test and a row in train whose texts
-    are the same in the sense of problem 1 or near copies in the sense of problem 2.
-
-    Rows of another or no split, null texts and texts without a letter or digit are in no pair; an
-    empty side gives no rows. Other columns of `df` aren't looked at."""
+def _parts(df: DataFrame, id_col: str, text_col: str, split_col: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row_id, held, same) of the rows in groups of the same text that have rows of both sides; all
+    rows with their keys and word sets; and the verified pairs of an evaluation and a training set."""
     table = stage(ws.word_table(_sided(df, id_col, text_col, split_col), "row_id", "text", "held", all_rows=True), "sides")
     on = ["key_hi", "key_lo", "key_check"]
     # the same: groups of problem 1, of all rows, with rows on both sides
     keys = distinct_keys(table, extra={"any_held": F.max("held"), "any_train": F.max(~F.col("held"))})
     keys = stage(keys.filter("any_held and any_train").select(*on, F.struct("same_hi", "same_lo").alias("same")), "both")
     rows = ws.keep_by_filter(table.select("row_id", "held", *on), "key_lo", ws.key_filter(keys.select("key_lo"))).join(keys, on).select("row_id", "held", "same")
-    same = rows.filter("held").select(F.col("row_id").alias("eval_id"), "same").join(rows.filter("not held").select(F.col("row_id").alias("train_id"), "same"), "same").select("eval_id", "train_id")
     # near copies
     table = table.filter("held is not null")
-    counts = ws.bucket_counts(table, "held")
-    posts = postings(table, counts.astype(np.int64).sum(0), block, (counts > 0).all(0))
-    pairs = stage(in_word_groups(posts, _join, "lo_a long, lo_b long").distinct(), "candidates")
-    classes = stage(verified(pairs, table), "classes")
+    sets = ws.distinct_sets(table, sided=True)
+    order = ws.word_order(sets, sided=True)
+    posts = in_grid(postings(sets, order), hot_words(sets, order, block))
+    pairs = stage(in_word_groups(posts, _join, "id_a long, id_b long").distinct(), "candidates")
+    classes = stage(verified(pairs, sets), "classes")
     ids = classes.select(F.explode(F.array("lo_a", "lo_b")).alias("set_lo"))
-    sets = table.filter("set_lo is not null").select(
-        "row_id", "held", "set_hi", "set_lo", "key_hi", "key_lo", F.coalesce("alias_hi", "key_hi").alias("plain_hi"), F.coalesce("alias_lo", "key_lo").alias("plain_lo")
-    )
-    sets = ws.keep_by_filter(sets, "set_lo", ws.key_filter(ids))
-    a = sets.filter("held").select(*(F.col(c).alias(f"{c}_a") for c in sets.columns))
-    b = sets.filter("not held").select(*(F.col(c).alias(f"{c}_b") for c in sets.columns))
+    near = ws.keep_by_filter(keyed(table, "held"), "set_lo", ws.key_filter(ids))
+    return rows, near, classes
+
+
+def _near(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs of an evaluation (_a) and a training row (_b) of the classes whose texts aren't the same."""
+    a = rows.filter("held").select(*(F.col(c).alias(f"{c}_a") for c in rows.columns))
+    b = rows.filter("not held").select(*(F.col(c).alias(f"{c}_b") for c in rows.columns))
     near = classes.join(a, (F.col("hi_a") == F.col("set_hi_a")) & (F.col("lo_a") == F.col("set_lo_a"))).join(
         b, (F.col("hi_b") == F.col("set_hi_b")) & (F.col("lo_b") == F.col("set_lo_b"))
     )
-    near = near.filter("not (key_hi_a = key_hi_b and key_lo_a = key_lo_b) and not (plain_hi_a = plain_hi_b and plain_lo_a = plain_lo_b)")
-    return same.unionByName(near.select(F.col("row_id_a").alias("eval_id"), F.col("row_id_b").alias("train_id"))).distinct()
+    return near.filter(DIFFERENT)
+
+
+def overlaps(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split", block: int = BLOCK) -> DataFrame:
+    """(eval_id, train_id): all pairs of a row in validation or test and a row in train whose texts
+    are the same in the sense of problem 1 or near copies in the sense of problem 2.
+
+    Rows of another or no split, null texts and texts without a letter or digit are in no pair; an
+    empty side gives no rows. Other columns of `df` aren't looked at."""
+    rows, sided, classes = _parts(df, id_col, text_col, split_col, block)
+    same = rows.filter("held").select(F.col("row_id").alias("eval_id"), "same").join(rows.filter("not held").select(F.col("row_id").alias("train_id"), "same"), "same").select("eval_id", "train_id")
+    near = _near(classes, sided).select(F.col("row_id_a").alias("eval_id"), F.col("row_id_b").alias("train_id"))
+    return same.unionByName(near).distinct()
+
+
+def overlap_counts(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split", block: int = BLOCK) -> DataFrame:
+    """(eval_id, pairs): for each evaluation row with an overlap its number of `overlaps`, counted from
+    the numbers of rows of groups and of different texts, without making the pairs. Repeated ids count
+    once. A row's same texts and its near copies exclude each other, so their numbers add up."""
+    rows, sided, classes = _parts(df, id_col, text_col, split_col, block)
+    train = rows.filter("not held").groupBy("same").agg(F.count_distinct("row_id").alias("pairs"))
+    same = rows.filter("held").select(F.col("row_id").alias("eval_id"), "same").distinct().join(train, "same").select("eval_id", "pairs")
+    text = [c for c in sided.columns if c != "row_id"]
+    units = stage(sided.groupBy(*text).agg(F.count_distinct("row_id").alias("n"), F.min("row_id").alias("row_id")), "units")
+    per = _near(classes, units).groupBy(*(F.col(f"{c}_a").alias(c) for c in text)).agg(F.sum("n_b").alias("pairs"))
+    near = sided.filter("held").join(per, text).select(F.col("row_id").alias("eval_id"), "pairs").distinct()
+    return same.unionByName(near).groupBy("eval_id").agg(F.sum("pairs").alias("pairs"))
 
 
 def overlap_pairs(df: DataFrame, **columns: str) -> DataFrame:
@@ -114,7 +154,7 @@ def overlap_report(df: DataFrame, source_dim: DataFrame) -> DataFrame:
     family its own name. Rows without a source have a null source and family."""
     clean = F.nullif(F.lower(F.trim(F.regexp_replace("source", "(?U)^\\s+|\\s+$", ""))), F.lit(""))
     rows = df.select(F.col("row_id").cast("long").alias("eval_id"), F.lower(F.trim("split")).alias("split"), clean.alias("source")).filter("split in ('validation', 'test')")
-    hits = overlaps(df).groupBy("eval_id").agg(F.count("*").alias("pairs"))
+    hits = overlap_counts(df)
     per = rows.join(hits, "eval_id", "left").groupBy("split", "source").agg(F.count("*").alias("eval_rows"), F.count("pairs").alias("overlapping_rows"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
     name = F.lower(F.regexp_replace("name", "(?U)^\\s+|\\s+$", ""))
     family = F.lower(F.regexp_replace("family", "(?U)^\\s+|\\s+$", ""))

@@ -28,7 +28,7 @@ def _splittable(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str
 
 
 def _links(s: SparkSession, d: str) -> DataFrame:
-    return neardup.groups(_t(s, d, "corpus"))
+    return neardup.membership(_t(s, d, "corpus"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

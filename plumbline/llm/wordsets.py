@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.charform import record_key, signs, visual_form, words
+from plumbline.plans.staging import stage
 
-#: Counters of the word statistics: a fixed number, so what each executor gets of them is 4 MB.
-BUCKETS = 1 << 20
+#: Words whose exact order every task holds, at 12 bytes each: the most frequent ones. Words beyond it
+#: are rarer than all of these, and stand before them in the order of their hashes.
+MOST_WORDS = 1 << 20
 #: Bits of the filter on row keys: fixed, 1 MB.
 FILTER_BITS = 1 << 23
 MIN_WORDS = 15
@@ -148,25 +151,91 @@ def flat_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), n.astype(np.int64)
 
 
-def bucket_counts(table: DataFrame, by: str | None = None) -> np.ndarray:
-    """How many rows have a word of each bucket, over all rows; with `by`, a boolean column, one
-    line for false and one for true. The result has a fixed size whatever the input is."""
-    src = table.filter("set_lo is not null").select("words", (F.col(by).cast("boolean") if by else F.lit(False)).alias("side"))
+class WordOrder(NamedTuple):
+    """Words from the rarest to the most frequent: `words` is sorted, `rank` counts from 1. A word that
+    isn't listed has rank 0; if the list is `complete`, such a word can't link two sets. `most` is the
+    number of sets with the most frequent word."""
+
+    words: np.ndarray
+    rank: np.ndarray
+    complete: bool
+    most: int
+
+    def of(self, flat: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(flat), np.int64)
+        at = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
+        return np.where(self.words[at] == flat, self.rank[at], 0).astype(np.int64)
+
+
+def distinct_sets(table: DataFrame, sided: bool = False) -> DataFrame:
+    """(id, set_hi, set_lo, words) of every distinct word set of a staged `word_table`, staged; with
+    `sided`, where the table has the boolean column held, also whether a row of each side has it
+    (in_held, in_train). Equal sets are one row, told apart by all 128 bits of their hash.
+
+    Sets that only one row has, as far as a fixed-size bitmap tells, needn't be gathered."""
+    on = ["set_hi", "set_lo"]
+    rows = table.filter("set_lo is not null")
+    if sided:
+        rows = rows.withColumn("in_held", F.col("held")).withColumn("in_train", ~F.col("held"))
+    sides = ["in_held", "in_train"] if sided else []
+    rows = rows.select(*on, *sides, "words")
+    several = rows.groupBy(*on).agg(F.count("*").alias("n")).filter("n > 1")
+    bits = key_filter(several.select("set_lo"))
+    once = keep_by_filter(rows, "set_lo", bits, unset=True)
+    again = keep_by_filter(rows, "set_lo", bits).groupBy(*on).agg(*(F.max(c).alias(c) for c in sides), F.any_value("words").alias("words"))
+    return stage(once.unionByName(again).select(F.monotonically_increasing_id().alias("id"), *on, *sides, "words"), "sets")
+
+
+def word_order(sets: DataFrame, sided: bool = False, most: int = MOST_WORDS) -> WordOrder:
+    """The order of the words by the exact number of distinct sets that have them. Words that only one
+    set has, or with `sided` only one side, aren't listed, since they link nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        held: list[list[np.ndarray]] = [[], []]
+        size = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for k, parts in enumerate(held):
+                if parts:
+                    word, n = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n * (1 - k)), pa.array(n * k)], names=["word", "n", "m"])
+                    parts.clear()
+
         for b in batches:
             flat, n = flat_words(b.column("words"))
-            side = np.repeat(b.column("side").to_numpy(zero_copy_only=False).astype(np.int64), n)
-            total += np.bincount(flat % BUCKETS + side * BUCKETS, minlength=2 * BUCKETS).reshape(2, BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
-
-    got = src.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * BUCKETS, np.int64)
-    out[got["at"].to_numpy()] = got["n"].to_numpy()
-    out = out.reshape(2, BUCKETS)
-    return np.minimum(out if by else out.sum(0), np.iinfo(np.int32).max).astype(np.int32)
+            if sided:
+                for k, c in enumerate(("in_held", "in_train")):
+                    held[k].append(flat[np.repeat(b.column(c).to_numpy(zero_copy_only=False), n)])
+            else:
+                held[0].append(flat)
+            size += len(flat)
+            if size > 4_000_000:
+                yield from counted()
+                size = 0
+        yield from counted()
+
+    columns = ["words", "in_held", "in_train"] if sided else ["words"]
+    per = sets.select(*columns).mapInArrow(run, "word long, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    per = per.filter("n > 0 and m > 0" if sided else "n > 1").select("word", (F.col("n") + F.col("m")).alias("n"))
+    per = stage(per, "frequencies")
+    listed, complete = per, True
+    if per.count() > most:
+        kind = F.floor(F.log2("n") * 16).cast("int")
+        sizes = per.groupBy(kind.alias("kind")).count().collect()  # at most 1,024 classes
+        room, least = most, 1 << 30
+        for r in sorted(sizes, key=lambda r: -r["kind"]):
+            room -= r["count"]
+            if room < 0:
+                break
+            least = r["kind"]
+        listed, complete = per.filter(kind >= least), False
+    got = listed.toArrow()
+    word, n = got["word"].to_numpy(), got["n"].to_numpy()
+    rank = np.empty(len(word), np.int32)
+    rank[np.lexsort((word, n))] = np.arange(1, len(word) + 1)
+    order = np.argsort(word)
+    return WordOrder(word[order], rank[order], complete, int(n.max(initial=0)))
 
 
 def key_filter(ids: DataFrame) -> np.ndarray:
@@ -184,8 +253,9 @@ def key_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def keep_by_filter(table: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
-    """Rows whose bit in `key_filter` is set; every row that has a partner is among them."""
+def keep_by_filter(table: DataFrame, column: str, bitmap: np.ndarray, unset: bool = False) -> DataFrame:
+    """Rows whose bit in `key_filter` is set; every row that has a partner is among them. With `unset`
+    the others."""
     shared = table.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +263,7 @@ def keep_by_filter(table: DataFrame, column: str, bitmap: np.ndarray) -> DataFra
         for b in batches:
             v = b.column(column).to_numpy(zero_copy_only=False)
             bit = v % FILTER_BITS
-            yield b.filter(pa.array((bits[bit >> 6] >> (bit & 63)) & 1 == 1))
+            yield b.filter(pa.array((bits[bit >> 6] >> (bit & 63)) & 1 == (0 if unset else 1)))
 
     return table.mapInArrow(run, table.schema)
 
@@ -204,36 +274,81 @@ def needed_overlap(total: np.ndarray) -> np.ndarray:
     return -(-a * total // (a + b))
 
 
-def prefixes(flat: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each set, its rarest words: as many as two sets of the wanted similarity can't both miss.
-    Returns row, position and word. Words are ordered by their bucket's count as far as 20 bits go,
-    then by 29 bits of their hash, then by all of it; the first two and the row fit into one number."""
+class Prefixes(NamedTuple):
+    """The rarest words of sets: the set's row, the word's place in the set's order and the word; and
+    all words in that order, with where each row begins and ends among them."""
+
+    row: np.ndarray
+    place: np.ndarray
+    word: np.ndarray
+    ordered: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
+def prefixes(flat: np.ndarray, n: np.ndarray, order: WordOrder) -> Prefixes:
+    """For each set as many of its rarest words as two sets of the wanted similarity can't both miss.
+    Words are ordered by rank, those without one by 28 bits of their hash, then by all of it; the first
+    two and the row fit into one number. Words that can't link two sets aren't returned."""
     a, b = SIMILARITY
     row = np.repeat(np.arange(len(n)), n)
-    often, low = np.minimum(counts[flat % BUCKETS].astype(np.int64), (1 << 20) - 1), flat & ((1 << 29) - 1)
-    order = None
+    rank, low = order.of(flat), flat & ((1 << 28) - 1)
+    by = None
     if len(n) < 1 << 14:
-        key = (row << 49) | (often << 29) | low
-        order = np.argsort(key)
-        key = key[order]
+        key = (row << 49) | (rank << 28) | low
+        by = np.argsort(key)
+        key = key[by]
         if (key[1:] == key[:-1]).any():
-            order = None
-    if order is None:
-        order = np.lexsort((flat, low, often, row))
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            by = None
+    if by is None:
+        by = np.lexsort((flat, low, rank, row))
+    end = np.cumsum(n)
+    start = end - n
+    at = np.arange(len(flat)) - np.repeat(start, n)
     kept = at < np.repeat(n - -(-a * n // b) + 1, n)
-    return row[kept], at[kept], flat[order][kept]
+    if order.complete:
+        kept &= rank[by] > 0
+    ordered = flat[by]
+    return Prefixes(row[kept], at[kept], ordered[kept], ordered, start, end)
+
+
+def after(values: np.ndarray, p: Prefixes) -> np.ndarray:
+    """Of each prefix word the exclusive or of the values of all words that stand after it in its set."""
+    upto = np.zeros((len(values) + 1, *values.shape[1:]), values.dtype)
+    np.bitwise_xor.accumulate(values, out=upto[1:])
+    return upto[p.end[p.row]] ^ upto[p.start[p.row] + p.place + 1]
+
+
+def sketches_after(p: Prefixes) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit parity sketches of the words after each prefix word."""
+    return tuple(after(x, p) for x in _bits(p.ordered))
+
+
+def wide_sketches_after(p: Prefixes) -> np.ndarray:
+    """The same of 512 bits, a row of eight numbers for each."""
+    return np.stack([after(x, p) for x in _wide_bits(p.ordered)], 1) if len(p.row) else np.zeros((0, 8), np.uint64)
 
 
 def sketches(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit parity sketches of each set. A word in only one of two sets changes one bit of
     the pair at most, so their Hamming distance never exceeds the number of such words."""
     start = np.cumsum(n) - n
+    return tuple(np.bitwise_xor.reduceat(x, start) for x in _bits(flat))
+
+
+def _bits(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's bit in the two sketches."""
     one = np.uint64(1)
     bit = ((flat >> 20) & 127).astype(np.uint64)
     low = np.where(bit < 64, one << (bit & np.uint64(63)), np.uint64(0))
     high = np.where(bit >= 64, one << (bit & np.uint64(63)), np.uint64(0))
-    return np.bitwise_xor.reduceat(low, start), np.bitwise_xor.reduceat(high, start)
+    return low, high
+
+
+def _wide_bits(flat: np.ndarray) -> list[np.ndarray]:
+    bit = (flat >> 11) & 511
+    value = np.uint64(1) << (bit & 63).astype(np.uint64)
+    return [np.where(bit >> 6 == k, value, np.uint64(0)) for k in range(8)]
 
 
 #: Sets above this size have a second sketch of 512 bits, as the first one says little of them.
@@ -243,10 +358,7 @@ WIDE_FROM = 64
 def wide_sketches(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Parity sketches of 512 bits, a row of eight words for each set."""
     start = np.cumsum(n) - n
-    bit = (flat >> 11) & 511
-    value = np.uint64(1) << (bit & 63).astype(np.uint64)
-    lane = bit >> 6
-    return np.stack([np.bitwise_xor.reduceat(np.where(lane == k, value, np.uint64(0)), start) for k in range(8)], 1)
+    return np.stack([np.bitwise_xor.reduceat(x, start) for x in _wide_bits(flat)], 1)
 
 
 def packed_wide(wide: np.ndarray, owner: np.ndarray) -> pa.Array:
