@@ -2,8 +2,9 @@
 
 Sainte-Laguë apportionment: each wanted token is a block that goes to the source with the highest
 quotient of its weight by 1, 3, 5 and so on, as long as the source can fill it with its documents,
-each at most max_repeats times. A source's part is then cut from its documents in the order of a
-seeded hash; whole rounds of the source come before the last, partial one.
+each at most max_repeats times. The same rule divides a source's quota among its shards, by their
+tokens. Within a shard the documents, in seeded order, are cut into stretches of equal tokens; stretches
+are drawn in another seeded order, as many as the shard's quota holds beyond whole rounds.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import heapq
 import math
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.encoding import token_counts
@@ -74,16 +75,56 @@ def apportion(tokens: DataFrame, weights: DataFrame, mix_tokens: int) -> DataFra
     return tokens.sparkSession.createDataFrame(plan, "source string, weight double, max_repeats long, tokens long, block_tokens long, blocks long, short boolean")
 
 
-def mixture(tokens: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
-    """(doc_id, source, tokens, uses) of every document used: as many whole rounds as the source's
-    part holds, and once more the documents that begin before its end in seeded order. A document
-    is never used more than max_repeats times; empty documents aren't used."""
-    part = plan.select("source", "max_repeats", (F.col("blocks") * F.col("block_tokens")).alias("part"), F.col("tokens").alias("whole")).filter("part > 0")
-    part = part.withColumn("rounds", F.floor(F.col("part") / F.col("whole"))).withColumn("rest", F.col("part") - F.col("rounds") * F.col("whole"))
-    rows = tokens.filter("source is not null and tokens > 0").withColumn("turn", shuffled("doc_id", seed=seed))
-    rows = running_total(rows, ["source"], "turn", "doc_id", F.col("tokens"))
-    uses = F.least(F.col("rounds") + F.when(F.col("running") - F.col("tokens") < F.col("rest"), 1).otherwise(0), F.col("max_repeats"))
-    return rows.join(part, "source").select("doc_id", "source", "tokens", uses.alias("uses")).filter("uses > 0")
+#: Shards of a source, by hash of the document; so many that the largest source is divided well.
+SHARDS = 16
+#: Tokens of a stretch of documents that is drawn as one.
+STRETCH = 4096
+
+
+def shard_quotas(tokens: DataFrame, plan: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(source, shard, whole, part): each shard's tokens and its part of the source's quota, by highest
+    quotients of its tokens. At most sources x shards rows come to the driver."""
+    per = tokens.filter("source is not null and tokens > 0").groupBy("source", _shard(shards)).agg(F.sum("tokens").alias("whole"))
+    of: dict[str, dict[int, int]] = {}
+    for r in per.collect():
+        of.setdefault(r.source, {})[r.shard] = r.whole
+    out = []
+    for r in plan.select("source", "max_repeats", (F.col("blocks") * F.col("block_tokens")).alias("part")).filter("part > 0").collect():
+        whole = of.get(r.source, {})
+        got = highest_quotients({k: float(n) for k, n in whole.items()}, {k: n * r.max_repeats for k, n in whole.items()}, r.part)
+        out += [(r.source, k, whole[k], got[k]) for k in sorted(got) if got[k]]
+    return tokens.sparkSession.createDataFrame(out, "source string, shard int, whole long, part long")
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod(shuffled("doc_id", seed=17), F.lit(shards)).cast("int").alias("shard")
+
+
+def mixture(tokens: DataFrame, plan: DataFrame, seed: int = 42, shards: int = SHARDS, stretch: int = STRETCH) -> DataFrame:
+    """(doc_id, source, tokens, uses) of every document used: as many whole rounds as its shard's part
+    holds, and once more the documents of the stretches drawn for the rest. Each shard's draw ends
+    within a document; of these last documents of a source as many are used, in seeded order, as its
+    quota still lacks tokens, so a source is off by less than one document. A document is never used
+    more than max_repeats times; empty documents aren't used."""
+    quota = shard_quotas(tokens, plan, shards).withColumn("rounds", F.floor(F.col("part") / F.col("whole"))).withColumn("rest", F.col("part") - F.col("rounds") * F.col("whole"))
+    of = ["source", "shard"]
+    rows = tokens.filter("source is not null and tokens > 0").withColumn("shard", _shard(shards)).withColumn("turn", shuffled("doc_id", seed=seed))
+    rows = running_total(rows, of, "turn", "doc_id", F.col("tokens"))
+    rows = rows.withColumn("from", F.col("running") - F.col("tokens")).withColumn("stretch", F.floor(F.col("from") / stretch))
+    rows = stage(rows.select("doc_id", "tokens", *of, "stretch", "from", "turn"), "stretches")
+    # stretches in the order of the draw, with the tokens drawn before each
+    per = rows.groupBy(*of, "stretch").agg(F.sum("tokens").alias("n"), F.min("from").alias("first")).withColumn("drawn", shuffled(*of, "stretch", seed=seed + 1))
+    per = running_total(per, of, "drawn", "stretch", F.col("n"), "upto").select(*of, "stretch", (F.col("upto") - F.col("n") - F.col("first")).alias("shift"))
+    x = rows.join(per, [*of, "stretch"]).join(quota, of).withColumn("at", F.col("from") + F.col("shift"))
+    x = stage(x.select("doc_id", *of, "tokens", "turn", "rounds", "rest", "at"), "drawn")
+    # the document within which a shard's rest ends: one row for each shard
+    last = x.filter("at < rest and at + tokens > rest")
+    due = last.groupBy("source").agg(F.sum(F.col("rest") - F.col("at")).alias("due"))
+    ahead = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = last.withColumn("ahead", ahead).join(due, "source").withColumn("uses", F.col("rounds") + F.when(F.col("ahead") < F.col("due"), 1).otherwise(0))
+    sure = x.filter("not (at < rest and at + tokens > rest)").withColumn("uses", F.col("rounds") + F.when(F.col("at") < F.col("rest"), 1).otherwise(0))
+    names = ["doc_id", "source", "tokens", "uses"]
+    return sure.select(*names).unionByName(last.select(*names)).filter("uses > 0")
 
 
 def mixture_report(tokens: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
@@ -92,3 +133,10 @@ def mixture_report(tokens: DataFrame, plan: DataFrame, seed: int = 42) -> DataFr
     out = plan.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
     share = F.try_divide(F.col("used_tokens"), F.sum("used_tokens").over(Window.partitionBy(F.lit(0))))
     return out.select("source", "weight", "tokens", "blocks", "used_tokens", F.coalesce(share, F.lit(0.0)).alias("actual_share"), "short")
+
+
+def short_sources(tokens: DataFrame, plan: DataFrame, mix_tokens: int, seed: int = 42) -> DataFrame:
+    """(source): the sources of which the mixture has fewer tokens than wanted, and which can't have
+    more: all their tokens, max_repeats times, are less than weight * mix_tokens."""
+    report = mixture_report(tokens, plan, seed)
+    return report.filter(F.col("used_tokens") < F.col("weight") * mix_tokens).filter("short").select("source")

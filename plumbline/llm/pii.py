@@ -27,8 +27,12 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 BOUND = 160
 #: Names known to the model: a list beyond this size is refused, as each task holds it.
 MOST_NAMES = 2_000_000
+#: Parts of the longest name, initials among them.
+MOST_PARTS = 8
 TRAINING_SENTENCES = 8000
-EPOCHS = 6
+EPOCHS = 5
+#: Share of the training texts whose neighbouring words are hidden, so that shapes and classes learn to do without.
+HIDDEN = 0.4
 
 # Words and abbreviations of streets, and those that end a house number or flat.
 STREETS = "street road lane way avenue close court crescent drive boulevard place square terrace row gardens walk grove hill view park st rd ln ave ct cres dr blvd pl sq".split()
@@ -39,6 +43,24 @@ ARTICLES = {"the", "a", "an", "our", "your", "my", "this", "that", "his", "her",
 DIGIT_WORDS = "zero oh one two three four five six seven eight nine".split()
 TITLES = "mr ms mrs dr prof miss herr frau señor señora sr sra senhor senhora madame monsieur mme m".split()
 
+# Kinds of words that stand beside entities, and beside what only resembles them.
+_KINDS_OF_WORDS = {
+    "identity": "passport passports ssn nin nino nie dni cpf rg social security insurance national identity identification id tax taxpayer licence license permit pasaporte documento passaporte cidadão passeport identité sociale reisepass personalausweis ausweis ausweisnummer sozialversicherungsnummer ausweisnr",
+    "thing": "ticket tickets order orders invoice invoices run runs thread threads build builds version batch serial part model tracking parcel shipment case issue bug commit page pages row rows line lines room seat flight train bus route exit item article sku isbn ref reference booking reservation receipt job log step epoch seed port error pr chapter section request bestellung auftrag rechnung vorgang pedido factura expediente envío commande facture dossier colis encomenda fatura processo",
+    "phone": "call calls called ring rang phone phoned telephone tel telefon cell mobile landline hotline dial dialled text sms whatsapp fax number reach extension handy handynummer ruf rufen móvil teléfono llámame llame liga ligue telefone telemóvel número numéro portable téléphone appelez appelle nummer",
+    "mail": "mail mails email e-mail inbox write wrote contact reply-to reply from to cc address escribe schreib écris escreve",
+    "lives": "live lives lived living moved moving address house flat home office ship deliver deliver located send post wohne wohnen adresse vivo vive dirección moro endereço habite habitons",
+    "place": "town city village river lake county port valley bay flights trains road museum bridge station institute festival north south east west",
+    "person": "name author patient customer applicant tenant driver owner user guest passenger holder speaker attendee regards wishes cheers sincerely thanks dear hello hi hey signed by grüßen grüße gruß hallo saludos abrazo atentamente hola cordialement bonjour salut abraços cumprimentos olá",
+    "says": "said says wrote told claims thinks asked is was has had will would can did does agreed called came left knows and or",
+    "where": "in near at around through towards outside inside into",
+    "article": "the a an this that these those some any every no my our your his her their its der die das ein eine el la un una los las le les une des o um uma",
+    "small": "of for with as but not so very then if when about on until",
+}
+_KIND_OF_WORD = {w: k for k, words in _KINDS_OF_WORDS.items() for w in words.split()}
+
+ABBREVIATED = {"mr", "ms", "mrs", "dr", "prof", "sr", "sra", "mme"}
+
 _AT = r"(?:\s?[@＠]\s?|\s?[\[(]\s?(?:at|arroba|chez)\s?[\])]\s?|\s(?:at|arroba|ät)\s)"
 _DOT = r"(?:[.．]|\s?[\[(]\s?(?:dot|punto|punkt|ponto|point)\s?[\])]\s?|\s(?:dot|punto|punkt|ponto)\s)"
 _EMAIL = re.compile(rf"(?<![\w.+\-])[\w][\w.+\-]*{_AT}\w[\w\-]*(?:{_DOT}\w[\w\-]*)+", re.I)
@@ -61,7 +83,13 @@ _ROMANCE = re.compile(rf"(?<!\w)(?:(?:{'|'.join(ROMANCE_STREETS)})|r\.|av\.|c/)[
 _FRENCH = re.compile(rf"(?<![\w/.#\-])\d{{1,4}}(?:[ \xa0]?(?:bis|ter))?,?[ \xa0](?:{'|'.join(ROMANCE_STREETS)})[ \xa0]{_LINK}{{0,2}}{_WORD}(?:[ \xa0](?:{_LINK}{{0,2}}){_WORD})?(?!\w)", re.I)
 _PART = re.compile(r"[^\W\d_][^\W\d_]*(?:['’][^\W\d_]{2,})*(?:-[^\W\d_]+)*")
 _INITIAL = re.compile(r"[^\W\d_]\.")
-_BEFORE = re.compile(r"(\S+)?(\s*)$")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_AT_WORDS = {"at", "arroba", "ät", "chez"}
+_STREET_WORDS = set(STREETS)
+_ROMANCE_WORDS = {*ROMANCE_STREETS, "r", "av", "c"}
+_GERMAN_ENDS = ("straße", "strasse", "str", "weg", "allee", "platz", "gasse", "ring", "ufer", "damm")
+_DIGIT_SET = set(DIGIT_WORDS)
+_TITLE_SET = set(TITLES)
 
 
 class Names:
@@ -82,11 +110,19 @@ class Names:
 
     def kind(self, part: str) -> str:
         """g, f: listed as given or family name; b: as both; c: made like listed names; u: unknown."""
-        got = self._memo.get(part)
-        if got is None:
-            if len(self._memo) > 200_000:
-                self._memo.clear()
-            got = self._memo[part] = self._kind(part.casefold())
+        return self.kinds([part])[0]
+
+    def kinds(self, parts: list[str]) -> list[str]:
+        """The kind of each part."""
+        memo = self._memo
+        got = list(map(memo.get, parts))
+        if None in got:
+            if len(memo) > 200_000:
+                memo.clear()
+            for part in parts:
+                if part not in memo:
+                    memo[part] = self._kind(part.casefold())
+            got = list(map(memo.get, parts))
         return got
 
     def _kind(self, part: str) -> str:
@@ -130,17 +166,28 @@ def _shape(s: str) -> str:
     return re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", re.sub(r"\s", " ", s)))
 
 
+_TOKENS = re.compile(r"[^\W_]+(?:-[^\W\d_]+)*|[^\w\s]")
+_FOLLOWS = re.compile(r"\s*([^\W_]+|[^\w\s]|$)")
+
+
 def _beside(text: str, a: int, b: int) -> list[str]:
-    """Features of what stands beside a span: the two words before, the word after, the signs."""
-    before = text[max(0, a - 40) : a]
-    words = re.findall(r"[^\W_]+|[^\w\s]", before)
-    after = re.match(r"\s*([^\W_]+|[^\w\s]|$)", text[b : b + 30])
-    last = words[-1].casefold() if words else "^"
-    lasts = [w.casefold() for w in words if w[0].isalnum()][-2:]
-    out = [f"p={last}", f"n={after[1].casefold() if after else ''}", f"w={lasts[-1] if lasts else '^'}"]
-    out.append(f"ww={' '.join(lasts) if lasts else '^'}")
+    """Features of what stands beside a span: the words before and after, their kinds, the signs. Words
+    themselves are marked by a star."""
+    tokens = [w.casefold() for w in _TOKENS.findall(text[max(0, a - 40) : a])]
+    after = _FOLLOWS.match(text[b : b + 30])
+    following = after[1].casefold() if after else ""
+    last = tokens[-1] if tokens else "^"
+    lasts = [w for w in tokens if w[0].isalnum()][-4:]
     tight = text[a - 1] if a else "^"
-    out.append(f"t={tight if not tight.isalnum() else 'A'}")
+    word = lasts[-1] if lasts else "^"
+    kinds = [_KIND_OF_WORD.get(w, "other") for w in lasts]
+    out = [
+        f"*p={last}", f"*n={following}", f"*w={word}",
+        f"pk={_KIND_OF_WORD.get(last, 'word' if last[0].isalpha() else 'digit' if last[0].isdigit() else last)}",
+        f"nk={_KIND_OF_WORD.get(following, 'word' if following[:1].isalpha() else 'digit' if following[:1].isdigit() else following)}",
+        f"wk={' '.join(kinds[-2:]) if kinds else '^'}", f"t={tight if not tight.isalnum() else 'A'}",
+    ]
+    out += [f"near={k}" for k in set(kinds) if k not in ("other", "small")]
     return out
 
 
@@ -152,11 +199,12 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
         if 0 < b - a <= BOUND and (a, b, kind) not in found:
             found[a, b, kind] = [f"{kind}:{f}" for f in ["one", *features, *_beside(text, a, b)]]
 
-    if "@" in text or "＠" in text or re.search(r"(?i)\b(?:at|arroba|ät)\b", text):
+    words = {w.casefold() for w in _LETTERS.findall(text)}
+    if "@" in text or "＠" in text or not _AT_WORDS.isdisjoint(words):
         for m in _EMAIL.finditer(text):
             plain = "@" in m[0] or "＠" in m[0]
             add(m.start(), m.end(), "email", ["sign" if plain else "word", f"dots={min(3, len(re.findall(_DOT, m[0], re.I)))}"])
-    if re.search(r"\d", text):
+    if _GROUP.search(text):
         for m in _RUN.finditer(text):
             groups = list(_GROUP.finditer(m[0]))
             for i in range(len(groups)):
@@ -187,7 +235,10 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
                         add(s, x.end(), "phone", [*features, "extension"])
         for m in _ID.finditer(text):
             add(m.start(), m.end(), "id_number", [f"shape={_shape(m[0])}", f"digits={sum(c.isdigit() for c in m[0])}", f"letters={sum(c.isalpha() for c in m[0])}"])
-        for form, pattern in (("en", _ENGLISH), ("de", _GERMAN), ("ro", _ROMANCE), ("fr", _FRENCH)):
+        # a street needs one of its words, so most texts are never searched for one
+        romance = not _ROMANCE_WORDS.isdisjoint(words)
+        forms = [("en", _ENGLISH, not _STREET_WORDS.isdisjoint(words)), ("de", _GERMAN, any(w.endswith(_GERMAN_ENDS) for w in words)), ("ro", _ROMANCE, romance), ("fr", _FRENCH, romance)]
+        for form, pattern in ((form, pattern) for form, pattern, possible in forms if possible):
             for m in pattern.finditer(text):
                 b = m.end()
                 last = re.search(r"[^\W\d_]+$", m[0])
@@ -224,15 +275,28 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
                             ends.append((t.end(), f"{tail}+town2+{code}+{_case(town[1])}"))
                 for e, tail in ends:
                     add(m.start(), e, "address", [*base, f"tail={tail}", f"{form}/{tail.split('+')[0]}", f"{form}/{tail}/{_next(text, e)}"])
-    for m in _SPELT.finditer(text):
+    for m in _SPELT.finditer(text) if not _DIGIT_SET.isdisjoint(words) else ():
         add(m.start(), m.end(), "phone", ["spelt", f"count={len(re.findall('[a-zA-Z]+', m[0]))}"])
     _name_candidates(text, names, add)
     return sorted((a, b, kind, f) for (a, b, kind), f in found.items())
 
 
 def _name_candidates(text: str, names: Names, add) -> None:
+    shown = _PART.findall(text)
+    kinds = names.kinds(shown)
+    # where a name may begin: at a known part or up to two before it, after a title, at an initial
+    starts: set[int] = set()
+    for i, (part, kind) in enumerate(zip(shown, kinds)):
+        if kind != "u":
+            starts.update((i, i - 1, i - 2))
+        if len(part) < 9:
+            if len(part) == 1:
+                starts.add(i)
+            if part.casefold() in _TITLE_SET:
+                starts.add(i + 1)
+    if not starts:
+        return
     parts = [(m.start(), m.end(), m[0]) for m in _PART.finditer(text)]
-    kinds = [names.kind(p) for _, _, p in parts]
     n = len(parts)
 
     def joined(i: int, j: int) -> str | None:
@@ -240,19 +304,25 @@ def _name_candidates(text: str, names: Names, add) -> None:
         gap = text[parts[i][1] : parts[j][0]]
         return {" ": " ", ", ": ","}.get(gap)
 
-    for i in range(n):
+    for i in sorted(starts):
+        if not 0 <= i < n:
+            continue
         titled = i > 0 and parts[i - 1][2].casefold() in TITLES and text[parts[i - 1][1] : parts[i][0]] in (" ", ". ")
+        if titled:
+            title, gap = parts[i - 1][2], text[parts[i - 1][1] : parts[i][0]]
+            if len(title) == 1:  # "M. Dupont", but not "I'm late" or "5 m. The"
+                titled = text[parts[i - 1][0] - 1 : parts[i][0]].lstrip() == "M. "
+            else:  # only an abbreviation is followed by a point within a name
+                titled = gap == " " or title.casefold() in ABBREVIATED
         initialled = len(parts[i][2]) == 1 and parts[i][2].isalpha() and i + 1 < n and len(parts[i + 1][2]) > 2 and text[parts[i][1] : parts[i + 1][0]] == ". "
         if kinds[i] == "u" and not titled and not (i + 1 < n and kinds[i + 1] != "u" and joined(i, i + 1)) and not (i + 2 < n and kinds[i + 2] != "u" and len(parts[i + 1][2]) == 1):
             # an unknown part begins a name only after a title, before a known part or as an initial
             if not initialled:
                 continue
-        if len(parts[i][2]) > 30:
-            continue
         j = i
         form, known = "", 0
         last_end = parts[i][0]
-        while j < n and j - i < 4:
+        while j < n and j - i < MOST_PARTS:
             a, b, part = parts[j]
             if j > i:
                 gap = text[last_end:a]
@@ -278,7 +348,7 @@ def _name_candidates(text: str, names: Names, add) -> None:
             cases = "".join(sorted({_case(p)[0] for p in words}))
             ordinary = sum(names.ordinary(p) for p in words)
             start, end = parts[i][0], last_end
-            features = [f"form={form}", f"case={cases}", f"form+case={form}/{cases}", f"ordinary={ordinary}/{len(words)}", f"form/next={form}/{_next(text, end)}", f"title={titled}", f"known={known}/{len(words)}"]
+            features = [f"form={form}", f"case={cases}", f"form+case={form}/{cases}", f"ordinary={ordinary}/{len(words)}", f"form/next={form}/{_next(text, end)}", f"title={parts[i - 1][2].casefold() + '/' + _case(parts[i - 1][2]) + '/' + cases if titled else ''}", f"known={known}/{len(words)}"]
             if any(k == "u" and names.ordinary(p) for k, (_, _, p) in zip(kinds[i:j], parts[i:j])):
                 features.append("unknown ordinary")
             left = text[start - 1] if start else "^"
@@ -348,6 +418,8 @@ class Model:
         for text, truth in examples:
             spans = sorted(candidates(text, self.names), key=lambda s: s[1])
             if spans:
+                if rng.random() < HIDDEN:
+                    spans = [(a, b, k, [f for f in features if ":*" not in f]) for a, b, k, features in spans]
                 prepared.append((spans, [(a, b, k) in truth for a, b, k, _ in spans]))
         squares: dict[str, float] = defaultdict(float)
         for _ in range(epochs):
@@ -411,8 +483,6 @@ def _lower_shares(texts: DataFrame, parts: list[str]) -> dict[str, float]:
 
 def fitted(documents: DataFrame, person_names: DataFrame, text_col: str = "text", sentences: int = TRAINING_SENTENCES) -> Model:
     """The model for a list of names and a corpus, whose lower-case counts cover all documents."""
-    from plumbline.llm.pii_training import examples
-
     # a list of names, not a table of documents: its size is checked before it is read
     if person_names.limit(MOST_NAMES + 1).count() > MOST_NAMES:
         raise ValueError(f"more than {MOST_NAMES} names")
@@ -421,7 +491,22 @@ def fitted(documents: DataFrame, person_names: DataFrame, text_col: str = "text"
     texts = documents.select(F.col(text_col).cast("string").alias("text"))
     names = Names(given, family, _lower_shares(texts, sorted(given | family)))
     ordinary = [n.lower() for n in given | family if names.ordinary(n)]
-    return Model(names).fit(examples(list(given), list(family), ordinary, list(names.heads), list(names.tails), sentences))
+    key = (frozenset(names.given), frozenset(names.family), frozenset(ordinary), sentences)
+    if key not in _fitted:  # fitting again would give the same weights
+        _fitted.clear()
+        _fitted[key] = _fit(names, given, family, ordinary, sentences)
+    model = Model(names)
+    model.weights = _fitted[key]
+    return model
+
+
+_fitted: dict[tuple, dict[str, float]] = {}
+
+
+def _fit(names: Names, given: set[str], family: set[str], ordinary: list[str], sentences: int) -> dict[str, float]:
+    from plumbline.llm.pii_training import examples
+
+    return Model(names).fit(examples(list(given), list(family), ordinary, list(names.heads), list(names.tails), sentences)).weights
 
 
 def personal_data(documents: DataFrame, person_names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

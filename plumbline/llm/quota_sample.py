@@ -50,9 +50,10 @@ def _pass_on(table: DataFrame, within: list[str]) -> DataFrame:
 
 def allocation(corpus: DataFrame, label_targets: DataFrame, source_dim: DataFrame, hygiene: DataFrame, rows: int) -> DataFrame:
     """One row for each category of label_targets: (source, label, family, target_share, wanted,
-    available, counted, quota, short). `available` are its rows in corpus, `counted` those by the
-    hygiene runs, `wanted` the greater of min_rows and its rounded share of `rows`, `quota` what is
-    drawn after passing on, `short` whether available rows don't suffice.
+    available, counted, quota, levelled, short). `available` are its rows in corpus, `counted` those by
+    the hygiene runs, `wanted` the greater of min_rows and its rounded share of `rows`, `quota` what is
+    drawn after passing on, `levelled` what was taken off for the sample's size, `short` whether
+    available rows don't suffice.
 
     A category named twice is one, with the sum of its shares and the greatest minimum; rows with a
     null or other label or an unnamed source are in no category. This table has as many rows as
@@ -79,12 +80,14 @@ def allocation(corpus: DataFrame, label_targets: DataFrame, source_dim: DataFram
     surplus = F.greatest(F.sum("quota").over(w) - rows, F.lit(0))
     before = F.coalesce(F.sum("free").over(w.orderBy(F.desc("free"), *BOTH).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     share = F.when(F.sum("free").over(w) > 0, F.floor(F.col("surplus") * F.col("free") / F.sum("free").over(w))).otherwise(0)
-    t = t.withColumn("free", free).withColumn("surplus", surplus).withColumn("cut", share)
+    # no more than what lies above the minima, which the sample may so exceed
+    t = t.withColumn("free", free).withColumn("surplus", F.least(surplus, F.sum("free").over(w))).withColumn("cut", share)
     rest = F.col("surplus") - F.sum("cut").over(w)
     left = F.col("free") - F.col("cut")
     ahead = F.coalesce(F.sum(F.signum(left)).over(w.orderBy(F.desc("free"), *BOTH).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.withColumn("quota", (F.col("quota") - F.col("cut") - F.when((left > 0) & (ahead < rest), 1).otherwise(0)).cast("long"))
-    return t.select(*BOTH, "family", "target_share", "min_rows", "wanted", "available", "counted", "quota", (F.col("available") < F.col("wanted")).alias("short"))
+    t = t.withColumn("levelled", (F.col("cut") + F.when((left > 0) & (ahead < rest), 1).otherwise(0)).cast("long"))
+    t = t.withColumn("quota", (F.col("quota") - F.col("levelled")).cast("long"))
+    return t.select(*BOTH, "family", "target_share", "min_rows", "wanted", "available", "counted", "quota", "levelled", (F.col("available") < F.col("wanted")).alias("short"))
 
 
 def draw(corpus: DataFrame, quotas: DataFrame, seed: int = 42) -> DataFrame:
@@ -101,3 +104,12 @@ def draw(corpus: DataFrame, quotas: DataFrame, seed: int = 42) -> DataFrame:
     kept = rows.join(ends, BOTH).filter("bucket <= end")
     last = kept.filter("bucket = end").withColumn("place", F.row_number().over(Window.partitionBy(*BOTH).orderBy("turn", "row_id"))).filter("place <= wanted")
     return kept.filter("bucket < end").select("row_id", *BOTH).unionByName(last.select("row_id", *BOTH))
+
+
+def reached(corpus: DataFrame, quotas: DataFrame, seed: int = 42) -> DataFrame:
+    """(source, label, family, target_share, min_rows, wanted, available, counted, quota, levelled, drawn,
+    unmet): the allocation beside what the drawn sample has of each category. A category's target is
+    unmet if it has too few rows even with those that were taken off for the sample's size."""
+    drawn = draw(corpus, quotas, seed).groupBy(*BOTH).agg(F.count("*").alias("drawn"))
+    out = quotas.drop("short").join(drawn, BOTH, "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("long")))
+    return out.withColumn("unmet", F.col("drawn") + F.col("levelled") < F.col("wanted"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import duplicates, encoding, lookalike, mixing, neardup, overlap, pii, quota_sample, splits
+from plumbline.plans.staging import stage
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _allocation(s: SparkSession, d: str) -> DataFrame:
     rows = quota_sample.sample_size(_t(s, d, "plan_params"))
-    return quota_sample.allocation(_t(s, d, "corpus"), _t(s, d, "label_targets"), _t(s, d, "source_dim"), _t(s, d, "source_hygiene"), rows)
+    # a table of categories, read by the draw and by what it reached
+    return stage(quota_sample.allocation(_t(s, d, "corpus"), _t(s, d, "label_targets"), _t(s, d, "source_dim"), _t(s, d, "source_hygiene"), rows), "allocation")
+
+
+def _reached(s: SparkSession, d: str) -> DataFrame:
+    return quota_sample.reached(_t(s, d, "corpus"), _allocation(s, d))
 
 
 def _mixture(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -46,13 +52,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_undivided": lambda s, d: splits.undivided(*_splittable(s, d)),
         "p5_found": lambda s, d: lookalike.lookalike_pairs(_t(s, d, "corpus")),
         "p5_forms": lambda s, d: lookalike.canonical_texts(_t(s, d, "corpus")),
-        "p6_found": lambda s, d: _allocation(s, d).filter("short").select("source", "label"),
+        "p6_found": lambda s, d: _reached(s, d).filter("unmet").select("source", "label"),
+        "p6_reached": _reached,
         "p6_allocation": _allocation,
         "p6_sample": lambda s, d: quota_sample.draw(_t(s, d, "corpus"), _allocation(s, d)),
         "p7_ids": lambda s, d: encoding.encode(_t(s, d, "documents"), encoding.vocabulary_path()),
         "p7_offsets": lambda s, d: encoding.offsets(_t(s, d, "documents"), encoding.vocabulary_path()),
         "p7_decoded": lambda s, d: encoding.decoded(encoding.encode(_t(s, d, "documents"), encoding.vocabulary_path()), encoding.vocabulary_path()),
-        "p8_found": lambda s, d: _mixture(s, d)[1].filter("short").select("source"),
+        "p8_found": lambda s, d: mixing.short_sources(*_mixture(s, d), quota_sample.sample_size(_t(s, d, "plan_params"), "mix_tokens")),
         "p8_mixture": lambda s, d: mixing.mixture(*_mixture(s, d)),
         "p8_report": lambda s, d: mixing.mixture_report(*_mixture(s, d)),
         "p9_found": lambda s, d: pii.personal_data(_t(s, d, "documents"), _t(s, d, "person_names")),
