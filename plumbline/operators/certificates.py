@@ -168,8 +168,8 @@ QUERIES = {
     "g16_exactness": lambda s, d: s.range(-20, 21).select((F.col("id") / 5).alias("x")).select("x", rd(0.5 * (1 + erf(F.col("x") / F.sqrt(F.lit(2.0)))), 5).alias("phi")),
     "g17_sweep": lambda s, d: s.range(0, 9).select((F.col("id") * math.pi / 16).alias("theta")).crossJoin(s.range(1, 5).select((F.col("id") / 2).alias("gap"))).groupBy("gap").agg(rd(correlation(F.cos("theta"), F.cos("theta") * F.col("gap"))).alias("r"), rd(F.max(F.sin("theta") * F.col("gap"))).alias("most")),
     "m04_direction_auc": lambda s, d: area(_vg(s, d).withColumn("sc", F.round(V.dot("v", V.unit(V.literal(_delta(s, d).tolist()))), 9)), ["source"], "sc", "y").select("source", rd("auroc").alias("auroc")),
-    "m12_divergence": lambda s, d: _vg(s, d).select("vec_id", rd(divergence(log_softmax(F.slice("v", 1, 6)), log_softmax(F.slice("g", 1, 6)))).alias("kl")),
-    "m13_entropy": lambda s, d: _vg(s, d).select("vec_id", log_softmax(F.slice("v", 1, 6)).alias("lp")).select("vec_id", rd(-F.aggregate("lp", F.lit(0.0), lambda a, x: a + F.exp(x) * x)).alias("entropy"), rd(F.exp(F.array_max("lp"))).alias("top")),
+    "m12_divergence": lambda s, d: _vg(s, d).select("vec_id", rd(divergence(log_softmax(F.col("v")), log_softmax(F.col("g")))).alias("kl")),
+    "m13_entropy": lambda s, d: _vg(s, d).select("vec_id", log_softmax(F.col("v")).alias("lp")).select("vec_id", rd(-F.aggregate("lp", F.lit(0.0), lambda a, x: a + F.exp(x) * x)).alias("entropy"), rd(F.exp(F.array_max("lp"))).alias("top")),
     "m14_cosine_top": lambda s, d: _vg(s, d).select("vec_id", F.round(V.cosine("v", V.literal(_delta(s, d).tolist())), 9).alias("cos")).orderBy(F.desc("cos"), "vec_id").limit(10).select("vec_id", rd("cos").alias("cos")),
 }
 
@@ -188,7 +188,7 @@ SQL = {
     "g14_behaviour_gap": f"WITH {VECTORS_SQL} SELECT vec_id, round(avg(x) FILTER (WHERE i <= 4) - avg(x) FILTER (WHERE i > 12), 6) AS gap FROM cells GROUP BY 1",
     "g15_steering_effect": f"WITH {_G} SELECT vec_id, round(sum((c.x + 0.1::DOUBLE * gc.x) * gc.x) - sum(c.x * gc.x), 5) AS effect FROM cells c JOIN gc USING (vec_id, i) GROUP BY 1",
     "g17_sweep": "WITH t AS (SELECT k * pi() / 16 AS theta FROM range(0, 9) r(k)), g AS (SELECT k / 2.0::DOUBLE AS gap FROM range(1, 5) r(k)) SELECT gap, round(corr(cos(theta), cos(theta) * gap), 6) AS r, round(max(sin(theta) * gap), 6) AS most FROM t, g GROUP BY 1",
-    "m12_divergence": f"WITH {_G}, a AS (SELECT vec_id, i, x - ln(sum(exp(x)) OVER (PARTITION BY vec_id)) AS p FROM cells WHERE i <= 6), b AS (SELECT vec_id, i, x - ln(sum(exp(x)) OVER (PARTITION BY vec_id)) AS q FROM gc WHERE i <= 6) SELECT vec_id, round(sum(exp(p) * (p - q)), 6) AS kl FROM a JOIN b USING (vec_id, i) GROUP BY 1",
-    "m13_entropy": f"WITH {VECTORS_SQL}, a AS (SELECT vec_id, x - ln(sum(exp(x)) OVER (PARTITION BY vec_id)) AS p FROM cells WHERE i <= 6) SELECT vec_id, round(-sum(exp(p) * p), 6) AS entropy, round(max(exp(p)), 6) AS top FROM a GROUP BY 1",
+    "m12_divergence": f"WITH {_G}, a AS (SELECT vec_id, i, x - ln(sum(exp(x)) OVER (PARTITION BY vec_id)) AS p FROM cells), b AS (SELECT vec_id, i, x - ln(sum(exp(x)) OVER (PARTITION BY vec_id)) AS q FROM gc) SELECT vec_id, round(sum(exp(p) * (p - q)), 6) AS kl FROM a JOIN b USING (vec_id, i) GROUP BY 1",
+    "m13_entropy": f"WITH {VECTORS_SQL}, a AS (SELECT vec_id, x - ln(sum(exp(x)) OVER (PARTITION BY vec_id)) AS p FROM cells) SELECT vec_id, round(-sum(exp(p) * p), 6) AS entropy, round(max(exp(p)), 6) AS top FROM a GROUP BY 1",
     "m14_cosine_top": f"WITH {_G}, l AS (SELECT sum(w * w) AS l FROM dl), c AS (SELECT vec_id AS id, sum(x * w) / sqrt(sum(x * x) * any_value(l)) AS co FROM cells JOIN dl USING (i), l GROUP BY 1) SELECT id AS vec_id, round(co, 6) AS cos FROM c ORDER BY round(co, 9) DESC, id LIMIT 10",
 }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import vectors as V
 from plumbline.operators import moments as M
 from plumbline.operators import sampling as D
-from plumbline.operators.ranking_ops import area, best_cut, quota
+from plumbline.operators.ranking_ops import area, best_cut, best_threshold, class_metrics, confusion, metric_score, quota, spearman
 from plumbline.plans.staging import stage
 from plumbline.plans.tables import VECTORS_SQL, correlation, rd, table, vectors
 
@@ -254,11 +254,59 @@ def report(summary: DataFrame, baseline: float) -> DataFrame:
     return summary.select("recipe", (F.col("mean_accuracy") - baseline).alias("delta"), (F.col("worst_accuracy") > baseline).alias("clears"))
 
 
+def report_lines(ranked: DataFrame, baseline: float, top: int = 15) -> DataFrame:
+    """(line, text): the best recipes with their worst and mean accuracy and areas, how far the worst fold
+    is from the baseline, and how many of all recipes clear it there. `top` is the report's length."""
+    gap = F.round(F.col("worst_accuracy") - baseline, 6)
+    text = F.format_string("%-34s%8.4f%8.4f%8.4f%8.4f%8.4f  %+.4f%s", "recipe", "worst_accuracy", "mean_accuracy", "sd_accuracy", "mean_auroc", "worst_auroc", gap, F.when(gap < 0, " below").otherwise(""))
+    rows = ranked.filter(F.col("place") <= top).select(F.col("place").cast("int").alias("line"), text.alias("text"))
+    last = ranked.agg(F.count_if(gap >= 0).alias("c"), F.count("*").alias("n"))
+    return rows.unionByName(last.select(F.lit(top + 1).alias("line"), F.format_string("%d/%d recipes clear the baseline on their worst fold", "c", "n").alias("text")))
+
+
 def gate(ranked: DataFrame, baseline: float) -> DataFrame:
     """Recipes with their verdict by the mean fold: shipped or skipped."""
     return ranked.select("recipe", "place", F.when(F.col("mean_accuracy") >= baseline, "shipped").otherwise("skipped").alias("verdict"))
 
 
+def candidates(df: DataFrame, facts: DataFrame, cross: DataFrame | None, baseline: float = PRIOR, least_rows: int = 1500, members: int = 3) -> DataFrame:
+    """(name, recipe, worst, mean, pooled, trained_rows, verdict, reason): the heads to be built. The best
+    recipe; the best logistic one, for a threshold; the best of the cross-source test, if it is another;
+    the best recipes of different transforms together; and one head for each family with enough rows
+    and both classes, with what the pooled recipe reaches on it. What stays below the baseline by its
+    mean fold is skipped. `facts` as from fold_facts, `cross` a summary over pairs; both are as long as
+    the grid and the families, and so is the result."""
+    facts = stage(facts, "facts")
+    ranked = ranked_recipes(fold_summary(facts), facts.select("family").distinct().count()).orderBy("place").collect()  # one for each recipe
+    if not ranked:
+        raise ValueError("no recipe was evaluated")
+    counts = {r["family"]: (r["n"], r["p"]) for r in df.groupBy("family").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("p")).collect()}  # one for each family
+    whole = sum(n for n, _ in counts.values())
+    best = ranked[0]
+    rows: list[list] = [["best_single", best["recipe"], best["worst_accuracy"], best["mean_accuracy"], None, whole]]
+    logistic = [r for r in ranked if r["recipe"].split("|")[1] == "logistic"]
+    if logistic:
+        rows.append(["best_threshold", logistic[0]["recipe"], logistic[0]["worst_accuracy"], logistic[0]["mean_accuracy"], None, whole])
+    if cross is not None:
+        first = ranked_pairs(cross).filter("place = 1").first()
+        if first and (first["recipe"] != best["recipe"] or first["mean_accuracy"] < baseline):
+            rows.append(["best_cross_source", first["recipe"], first["worst_accuracy"], first["mean_accuracy"], None, whole])
+    picked = list({r["recipe"].split("|")[0]: r for r in reversed(ranked)}.values())
+    picked = sorted(picked, key=lambda r: r["place"])[:members]
+    if len(picked) > 1:
+        rows.append(["best_ensemble", " + ".join(r["recipe"] for r in picked), min(r["worst_accuracy"] for r in picked), float(np.mean([r["mean_accuracy"] for r in picked])), None, whole])
+    pooled = {r["family"]: r["accuracy"] for r in facts.filter(F.col("recipe") == best["recipe"]).collect()}
+    for family in sorted(counts):
+        n, p = counts[family]
+        if n >= least_rows and 0 < p < n:
+            rows.append([f"source_{family}", best["recipe"], None, None, pooled.get(family), n])
+    out = []
+    for r in rows:
+        below = r[3] is not None and r[3] < baseline
+        out.append((*r, "skipped" if below else "built", f"mean fold {r[3]:.4f} below the baseline {baseline:.4f}" if below else None))
+    return df.sparkSession.createDataFrame(out, "name string, recipe string, worst double, mean double, pooled double, trained_rows long, verdict string, reason string")
+
+
 def coarse_configs(spark, dims: int, scalers: list[str], ks: list[int], probes: list[str]) -> DataFrame:
     """The product of settings, without those that want more dimensions than there are."""
     a = spark.createDataFrame([(x,) for x in scalers], "scaler string")
@@ -281,50 +329,100 @@ def out_of_fold(df: DataFrame, shrinkage: float, reps: int = 2, k: int = 5) -> D
     return out.groupBy("vec_id", "y").agg(F.avg("score").alias("score"))
 
 
-def layer_sweep(df: DataFrame, layer: str, shrinkage: float = 0.1) -> DataFrame:
-    """(layer, auroc, control): area of each layer's own head on its second half, and of labels
-    permuted by hash. Columns vec_id, v, y and the layer."""
-    halves = D.within_share(df.withColumn("o", F.sha1(F.concat(F.lit("h:"), F.col("vec_id").cast("string")).cast("binary"))), [layer, "y"], "o", "vec_id", 0.5)
-    parts = M.ClassStats.by(halves.filter("train").withColumn(layer, F.col(layer).cast("string")), layer)
-    heads = [(k, *(lambda wb: (wb[0].tolist(), wb[1]))(M.shrunk_lda(p, shrinkage))) for k, p in parts.items() if min(p.n.values()) > 0]
-    h = df.sparkSession.createDataFrame(heads, f"{layer} string, w array<double>, b double")
-    t = halves.filter("not train").withColumn(layer, F.col(layer).cast("string")).join(F.broadcast(h), layer)
-    t = t.select(layer, "vec_id", "y", F.round(V.dot("v", "w") + F.col("b"), 9).alias("score"), F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(2)).cast("int").alias("other"))
+def optimized(df: DataFrame, configs: list[tuple[str, str, float]], seeds: tuple[int, ...] = (17, 29, 41), k: int = 5) -> DataFrame:
+    """(recipe, mean_cv, sd_cv, worst_fold, accuracy, threshold, auroc, balanced, f1, n): cross-validation of
+    each config over repeated stratified folds, its scores averaged over the repeats, the threshold
+    that fits these best and the metrics there; best accuracy first, then best worst fold. A score's
+    probability is its logistic function; folds are judged at one half.
+
+    All configs of a seed share one pass for the statistics of the folds and one for the scores."""
+    parts_of = None
+    for seed in seeds:
+        f = D.folds(df.withColumn("o", F.sha1(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"))), "y", "o", "vec_id", k).withColumn("family", F.col("fold").cast("string"))
+        got = held_out_scores(f, configs, 1, 2).select("recipe", F.col("family").alias("fold"), "vec_id", "y", "score", F.lit(seed).alias("seed"))
+        parts_of = got if parts_of is None else parts_of.unionByName(got)
+    x = stage(parts_of.withColumn("p", 1 / (1 + F.exp(-F.col("score")))), "repeats")
+    per = x.groupBy("recipe", "seed", "fold").agg(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")).alias("a"))
+    per = per.groupBy("recipe").agg(F.avg("a").alias("mean_cv"), F.coalesce(F.stddev_samp("a"), F.lit(0.0)).alias("sd_cv"), F.min("a").alias("worst_fold"))
+    mean = stage(x.groupBy("recipe", "vec_id", "y").agg(F.round(F.avg("p"), 9).alias("p")), "averaged")
+    cuts = [(recipe_key(*c), best_threshold(mean.filter(F.col("recipe") == recipe_key(*c)), "p", "y", 199).first()) for c in configs]  # one for each config
+    cut = df.sparkSession.createDataFrame([(r, c["cut"]) for r, c in cuts if c], "recipe string, threshold double")
+    at = mean.join(F.broadcast(cut), "recipe").withColumn("pred", (F.col("p") >= F.col("threshold")).cast("int"))
+    met = class_metrics(confusion(at, ["recipe", "threshold"], "y", "pred")).select("recipe", "threshold", "accuracy", "balanced", "f1", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).cast("long").alias("n"))
+    out = per.join(met, "recipe").join(area(mean, ["recipe"], "p", "y"), "recipe")
+    return out.select("recipe", "mean_cv", "sd_cv", "worst_fold", "accuracy", "threshold", "auroc", "balanced", "f1", "n").orderBy(F.desc(F.round("accuracy", 9)), F.desc(F.round("worst_fold", 9)), "recipe")
+
+
+def layer_sweep(df: DataFrame, layer: str, shrinkage: float = 0.1, shuffles: int = 20) -> DataFrame:
+    """(layer, accuracy, f1, auroc, control, control_sd, dummy): each layer's own head on its second half;
+    mean and deviation of the area of heads fitted on `shuffles` permutations of the first half's labels;
+    and the accuracy of the first half's more frequent class. Columns vec_id, v, y and the layer.
+
+    A permutation leaves the sum of the outer products as it is, so its head takes the sums of the rows
+    with label 1 only, all permutations in one pass."""
+    df = df.withColumn(layer, F.col(layer).cast("string"))
+    halves = stage(D.within_share(df.withColumn("o", F.sha1(F.concat(F.lit("h:"), F.col("vec_id").cast("string")).cast("binary"))), [layer, "y"], "o", "vec_id", 0.5), "halves")
+    train = halves.filter("train")
+    parts = {k: p for k, p in M.ClassStats.by(train, layer).items() if min(p.n.values()) > 0}
+    reps = train.select(layer, "vec_id", "v", F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("rep"))
+    reps = D.hex_rank(reps.withColumn("o", F.sha1(F.concat_ws(":", F.col("rep").cast("string"), F.col("vec_id").cast("string")).cast("binary"))), [layer, "rep"], "o", "vec_id")
+    ones = df.sparkSession.createDataFrame([(k, p.n[1]) for k, p in parts.items()], f"{layer} string, ones long")
+    sums = M.dim_moments(reps.join(F.broadcast(ones), layer).filter(F.col("nth") <= F.col("ones")), "v", layer, "rep")
+    means: dict[tuple[str, int], dict[int, float]] = {}
+    for r in sums.select(layer, "rep", "i", "mean").collect():  # layers x shuffles x d numbers
+        means.setdefault((r[layer], r["rep"]), {})[r["i"]] = r["mean"]
+    heads = [(k, 0, *(lambda wb: (wb[0].tolist(), wb[1]))(M.shrunk_lda(p, shrinkage))) for k, p in parts.items()]
+    for (k, rep), m in means.items():
+        p = parts[k]
+        s1 = np.array([m[i] for i in sorted(m)]) * p.n[1]
+        shuffled = M.ClassStats([(1, p.n[1], s1, np.zeros_like(p.g[1])), (0, p.n[0], p.s[0] + p.s[1] - s1, p.g[0] + p.g[1])])
+        heads.append((k, rep, *(lambda wb: (wb[0].tolist(), wb[1]))(M.shrunk_lda(shuffled, shrinkage))))
+    h = df.sparkSession.createDataFrame(heads, f"{layer} string, rep int, w array<double>, b double")
+    t = halves.filter("not train").join(h, layer).select(layer, "rep", "vec_id", "y", F.round(V.dot("v", "w") + F.col("b"), 9).alias("score"))
     t = stage(t, "layers")
-    return area(t, [layer], "score", "y").join(area(t, [layer], "score", "other").withColumnRenamed("auroc", "control"), layer)
+    areas = area(t, [layer, "rep"], "score", "y")
+    own = areas.filter("rep = 0").select(layer, "auroc")
+    control = areas.filter("rep > 0").groupBy(layer).agg(F.avg("auroc").alias("control"), F.stddev_pop("auroc").alias("control_sd"))
+    met = class_metrics(confusion(t.filter("rep = 0").withColumn("pred", (F.col("score") >= 0).cast("int")), [layer], "y", "pred")).select(layer, "accuracy", "f1")
+    more = df.sparkSession.createDataFrame([(k, int(p.n[1] > p.n[0])) for k, p in parts.items()], f"{layer} string, usual int")
+    dummy = t.filter("rep = 0").join(F.broadcast(more), layer).groupBy(layer).agg(F.avg((F.col("y") == F.col("usual")).cast("double")).alias("dummy"))
+    return met.join(own, layer).join(control, layer, "left").join(dummy, layer).select(layer, "accuracy", "f1", "auroc", "control", "control_sd", "dummy")
 
 
 def greedy_ensemble(errors: DataFrame, quality: dict[str, float], most: int = 3) -> list[tuple[str, float]]:
-    """Names and weights: the best first, then what adds most quality for its likeness of errors.
-    `errors` has one column for each candidate; their correlations are one aggregation."""
+    """Names and weights: the best first, then what adds most quality for the likeness of its errors to the
+    mean error of those chosen. A likeness that isn't defined, as an error is constant, counts as full.
+    `errors` has one column for each candidate; a step is one aggregation."""
     names = list(quality)
-    cor = errors.agg(*(F.coalesce(correlation(a, b), F.lit(0.0)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i < j)).first()
-    like = lambda a, b: abs(cor[f"{min(names.index(a), names.index(b))}_{max(names.index(a), names.index(b))}"])
-    chosen = [max(names, key=lambda n: (quality[n], n))]
+    chosen = [max(names, key=lambda n: quality[n])]
     while len(chosen) < min(most, len(names)):
         rest = [n for n in names if n not in chosen]
-        chosen.append(max(rest, key=lambda n: (quality[n] * (1 - 0.35 * max(like(n, c) for c in chosen)), n)))
+        mean = sum((F.col(c) for c in chosen), F.lit(0.0)) / len(chosen)
+        x = errors.withColumn("__mean", mean)
+        like = x.agg(*(correlation("__mean", n).alias(n) for n in rest)).first()
+        chosen.append(max(rest, key=lambda n: quality[n] * (1 - 0.35 * (1.0 if like[n] is None else abs(like[n])))))
     raw = [max(quality[c] - 0.45, 0.01) ** 2 for c in chosen]
     return [(c, w / sum(raw)) for c, w in zip(chosen, raw)]
 
 
-def additive_ensemble(df: DataFrame, columns: list[str], y: str, grid: tuple[float, ...] = (0.15, 0.25, 0.35, 0.5), least_gain: float = 2e-4, most: int = 3) -> list[tuple[str, float]]:
-    """Starts from the first probability column and mixes in, with one weight of the grid, whatever
-    raises accuracy at one half by `least_gain`; each step tries all candidates in one pass."""
+def additive_ensemble(df: DataFrame, columns: list[str], y: str, grid: tuple[float, ...] = (0.15, 0.25, 0.35, 0.5), least_gain: float = 2e-4, most: int = 3, prior: float = PRIOR, tried: int = 11) -> list[tuple[str, float]]:
+    """Starts from the first probability column and walks the next `tried` in the given order, the best
+    first. A candidate is mixed in with the weight of the grid that gives the highest accuracy at a
+    threshold tuned anew for the prior, if that is higher than before by more than `least_gain`."""
+    tuned = lambda e: (best_threshold(df.select(F.col(y).alias("y"), e.alias("p")), "p", "y", 399, prior).first() or {"accuracy": 0.0})["accuracy"]
     mix: list[tuple[str, float]] = [(columns[0], 1.0)]
     expr = F.col(columns[0])
-    best = df.agg(F.avg(((expr >= 0.5).cast("int") == F.col(y)).cast("double")).alias("a")).first()["a"] or 0.0
-    while len(mix) < most:
-        trials = [(c, g, (1 - g) * expr + g * F.col(c)) for c in columns if c not in dict(mix) for g in grid]
-        if not trials:
-            break
-        got = df.agg(*(F.avg(((e >= 0.5).cast("int") == F.col(y)).cast("double")).alias(f"t{k}") for k, (_, _, e) in enumerate(trials))).first()
-        k = max(range(len(trials)), key=lambda k: (got[f"t{k}"] or 0.0, -k))
-        if (got[f"t{k}"] or 0.0) < best + least_gain:
+    best = tuned(expr)
+    for c in columns[1 : tried + 1]:
+        trials = [(g, (1 - g) * expr + g * F.col(c)) for g in grid]
+        got = [tuned(e) for _, e in trials]
+        k = max(range(len(trials)), key=lambda k: (got[k], -k))
+        if got[k] > best + least_gain:
+            g, expr = trials[k]
+            best = got[k]
+            mix = [(n, w * (1 - g)) for n, w in mix] + [(c, g)]
+        if len(mix) == most:
             break
-        best = got[f"t{k}"]
-        c, g, expr = trials[k]
-        mix = [(n, w * (1 - g)) for n, w in mix] + [(c, g)]
     return mix
 
 
@@ -336,47 +434,92 @@ def guard_families(df: DataFrame, least: int = 3) -> int:
     return n
 
 
-def routed_comparison(df: DataFrame, prior: float = PRIOR, least: int = 20) -> DataFrame:
-    """(family, candidate, distance, routed, pooled): for every held family the nearest other
-    family's head against the pooled one, by quota accuracy."""
+def routed_comparison(df: DataFrame, priors: tuple[float, ...] = (0.5, PRIOR), seeds: tuple[int, ...] = (17, 29, 41), unclean: tuple[str, ...] = (), least: int = 20, hyper: float = 0.6) -> DataFrame:
+    """(family, prior, seed, method, candidate, distance, accuracy, auroc, gains, losses, rho): for every held
+    family, prior and seed the rows drawn to the prior, scored by the head of all other families
+    (pooled), by the nearest stored head, pooled among them (routed), by the nearest of a single family
+    (routed_source_only), and by the pool without the `unclean` families (clean_pool), all by quota.
+    Distance is that of the moments of the drawn rows from a head's mixture; gains and losses are against
+    pooled; rho is the rank correlation of distance and area over the single families.
+
+    Statistics cover all rows of a family, in one pass; draws and scores are two more."""
+    recipe = ("std", "lda", hyper)
     parts = M.ClassStats.by(df, "family")
     total = _total(parts)
+    usable = [f for f, p in parts.items() if min(p.n.values()) >= 2]
+    held_ones = [f for f, p in parts.items() if sum(p.n.values()) >= least and min(p.n.values()) > 0 and min(total.without(p).n.values()) > 0]
+
+    def head(stats: M.ClassStats) -> tuple[list[float], float]:
+        (a, c), _ = _affine(recipe[0], Fold((), stats, stats))
+        w, b = M.shrunk_lda(stats.mapped(a, c), hyper)
+        return (a.T @ w).tolist(), float(b - (a.T @ w) @ c)
+
+    sources = {f: head(parts[f]) for f in usable}
+    heads, pools = [], {}
+    for held in held_ones:
+        pool = total.without(parts[held])
+        clean = pool
+        for f in unclean:
+            if f in parts and f != held:
+                clean = clean.without(parts[f])
+        pools[held] = pool
+        heads += [(held, f, *sources[f]) for f in usable if f != held]
+        heads += [(held, "pooled", *head(pool)), (held, "clean_pool", *(head(clean) if min(clean.n.values()) > 0 else head(pool)))]
     spark = df.sparkSession
-    usable = {f: p for f, p in parts.items() if min(p.n.values()) >= 2}
-
-    def mom(p: M.ClassStats) -> tuple:
-        m0, m1 = p.means
-        v0, v1 = (np.diag(p.g[y]) / p.n[y] - m * m for y, m in ((0, m0), (1, m1)))
-        return m0, m1, v0, v1
-
-    n = sum(total.n.values())
-    mean = (total.s[0] + total.s[1]) / n
-    dev = np.sqrt(np.maximum(np.diag(total.g[0] + total.g[1]) / n - mean * mean, 1e-12))
-    picked = []
-    for held, p in parts.items():
-        if sum(p.n.values()) < least:
-            continue
-        hn = sum(p.n.values())
-        mu = (p.s[0] + p.s[1]) / hn
-        sg = np.sqrt(np.maximum(np.diag(p.g[0] + p.g[1]) / hn - mu * mu, 0))
-        best = None
-        for f, q in usable.items():
-            if f == held:
-                continue
-            m0, m1, v0, v1 = mom(q)
-            m = (1 - prior) * m0 + prior * m1
-            s = np.sqrt(np.maximum((1 - prior) * v0 + prior * v1 + prior * (1 - prior) * (m1 - m0) ** 2, 1e-12))
-            dist = float((((mu - m) / dev) ** 2 + ((sg - s) / dev) ** 2).mean())
-            if best is None or (round(dist, 12), f) < (round(best[0], 12), best[1]):
-                best = (dist, f)
-        if best:
-            (w, b), (pw, pb) = M.shrunk_lda(usable[best[1]], 0.6), M.shrunk_lda(total.without(p), 0.6)
-            picked.append((held, best[1], best[0], w.tolist(), b, pw.tolist(), pb))
-    h = spark.createDataFrame(picked, "family string, candidate string, distance double, w array<double>, b double, pw array<double>, pb double")
-    x = df.join(F.broadcast(h), "family").select("family", "candidate", "distance", "vec_id", "y", F.round(V.dot("v", "w") + F.col("b"), 9).alias("r"), F.round(V.dot("v", "pw") + F.col("pb"), 9).alias("p"))
-    x = stage(x, "routed")
-    x = quota(quota(x, ["family"], "r", "vec_id", prior, "rp"), ["family"], "p", "vec_id", prior, "pp")
-    return x.groupBy("family", "candidate", "distance").agg(F.avg((F.col("rp") == F.col("y")).cast("double")).alias("routed"), F.avg((F.col("pp") == F.col("y")).cast("double")).alias("pooled"))
+    h = spark.createDataFrame(heads, "family string, candidate string, w array<double>, b double")
+    drawn = None
+    for prior in priors:
+        want = D.prior_counts(df, ["family"], "y", prior)
+        for seed in seeds:
+            o = df.withColumn("o", F.sha1(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary")))
+            part = D.take(o, want, ["family"], "y", "o", "vec_id").select("family", "vec_id", "y", "v", F.lit(prior).alias("prior"), F.lit(seed).alias("seed"))
+            drawn = part if drawn is None else drawn.unionByName(part)
+    drawn = stage(drawn.filter(F.col("family").isin(held_ones)), "drawn")
+    moments: dict[tuple, dict[int, tuple[float, float]]] = {}
+    for r in M.dim_moments(drawn, "v", "family", "prior", "seed").select("family", "prior", "seed", "i", "mean", "sd").collect():  # families x draws x d numbers
+        moments.setdefault((r["family"], r["prior"], r["seed"]), {})[r["i"]] = (r["mean"], r["sd"])
+
+    def mixture(p: M.ClassStats, prior: float) -> tuple[np.ndarray, np.ndarray]:
+        (m0, m1), (v0, v1) = p.means, (np.diag(p.g[y]) / p.n[y] - (p.s[y] / p.n[y]) ** 2 for y in (0, 1))
+        return (1 - prior) * m0 + prior * m1, np.sqrt(np.maximum((1 - prior) * v0 + prior * v1 + prior * (1 - prior) * (m1 - m0) ** 2, 1e-12))
+
+    distances, methods = [], []
+    for (held, prior, seed), m in moments.items():
+        mu, sg = (np.array([m[i][j] for i in sorted(m)]) for j in (0, 1))
+        _, scale = pools[held].center_and_scale()
+        far = {}
+        for f in [*(f for f in usable if f != held), "pooled"]:
+            mean, sd = mixture(pools[held] if f == "pooled" else parts[f], prior)
+            far[f] = round(float(np.mean(((mu - mean) / scale) ** 2 + ((sg - sd) / scale) ** 2)), 12)
+        distances += [(held, prior, seed, f, x) for f, x in far.items()]
+        single = [f for f in far if f != "pooled"]
+        chosen = {"pooled": "pooled", "clean_pool": "clean_pool", "routed": min(far, key=lambda f: (far[f], f))}
+        if single:
+            chosen["routed_source_only"] = min(single, key=lambda f: (far[f], f))
+        methods += [(held, prior, seed, k, f) for k, f in chosen.items()]
+    key = ["family", "prior", "seed"]
+    ddl = "family string, prior double, seed int"
+    far = spark.createDataFrame(distances, f"{ddl}, candidate string, distance double")
+    chosen = spark.createDataFrame(methods, f"{ddl}, method string, candidate string")
+    x = stage(drawn.join(h, "family").select(*key, "candidate", "vec_id", "y", F.round(V.dot("v", "w") + F.col("b"), 9).alias("score")), "routed")
+    by = [*key, "candidate"]
+    pred = None
+    for prior in priors:
+        part = quota(x.filter(F.col("prior") == prior), by, "score", "vec_id", prior)
+        pred = part if pred is None else pred.unionByName(part)
+    pred = stage(pred, "routed_predictions")
+    base = pred.filter("candidate = 'pooled'").select(*key, "vec_id", F.col("pred").alias("base"))
+    right, was = F.col("pred") == F.col("y"), F.col("base") == F.col("y")
+    facts = pred.join(base, [*key, "vec_id"]).groupBy(*by).agg(F.avg(right.cast("double")).alias("accuracy"), F.count_if(right & ~was).alias("gains"), F.count_if(~right & was).alias("losses"))
+    facts = stage(facts.join(area(x, by, "score", "y"), by).join(far, by, "left"), "routed_facts")
+    rho = spearman(facts.filter("candidate not in ('pooled', 'clean_pool')"), key, "distance", "auroc")
+    out = chosen.join(facts, by).join(rho, key, "left")
+    return out.select(*key, "method", "candidate", "distance", "accuracy", "auroc", "gains", "losses", "rho")
+
+
+def routed_summary(compared: DataFrame) -> DataFrame:
+    """(prior, method, mean_accuracy, mean_auroc, gains, losses) over families and seeds."""
+    return compared.groupBy("prior", "method").agg(F.avg("accuracy").alias("mean_accuracy"), F.avg("auroc").alias("mean_auroc"), F.sum("gains").alias("gains"), F.sum("losses").alias("losses"))
 
 
 # ---- heads fitted by iteration -------------------------------------------------------------------
@@ -518,14 +661,32 @@ def _layers(s, d):
 
 
 def _probabilities(s, d) -> DataFrame:
-    v = _v(s, d)
-    return v.select("vec_id", "y", *((1 / (1 + F.exp(-F.col("v")[k]))).alias(f"m{k}") for k in range(5)))
+    """A probability from each cell of the vectors, m0, m1 and so on, and their names."""
+    v = stage(_v(s, d), "vectors")
+    width = v.agg(F.max(F.size("v")).alias("n")).first()["n"] or 0
+    return v.select("vec_id", "y", *(F.round(1 / (1 + F.exp(-F.col("v")[k])), 9).alias(f"m{k}") for k in range(width)))
+
+
+def _names(p: DataFrame) -> list[str]:
+    return [c for c in p.columns if c[0] == "m"]
 
 
 def _ensemble(s, d) -> DataFrame:
     p = _probabilities(s, d)
-    q = p.agg(*(F.avg(((F.col(f"m{k}") >= 0.5).cast("int") == F.col("y")).cast("double")).alias(f"m{k}") for k in range(5))).first().asDict()
-    return s.createDataFrame(greedy_ensemble(p.select(*((F.col(f"m{k}") - F.col("y")).alias(f"m{k}") for k in range(5))), q), "name string, weight double")
+    names = _names(p)
+    long = p.select("y", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("p")) for n in names))).alias("c")).select("y", "c.*")
+    q = {r["name"]: r["quality"] or 0.0 for r in metric_score(long, ["name"], "p", "y").collect()}  # one for each candidate
+    return s.createDataFrame(greedy_ensemble(p.select(*((F.col(n) - F.col("y")).alias(n) for n in names)), {n: q[n] for n in names}), "name string, weight double")
+
+
+def _additive(s, d) -> DataFrame:
+    p = _probabilities(s, d)
+    got = {n: best_threshold(p.select("y", F.col(n).alias("p")), "p", "y", 399, PRIOR).first()["accuracy"] for n in _names(p)}
+    return s.createDataFrame(additive_ensemble(p, sorted(got, key=lambda n: -got[n]), "y"), "name string, weight double")
+
+
+def _routed(s, d) -> DataFrame:
+    return routed_comparison(_v(s, d))
 
 
 QUERIES = {
@@ -537,11 +698,14 @@ QUERIES = {
     "e02_cross_source": lambda s, d: _rounded(ranked_pairs(_cross(s, d)), "recipe", "place"),
     "a09_pair_summary": lambda s, d: _rounded(_cross(s, d), "recipe", "folds"),
     "e03_report": lambda s, d: report(_summary(s, d), 2 * PRIOR * PRIOR - 2 * PRIOR + 1).select("recipe", rd("delta").alias("delta"), "clears"),
-    "e04_candidates": lambda s, d: gate(_ranked(s, d), PRIOR),
+    "e04_candidates": lambda s, d: _rounded(candidates(_v(s, d), _facts(s, d), _cross(s, d), least_rows=150), "name", "recipe", "trained_rows", "verdict", "reason"),
+    "e04_gate": lambda s, d: gate(_ranked(s, d), PRIOR),
+    "e03_lines": lambda s, d: report_lines(_ranked(s, d), PRIOR),
     "e05_out_of_fold": lambda s, d: _rounded(area(out_of_fold(_v(s, d), 0.1).withColumn("score", F.round("score", 9)), [], "score", "y")),
+    "e05_optimized": lambda s, d: _rounded(optimized(_v(s, d), [(t, "lda", h) for t in ("raw", "std", "l2") for h in (0.1, 0.6)]), "recipe", "n"),
     "e06_configs": lambda s, d: coarse_configs(s, 16, ["standard", "robust"], [4, 8, 16, 32], ["l2", "l1", "svm"]),
     "e07_greedy_ensemble": lambda s, d: _ensemble(s, d).select("name", rd("weight").alias("weight")),
-    "e08_additive_ensemble": lambda s, d: s.createDataFrame(additive_ensemble(_probabilities(s, d), [f"m{k}" for k in range(5)], "y"), "name string, weight double").select("name", rd("weight").alias("weight")),
+    "e08_additive_ensemble": lambda s, d: _additive(s, d).select("name", rd("weight").alias("weight")),
     "e09_layer_sweep": lambda s, d: _rounded(layer_sweep(_layers(s, d), "layer"), "layer"),
     "e10_layer_validation": lambda s, d: _rounded(layer_validation(_layers(s, d), "layer"), "layer"),
     "m11_out_of_fold": lambda s, d: out_of_fold(_v(s, d), 0.1).select("vec_id", rd("score", 5).alias("score")),
@@ -550,9 +714,12 @@ QUERIES = {
     "e12_predictions": lambda s, d: _v(s, d).select("vec_id", "y", (1 / (1 + F.exp(-F.col("v")[0]))).alias("p")).select("vec_id", rd("p").alias("p"), ((F.col("p") >= 0.5).cast("int") == F.col("y")).alias("correct")),
     "e13_focused_grid": lambda s, d: _rounded(fold_summary(fold_facts(held_out_scores(_v(s, d), FOCUSED))), "recipe", "folds"),
     "e14_guard": lambda s, d: s.createDataFrame([(guard_families(_v(s, d)),)], "families long"),
-    "r04_routed_comparison": lambda s, d: _rounded(routed_comparison(_v(s, d)), "family", "candidate"),
+    "r04_routed_comparison": lambda s, d: _rounded(_routed(s, d), "family", "prior", "seed", "method", "candidate", "gains", "losses"),
+    "a10_routed_summary": lambda s, d: _rounded(routed_summary(_routed(s, d)), "prior", "method", "gains", "losses"),
     "h03_logistic": lambda s, d: _head(s, ml_fit(ml_vectors(_v(s, d)), "logistic", C=0.05)),
     "h06_logistic_gd": lambda s, d: M._as_cells(s, *logistic_gd(_v(s, d), "v", "y")),
+    "h06_direction": lambda s, d: M._as_cells(s, (lambda w: w / np.linalg.norm(w))(logistic_gd(_v(s, d), "v", "y")[0]), 0.0).filter("i > 0"),
+    "h16_portable": lambda s, d: s.createDataFrame(list(portable_weights({r["source"]: r["weight"] for r in table(s, d, "mix_weights").collect()}, {r["source"] for r in table(s, d, "mix_weights").filter("max_repeats > 1").collect()}).items()), "source string, weight double").select("source", rd("weight").alias("weight")),
     "h08_elastic_net": lambda s, d: _head(s, ml_fit(ml_vectors(_v(s, d)), "logistic", C=1.0, l1_ratio=0.5)),
     "h09_svm": lambda s, d: _head(s, ml_fit(ml_vectors(_v(s, d)), "svm")),
     "h12_platt": lambda s, d: platt(_v(s, d)).agg(rd(F.avg("p"), 3).alias("mean_p"), F.count("*").alias("n")),
@@ -571,5 +738,6 @@ SQL = {
     "e06_configs": "SELECT * FROM (VALUES ('standard'), ('robust')) a(scaler), (VALUES (4), (8), (16)) b(k), (VALUES ('l2'), ('l1'), ('svm')) c(probe)",
     "e11_score_map": "SELECT CAST(vec_id % 4 AS VARCHAR) AS layer, CAST(label >= 5 AS INTEGER) AS y, round(avg(list_sum(CAST(embedding AS DOUBLE[]))), 6) AS mean_total FROM embeddings GROUP BY 1, 2",
     "e12_predictions": f"WITH {VECTORS_SQL} SELECT vec_id, round(1 / (1 + exp(-v[1])), 6) AS p, CAST(1 / (1 + exp(-v[1])) >= 0.5 AS INTEGER) = y AS correct FROM vec",
+    "h16_portable": "SELECT source, round(weight / sum(weight) OVER (), 6) AS weight FROM mix_weights WHERE max_repeats > 1",
     "e14_guard": f"WITH {VECTORS_SQL} SELECT count(DISTINCT family) AS families FROM vec",
 }

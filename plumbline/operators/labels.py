@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions.vectors import finite
+from plumbline.plans.ranking import exact_percentiles
 from plumbline.plans.tables import CORPUS_SQL, canon_sql, harmonized, rd, strip_sql, table
 
 
@@ -38,11 +39,16 @@ def concepts(df: DataFrame, key: str, text: str) -> DataFrame:
     n = F.char_length(text)
     share = F.char_length(F.regexp_replace(text, "[^A-Z]", "")) / F.greatest(F.lit(1), n)
     rows = df.filter(F.col(text).isNotNull()).select(key, F.contains(text, F.lit("?")).cast("int").alias("question"), F.col(text).rlike("[0-9]").cast("int").alias("digit"), n.alias("n"), share.alias("share"))
-    middle = rows.agg(F.percentile("n", 0.5).alias("n_mid"), F.percentile("share", 0.5).alias("share_mid"))
+    middle = exact_percentiles(rows, [], F.col("n"), {"n_mid": 0.5}).crossJoin(exact_percentiles(rows, [], F.col("share"), {"share_mid": 0.5}))
     # one row of two numbers
     return rows.crossJoin(F.broadcast(middle)).select(key, "question", "digit", (F.col("n") > F.col("n_mid")).cast("int").alias("long"), (F.col("share") > F.col("share_mid")).cast("int").alias("capitals"))
 
 
+def of_layers(df: DataFrame, layer: str, wanted: list[int]) -> DataFrame:
+    """Rows of the wanted layers; those of no layer are left out."""
+    return df.filter(F.col(layer).isin(wanted))
+
+
 def varying(df: DataFrame, names: list[str]) -> DataFrame:
     """Those columns that aren't constant: (name, positives, rows)."""
     one = df.agg(*(F.struct(F.min(n).alias("a"), F.max(n).alias("b"), F.sum(n).alias("s"), F.count(n).alias("c")).alias(n) for n in names))
@@ -100,7 +106,7 @@ QUERIES = {
     "label_p09_one_vs_normal": lambda s, d: table(s, d, "events").select("event_id", (F.col("event_type") != "view").cast("int").alias("y")),
     "label_p10_length": lambda s, d: table(s, d, "corpus").filter(F.char_length(T.stripped("text")).between(3, 2000)).select("row_id"),
     "label_p11_non_empty": lambda s, d: table(s, d, "corpus").filter(T.canonical("text") != "").select("row_id"),
-    "label_p12_layer": lambda s, d: table(s, d, "embeddings").withColumn("layer", (F.col("vec_id") % 4).cast("int")).filter("layer = 2").select("vec_id", "layer", "label"),
+    "label_p12_layer": lambda s, d: of_layers(table(s, d, "embeddings").withColumn("layer", F.col("label")), "layer", [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]).select("vec_id", "layer", "label"),
     "label_p13_family": lambda s, d: harmonized(s, d).groupBy("family", "source").agg(F.count("*").alias("n")),
     "label_p14_without_families": lambda s, d: harmonized(s, d).filter(~F.col("family").isin("ambergroup", "deltabase")).groupBy("source").agg(F.count("*").alias("n")),
     "label_p15_concepts": lambda s, d: concepts(table(s, d, "corpus"), "row_id", "text"),
@@ -124,7 +130,7 @@ SQL = {
     "label_p09_one_vs_normal": "SELECT event_id, CAST(event_type <> 'view' AS INTEGER) AS y FROM events",
     "label_p10_length": f"SELECT row_id FROM corpus WHERE length({strip_sql('text')}) BETWEEN 3 AND 2000",
     "label_p11_non_empty": f"SELECT row_id FROM corpus WHERE {canon_sql('text')} <> ''",
-    "label_p12_layer": "SELECT vec_id, CAST(vec_id % 4 AS INTEGER) AS layer, label FROM embeddings WHERE vec_id % 4 = 2",
+    "label_p12_layer": "SELECT vec_id, label AS layer, label FROM embeddings WHERE label BETWEEN 0 AND 9",
     "label_p13_family": f"WITH {CORPUS_SQL} SELECT family, source, count(*) AS n FROM base GROUP BY 1, 2",
     "label_p14_without_families": f"WITH {CORPUS_SQL} SELECT source, count(*) AS n FROM base WHERE family NOT IN ('ambergroup', 'deltabase') GROUP BY 1",
     "label_p15_concepts": f"WITH {_CONCEPTS} SELECT * FROM con",

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
+from plumbline.plans.ranking import exact_percentiles
 from plumbline.plans.tables import VECTORS_SQL, rd, table, vectors
 
 #: The named transforms of a recipe grid: row scaling, kind of standardizing, components removed.
@@ -24,9 +26,90 @@ def cells(df: DataFrame, vec: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(F.col(vec).cast("array<double>")).alias("i", "x")).withColumn("i", F.col("i") + 1)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """A list column of these arrays, without making numbers of Python out of them."""
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0)))
+
+
+def _rows_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a column as rows, short ones filled up with 0, and where there is a number."""
+    n = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    known = ~flat.is_null().to_numpy(zero_copy_only=False)
+    values = np.where(known, flat.to_numpy(zero_copy_only=False), 0.0)
+    d = int(n.max(initial=0))
+    if (n == d).all():
+        return values.reshape(len(n), d), known.reshape(len(n), d)
+    there = np.arange(d) < n[:, None]
+    x, has = np.zeros((len(n), d)), np.zeros((len(n), d), bool)
+    x[there], has[there] = values, known
+    return x, has
+
+
+def _widened(x: np.ndarray, d: int) -> np.ndarray:
+    return x if len(x) >= d else np.concatenate([x, np.zeros(d - len(x))])
+
+
+def _merged(a: list, b: list) -> list:
+    """Counts, means and sums of squared deviations of two sets of rows together."""
+    d = max(len(a[0]), len(b[0]))
+    (n, m, q), (k, w, r) = ([_widened(x, d) for x in y] for y in (a, b))
+    total = np.maximum(n + k, 1)
+    gap = w - m
+    return [n + k, m + gap * k / total, q + r + gap * gap * n * k / total]
+
+
+def _partial_moments(df: DataFrame, vec: str, by: tuple[str, ...]) -> DataFrame:
+    """(by, n, mean, dev): arrays over the dimensions. A task sends one row for each group it meets, and
+    these are merged in two steps, so no vector is ever taken apart into rows."""
+    src = df.select(*by, F.col(vec).cast("array<double>").alias("__v")).filter("__v is not null")
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__v"), "n array<double>, mean array<double>, dev array<double>"])
+    types: dict[str, pa.DataType] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[tuple, list] = {}
+        for b in batches:
+            types.update({k: b.schema.field(k).type for k in by})
+            x, has = _rows_of(b.column("__v"))
+            rows: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(*(b.column(k).to_pylist() for k in by)) if by else [()] * b.num_rows):
+                rows.setdefault(k, []).append(i)
+            for k, at in rows.items():
+                z, h = x[at], has[at]
+                n = h.sum(0).astype(float)
+                mean = np.where(h, z, 0).sum(0) / np.maximum(n, 1)
+                one = [n, mean, np.where(h, (z - mean) ** 2, 0).sum(0)]
+                got[k] = _merged(got[k], one) if k in got else one
+        if got:
+            yield _moment_rows(got, by, types)
+
+    def add(t: pa.Table) -> pa.Table:
+        total = None
+        columns = [t.column(c).combine_chunks() for c in ("n", "mean", "dev")]
+        for i in range(t.num_rows):
+            one = [c[i].values.to_numpy(zero_copy_only=False) for c in columns]
+            total = one if total is None else _merged(total, one)
+        kept = {c: t.schema.field(c).type for c in t.schema.names if c not in ("n", "mean", "dev")}
+        return pa.Table.from_batches([_moment_rows({tuple(t.column(c)[0].as_py() for c in kept): total}, tuple(kept), kept)])
+
+    part = src.mapInArrow(run, ddl).withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(32)))
+    first = part.select(*by, "__salt", "n", "mean", "dev").groupBy(*by, "__salt").applyInArrow(add, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__v"), "`__salt` int, n array<double>, mean array<double>, dev array<double>"]))
+    return first.drop("__salt").groupBy(*by).applyInArrow(add, ddl)
+
+
+def _moment_rows(got: dict[tuple, list], by: tuple[str, ...], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = [pa.array([k[j] for k in got], types[c]) for j, c in enumerate(by)]
+    columns += [_lists([v[j] for v in got.values()]) for j in range(3)]
+    return pa.RecordBatch.from_arrays(columns, names=[*by, "n", "mean", "dev"])
+
+
 def dim_moments(df: DataFrame, vec: str, *by: str) -> DataFrame:
     """(by, i, n, mean, var, sd) with population variance."""
-    return cells(df, vec, *by).groupBy(*by, "i").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.stddev_pop("x").alias("sd"))
+    m = _partial_moments(df, vec, by).select(*by, F.posexplode(F.arrays_zip("n", "mean", "dev")).alias("i", "c"))
+    some = F.col("c.n") > 0
+    var = F.when(some, F.col("c.dev") / F.col("c.n"))
+    return m.select(*by, (F.col("i") + 1).alias("i"), F.col("c.n").cast("long").alias("n"), F.when(some, F.col("c.mean")).alias("mean"), var.alias("var"), F.sqrt(var).alias("sd"))
 
 
 def center_and_scale(df: DataFrame, vec: str, *by: str) -> DataFrame:
@@ -37,7 +120,8 @@ def center_and_scale(df: DataFrame, vec: str, *by: str) -> DataFrame:
 
 def standardize(df: DataFrame, vec: str, moments: DataFrame, *by: str) -> DataFrame:
     """`df` with `vec` centred and scaled by the (one-row, or one row for each `by`) moments."""
-    joined = df.join(F.broadcast(moments), list(by)) if by else df.crossJoin(F.broadcast(moments))
+    # one row of 2 d numbers is handed to all tasks; those of groups are joined as their size asks
+    joined = df.join(moments, list(by)) if by else df.crossJoin(F.broadcast(moments))
     return joined.withColumn(vec, V.standardized(vec, "center", "scale")).drop("center", "scale")
 
 
@@ -70,16 +154,26 @@ def gram(df: DataFrame, vec: str, *by: str) -> DataFrame:
             ks = list(total)
             cols = [pa.array([k[j] for k in ks], types[j]) for j in range(len(by))]
             cols += [pa.array([total[k][0] for k in ks], pa.int64())]
-            cols += [pa.array([total[k][1].tolist() for k in ks], pa.list_(pa.float64())), pa.array([total[k][2].ravel().tolist() for k in ks], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*by, "n", "s", "g"])
-
-    part = src.mapInArrow(run, ddl)
-    # element-wise sums of the partial arrays: as many rows as tasks and groups
-    n = part.groupBy(*by).agg(F.sum("n").alias("n"))
-    s = part.select(*by, F.posexplode("s").alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("x")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s"))
-    g = part.select(*by, F.posexplode("g").alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("x")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("g"))
-    out = n.join(s, list(by)).join(g, list(by)) if by else n.crossJoin(s).crossJoin(g)
-    return out.select(*by, "n", F.transform("s", lambda c: c["x"]).alias("s"), F.transform("g", lambda c: c["x"]).alias("g"))
+            cols += [_lists([total[k][j].ravel() for k in ks]) for j in (1, 2)]
+            out = pa.RecordBatch.from_arrays(cols, names=[*by, "n", "s", "g"])
+            yield from (out.slice(i, 1) for i in range(len(ks)))
+
+    def add(t: pa.Table) -> pa.Table:
+        columns = [pa.array([sum(t.column("n").to_pylist())], pa.int64())]
+        for c in ("s", "g"):
+            columns.append(_lists([t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).sum(0)]))
+        kept = [c for c in t.schema.names if c not in ("n", "s", "g")]
+        return pa.table([*(t.column(c).slice(0, 1).combine_chunks() for c in kept), *columns], names=[*kept, "n", "s", "g"])
+
+    # the tasks' sums are added up whole, in two steps, so no cell of a matrix becomes a row
+    part = src.mapInArrow(run, ddl).withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(32)))
+    salted = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__v"), "`__salt` int, n long, s array<double>, g array<double>"])
+    out = part.select(*by, "__salt", "n", "s", "g").groupBy(*by, "__salt").applyInArrow(add, salted).drop("__salt").groupBy(*by).applyInArrow(add, ddl)
+    if by:
+        return out
+    one = df.sparkSession.range(1).select(F.lit(0).alias("__one"))
+    none = F.array().cast("array<double>")
+    return one.join(out.withColumn("__one", F.lit(0)), "__one", "left").select("n", F.coalesce("s", none).alias("s"), F.coalesce("g", none).alias("g"))
 
 
 class ClassStats:
@@ -128,17 +222,25 @@ class ClassStats:
 
     @classmethod
     def of(cls, df: DataFrame, vec: str = "v", y: str = "y") -> ClassStats:
-        return cls([(r[y], r["n"], np.array(r["s"]), np.array(r["g"])) for r in gram(df, vec, y).collect()])
+        return cls([(k[0], *rest) for k, *rest in _statistics(df, vec, y)])
 
     @classmethod
     def by(cls, df: DataFrame, group: str, vec: str = "v", y: str = "y") -> dict[str, ClassStats]:
-        """For each value of a small column, in one pass."""
+        """For each value of a small column, in one pass: groups x classes x d^2 numbers."""
         got: dict[str, list] = {}
-        for r in gram(df, vec, group, y).collect():
-            got.setdefault(r[group], []).append((r[y], r["n"], np.array(r["s"]), np.array(r["g"])))
+        for (k, label), *rest in _statistics(df, vec, group, y):
+            got.setdefault(k, []).append((label, *rest))
         return {k: cls(v) for k, v in got.items()}
 
 
+def _statistics(df: DataFrame, vec: str, *by: str) -> Iterator[tuple]:
+    """(key, n, s, g) of each group, the sums as arrays."""
+    t = gram(df, vec, *by).toArrow().combine_chunks()
+    keys = list(zip(*(t.column(c).to_pylist() for c in by)))
+    for i, k in enumerate(keys):
+        yield k, t.column("n")[i].as_py(), *(t.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("s", "g"))
+
+
 def _head(w: np.ndarray, stats: ClassStats) -> tuple[np.ndarray, float]:
     return w, float(-w @ (stats.means[0] + stats.means[1]) / 2)
 
@@ -234,7 +336,7 @@ def transform(df: DataFrame, name: str, vec: str = "v", moments: DataFrame | Non
 
 def anova_f(df: DataFrame, vec: str, y: str) -> DataFrame:
     """(i, f): the F statistic of each dimension between classes, from class sums."""
-    per = cells(df, vec, y).groupBy(y, "i").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    per = dim_moments(df, vec, y).filter("n > 0").select(y, "i", "n", (F.col("mean") * F.col("n")).alias("s"), ((F.col("var") + F.col("mean") * F.col("mean")) * F.col("n")).alias("q"))
     agg = per.groupBy("i").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     between = (F.col("b") - F.col("s") * F.col("s") / F.col("n")) / (F.col("k") - 1)
     within = (F.col("q") - F.col("b")) / (F.col("n") - F.col("k"))
@@ -245,7 +347,7 @@ def binned_information(df: DataFrame, vec: str, y: str, bins: int = 16) -> DataF
     """(i, mi): mutual information of each dimension, cut into equal bins of its range, with the class."""
     c = cells(df, vec, y)
     edge = c.groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    joined = c.join(F.broadcast(edge), "i")
+    joined = c.join(F.broadcast(edge), "i")  # d rows
     b = F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))), F.lit(0.0)) * bins))
     n = joined.groupBy("i", b.alias("b"), y).agg(F.count("*").alias("n"))
     total = n.groupBy("i").agg(F.sum("n").alias("t"))
@@ -257,7 +359,7 @@ def binned_information(df: DataFrame, vec: str, y: str, bins: int = 16) -> DataF
 
 def robust_moments(df: DataFrame, vec: str) -> DataFrame:
     """(center, scale): medians and interquartile ranges as vectors; a range of 0 counts as 1."""
-    m = cells(df, vec).groupBy("i").agg(F.percentile("x", 0.5).alias("c"), (F.percentile("x", 0.75) - F.percentile("x", 0.25)).alias("q"))
+    m = exact_percentiles(cells(df, vec), ["i"], F.col("x"), {"c": 0.5, "hi": 0.75, "lo": 0.25}).select("i", "c", (F.col("hi") - F.col("lo")).alias("q"))
     one = m.agg(F.sort_array(F.collect_list(F.struct("i", "c", "q"))).alias("m"))  # one entry for each dimension
     return one.select(F.transform("m", lambda r: r["c"]).alias("center"), F.transform("m", lambda r: F.when(r["q"] > 0, r["q"]).otherwise(1.0)).alias("scale"))
 

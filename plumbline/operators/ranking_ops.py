@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators.sampling import QUERIES as SAMPLING
 from plumbline.operators.sampling import SQL as SAMPLING_SQL
-from plumbline.plans.ranking import running_by_value
+from plumbline.plans.ranking import running_by_value, spaced_percentiles
 from plumbline.plans.tables import VECTORS_SQL, correlation, first_by, rd, table, vectors
 
 PRIOR = 12 / 17
@@ -110,6 +110,18 @@ def harmonic(*metrics: Column, floor: float = 1e-6) -> Column:
     return F.lit(float(len(metrics))) / total
 
 
+def metric_score(df: DataFrame, group: list[str], p: str, y: str, threshold: float = 0.5) -> DataFrame:
+    """(group, auroc, ap, balanced, f1, mcc, quality) of probabilities: quality is the harmonic mean of area,
+    average precision, balanced accuracy, F1 and the Matthews correlation brought to 0..1, the last
+    three at the threshold. Null where a class is missing."""
+    at = class_metrics(confusion(df.withColumn("__pred", (F.col(p) >= threshold).cast("int")), group, y, "__pred")).select(*group, "balanced", "f1", "mcc")
+    ar, ap = area(df, group, p, y), average_precision(df, group, p, y)
+    joined = _attach(_attach(at, ar, group), ap, group)
+    parts = [F.col("auroc"), F.col("ap"), F.col("balanced"), F.col("f1"), (F.col("mcc") + 1) / 2]
+    # greatest() passes over nulls, which are no metric of 0
+    return joined.withColumn("quality", F.when(F.col("auroc").isNotNull() & F.col("ap").isNotNull(), harmonic(*parts)))
+
+
 def grid_counts(df: DataFrame, score: str, y: str, cuts: list[float]) -> DataFrame:
     """(cut, tp, fp, fn, tn) of scores at or above each cut: rows are counted between cuts, then the
     counts are summed over the cuts, a table as long as the grid."""
@@ -124,10 +136,9 @@ def grid_counts(df: DataFrame, score: str, y: str, cuts: list[float]) -> DataFra
 
 
 def best_threshold(df: DataFrame, score: str, y: str, quantiles: int, prior: float | None = None) -> DataFrame:
-    """(cut, accuracy): the best of evenly spaced quantiles of the score and one half, the first of
-    equals. With a prior, classes are weighted to it."""
-    probes = [(k + 1) / (quantiles + 1) for k in range(quantiles)]
-    cuts = df.agg(F.percentile(score, probes).alias("c")).first()["c"] or []
+    """(cut, accuracy): the best of evenly spaced quantiles of the score, from 1 to 99 per cent, and one
+    half, the first of equals. With a prior, classes are weighted to it."""
+    cuts = spaced_percentiles(df, score, 0.01, 0.99, quantiles)
     c = grid_counts(df, score, y, sorted({*cuts, 0.5}))
     n, p = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), F.col("tp") + F.col("fn")
     a, b = (F.lit(1.0), F.lit(1.0)) if prior is None else (prior / (p / n), (1 - prior) / (1 - p / n))
@@ -237,7 +248,7 @@ QUERIES = {
     "m03_oracle": lambda s, d: best_cut(scored(s, d), [], "other", "vec_id", "y").select(rd("oracle").alias("oracle")),
     "m05_average_precision": lambda s, d: average_precision(scored(s, d), ["family"], "score", "y").select("family", rd("ap").alias("ap")),
     "m05_class_metrics": lambda s, d: class_metrics(confusion(_with_quota(s, d), ["family"], "y", "pred")).select("family", *(rd(c).alias(c) for c in ("accuracy", "balanced", "precision", "recall", "f1", "mcc"))),
-    "m06_harmonic": lambda s, d: class_metrics(confusion(_with_quota(s, d), ["family"], "y", "pred")).select("family", rd(harmonic(F.col("accuracy"), F.col("balanced"), F.col("f1"), (F.col("mcc") + 1) / 2)).alias("harmonic")),
+    "m06_harmonic": lambda s, d: metric_score(scored(s, d).withColumn("q", F.round("p", 9)), ["family"], "q", "y").select("family", rd("quality").alias("harmonic")),
     "m07_best_threshold": lambda s, d: best_threshold(scored(s, d), "p", "y", 199).select(rd("cut").alias("cut"), rd("accuracy").alias("accuracy")),
     "m08_prior_threshold": lambda s, d: best_threshold(scored(s, d), "p", "y", 399, PRIOR).select(rd("cut").alias("cut"), rd("accuracy").alias("accuracy")),
     "m09_composite_threshold": lambda s, d: composite_threshold(scored(s, d), "p", "y").select(rd("cut").alias("cut"), rd("value").alias("value")),
@@ -251,7 +262,7 @@ QUERIES = {
     "c13_baselines": lambda s, d: scored(s, d).agg(F.avg(F.col("y").cast("double")).alias("r")).select(rd("r").alias("all_positive"), rd(2 * F.col("r") * F.col("r") - 2 * F.col("r") + 1).alias("random_quota")),
 }
 
-_GRID = """g AS (SELECT DISTINCT cut FROM (SELECT unnest(list_append(quantile_cont(p, list_transform(range(1, {k}), lambda i: i / {k}.0::DOUBLE)), 0.5)) AS cut FROM sc)),
+_GRID = """g AS (SELECT DISTINCT cut FROM (SELECT unnest(list_append(quantile_cont(p, list_transform(range(0, {k}), lambda i: 0.01::DOUBLE + i * 0.98::DOUBLE / ({k} - 1))), 0.5)) AS cut FROM sc)),
 c AS (SELECT cut, count(*) FILTER (WHERE y = 1 AND p >= cut)::DOUBLE AS tp, count(*) FILTER (WHERE y = 0 AND p < cut)::DOUBLE AS tn, count(*) AS n, count(*) FILTER (WHERE y = 1)::DOUBLE AS pos FROM sc, g GROUP BY 1)"""
 SQL = {
     "w01_average_ranks": f"WITH {_S} SELECT vec_id, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0)::DOUBLE AS rank FROM sc",
@@ -274,9 +285,9 @@ SQL = {
     "m03_oracle": f"WITH {_S}, r AS (SELECT sum(CASE WHEN y = 0 THEN 1 ELSE -1 END) OVER (ORDER BY other, vec_id ROWS UNBOUNDED PRECEDING) AS m, y FROM sc) SELECT round((greatest(max(m), 0) + sum(y))::DOUBLE / count(*), 6) AS oracle FROM r",
     "m05_average_precision": f"WITH {_S}, t AS (SELECT family, score, count(*) AS n, sum(y) AS pos FROM sc GROUP BY 1, 2), u AS (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp, sum(pos) OVER (PARTITION BY family) AS P FROM t WINDOW w AS (PARTITION BY family ORDER BY score DESC)) SELECT family, round(CASE WHEN max(P) > 0 THEN sum(pos * cp::DOUBLE / cn) / max(P) END, 6) AS ap FROM u GROUP BY 1",
     "m05_class_metrics": f"WITH {_QUOTA}, cf AS (SELECT family, {_CONF.format(p='pred')} FROM qu GROUP BY 1), me AS (SELECT family, {_MET} FROM cf) SELECT family, round(accuracy, 6) AS accuracy, round(balanced, 6) AS balanced, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(mcc, 6) AS mcc FROM me",
-    "m06_harmonic": f"WITH {_QUOTA}, cf AS (SELECT family, {_CONF.format(p='pred')} FROM qu GROUP BY 1), me AS (SELECT family, {_MET} FROM cf) SELECT family, round(4 / (1 / greatest(accuracy, 1e-6) + 1 / greatest(balanced, 1e-6) + 1 / greatest(f1, 1e-6) + 1 / greatest((mcc + 1) / 2, 1e-6)), 6) AS harmonic FROM me",
-    "m07_best_threshold": f"WITH {_S}, {_GRID.format(k=200)} SELECT round(cut, 6) AS cut, round((tp + tn) / n, 6) AS accuracy FROM c ORDER BY round((tp + tn) / n, 12) DESC, c.cut LIMIT 1",
-    "m08_prior_threshold": f"WITH {_S}, {_GRID.format(k=400)}, x AS (SELECT cut AS ct, (12::DOUBLE / 17 / (pos / n) * tp + (1 - 12::DOUBLE / 17) / (1 - pos / n) * tn) / n AS acc FROM c) SELECT round(ct, 6) AS cut, round(acc, 6) AS accuracy FROM x ORDER BY round(acc, 12) DESC, ct LIMIT 1",
+    "m06_harmonic": f"WITH {_S}, sq AS (SELECT *, round(p, 9) AS q FROM sc), cf AS (SELECT family, count(*) FILTER (WHERE y = 1 AND q >= 0.5)::DOUBLE AS tp, count(*) FILTER (WHERE y = 0 AND q >= 0.5)::DOUBLE AS fp, count(*) FILTER (WHERE y = 1 AND q < 0.5)::DOUBLE AS fn, count(*) FILTER (WHERE y = 0 AND q < 0.5)::DOUBLE AS tn FROM sq GROUP BY 1), me AS (SELECT family, {_MET} FROM cf), rk AS (SELECT *, {_RANK.format(by='family', s='q')} AS r FROM sq), ar AS (SELECT family, (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / nullif(count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0), 0) AS auroc FROM rk GROUP BY 1), t AS (SELECT family, q, count(*) AS n, sum(y) AS pos FROM sq GROUP BY 1, 2), u AS (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp, sum(pos) OVER (PARTITION BY family) AS P FROM t WINDOW w AS (PARTITION BY family ORDER BY q DESC)), ap AS (SELECT family, CASE WHEN max(P) > 0 THEN sum(pos * cp::DOUBLE / cn) / max(P) END AS ap FROM u GROUP BY 1) SELECT family, round(CASE WHEN auroc IS NULL OR ap IS NULL THEN NULL ELSE 5 / (1 / greatest(auroc, 1e-6) + 1 / greatest(ap, 1e-6) + 1 / greatest(balanced, 1e-6) + 1 / greatest(f1, 1e-6) + 1 / greatest((mcc + 1) / 2, 1e-6)) END, 6) AS harmonic FROM ar JOIN ap USING (family) JOIN me USING (family)",
+    "m07_best_threshold": f"WITH {_S}, {_GRID.format(k=199)} SELECT round(cut, 6) AS cut, round((tp + tn) / n, 6) AS accuracy FROM c ORDER BY round((tp + tn) / n, 12) DESC, c.cut LIMIT 1",
+    "m08_prior_threshold": f"WITH {_S}, {_GRID.format(k=399)}, x AS (SELECT cut AS ct, (12::DOUBLE / 17 / (pos / n) * tp + (1 - 12::DOUBLE / 17) / (1 - pos / n) * tn) / n AS acc FROM c) SELECT round(ct, 6) AS cut, round(acc, 6) AS accuracy FROM x ORDER BY round(acc, 12) DESC, ct LIMIT 1",
     "m09_composite_threshold": f"WITH {_S}, g AS (SELECT 0.15::DOUBLE + 0.7::DOUBLE * k / 280 AS cut FROM range(0, 281) t(k)), cf AS (SELECT cut AS ct, count(*) FILTER (WHERE y = 1 AND p >= cut)::DOUBLE AS tp, count(*) FILTER (WHERE y = 0 AND p >= cut)::DOUBLE AS fp, count(*) FILTER (WHERE y = 1 AND p < cut)::DOUBLE AS fn, count(*) FILTER (WHERE y = 0 AND p < cut)::DOUBLE AS tn FROM sc, g GROUP BY 1), me AS (SELECT ct, {_MET} FROM cf), v AS (SELECT ct, 0.4::DOUBLE * balanced + 0.3::DOUBLE * f1 + 0.3::DOUBLE * (mcc + 1) / 2 AS val FROM me) SELECT round(ct, 6) AS cut, round(val, 6) AS value FROM v ORDER BY round(val, 12) DESC, ct LIMIT 1",
     "m10_selection_score": f"WITH {_QUOTA}, cf AS (SELECT family, {_CONF.format(p='pred')} FROM qu GROUP BY 1), me AS (SELECT family, {_MET} FROM cf), rk AS (SELECT *, {_RANK.format(by='family', s='score')} AS r FROM sc), ar AS (SELECT family, (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / nullif(count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0), 0) AS auroc FROM rk GROUP BY 1), t AS (SELECT family, score, count(*) AS n, sum(y) AS pos FROM sc GROUP BY 1, 2), u AS (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp, sum(pos) OVER (PARTITION BY family) AS P FROM t WINDOW w AS (PARTITION BY family ORDER BY score DESC)), ap AS (SELECT family, CASE WHEN max(P) > 0 THEN sum(pos * cp::DOUBLE / cn) / max(P) END AS ap FROM u GROUP BY 1) SELECT family, round((auroc + ap + balanced) / 3, 6) AS value FROM ar JOIN ap USING (family) JOIN me USING (family)",
     "a25_confusion": f"WITH {_QUOTA} SELECT {_CONF.format(p='pred')} FROM qu",

@@ -9,6 +9,7 @@ from plumbline.functions import text as T
 from plumbline.operators import sampling as D
 from plumbline.operators.ranking_ops import _S as SCORED_SQL
 from plumbline.operators.ranking_ops import scored
+from plumbline.plans.ranking import exact_percentiles
 from plumbline.plans.tables import CORPUS_SQL, harmonized, rd, table
 
 
@@ -28,8 +29,12 @@ def profile(df: DataFrame, scanned: DataFrame) -> DataFrame:
 def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles without NaN."""
     v = known(value)
-    q = lambda p: rd(F.percentile(v, p))
-    return df.groupBy(*by).agg(F.count(v).alias("n"), rd(F.avg(v)).alias("mean"), rd(F.stddev_samp(v)).alias("sd"), rd(F.min(v)).alias("least"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), rd(F.max(v)).alias("most"))
+    flat = df.groupBy(*by).agg(F.count(v).alias("n"), rd(F.avg(v)).alias("mean"), rd(F.stddev_samp(v)).alias("sd"), rd(F.min(v)).alias("least"), rd(F.max(v)).alias("most"))
+    parts = exact_percentiles(df, list(by), v, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    on = F.lit(True)
+    for c in by:
+        on = on & flat[c].eqNullSafe(parts[c])
+    return flat.join(parts, on, "left").select(*(flat[c] for c in by), "n", "mean", "sd", "least", *(rd(c).alias(c) for c in ("q1", "median", "q3")), "most")
 
 
 def ratio_of_means(df: DataFrame, outer: str, inner: str, a: str, b: str) -> DataFrame:
@@ -110,8 +115,8 @@ QUERIES = {
     "a15_ratio_of_means": lambda s, d: ratio_of_means(_hyg(s, d).withColumn("p", F.col("pos").cast("double")).withColumn("q", F.col("neg").cast("double")), "source", "batch_id", "p", "q"),
     "a16_efficiency": lambda s, d: efficiency(scored(s, d), "family", "score", "other"),
     "a17_known_mean": lambda s, d: _votes(s, d).groupBy("kind").agg(rd(F.avg(known("score"))).alias("mean")),
-    "a18_quantiles": lambda s, d: _votes(s, d).agg(F.percentile(known("score"), [0.1, 0.5, 0.9]).alias("q")).select(*(rd(F.col("q")[k]).alias(n) for k, n in enumerate(("p10", "p50", "p90")))),
-    "a19_flag_rates": lambda s, d: scored(s, d).crossJoin(F.broadcast(scored(s, d).filter("y = 0").agg(F.percentile("other", 0.5).alias("thr")))).groupBy("family", "y").agg(rd(F.avg("other")).alias("mean"), rd(F.avg((F.col("other") > F.col("thr")).cast("double"))).alias("flagged")),
+    "a18_quantiles": lambda s, d: exact_percentiles(_votes(s, d), [], known("score"), {"p10": 0.1, "p50": 0.5, "p90": 0.9}).select(*(rd(n).alias(n) for n in ("p10", "p50", "p90"))),
+    "a19_flag_rates": lambda s, d: scored(s, d).crossJoin(F.broadcast(exact_percentiles(scored(s, d).filter("y = 0"), [], F.col("other"), {"thr": 0.5}))).groupBy("family", "y").agg(rd(F.avg("other")).alias("mean"), rd(F.avg((F.col("other") > F.col("thr")).cast("double"))).alias("flagged")),
     "a20_paired_differences": lambda s, d: paired_differences(scored(s, d), "source", "y", "score"),
     "a21_layer_rollup": lambda s, d: scored(s, d).groupBy("family").agg(rd(F.avg("score")).alias("mean"), rd(F.avg(F.abs("other"))).alias("mean_abs"), rd(F.max(F.abs("other"))).alias("max_abs"), rd(F.when(F.count("p") == F.count("*"), F.avg("p"))).alias("mean_p")),
     "a23_log_log_fit": lambda s, d: log_log_fit(_hyg(s, d), "action", "n", "kept_rows"),

@@ -77,6 +77,46 @@ def stratified_counts(df: DataFrame, y: str, cap: int) -> DataFrame:
     return c.withColumn("want", F.greatest(F.lit(1), F.bround(F.lit(cap) * F.col("n") / total).cast("long")))
 
 
+def stratified_rows(df: DataFrame, y: str, cap: int, order: str, tie: str) -> DataFrame:
+    """The rows of `stratified_counts`: of each class the first in hash order. No cap below the number
+    of rows takes any off."""
+    want = stratified_counts(df, y, cap).select(F.col(y).alias("__y"), "want")
+    ranked = hex_rank(df, [y], order, tie)
+    return ranked.join(want, ranked[y].eqNullSafe(want["__y"])).filter(F.col("nth") <= F.col("want")).select(*df.columns)
+
+
+#: Groups whose class counts the greedy assignment holds at once.
+MOST_GROUPS = 1_000_000
+
+
+def greedy_group_folds(df: DataFrame, group: str, y: str, k: int = 5) -> DataFrame:
+    """(group, n, fold): whole groups in folds, each in turn in the fold where the shares of the
+    classes then differ least between the folds, the group with the most uneven classes first; of equal
+    folds the one with fewer rows, then the first. Groups, one row each, are assigned on the driver,
+    as each choice depends on all before; more than MOST_GROUPS are refused."""
+    import numpy as np
+
+    per = class_counts(df, [group], y)
+    if per.limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups; group_folds takes any number")
+    rows = [(r[group], np.array([r["N"], r["P"]], float)) for r in per.collect()]
+    whole = sum((c for _, c in rows), np.zeros(2))
+    whole[whole == 0] = 1
+    folds = np.zeros((k, 2))
+    out = []
+    for name, c in sorted(rows, key=lambda r: (-float(np.std(r[1])), -float(r[1].sum()), str(r[0]))):
+        def after(f: int, c=c) -> tuple[float, float, int]:
+            trial = folds.copy()
+            trial[f] += c
+            return round(float(np.mean(np.std(trial / whole, axis=0))), 12), float(folds[f].sum()), f
+
+        best = min(range(k), key=after)
+        folds[best] += c
+        out.append((name, int(c.sum()), best))
+    kind = df.schema[group].dataType.simpleString()
+    return df.sparkSession.createDataFrame(out, f"`{group}` {kind}, n long, fold int")
+
+
 def held_out(df: DataFrame, family: str, y: str, least_test: int, least_train: int) -> DataFrame:
     """Sizes of the leave-one-family-out folds in one pass: a fold's training rows are the total
     less the family's. Folds with too few rows are left out."""
@@ -150,7 +190,7 @@ def minimal_pairs(subjects: DataFrame, words: DataFrame, spurious: float, seed:
     """Prompt pairs that differ in one word, with a confounding mark that agrees with the label in
     a given share: (subject, word, y, mark, prompt)."""
     y = F.explode(F.array(F.lit(0), F.lit(1))).alias("y")
-    rows = subjects.crossJoin(F.broadcast(words)).select("subject", "word", y)
+    rows = subjects.crossJoin(words).select("subject", "word", y)
     draw = F.conv(F.substring(T.seeded(seed, F.concat_ws("/", "subject", "word", F.col("y").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     agrees = draw < spurious
     mark = F.when(agrees, F.col("y")).otherwise(1 - F.col("y"))
@@ -243,6 +283,7 @@ QUERIES = {
     "d07_clean_report": lambda s, d: clean_counts(_lab(s, d), "source", "label", LEAST, 0.5).select("source", "P", "N", "want_pos", "want_neg", "action"),
     "d07_clean_rows": lambda s, d: take(_lab(s, d), clean_counts(_lab(s, d), "source", "label", LEAST, 0.5), ["source"], "label", "key", "row_id").select("row_id", "source", "label"),
     "d08_stratified_cap": lambda s, d: stratified_counts(_lab(s, d).withColumn("grp", F.col("family")), "grp", 200),
+    "d08_stratified_rows": lambda s, d: stratified_rows(_vec(s, d), "family", 200, "o", "vec_id").select("vec_id", "family"),
     "d09_prior_counts": lambda s, d: prior_counts(_vec(s, d), ["family"], "y", PRIOR).select("family", "P", "N", "size", "want_pos", "want_neg"),
     "d09_prior_rows": lambda s, d: take(_vec(s, d), prior_counts(_vec(s, d), ["family"], "y", PRIOR), ["family"], "y", "o", "vec_id").select("vec_id", "family", "y"),
     "d10_held_out_folds": lambda s, d: held_out(_vec(s, d), "family", "y", 20, 100),
@@ -252,9 +293,11 @@ QUERIES = {
     "d14_balanced_sample": lambda s, d: take(_vec(s, d), s.createDataFrame([(40, 40)], "want_pos long, want_neg long"), [], "y", "o", "vec_id").select("vec_id", "y"),
     "d15_folds": lambda s, d: folds(_vec(s, d), "y", "o", "vec_id").select("vec_id", "fold"),
     "d15_group_folds": lambda s, d: group_folds(_vec(s, d), "source"),
+    "d15_greedy_folds": lambda s, d: greedy_group_folds(_vec(s, d), "source", "y"),
+    "d16_tuning_rows": lambda s, d: stratified_rows(_vec(s, d), "y", 100, "o", "vec_id").select("vec_id", "y"),
     "d16_tuning_cap": lambda s, d: stratified_counts(_vec(s, d), "y", 100),
     "d17_crosstab": lambda s, d: crosstab(take(_vec(s, d), s.createDataFrame([(50, 50)], "want_pos long, want_neg long"), [], "y", "o", "vec_id"), "family", "y"),
-    "d18_bootstrap": lambda s, d: _quality_means(s, d, 20),
+    "d18_bootstrap": lambda s, d: _quality_means(s, d, REPS),
     "d18_bootstrap_whole": lambda s, d: _quality_means(s, d, REPS),
     "d19_permuted_labels": lambda s, d: permuted(_vec(s, d), "y", "vec_id", "41"),
     "d20_minimal_pairs": lambda s, d: minimal_pairs(table(s, d, "source_dim").select(T.cleaned("name").alias("subject")).distinct(), table(s, d, "source_dim").select(T.cleaned("note").alias("word")).dropna().distinct(), 0.85, "5"),
@@ -273,6 +316,7 @@ SQL = {
     "d07_clean_report": f"WITH {_CLEAN} SELECT source, P, N, CAST(want_pos AS BIGINT) AS want_pos, CAST(want_neg AS BIGINT) AS want_neg, CASE WHEN bad THEN 'dropped' WHEN want_pos = P AND want_neg = N THEN 'kept' ELSE 'rebalanced' END AS action FROM cln",
     "d07_clean_rows": f"WITH {_CLEAN} SELECT row_id, source, label FROM (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY key, row_id) AS r FROM lab) JOIN cln USING (source) WHERE r <= CASE WHEN label = 1 THEN want_pos ELSE want_neg END",
     "d08_stratified_cap": f"WITH {_LAB} SELECT family AS grp, count(*) AS n, greatest(1, CAST(round_even(200 * count(*) / (sum(count(*)) OVER ())::DOUBLE, 0) AS BIGINT)) AS want FROM lab GROUP BY 1",
+    "d08_stratified_rows": f"WITH {_VEC}, w AS (SELECT family AS c, greatest(1, CAST(round_even(200 * count(*) / (sum(count(*)) OVER ())::DOUBLE, 0) AS BIGINT)) AS want FROM vo GROUP BY 1) SELECT vec_id, family FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY o, vec_id) AS r FROM vo) t JOIN w ON w.c = t.family WHERE r <= want",
     "d09_prior_counts": f"WITH {_PRI} SELECT family, P, N, size, want_pos, want_neg FROM pri",
     "d09_prior_rows": f"WITH {_PRI} SELECT vec_id, family, y FROM (SELECT *, row_number() OVER (PARTITION BY family, y ORDER BY o, vec_id) AS r FROM vo) JOIN pri USING (family) WHERE r <= CASE WHEN y = 1 THEN want_pos ELSE want_neg END",
     "d10_held_out_folds": f"WITH {_VEC} SELECT * FROM (SELECT family AS held, count(*) AS n_test, count(*) FILTER (WHERE y = 1) AS pos_test, CAST(sum(count(*)) OVER () - count(*) AS BIGINT) AS n_train, CAST(sum(count(*) FILTER (WHERE y = 1)) OVER () - count(*) FILTER (WHERE y = 1) AS BIGINT) AS pos_train FROM vo GROUP BY 1) WHERE n_test >= 20 AND n_train >= 100",
@@ -284,9 +328,10 @@ SQL = {
     "d14_balanced_sample": f"WITH {_VEC} {_NTH.format(cols='vec_id, y', by='y')} WHERE r <= 40",
     "d15_folds": f"WITH {_VEC}, k AS (SELECT greatest(2, least(5, min(n))) AS k FROM (SELECT count(*) AS n FROM vo GROUP BY y)) SELECT vec_id, CAST((row_number() OVER (PARTITION BY y ORDER BY o, vec_id) - 1) % k AS INTEGER) AS fold FROM vo, k",
     "d15_group_folds": f"WITH {_VEC} SELECT source, n, CAST(CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS INTEGER) AS fold FROM (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) - 1 AS p FROM vo GROUP BY 1)",
+    "d16_tuning_rows": f"WITH {_VEC}, w AS (SELECT y AS c, greatest(1, CAST(round_even(100 * count(*) / (sum(count(*)) OVER ())::DOUBLE, 0) AS BIGINT)) AS want FROM vo GROUP BY 1) SELECT vec_id, y FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY o, vec_id) AS r FROM vo) t JOIN w ON w.c = t.y WHERE r <= want",
     "d16_tuning_cap": f"WITH {_VEC} SELECT y, count(*) AS n, greatest(1, CAST(round_even(100 * count(*) / (sum(count(*)) OVER ())::DOUBLE, 0) AS BIGINT)) AS want FROM vo GROUP BY 1",
     "d17_crosstab": f"WITH {_VEC} SELECT family, y, count(*) AS n, CAST(grouping(family, y) AS BIGINT) AS gid FROM ({_NTH.format(cols='*', by='y')} WHERE r <= 50) GROUP BY CUBE (family, y)",
-    "d18_bootstrap": "WITH q AS (SELECT doc_id, max(quality)::DOUBLE AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1), r AS (SELECT quality, row_number() OVER (ORDER BY sha1('b:' || doc_id), doc_id) AS nth, count(*) OVER () AS n FROM q), p AS (SELECT rep, CAST(concat('0x', substr(sha1('29:' || rep || '/' || nth), 1, 12)) AS UBIGINT) % n + 1 AS pick FROM r, range(1, 21) t(rep)) SELECT CAST(rep AS INTEGER) AS rep, round(avg(quality), 6) AS mean FROM p JOIN r ON r.nth = p.pick GROUP BY 1",
+    "d18_bootstrap": "WITH q AS (SELECT doc_id, max(quality)::DOUBLE AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1), r AS (SELECT quality, row_number() OVER (ORDER BY sha1('b:' || doc_id), doc_id) AS nth, count(*) OVER () AS n FROM q), p AS (SELECT rep, CAST(concat('0x', substr(sha1('29:' || rep || '/' || nth), 1, 12)) AS UBIGINT) % n + 1 AS pick FROM r, range(1, 301) t(rep)) SELECT CAST(rep AS INTEGER) AS rep, round(avg(quality), 6) AS mean FROM p JOIN r ON r.nth = p.pick GROUP BY 1",
     "d19_permuted_labels": f"WITH {_VEC} SELECT a.vec_id, a.y, b.y AS other FROM (SELECT vec_id, y, row_number() OVER (ORDER BY sha1('41a:' || vec_id), vec_id) AS n FROM vo) a JOIN (SELECT y, row_number() OVER (ORDER BY sha1('41b:' || vec_id), vec_id) AS n FROM vo) b USING (n)",
     "d20_minimal_pairs": """WITH s AS (SELECT DISTINCT """ + "nullif(lower(regexp_replace(name, '^\\s+|\\s+$', '', 'g')), '')" + """ AS subject FROM source_dim), w AS (SELECT DISTINCT lower(trim(note)) AS word FROM source_dim WHERE note IS NOT NULL AND trim(note) <> ''),
         r AS (SELECT *, CASE WHEN CAST(concat('0x', substr(sha1('5:' || subject || '/' || word || '/' || y), 1, 8)) AS UBIGINT)::DOUBLE / 4294967296 < 0.85 THEN y ELSE 1 - y END AS mark FROM s, w, (VALUES (0), (1)) v(y))

@@ -167,7 +167,7 @@ QUERIES = {
     "c04_score_combine": lambda s, d: combine(scored(s, d), {"score": 0.5, "other": 0.5}, "score").select("vec_id", rd("combined").alias("combined")),
     "c05_quota_decision": lambda s, d: quota(scored(s, d), ["source"], "other", "vec_id", PRIOR).groupBy("source").agg(F.sum("pred").alias("positives"), F.count("*").alias("n")),
     "c07_fixed_threshold": lambda s, d: combine(scored(s, d), {"score": 0.6, "other": 0.4}, "probability").select("vec_id", (F.col("combined") >= 0.5).cast("int").alias("pred")),
-    "c08_softmax": lambda s, d: _v(s, d).select("vec_id", rd(not_normal(F.slice("v", 1, 4), 2)).alias("p")),
+    "c08_softmax": lambda s, d: _v(s, d).select("vec_id", rd(not_normal(F.col("v"), 2)).alias("p")),
     "c09_width": lambda s, d: check_width(table(s, d, "bundle"), "embedding", 16),
     "c10_blend": lambda s, d: _blend(s, d).select("vec_id", rd("blend", 4).alias("blend")),
     "c11_tails_direction": lambda s, d: tails_direction(_v(s, d).withColumn("s0", F.col("v")[0]), "s0", "vec_id", "v", 60, 40).select("i", rd("w").alias("w")),
@@ -185,7 +185,7 @@ SQL = {
     "c04_score_combine": f"WITH {SCORED_SQL} SELECT vec_id, round(0.5::DOUBLE * score + 0.5::DOUBLE * other, 6) AS combined FROM sc",
     "c05_quota_decision": f"WITH {SCORED_SQL}, q AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY other DESC, vec_id) <= round_even(count(*) OVER (PARTITION BY source) * (12::DOUBLE / 17), 0) AS INTEGER) AS pred FROM sc) SELECT source, CAST(sum(pred) AS BIGINT) AS positives, count(*) AS n FROM q GROUP BY 1",
     "c07_fixed_threshold": f"WITH {SCORED_SQL} SELECT vec_id, CAST(0.6::DOUBLE / (1 + exp(-greatest(least(score, 40), -40))) + 0.4::DOUBLE / (1 + exp(-greatest(least(other, 40), -40))) >= 0.5 AS INTEGER) AS pred FROM sc",
-    "c08_softmax": f"WITH {VECTORS_SQL}, t AS (SELECT vec_id, v, list_max(v[1:4]) AS top FROM vec) SELECT vec_id, round(1 - exp(v[3] - top) / (exp(v[1] - top) + exp(v[2] - top) + exp(v[3] - top) + exp(v[4] - top)), 6) AS p FROM t",
+    "c08_softmax": f"WITH {VECTORS_SQL}, t AS (SELECT vec_id, v, list_max(v) AS top FROM vec) SELECT vec_id, round(1 - exp(v[3] - top) / list_sum(list_transform(v, lambda x: exp(x - top))), 6) AS p FROM t",
     "c09_width": "SELECT count(*) AS rows, count(*) FILTER (WHERE coalesce(len(embedding) <> 16, true)) AS wrong FROM bundle",
     "c11_tails_direction": f"WITH {VECTORS_SQL}, p AS (SELECT vec_id, row_number() OVER (ORDER BY v[1] DESC, vec_id) AS hi, row_number() OVER (ORDER BY v[1], vec_id) AS lo FROM vec), c AS (SELECT i, x, hi <= 60 AS up FROM cells JOIN p USING (vec_id) WHERE hi <= 60 OR lo <= 40) SELECT CAST(i AS INTEGER) AS i, round(avg(x) FILTER (WHERE up) - avg(x) FILTER (WHERE NOT up), 6) AS w FROM c GROUP BY 1",
     "c14_checksum": "SELECT DISTINCT sha256(zip) AS sha256 FROM ledger",

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.plans.ranking import exact_percentiles
 from plumbline.plans.tables import canon_sql, rd, strip_sql, table
 
 
 def length_profile(df: DataFrame, text: str, by: str) -> DataFrame:
     """Count, mean, sample deviation and quartiles of the character length for each group."""
     n = F.char_length(text)
-    return df.groupBy(by).agg(
-        F.count(n).alias("n"), rd(F.avg(n)).alias("mean"), rd(F.stddev_samp(n)).alias("sd"), F.min(n).alias("least"),
-        *(rd(F.percentile(n, q)).alias(k) for k, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))), F.max(n).alias("most"),
-    )
+    flat = df.groupBy(by).agg(F.count(n).alias("n"), rd(F.avg(n)).alias("mean"), rd(F.stddev_samp(n)).alias("sd"), F.min(n).alias("least"), F.max(n).alias("most"))
+    parts = exact_percentiles(df, [by], n, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return flat.join(parts, flat[by].eqNullSafe(parts[by]), "left").select(flat[by], "n", "mean", "sd", "least", *(rd(c).alias(c) for c in ("q1", "median", "q3")), "most")
 
 
 def fact_check(spoken: DataFrame, facts: DataFrame, tolerance: float) -> DataFrame:

@@ -56,31 +56,107 @@ def hex_rank(df: DataFrame, group: list[str], order: str, tie: str, name: str =
     return inside.join(base, on).select(*df.columns, (F.col("__base") + F.col("__within")).alias(name))
 
 
+def _attached(df: DataFrame, per: DataFrame, group: list[str]) -> DataFrame:
+    """`df` with the columns of `per`, one row for each group; of no group, one row in all."""
+    if not group:
+        return df.crossJoin(F.broadcast(per))
+    other = per.select(*(F.col(g).alias(f"__of_{g}") for g in group), *(c for c in per.columns if c not in group))
+    on = F.lit(True)
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    return df.join(other, on).drop(*(f"__of_{g}" for g in group))
+
+
+def _probes(df: DataFrame, value: str, buckets: int) -> list[float]:
+    got = df.agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 1000).alias("s")).first()["s"] or []
+    return [float(x) for x in got]
+
+
 def value_splits(df: DataFrame, value: str, buckets: int = 256) -> list[float]:
     """About equal parts of a numeric column: at most `buckets` numbers, whatever the size of `df`."""
-    probes = [k / buckets for k in range(1, buckets)]
-    got = df.agg(F.percentile_approx(value, probes, 1000).alias("s")).first()["s"] or []
-    return sorted(set(got))
+    return sorted(set(_probes(df, value, buckets)))
+
+
+def _numbers(x: list[float]) -> Column:
+    # one literal for the optimizer to fold, instead of one for each number
+    return F.from_json(F.lit(json.dumps([float(v) for v in x])), "array<double>")
+
+
+def _tie_parts(df: DataFrame, value: str, tie: str, often: list[float], parts: int = 64) -> Column | None:
+    """Number of a row's part of its value's rows, by `tie`, for values so frequent that they fill more
+    than one bucket, and for nulls. None for the other rows, or where ties aren't numbers."""
+    kind = df.schema[tie].dataType.typeName()
+    if tie == value or kind not in ("byte", "short", "integer", "long", "float", "double", "decimal"):
+        return None
+    src = df.filter(F.col(value).isin(often) | F.col(value).isNull()) if often else df.filter(F.col(value).isNull())
+    got = src.groupBy(value).agg(F.percentile_approx(tie, [k / parts for k in range(1, parts)], 1000).alias("s")).collect()  # at most buckets / 2 rows
+    out = None
+    for r in got:
+        cuts = sorted(set(r["s"] or []))
+        part = F.size(F.filter(_numbers(cuts), lambda x: x <= F.col(tie).cast("double"))) if cuts else F.lit(0)
+        is_it = F.col(value).isNull() if r[value] is None else F.col(value) == F.lit(r[value])
+        out = F.when(is_it, part) if out is None else out.when(is_it, part)
+    return out
 
 
 def running_by_value(df: DataFrame, group: list[str], value: str, tie: str, sums: dict[str, Column], descending: bool = False, buckets: int = 256) -> DataFrame:
     """`df` with sums over all rows of the group up to and with this one, in the order of a number,
-    then `tie`. Each window sees one range of values; a table of at most `buckets` rows a group
-    carries the totals across ranges. Rows with a null value come first."""
-    splits = value_splits(df, value, buckets)
-    # one literal for the optimizer to fold, instead of one for each number
-    bucket = F.size(F.filter(F.from_json(F.lit(json.dumps([float(x) for x in splits])), "array<double>"), lambda x: x <= F.col(value))) if splits else F.lit(0)
+    then `tie`. Each window sees one range of values, and of a value that fills several ranges one
+    range of ties; a table of at most some thousand rows a group carries the totals across ranges.
+    Rows with a null value come first, or last if descending."""
+    probes = _probes(df, value, buckets)
+    splits, often = sorted(set(probes)), sorted({a for a, b in zip(probes, probes[1:]) if a == b})
+    bucket = F.size(F.filter(_numbers(splits), lambda x: x <= F.col(value))) if splits else F.lit(0)
     bucket = F.coalesce(F.when(F.col(value).isNull(), -1).otherwise(bucket), F.lit(-1))
     src = df.withColumn("__bucket", -bucket if descending else bucket)
+    # a frequent value is the least of its bucket
+    parts = _tie_parts(df, value, tie, often)
+    src = src.withColumn("__part", F.lit(0) if parts is None else F.coalesce(parts, F.lit(-1 if descending else 1 << 20)))
     for k, c in sums.items():
         src = src.withColumn(f"__w_{k}", c)
-    per = src.groupBy(*group, "__bucket").agg(*(F.sum(f"__w_{k}").alias(f"__s_{k}") for k in sums))
-    before = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("__bucket").alias("__b"), *(F.coalesce(F.sum(f"__s_{k}").over(before), F.lit(0)).alias(f"__base_{k}") for k in sums))
-    on = F.col("__bucket") == F.col("__b")
+    per = src.groupBy(*group, "__bucket", "__part").agg(*(F.sum(f"__w_{k}").alias(f"__s_{k}") for k in sums))
+    before = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("__bucket", "__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("__bucket").alias("__b"), F.col("__part").alias("__p"), *(F.coalesce(F.sum(f"__s_{k}").over(before), F.lit(0)).alias(f"__base_{k}") for k in sums))
+    on = (F.col("__bucket") == F.col("__b")) & (F.col("__part") == F.col("__p"))
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    inside = Window.partitionBy(*group, "__bucket").orderBy(F.desc(value) if descending else F.asc(value), tie).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*group, "__bucket", "__part").orderBy(F.desc(value) if descending else F.asc(value), tie).rowsBetween(Window.unboundedPreceding, 0)
     for k in sums:
         src = src.withColumn(f"__in_{k}", F.sum(f"__w_{k}").over(inside))
     return src.join(base, on).select(*df.columns, *((F.col(f"__base_{k}") + F.col(f"__in_{k}")).alias(k) for k in sums))
+
+
+def _counted(df: DataFrame, group: list[str], value: Column) -> DataFrame:
+    """(group, __v, __below, __upto, __n): each distinct value, the rows below it and up to it, all rows."""
+    per = df.select(*group, value.alias("__v")).filter("__v is not null").groupBy(*group, "__v").agg(F.count("*").alias("__c"))
+    run = running_by_value(per, group, "__v", "__v", {"__upto": F.col("__c")})
+    total = per.groupBy(*group).agg(F.sum("__c").alias("__n"))
+    return _attached(run, total, group).withColumn("__below", F.col("__upto") - F.col("__c"))
+
+
+def exact_percentiles(df: DataFrame, group: list[str], value: Column, probes: dict[str, float]) -> DataFrame:
+    """(group, one column for each probe): exact percentiles with linear interpolation, of groups that have
+    a value. Values are counted, not gathered: a group may hold any number of them."""
+    x = _counted(df, group, value)
+    at = lambda k: F.max(F.when((F.col("__below") <= k) & (k < F.col("__upto")), F.col("__v"))).cast("double")
+    out = []
+    for name, p in probes.items():
+        place = (F.col("__n") - 1) * F.lit(float(p))
+        out += [at(F.floor(place)).alias(f"__lo_{name}"), at(F.ceil(place)).alias(f"__hi_{name}"), F.first(place - F.floor(place)).alias(f"__f_{name}")]
+    got = x.groupBy(*group).agg(*out)
+    return got.select(*group, *((F.col(f"__lo_{n}") * (1 - F.col(f"__f_{n}")) + F.col(f"__hi_{n}") * F.col(f"__f_{n}")).alias(n) for n in probes))
+
+
+def spaced_percentiles(df: DataFrame, value: str, first: float, last: float, count: int) -> list[float]:
+    """The exact percentiles at `count` even steps from `first` to `last`, of all rows: that many numbers."""
+    x = _counted(df, [], F.col(value))
+    span = F.greatest(F.col("__n") - 1, F.lit(1)) * F.lit((last - first) / (count - 1))
+    nearest = lambda rank: (rank - F.col("__n") * F.lit(first)) / span
+    # a step of the grid may be a part of a rank, and a percentile lies between two ranks
+    lo, hi = F.greatest(F.floor(nearest(F.col("__below") - 2)), F.lit(0)), F.least(F.ceil(nearest(F.col("__upto") + 2)), F.lit(count - 1))
+    x = x.withColumn("__lo", lo).withColumn("__hi", hi).filter("__lo <= __hi").withColumn("__k", F.explode(F.sequence("__lo", "__hi")))
+    x = x.withColumn("__at", (F.col("__n") - 1) * (F.lit(first) + F.col("__k") * F.lit(last - first) / (count - 1)))
+    has = lambda k: (F.col("__below") <= k) & (k < F.col("__upto"))
+    down, up = F.floor("__at"), F.ceil("__at")
+    got = x.groupBy("__k").agg(F.max(F.when(has(down), F.col("__v"))).alias("lo"), F.max(F.when(has(up), F.col("__v"))).alias("hi"), F.first(F.col("__at") - down).alias("f"))
+    return [r["lo"] * (1 - r["f"]) + r["hi"] * r["f"] for r in got.orderBy("__k").collect()]

@@ -97,6 +97,30 @@ def overwrite_partitions(df: DataFrame, path: str, by: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def resumable_write(df: DataFrame, path: str, by: str, most: int | None = None) -> DataFrame:
+    """The partitions of `df` written batch by batch: those named in the journal beside them are left as
+    they are, the others are written anew, whatever an interrupted run left of them, and named in the
+    journal after that. `most` ends a run after that many batches, in their order. Returns what is
+    written so far, of finished batches only.
+
+    A run that is repeated reads and writes nothing more. One list of batches comes to the driver."""
+    spark = df.sparkSession
+    journal = f"{path}/_journal"
+    at = spark._jvm.org.apache.hadoop.fs.Path(journal)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = spark.read.json(journal, schema=f"`{by}` string") if files.exists(at) else spark.createDataFrame([], f"`{by}` string")
+    key = F.col(by).cast("string")
+    left = df.filter(F.col(by).isNotNull()).join(done.select(F.col(by).alias("__done")), key == F.col("__done"), "left_anti")
+    batches = [r[0] for r in left.select(by).distinct().orderBy(by).collect()]
+    now = batches if most is None else batches[:most]
+    if now:
+        left.filter(F.col(by).isin(now)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{path}/rows")
+        # the rows are whole before their batches are named
+        spark.createDataFrame([(str(b),) for b in now], f"`{by}` string").coalesce(1).write.mode("append").json(journal)
+    finished = spark.read.json(journal, schema=f"`{by}` string").select(F.col(by).alias("__done")).distinct()
+    return spark.read.schema(df.schema).parquet(f"{path}/rows").join(finished, key == F.col("__done"), "left_semi")
+
+
 def log_records(lines: DataFrame, header: str, record: str, fields: list[str]) -> DataFrame:
     """(number, line) of a log to records: the last header above each line is filled down, and the
     groups of a record's pattern become its fields."""
@@ -127,6 +151,15 @@ def _log(s, d):
     return head.unionByName(rows)
 
 
+def _resumed(s, d):
+    """The corpus by extraction batch, written in three runs of which the first two end early."""
+    rows = table(s, d, "corpus").select("row_id", "label", "batch_id")
+    path = scratch(s, "resumed")
+    resumable_write(rows, path, "batch_id", 2)
+    resumable_write(rows, path, "batch_id", 3)
+    return resumable_write(rows, path, "batch_id").groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("label").alias("labels"))
+
+
 QUERIES = {
     "s01_scan": lambda s, d: table(s, d, "corpus").filter("label = 1").select("row_id", "split"),
     "s02_first_rows": lambda s, d: first_rows(table(s, d, "corpus").filter("label = 0"), ["pos", "row_id"], 500).select("row_id"),
@@ -141,6 +174,7 @@ QUERIES = {
     "s09_csv": lambda s, d: csv_round_trip(table(s, d, "label_targets"), "targets", ["source", "label"]).select("source", "label", "target_share", "min_rows"),
     "s10_sorted_csv": lambda s, d: csv_round_trip(table(s, d, "mix_weights"), "weights", ["source"]).select("source", rd("weight", 8).alias("weight"), "max_repeats"),
     "s11_partition_sink": lambda s, d: _twice(s, d).groupBy("action").agg(F.count("*").alias("n")),
+    "s15_resumed": _resumed,
     "s12_log_records": lambda s, d: log_records(_log(s, d), r"^== model (\S+) ==$", r"^run (\d+) pos=(\d+) neg=(\d+)$", ["run", "pos", "neg"]).select("model", "run", "pos", "neg"),
     "s14_artifact_check": lambda s, d: artifact_check(table(s, d, "bundle").select(F.col("y").alias("pred"))),
 }
@@ -167,6 +201,7 @@ SQL = {
     "s09_csv": "SELECT source, label, target_share, min_rows FROM label_targets",
     "s10_sorted_csv": "SELECT source, round(weight, 8) AS weight, max_repeats FROM mix_weights",
     "s11_partition_sink": "SELECT action, count(*) AS n FROM source_hygiene WHERE action IS NOT NULL GROUP BY 1",
+    "s15_resumed": "SELECT batch_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS labels FROM corpus WHERE batch_id IS NOT NULL GROUP BY 1",
     "s12_log_records": "SELECT source AS model, CAST(run_id AS VARCHAR) AS run, CAST(pos AS VARCHAR) AS pos, CAST(coalesce(neg, 0) AS VARCHAR) AS neg FROM (SELECT DISTINCT * FROM source_hygiene) WHERE source IS NOT NULL AND pos IS NOT NULL",
     "s14_artifact_check": "SELECT count(*) AS rows, count(*) FILTER (WHERE y = 1) AS positives, count(*) FILTER (WHERE y IS NULL OR y NOT IN (0, 1)) AS outside FROM bundle",
 }
