@@ -83,13 +83,15 @@ _ROMANCE = re.compile(rf"(?<!\w)(?:(?:{'|'.join(ROMANCE_STREETS)})|r\.|av\.|c/)[
 _FRENCH = re.compile(rf"(?<![\w/.#\-])\d{{1,4}}(?:[ \xa0]?(?:bis|ter))?,?[ \xa0](?:{'|'.join(ROMANCE_STREETS)})[ \xa0]{_LINK}{{0,2}}{_WORD}(?:[ \xa0](?:{_LINK}{{0,2}}){_WORD})?(?!\w)", re.I)
 _PART = re.compile(r"[^\W\d_][^\W\d_]*(?:['’][^\W\d_]{2,})*(?:-[^\W\d_]+)*")
 _INITIAL = re.compile(r"[^\W\d_]\.")
-_LETTERS = re.compile(r"[^\W\d_]+")
+# what must stand in a text for the longer patterns above to find anything
+_AT_GATE = re.compile(r"[\[(]\s?(?:at|arroba|chez)\s?[\])]|\s(?:at|arroba|ät)\s\w[\w\-]*(?:[.．]\w|\s?[\[(]|\s(?:dot|punto|punkt|ponto)\s)", re.I)
+_GERMAN_GATE = re.compile(r"(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|ufer|damm)[ \xa0]\d", re.I)
 _AT_WORDS = {"at", "arroba", "ät", "chez"}
 _STREET_WORDS = set(STREETS)
 _ROMANCE_WORDS = {*ROMANCE_STREETS, "r", "av", "c"}
-_GERMAN_ENDS = ("straße", "strasse", "str", "weg", "allee", "platz", "gasse", "ring", "ufer", "damm")
 _DIGIT_SET = set(DIGIT_WORDS)
 _TITLE_SET = set(TITLES)
+_OFFSETS = {marks: sorted({k for m in marks for k in {"k": (0, -1, -2), "i": (0,), "t": (1,)}[m]}) for marks in ("k", "i", "t", "ki", "kt", "it", "kit")}
 
 
 class Names:
@@ -107,11 +109,25 @@ class Names:
         self.heads = {h for h, n in heads.items() if n > 2}
         self.tails = {t for t, n in tails.items() if n > 2}
         self._memo: dict[str, str] = {}
+        self._marks: dict[str, str] = {}
 
     def kind(self, part: str) -> str:
         """g, f: listed as given or family name; b: as both; c: made like listed names; u: unknown."""
         return self.kinds([part])[0]
 
+    def marks(self, parts: list[str]) -> list[str]:
+        """For each part "" if no name can begin near it, else what makes it one: k, i and t for a known
+        part, an initial and a title."""
+        memo = self._marks
+        got = list(map(memo.get, parts))
+        if None in got:
+            if len(memo) > 200_000:
+                memo.clear()
+            for part, kind in zip(parts, self.kinds(parts)):
+                memo[part] = ("k" if kind != "u" else "") + ("i" if len(part) == 1 else "") + ("t" if part.casefold() in _TITLE_SET else "")
+            got = list(map(memo.get, parts))
+        return got
+
     def kinds(self, parts: list[str]) -> list[str]:
         """The kind of each part."""
         memo = self._memo
@@ -199,8 +215,9 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
         if 0 < b - a <= BOUND and (a, b, kind) not in found:
             found[a, b, kind] = [f"{kind}:{f}" for f in ["one", *features, *_beside(text, a, b)]]
 
-    words = {w.casefold() for w in _LETTERS.findall(text)}
-    if "@" in text or "＠" in text or not _AT_WORDS.isdisjoint(words):
+    shown = _PART.findall(text)
+    words = set(map(str.casefold, shown))
+    if "@" in text or "＠" in text or not _AT_WORDS.isdisjoint(words) and _AT_GATE.search(text):
         for m in _EMAIL.finditer(text):
             plain = "@" in m[0] or "＠" in m[0]
             add(m.start(), m.end(), "email", ["sign" if plain else "word", f"dots={min(3, len(re.findall(_DOT, m[0], re.I)))}"])
@@ -233,11 +250,11 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
                     x = _EXTENSION.match(text, e)
                     if x:
                         add(s, x.end(), "phone", [*features, "extension"])
-        for m in _ID.finditer(text):
+        for m in _identities(text):
             add(m.start(), m.end(), "id_number", [f"shape={_shape(m[0])}", f"digits={sum(c.isdigit() for c in m[0])}", f"letters={sum(c.isalpha() for c in m[0])}"])
         # a street needs one of its words, so most texts are never searched for one
         romance = not _ROMANCE_WORDS.isdisjoint(words)
-        forms = [("en", _ENGLISH, not _STREET_WORDS.isdisjoint(words)), ("de", _GERMAN, any(w.endswith(_GERMAN_ENDS) for w in words)), ("ro", _ROMANCE, romance), ("fr", _FRENCH, romance)]
+        forms = [("en", _ENGLISH, not _STREET_WORDS.isdisjoint(words)), ("de", _GERMAN, _GERMAN_GATE.search(text) is not None), ("ro", _ROMANCE, romance), ("fr", _FRENCH, romance)]
         for form, pattern in ((form, pattern) for form, pattern, possible in forms if possible):
             for m in pattern.finditer(text):
                 b = m.end()
@@ -277,25 +294,31 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
                     add(m.start(), e, "address", [*base, f"tail={tail}", f"{form}/{tail.split('+')[0]}", f"{form}/{tail}/{_next(text, e)}"])
     for m in _SPELT.finditer(text) if not _DIGIT_SET.isdisjoint(words) else ():
         add(m.start(), m.end(), "phone", ["spelt", f"count={len(re.findall('[a-zA-Z]+', m[0]))}"])
-    _name_candidates(text, names, add)
+    _name_candidates(text, shown, names, add)
     return sorted((a, b, kind, f) for (a, b, kind), f in found.items())
 
 
-def _name_candidates(text: str, names: Names, add) -> None:
-    shown = _PART.findall(text)
-    kinds = names.kinds(shown)
+def _identities(text: str) -> Iterator[re.Match]:
+    """The matches of _ID. Its first digit stands among its first five signs, so only there is it tried."""
+    upto = 0
+    for g in _GROUP.finditer(text):
+        for at in range(max(upto, g.start() - 4), g.start() + 1):
+            m = _ID.match(text, at) if g.start() >= upto else None
+            if m:
+                yield m
+                upto = m.end()
+                break
+
+
+def _name_candidates(text: str, shown: list[str], names: Names, add) -> None:
     # where a name may begin: at a known part or up to two before it, after a title, at an initial
     starts: set[int] = set()
-    for i, (part, kind) in enumerate(zip(shown, kinds)):
-        if kind != "u":
-            starts.update((i, i - 1, i - 2))
-        if len(part) < 9:
-            if len(part) == 1:
-                starts.add(i)
-            if part.casefold() in _TITLE_SET:
-                starts.add(i + 1)
+    for i, mark in enumerate(names.marks(shown)):
+        if mark:
+            starts.update((i + k for k in _OFFSETS[mark]))
     if not starts:
         return
+    kinds = names.kinds(shown)
     parts = [(m.start(), m.end(), m[0]) for m in _PART.finditer(text)]
     n = len(parts)
 
@@ -348,7 +371,7 @@ def _name_candidates(text: str, names: Names, add) -> None:
             cases = "".join(sorted({_case(p)[0] for p in words}))
             ordinary = sum(names.ordinary(p) for p in words)
             start, end = parts[i][0], last_end
-            features = [f"form={form}", f"case={cases}", f"form+case={form}/{cases}", f"ordinary={ordinary}/{len(words)}", f"form/next={form}/{_next(text, end)}", f"title={parts[i - 1][2].casefold() + '/' + _case(parts[i - 1][2]) + '/' + cases if titled else ''}", f"known={known}/{len(words)}"]
+            features = [f"form={form}", f"case={cases}", f"form+case={form}/{cases}", f"ordinary={ordinary}/{len(words)}", f"form/next={form}/{_next(text, end)}", f"title={parts[i - 1][2].casefold() + '/' + _case(parts[i - 1][2]) + '/' + cases if titled else ''}", f"known={known}/{len(words)}", f"parts={j - i}/{known}"]
             if any(k == "u" and names.ordinary(p) for k, (_, _, p) in zip(kinds[i:j], parts[i:j])):
                 features.append("unknown ordinary")
             left = text[start - 1] if start else "^"
