@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.wordsets import key_table
+from plumbline.llm.splits import components
+from plumbline.llm.wordsets import keep_by_filter, key_filter, key_table
 from plumbline.plans.staging import stage
 
 #: A group beyond this many rows is joined by broadcast. There are at most rows / HOT_ROWS such groups.
@@ -27,22 +28,37 @@ def distinct_keys(rows: DataFrame, id_col: str = "row_id", extra: dict[str, Colu
     key_check), its number of rows n, and of its whole group first_row_id, copies and the maxima
     of the `extra` aggregates.
 
-    A text whose bare letters and digits equal those of a record, though its layout can't be
-    read, belongs to the record's group (same_hi, same_lo, same_check). Texts whose 128-bit keys
-    collide stay apart, because the independent check is part of every comparison."""
+    Keys whose texts have the same bare letters and digits in the same order belong together (same_hi,
+    same_lo, same_check): a text whose layout can't be read and a record, or records that are read as
+    different fields. Letters and digits are compared by 128 bits and an independent check, as the keys
+    are; texts whose 128-bit keys collide stay apart."""
     extra = extra or {}
-    stats = rows.groupBy("key_hi", "key_lo", "key_check").agg(F.count("*").alias("n"), F.min(id_col).alias("first"), *(c.alias(k) for k, c in extra.items()))
-    alias = (
-        rows.filter("alias_hi is not null")
-        .groupBy("alias_hi", "alias_lo")
-        .agg(F.min(F.struct("key_hi", "key_lo", "key_check")).alias("to"))
-    )
-    on = (stats["key_hi"] == alias["alias_hi"]) & (stats["key_lo"] == alias["alias_lo"])
-    own = F.struct("key_hi", "key_lo", "key_check")
-    # a group has as many keys here as its texts have unreadable layouts, never its rows
+    own = ["key_hi", "key_lo", "key_check"]
+    stats = rows.groupBy(*own).agg(F.count("*").alias("n"), F.min(id_col).alias("first"), *(c.alias(k) for k, c in extra.items()))
+    # the letters and digits that several keys share, of which at least one is a record's
+    key = F.struct(*own)
+    plain = F.struct(F.coalesce("alias_hi", "key_hi").alias("hi"), F.coalesce("alias_lo", "key_lo").alias("lo"), F.coalesce("alias_check", "key_check").alias("check"))
+    slim = rows.select(key.alias("key"), plain.alias("plain"), F.col("alias_hi").isNotNull().alias("record")).withColumn("low", F.col("plain.lo"))
+    aliases = slim.filter("record").select("plain", "low").distinct()
+    links = keep_by_filter(slim, "low", key_filter(aliases.select("low"))).select("key", "plain").distinct().join(aliases.select("plain"), "plain", "left_semi")
+    shared = links.groupBy("plain").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most").select("plain")
+    links = stage(links.join(shared, "plain", "left_semi"), "shared")
+    if links.isEmpty():
+        of = stats.sparkSession.createDataFrame([], f"key {stats.select(key.alias('k')).schema['k'].dataType.simpleString()}, same {stats.select(key.alias('k')).schema['k'].dataType.simpleString()}")
+    else:
+        # keys and letters are the two kinds of node; a name is the key itself in digits
+        name = F.concat_ws(",", F.lit("k"), *(F.col(f"key.{c}") for c in own))
+        edges = links.select(name.alias("a"), F.concat_ws(",", F.lit("p"), "plain.hi", "plain.lo", "plain.check").alias("b"))
+        label = components(edges).filter("node like 'k%'")
+        of = links.select("key", name.alias("node")).distinct().join(label, "node")
+        least = of.groupBy("label").agg(F.min("key").alias("same"))
+        of = of.join(least, "label").select("key", "same")
+    found = of.select(*(F.col(f"key.{c}").alias(f"of_{c}") for c in own), "same")
+    on = (stats["key_hi"] == found["of_key_hi"]) & (stats["key_lo"] == found["of_key_lo"]) & (stats["key_check"] == found["of_key_check"])
+    # a group has as many keys here as its texts have layouts, never its rows
     w = Window.partitionBy("same")
-    return stats.join(alias, on, "left").withColumn("same", F.coalesce("to", own)).select(
-        "key_hi", "key_lo", "key_check", "n", F.col("same.key_hi").alias("same_hi"), F.col("same.key_lo").alias("same_lo"),
+    return stats.join(found, on, "left").withColumn("same", F.coalesce("same", key)).select(
+        *own, "n", F.col("same.key_hi").alias("same_hi"), F.col("same.key_lo").alias("same_lo"),
         F.min("first").over(w).alias("first_row_id"), F.sum("n").over(w).alias("copies"), *(F.max(k).over(w).alias(k) for k in extra),
     )
 

@@ -23,7 +23,8 @@ MIN_WORDS = 15
 SIMILARITY = (7, 10)
 _CACHE_WORDS = 400_000
 
-KEYS = "key_hi long, key_lo long, key_check long, alias_hi long, alias_lo long"
+KEYS = "key_hi long, key_lo long, key_check long, alias_hi long, alias_lo long, alias_check long"
+_NAMES = [c.split()[0] for c in KEYS.split(", ")]
 
 
 def _signed(x: int) -> int:
@@ -38,13 +39,14 @@ def hash128(text: str) -> tuple[int, int]:
 
 def key_row(form: str, plain: str) -> tuple | None:
     """128-bit key of a visual form whose letters and digits are `plain`, an independent 64-bit
-    check of it, and for records the key of `plain` itself. None without a sign."""
+    check of it, and for records both of `plain` itself. None without a sign."""
     if not plain:
         return None
     record = record_key(form)
     key = (plain if record is None else f"\x1d{record}").encode("utf-8", "surrogatepass")
     x = xxhash.xxh3_128_intdigest(key)
-    return (_signed(x >> 64), _signed(x & (1 << 64) - 1), _signed(xxhash.xxh64_intdigest(key, seed=7)), *(hash128(plain) if record is not None else (None, None)))
+    alias = (None, None, None) if record is None else (*hash128(plain), _signed(xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass"), seed=7)))
+    return (_signed(x >> 64), _signed(x & (1 << 64) - 1), _signed(xxhash.xxh64_intdigest(key, seed=7)), *alias)
 
 
 def key_table(df: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
@@ -61,10 +63,10 @@ def key_table(df: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFra
                     kept.append(i)
                     rows.append(row)
             base = b.take(pa.array(kept, pa.int32()))
-            cols = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)]
+            cols = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)]
             yield pa.RecordBatch.from_arrays(
                 [base.column(c) for c in (id_col, *carry)] + cols,
-                names=[id_col, *carry, "key_hi", "key_lo", "key_check", "alias_hi", "alias_lo"],
+                names=[id_col, *carry, *_NAMES],
             )
 
     return src.mapInArrow(run, ddl)
@@ -113,7 +115,7 @@ def word_table(df: DataFrame, id_col: str, text_col: str, *carry: str, min_words
             values, sizes = np.array(flat, np.int64), np.array(sizes, np.int64)
             full = sizes > 0
             base = b.take(pa.array(kept, pa.int32()))
-            cols = [pa.array(c, pa.int64()) for c in (zip(*keys) if keys else [[]] * 5)]
+            cols = [pa.array(c, pa.int64()) for c in (zip(*keys) if keys else [[]] * 6)]
             for sum_ in set_hash(values, sizes[full]):
                 column = np.zeros(len(sizes), np.int64)
                 column[full] = sum_
@@ -121,7 +123,7 @@ def word_table(df: DataFrame, id_col: str, text_col: str, *carry: str, min_words
             cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)))
             yield pa.RecordBatch.from_arrays(
                 [base.column(c) for c in (id_col, *carry)] + cols,
-                names=[id_col, *carry, "key_hi", "key_lo", "key_check", "alias_hi", "alias_lo", "set_hi", "set_lo", "words"],
+                names=[id_col, *carry, *_NAMES, "set_hi", "set_lo", "words"],
             )
 
     return src.mapInArrow(run, ddl)
