@@ -85,7 +85,9 @@ _PART = re.compile(r"[^\W\d_][^\W\d_]*(?:['’][^\W\d_]{2,})*(?:-[^\W\d_]+)*")
 _INITIAL = re.compile(r"[^\W\d_]\.")
 # what must stand in a text for the longer patterns above to find anything
 _AT_GATE = re.compile(r"[\[(]\s?(?:at|arroba|chez)\s?[\])]|\s(?:at|arroba|ät)\s\w[\w\-]*(?:[.．]\w|\s?[\[(]|\s(?:dot|punto|punkt|ponto)\s)", re.I)
-_GERMAN_GATE = re.compile(r"(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|ufer|damm)[ \xa0]\d", re.I)
+_GERMAN_ENDS = ("straße", "strasse", "str.", "weg", "allee", "platz", "gasse", "ring", "ufer", "damm")
+_DOT_WORDS = {"dot", "punto", "punkt", "ponto", "point"}
+_INNER_DOT = re.compile(r"\w[.．]\w")
 _AT_WORDS = {"at", "arroba", "ät", "chez"}
 _STREET_WORDS = set(STREETS)
 _ROMANCE_WORDS = {*ROMANCE_STREETS, "r", "av", "c"}
@@ -217,11 +219,12 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
 
     shown = _PART.findall(text)
     words = set(map(str.casefold, shown))
-    if "@" in text or "＠" in text or not _AT_WORDS.isdisjoint(words) and _AT_GATE.search(text):
+    if "@" in text or "＠" in text or not _AT_WORDS.isdisjoint(words) and _written_out(text, words):
         for m in _EMAIL.finditer(text):
             plain = "@" in m[0] or "＠" in m[0]
             add(m.start(), m.end(), "email", ["sign" if plain else "word", f"dots={min(3, len(re.findall(_DOT, m[0], re.I)))}"])
-    if _GROUP.search(text):
+    groups_at = [m.start() for m in _GROUP.finditer(text)]
+    if groups_at:
         for m in _RUN.finditer(text):
             groups = list(_GROUP.finditer(m[0]))
             for i in range(len(groups)):
@@ -250,11 +253,11 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
                     x = _EXTENSION.match(text, e)
                     if x:
                         add(s, x.end(), "phone", [*features, "extension"])
-        for m in _identities(text):
+        for m in _identities(text, groups_at):
             add(m.start(), m.end(), "id_number", [f"shape={_shape(m[0])}", f"digits={sum(c.isdigit() for c in m[0])}", f"letters={sum(c.isalpha() for c in m[0])}"])
         # a street needs one of its words, so most texts are never searched for one
         romance = not _ROMANCE_WORDS.isdisjoint(words)
-        forms = [("en", _ENGLISH, not _STREET_WORDS.isdisjoint(words)), ("de", _GERMAN, _GERMAN_GATE.search(text) is not None), ("ro", _ROMANCE, romance), ("fr", _FRENCH, romance)]
+        forms = [("en", _ENGLISH, not _STREET_WORDS.isdisjoint(words)), ("de", _GERMAN, any(text[max(0, g - 9) : g - 1].lower().endswith(_GERMAN_ENDS) for g in groups_at if g > 3)), ("ro", _ROMANCE, romance), ("fr", _FRENCH, romance)]
         for form, pattern in ((form, pattern) for form, pattern, possible in forms if possible):
             for m in pattern.finditer(text):
                 b = m.end()
@@ -298,12 +301,18 @@ def candidates(text: str, names: Names) -> list[tuple[int, int, str, list[str]]]
     return sorted((a, b, kind, f) for (a, b, kind), f in found.items())
 
 
-def _identities(text: str) -> Iterator[re.Match]:
-    """The matches of _ID. Its first digit stands among its first five signs, so only there is it tried."""
+def _written_out(text: str, words: set[str]) -> bool:
+    """Whether an address without its sign may stand in the text."""
+    return ("[" in text or "(" in text or not _DOT_WORDS.isdisjoint(words) or _INNER_DOT.search(text) is not None) and _AT_GATE.search(text) is not None
+
+
+def _identities(text: str, groups_at: list[int]) -> Iterator[re.Match]:
+    """The matches of _ID. Its first digit stands among its first five signs, so only there, before each
+    group of digits, is it tried."""
     upto = 0
-    for g in _GROUP.finditer(text):
-        for at in range(max(upto, g.start() - 4), g.start() + 1):
-            m = _ID.match(text, at) if g.start() >= upto else None
+    for g in groups_at:
+        for at in range(max(upto, g - 4), g + 1) if g >= upto else ():
+            m = _ID.match(text, at)
             if m:
                 yield m
                 upto = m.end()
@@ -319,7 +328,7 @@ def _name_candidates(text: str, shown: list[str], names: Names, add) -> None:
     if not starts:
         return
     kinds = names.kinds(shown)
-    parts = [(m.start(), m.end(), m[0]) for m in _PART.finditer(text)]
+    parts = [(a, b, part) for (a, b), part in zip(map(re.Match.span, _PART.finditer(text)), shown)]
     n = len(parts)
 
     def joined(i: int, j: int) -> str | None:
