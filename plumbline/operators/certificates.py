@@ -188,6 +188,11 @@ SQL = {
     "g14_behaviour_gap": f"WITH {VECTORS_SQL} SELECT vec_id, round(avg(x) FILTER (WHERE i <= 4) - avg(x) FILTER (WHERE i > 12), 6) AS gap FROM cells GROUP BY 1",
     "g15_steering_effect": f"WITH {_G} SELECT vec_id, round(sum((c.x + 0.1::DOUBLE * gc.x) * gc.x) - sum(c.x * gc.x), 5) AS effect FROM cells c JOIN gc USING (vec_id, i) GROUP BY 1",
     "g17_sweep": "WITH t AS (SELECT k * pi() / 16 AS theta FROM range(0, 9) r(k)), g AS (SELECT k / 2.0::DOUBLE AS gap FROM range(1, 5) r(k)) SELECT gap, round(corr(cos(theta), cos(theta) * gap), 6) AS r, round(max(sin(theta) * gap), 6) AS most FROM t, g GROUP BY 1",
+    "m04_direction_auc": f"WITH {_G}, ln AS (SELECT sqrt(sum(w * w)) AS l FROM dl), s0 AS (SELECT vec_id, y, source, round(sum(x * w / l), 9) AS s FROM cells JOIN dl USING (i), ln GROUP BY 1, 2, 3), rk AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY s) + (count(*) OVER (PARTITION BY source, s) - 1) / 2.0 AS r FROM s0) SELECT source, round((sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / nullif(count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0), 0), 6) AS auroc FROM rk GROUP BY 1",
+    "g04_participation": f"""WITH RECURSIVE {_G}, m AS (SELECT a.i, b.i AS j, avg(a.x * b.x) AS a FROM gc a JOIN gc b USING (vec_id) GROUP BY 1, 2), mat AS (SELECT list(rw ORDER BY i) AS a FROM (SELECT i, list(a ORDER BY j) AS rw FROM m GROUP BY i)),
+        it AS (SELECT 0 AS k, list_transform(range(1, 17), lambda q: 1.0::DOUBLE + q / 100.0::DOUBLE) AS v, 0.0::DOUBLE AS top FROM mat UNION ALL
+               SELECT k + 1, list_transform(u, lambda z: z / sqrt(list_dot_product(u, u))), sqrt(list_dot_product(u, u)) FROM (SELECT k, list_transform(range(1, 17), lambda q: list_dot_product(a[q], v)) AS u FROM it, mat WHERE k < 3000))
+        SELECT round((SELECT sum(a) FROM m WHERE i = j) / top, 5) AS rank, round((SELECT sum(a) FROM m WHERE i = j) / top / 16, 5) AS share FROM it WHERE k = 3000""",
     "m12_divergence": f"WITH {_G}, a AS (SELECT vec_id, i, x - ln(sum(exp(x)) OVER (PARTITION BY vec_id)) AS p FROM cells), b AS (SELECT vec_id, i, x - ln(sum(exp(x)) OVER (PARTITION BY vec_id)) AS q FROM gc) SELECT vec_id, round(sum(exp(p) * (p - q)), 6) AS kl FROM a JOIN b USING (vec_id, i) GROUP BY 1",
     "m13_entropy": f"WITH {VECTORS_SQL}, a AS (SELECT vec_id, x - ln(sum(exp(x)) OVER (PARTITION BY vec_id)) AS p FROM cells) SELECT vec_id, round(-sum(exp(p) * p), 6) AS entropy, round(max(exp(p)), 6) AS top FROM a GROUP BY 1",
     "m14_cosine_top": f"WITH {_G}, l AS (SELECT sum(w * w) AS l FROM dl), c AS (SELECT vec_id AS id, sum(x * w) / sqrt(sum(x * x) * any_value(l)) AS co FROM cells JOIN dl USING (i), l GROUP BY 1) SELECT id AS vec_id, round(co, 6) AS cos FROM c ORDER BY round(co, 9) DESC, id LIMIT 10",

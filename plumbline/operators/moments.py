@@ -399,6 +399,37 @@ def _lda_sql(shrink: float, steps: int = 400) -> str:
         fin AS (SELECT w FROM it WHERE k = {steps})"""
 
 
+def _solved(parts: str, matrix: str, right: str) -> str:
+    """SQL of the solution w of a symmetric system by conjugate gradients: `matrix` gives (i, j, a),
+    `right` (i, d)."""
+    return f"""WITH RECURSIVE {parts}, m AS ({matrix}), rh AS ({right}),
+        mat AS (SELECT list(rw ORDER BY i) AS a FROM (SELECT i, list(a ORDER BY j) AS rw FROM m GROUP BY i)),
+        it AS (SELECT 0 AS k, list_transform(d, lambda z: 0.0::DOUBLE) AS x, d AS r, d AS p FROM (SELECT list(d::DOUBLE ORDER BY i) AS d FROM rh)
+               UNION ALL
+               SELECT k + 1, x, rn, list_transform(range(1, len(rn) + 1), lambda q: rn[q] + be * p[q]) FROM (
+                   SELECT k, x, rn, p, CASE WHEN rr > 1e-280 THEN list_dot_product(rn, rn) / rr ELSE 0 END AS be FROM (
+                       SELECT k, list_transform(range(1, len(x) + 1), lambda q: x[q] + al * p[q]) AS x, list_transform(range(1, len(r) + 1), lambda q: r[q] - al * ap[q]) AS rn, p, rr FROM (
+                           SELECT k, x, r, p, ap, list_dot_product(r, r) AS rr, CASE WHEN list_dot_product(p, ap) > 1e-280 THEN list_dot_product(r, r) / list_dot_product(p, ap) ELSE 0 END AS al FROM (
+                               SELECT k, x, r, p, list_transform(range(1, len(p) + 1), lambda q: list_dot_product(a[q], p)) AS ap FROM it, mat WHERE k < 60))))),
+        fin AS (SELECT x AS w FROM it WHERE k = 60), sol AS (SELECT CAST(unnest(range(1, len(w) + 1)) AS INTEGER) AS i, unnest(w) AS w FROM fin)"""
+
+
+_FISHER = _solved(
+    f"{VECTORS_SQL}, {_MU}, {_COV}, nn AS (SELECT count(*)::DOUBLE AS n FROM vec), cs AS (SELECT i, j, c * n / (n - 2) AS c FROM cv, nn), tr AS (SELECT avg(c) AS t FROM cs WHERE i = j)",
+    "SELECT i, j, c + CASE WHEN i = j THEN 1e-3::DOUBLE * (t + 1e-12::DOUBLE) ELSE 0 END AS a FROM cs, tr", "SELECT i, dl AS d FROM dl",
+)
+_RIDGE = _solved(
+    f"{VECTORS_SQL}, nn AS (SELECT count(*)::DOUBLE AS n, sum(2 * y - 1)::DOUBLE AS t FROM vec), sm AS (SELECT i, sum(x) AS s, sum(x * (2 * y - 1)) AS xt FROM cells GROUP BY 1), gr AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS g FROM cells a JOIN cells b USING (vec_id) GROUP BY 1, 2)",
+    "SELECT gr.i, gr.j, g - a.s * b.s / n + CASE WHEN gr.i = gr.j THEN 1.0::DOUBLE ELSE 0 END AS a FROM gr JOIN sm a ON a.i = gr.i JOIN sm b ON b.i = gr.j, nn", "SELECT i, xt - s * t / n AS d FROM sm, nn",
+)
+_L2STD = """l2 AS (SELECT vec_id, i, y, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-8) AS x FROM cells),
+    zc AS (SELECT vec_id, i, y, (x - avg(x) OVER (PARTITION BY i)) / greatest(stddev_pop(x) OVER (PARTITION BY i), 1e-6) AS x FROM l2)"""
+_HEAD = _solved(
+    f"{VECTORS_SQL}, {_L2STD}, {_MU.replace('FROM cells', 'FROM zc')}, {_COV.replace('cells', 'zc')}, tr AS (SELECT avg(c) AS t FROM cv WHERE i = j)",
+    "SELECT i, j, 0.4::DOUBLE * c + CASE WHEN i = j THEN 0.6::DOUBLE * t ELSE 0 END AS a FROM cv, tr", "SELECT i, dl AS d FROM dl",
+)
+
+
 QUERIES = {
     "v01_row_l2": lambda s, d: _rows(_v(s, d).withColumn("v", V.row_l2("v"))),
     "v02_train_standardize": lambda s, d: _rows(standardize(_v(s, d), "v", center_and_scale(_v(s, d).filter("y = 1"), "v"))),
@@ -468,6 +499,10 @@ SQL = {
     "a03_mean_eigenvalue": f"WITH {VECTORS_SQL}, {_MU}, {_COV} SELECT round(avg(c), 6) AS value FROM cv WHERE i = j",
     "a04_class_moments": f"WITH {VECTORS_SQL} SELECT source, y, CAST(i AS INTEGER) AS i, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS var FROM cells GROUP BY 1, 2, 3",
     "h01_shrunk_lda": _lda_sql(0.3) + " SELECT CAST(q AS INTEGER) AS i, round(w[q], 5) AS w FROM fin, range(1, 17) t(q) UNION ALL SELECT 0, round(-sum(w[dl.i] * mid), 5) FROM fin, dl",
+    "h04_fisher": f"{_FISHER} SELECT i, round(w / (SELECT sqrt(sum(w * w)) FROM sol), 5) AS w FROM sol UNION ALL SELECT 0, 0.0",
+    "h10_ridge": f"{_RIDGE} SELECT i, round(w, 5) AS w FROM sol UNION ALL SELECT 0, round((any_value(t) - sum(w * s)) / any_value(n), 5) FROM sol JOIN sm USING (i), nn",
+    "h14_fitted_head": f"{_HEAD} SELECT i, round(w, 5) AS w FROM sol UNION ALL SELECT 0, round(-sum(w * mid), 5) FROM sol JOIN dl USING (i)",
+    "h11_auto_shrinkage": f"WITH {VECTORS_SQL}, {_MU}, {_COV}, d AS (SELECT max(i)::DOUBLE AS d FROM cv), tm AS (SELECT avg(c) AS t FROM cv WHERE i = j), sq AS (SELECT vec_id, sum((x - m) * (x - m)) AS q FROM cells JOIN mu USING (y, i) GROUP BY 1), f AS (SELECT sum(q * q) AS f, count(*)::DOUBLE AS n FROM sq), e AS (SELECT sum(power(c - CASE WHEN i = j THEN t ELSE 0 END, 2)) / any_value(d) AS delta, sum(c * c) AS c2 FROM cv, tm, d) SELECT round(CASE WHEN delta > 0 THEN least((f / n - c2) / d / n, delta) / delta ELSE 1 END, 5) AS shrinkage FROM e, f, d",
     "h02_mean_difference": f"WITH {VECTORS_SQL}, {_MU} SELECT CAST(i AS INTEGER) AS i, round(dl, 5) AS w FROM dl UNION ALL SELECT 0, round(-sum(dl * mid), 5) FROM dl",
     "h05_unit_difference": f"WITH {VECTORS_SQL}, {_MU}, l AS (SELECT sqrt(sum(dl * dl)) AS l FROM dl) SELECT CAST(i AS INTEGER) AS i, round(dl / l, 5) AS w FROM dl, l UNION ALL SELECT 0, 0.0",
     "h13_most_frequent": "SELECT label AS y FROM corpus WHERE label IN (0, 1) GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1",

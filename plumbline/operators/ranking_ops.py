@@ -297,3 +297,4 @@ SQL = {
     "c13_baselines": f"WITH {_S}, r AS (SELECT avg(y::DOUBLE) AS r FROM sc) SELECT round(r, 6) AS all_positive, round(2 * r * r - 2 * r + 1, 6) AS random_quota FROM r",
     "m15_bootstrap_interval": f"SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM ({SAMPLING_SQL['d18_bootstrap']})",
 }
+SQL["m15_bootstrap_interval_whole"] = SQL["m15_bootstrap_interval"]

@@ -339,3 +339,4 @@ SQL = {
     "d21_planted_tokens": """WITH i AS (SELECT DISTINCT doc_id AS id FROM labels), h AS (SELECT id, CAST(CAST(concat('0x', substr(sha1('3:' || id || '/0'), 1, 8)) AS UBIGINT) % 2 AS INTEGER) AS y, CAST(concat('0x', substr(sha1('3:' || id || '/-1'), 1, 8)) AS UBIGINT) % 8 + 1 AS place FROM i)
         SELECT id, list_transform(range(1, 9), lambda k: CAST(CASE WHEN y = 1 AND k = place THEN 50 ELSE CAST(concat('0x', substr(sha1('3:' || id || '/' || k), 1, 8)) AS UBIGINT) % 50 END AS INTEGER)) AS tokens, y FROM h""",
 }
+SQL["d18_bootstrap_whole"] = SQL["d18_bootstrap"]

@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end every table staged within it, for sessions that run many queries: write or
+    read the result before leaving."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > before:
+            _remove(*_made.pop())
+
+
 def clear() -> None:
     """Delete every table staged so far. Results not yet written can't be read afterwards."""
     while _made:

@@ -117,6 +117,8 @@ def resumable_write(df: DataFrame, path: str, by: str, most: int | None = None)
         left.filter(F.col(by).isin(now)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{path}/rows")
         # the rows are whole before their batches are named
         spark.createDataFrame([(str(b),) for b in now], f"`{by}` string").coalesce(1).write.mode("append").json(journal)
+    if not files.exists(at):
+        return df.filter("false")
     finished = spark.read.json(journal, schema=f"`{by}` string").select(F.col(by).alias("__done")).distinct()
     return spark.read.schema(df.schema).parquet(f"{path}/rows").join(finished, key == F.col("__done"), "left_semi")
 
