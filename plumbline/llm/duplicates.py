@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.splits import components
+from plumbline.llm.splits import SMALL, components, merged_in_one_task
 from plumbline.llm.wordsets import keep_by_filter, key_filter, key_table
 from plumbline.plans.staging import stage
 
@@ -43,13 +43,15 @@ def distinct_keys(rows: DataFrame, id_col: str = "row_id", extra: dict[str, Colu
     links = keep_by_filter(slim, "low", key_filter(aliases.select("low"))).select("key", "plain").distinct().join(aliases.select("plain"), "plain", "left_semi")
     shared = links.groupBy("plain").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most").select("plain")
     links = stage(links.join(shared, "plain", "left_semi"), "shared")
-    if links.isEmpty():
+    count = links.count()
+    if not count:
         of = stats.sparkSession.createDataFrame([], f"key {stats.select(key.alias('k')).schema['k'].dataType.simpleString()}, same {stats.select(key.alias('k')).schema['k'].dataType.simpleString()}")
     else:
         # keys and letters are the two kinds of node; a name is the key itself in digits
         name = F.concat_ws(",", F.lit("k"), *(F.col(f"key.{c}") for c in own))
         edges = links.select(name.alias("a"), F.concat_ws(",", F.lit("p"), "plain.hi", "plain.lo", "plain.check").alias("b"))
-        label = components(edges).filter("node like 'k%'")
+        # one task up to a checked size, beyond it the search of problem 4
+        label = (merged_in_one_task(edges) if count <= SMALL else components(edges)).filter("node like 'k%'")
         of = links.select("key", name.alias("node")).distinct().join(label, "node")
         least = of.groupBy("label").agg(F.min("key").alias("same"))
         of = of.join(least, "label").select("key", "same")

@@ -35,7 +35,7 @@ CHOICES = 32
 TOLERANCE = 0.002
 
 
-def _in_one_task(edges: DataFrame) -> DataFrame:
+def merged_in_one_task(edges: DataFrame) -> DataFrame:
     """(node, label) of a graph of a checked size."""
     kind = edges.schema["a"].dataType.simpleString()
 
@@ -97,7 +97,7 @@ def components(edges: DataFrame, small: int = SMALL, hub: int = HUB) -> DataFram
     collided = pairs.filter("a <> b").join(la, "a").join(lb, "b").filter("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
     collided = stage(collided, "collided")
     # the small graph of labels: one task up to a checked size, beyond it the same search again
-    merged = (_in_one_task(collided) if collided.count() <= small else components(collided, small, hub)).toDF("of", "to")
+    merged = (merged_in_one_task(collided) if collided.count() <= small else components(collided, small, hub)).toDF("of", "to")
     out = labels.join(merged, labels["label"] == merged["of"], "left").select("node", F.coalesce("to", "label").alias("root"))
     out = stage(out.unionByName(lone.join(labels, "node", "left_anti").toDF("node", "root")), "roots")
     least = out.groupBy("root").agg(F.min("node").alias("label"))
