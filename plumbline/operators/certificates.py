@@ -88,6 +88,35 @@ def direction_pool(stats: M.ClassStats, gbar: np.ndarray, second: np.ndarray, mi
     return out
 
 
+def with_areas(df: DataFrame, pool: DataFrame, y: str = "y") -> DataFrame:
+    """`pool` (name, w and more, a short list of directions) with the area of each direction's scores of the rows."""
+    rows = df.select(y, "vec_id", "v").crossJoin(F.broadcast(pool.select("name", "w")))
+    return pool.join(area(rows.select("name", y, F.round(V.dot("v", "w"), 9).alias("score")), ["name"], "score", y), "name")
+
+
+def budget_curves(pool: list[tuple[float, float, float]], top: int = 5, reps: int = 400) -> list[tuple[str, int, float, float]]:
+    """(ordering, budget, share, recall) of directions with their certificate, area and effect: the best
+    effect found within each budget as a share of the best of all, and the share of the `top` effects
+    found, if directions are tried by effect, by certificate, by the area's distance from one half, and
+    as the mean of `reps` permutations."""
+    certificate_, auc, effect = (np.array([r[k] for r in pool], float) for k in range(3))
+    m = len(effect)
+    best = set(np.argsort(-effect, kind="stable")[:top].tolist())
+
+    def curve(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.maximum.accumulate(effect[order]) / effect.max(), np.cumsum([k in best for k in order.tolist()]) / min(top, m)
+
+    curves = {k: curve(np.argsort(-x, kind="stable")) for k, x in (("oracle", effect), ("certificate", certificate_), ("probe_auc", np.abs(auc - 0.5)))}
+    random = [curve(np.random.default_rng(1000 + r).permutation(m)) for r in range(reps)]
+    curves["random"] = tuple(np.mean([c[k] for c in random], axis=0) for k in (0, 1))
+    return [(name, b + 1, float(share[b]), float(recall[b])) for name, (share, recall) in curves.items() for b in range(m)]
+
+
+def budgets_to(curves: DataFrame, shares: tuple[float, ...] = (0.9, 0.99)) -> DataFrame:
+    """(ordering, share, budget): the least budget that reaches each share of the best effect."""
+    return curves.groupBy("ordering").agg(*(F.min(F.when(F.col("share") >= x - 1e-12, F.col("budget"))).alias(f"to_{round(100 * x)}") for x in shares))
+
+
 def erf(x: Column) -> Column:
     """Error function to 1.5e-7 by the rational approximation 7.1.26 of Abramowitz and Stegun."""
     t = 1 / (1 + 0.3275911 * F.abs(x))
@@ -132,6 +161,22 @@ def _pool(s, d) -> DataFrame:
     return s.createDataFrame(rows, "place int, name string, w array<double>, certificate double, effect double")
 
 
+def _tested(s, d) -> DataFrame:
+    return with_areas(_vg(s, d), _pool(s, d))
+
+
+def _both(s, d) -> DataFrame:
+    """How well the certificate and the area foretell the effect, over the pool."""
+    t = _tested(s, d).withColumn("far", F.abs(F.col("auroc") - 0.5))
+    a, b = spearman(t, [], "certificate", "effect"), spearman(t, [], "far", "effect")
+    return a.select(rd("rho").alias("certificate")).crossJoin(b.select(rd("rho").alias("area")))
+
+
+def _curves(s, d) -> DataFrame:
+    rows = _tested(s, d).orderBy("place").select("certificate", "auroc", "effect").collect()  # one for each direction
+    return s.createDataFrame(budget_curves([tuple(r) for r in rows]), "ordering string, budget int, share double, recall double")
+
+
 def _alignment(s, d):
     """Cosines of each source's class difference with each family's mean adjoint."""
     df = _vg(s, d)
@@ -159,6 +204,9 @@ QUERIES = {
     "g08_usable_radius": lambda s, d: _one(s, radius=usable_radius(abs(certificate(_gbar(s, d), _delta(s, d))), 0.25)),
     "g09_predicted_effect": lambda s, d: _vg(s, d).agg(rd(0.1 * F.avg(V.norm("v")) * F.lit(abs(certificate(_gbar(s, d), _delta(s, d)))), 5).alias("effect")),
     "g10_pool": lambda s, d: _pool(s, d).select("place", "name", rd("certificate", 5).alias("certificate")),
+    "g11_both": lambda s, d: _both(s, d),
+    "g12_orderings": lambda s, d: _curves(s, d).select("ordering", "budget", rd("share", 5).alias("share"), rd("recall", 5).alias("recall")),
+    "g12_budgets": lambda s, d: budgets_to(_curves(s, d)),
     "g11_predictiveness": lambda s, d: spearman(_pool(s, d), [], "certificate", "effect").select(rd("rho").alias("rho")),
     "g12_budget_curves": lambda s, d: recall_at(running_best(_pool(s, d).withColumn("all", F.lit(1)), ["all"], "place", "effect"), ["all"], "place", "effect", 5).select("place", rd("best", 5).alias("best"), rd("recall").alias("recall")),
     "g12_budget_to_90": lambda s, d: budget_to(_pool(s, d).withColumn("all", F.lit(1)).withColumn("by_certificate", F.row_number().over(Window.partitionBy("all").orderBy(F.desc("certificate"), "place"))), ["all"], "by_certificate", "effect", 0.9).select("budget"),

@@ -208,3 +208,20 @@ def test_layer_sweep(families):
     assert set(got) == {"0", "1"}
     for r in got.values():
         assert r.auroc > 0.75 and abs(r.control - 0.5) < 0.15 and r.control_sd > 0 and 0.4 < r.dummy < 0.6 and r.accuracy > r.dummy
+
+
+def test_budget_curves():
+    from plumbline.operators import certificates as C
+
+    rng = np.random.default_rng(4)
+    effect = rng.random(12)
+    pool = [(float(effect[k] + 0.01 * rng.random()), float(rng.random()), float(effect[k])) for k in range(12)]
+    got = {}
+    for name, b, share, recall in C.budget_curves(pool, reps=200):
+        got.setdefault(name, []).append((b, share, recall))
+    assert set(got) == {"oracle", "certificate", "probe_auc", "random"} and all(len(c) == 12 for c in got.values())
+    assert got["oracle"][0][1] == 1.0 and got["oracle"][4][2] == 1.0
+    for c in got.values():
+        assert math.isclose(c[-1][1], 1.0) and math.isclose(c[-1][2], 1.0) and all(x[1] <= y[1] + 1e-12 and x[2] <= y[2] + 1e-12 for x, y in zip(c, c[1:]))
+    # the expected recall of a random order is the budget's share of the pool
+    assert abs(got["random"][5][2] - 0.5) < 0.05
