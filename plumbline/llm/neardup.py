@@ -67,7 +67,7 @@ def hot_words(sets: DataFrame, order: ws.WordOrder, block: int) -> DataFrame | N
 def postings(sets: DataFrame, order: ws.WordOrder) -> DataFrame:
     """(word, id, sketches, wide, meta) for the prefix words of every distinct set. meta packs the set's
     size, the word's place and three marks, see `unpacked`. With columns in_held and in_train a set is
-    posted once for each side it is on."""
+    posted once for each side it is on, and next has the words that follow a frequent one."""
     shared = sets.sparkSession.sparkContext.broadcast(order)
     sided = "in_held" in sets.columns
 
@@ -91,10 +91,12 @@ def postings(sets: DataFrame, order: ws.WordOrder) -> DataFrame:
             sides = [(np.ones(len(p.row), bool), 0)]
             if sided:
                 sides = [(b.column(c).to_numpy(zero_copy_only=False)[p.row], mark) for c, mark in (("in_train", 0), ("in_held", 4))]
+            often = shared.value.of(p.word) > shared.value.rare if sided else None
             for on, mark in sides:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[on]) for x in columns), ws.packed_wide(wide, line[on]), pa.array(meta[on] | mark)], names=["word", "id", "sketch_a", "sketch_b", "wide", "meta"])
+                more = [ws.following(ws.Prefixes(*(x[on] for x in p[:3]), *p[3:]), n, often[on])] if sided else []
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[on]) for x in columns), ws.packed_wide(wide, line[on]), pa.array(meta[on] | mark), *more], names=["word", "id", "sketch_a", "sketch_b", "wide", "meta", *["next"] * sided])
 
-    return sets.select("id", *(["in_held", "in_train"] if sided else []), "words").mapInArrow(run, POSTING)
+    return sets.select("id", *(["in_held", "in_train"] if sided else []), "words").mapInArrow(run, POSTING + ", next binary" * sided)
 
 
 def in_blocks(posts: DataFrame, hot: DataFrame | None) -> DataFrame:

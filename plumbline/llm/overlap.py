@@ -3,6 +3,8 @@
 An exact prefix-filter join of two sides on their rarest words (shingles of one word, as the
 project's data define them): the evaluation sets are indexed under their prefix words, the training
 sets probe that index with length and position filters, and what is left is verified on whole sets.
+Sets that share a frequent word are brought together by the next common word too, and where these are
+still many, by the one after it; within a task, so no more postings are sent.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from plumbline.llm.neardup import BLOCK, DIFFERENT, hot_words, in_word_groups, k
 from plumbline.plans.staging import stage
 
 _PAIRS = 1 << 21  # index entries looked at in one step
+#: Pairs of sets of a word above which the sets are compared by the next common word too.
+_WORK = 1 << 20
+_LONGEST = 3  # words by which sets are brought together
 
 
 def probe(group: np.ndarray, held: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, size: np.ndarray, place: np.ndarray, wide: np.ndarray, line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -56,12 +61,61 @@ def probe(group: np.ndarray, held: np.ndarray, sketch_a: np.ndarray, sketch_b: n
         first = last
 
 
-def _join(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def longer(cols: dict[str, np.ndarray], base: np.ndarray, following: np.ndarray, length: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Sets that share `length` words, brought together by the next common one instead: a set once for each
+    word that can be it, in groups of their own; and the row that each comes from. A set's word at a place
+    is `following` at `base` and that place. Two similar sets meet where the word is the next that both
+    have, with all words in between on one side only. A set that ends here is similar to itself
+    alone, and stays as it is."""
+    a, b = ws.SIMILARITY
+    n, at = cols["size"], cols["place"] + length - 1
+    ends = n <= length
+    copies = np.where(ends, 1, n - -(-a * n // b) + length - at)
+    row = np.repeat(np.arange(len(n)), copies)
+    first = np.cumsum(copies) - copies
+    place = at[row] + 1 + np.arange(len(row)) - first[row]
+    on = ~ends[row]
+    word = np.full(len(row), 1 << 16)
+    word[on] = following[(base[row] + place)[on]]
+    out = {k: cols[k][row] for k in ("held", "size")}
+    # the sketches of what stands after the new word
+    for k, bit in zip(("sketch_a", "sketch_b"), ws.bits(word << 20)):
+        upto = np.r_[np.uint64(0), np.bitwise_xor.accumulate(np.where(on, bit, np.uint64(0)))]
+        out[k] = cols[k][row] ^ upto[1:] ^ upto[first][row]
+    out["group"] = np.unique((cols["group"][row] << 17) | word, return_inverse=True)[1]
+    out["place"] = np.where(on, place - length, cols["place"][row])
+    return out, row
+
+
+def _join(t: pa.Table, work: int = _WORK) -> Iterator[pa.RecordBatch]:
     cols = unpacked(t)
     del cols["cross"], cols["side"]
-    ids = t["id"].to_numpy()
-    for i, j in probe(**cols):
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["id_a", "id_b"])
+    ids, wide, lines = t["id"].to_numpy(), cols.pop("wide"), cols.pop("line")
+    column = t["next"].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2
+    following = np.frombuffer(column.buffers()[2] or b"", np.uint16).astype(np.int64)
+    known = np.diff(offsets) > 0
+    known |= cols["size"] == 1
+    base = offsets[:-1] - cols["place"] - 1
+    row = np.arange(len(ids))
+    for length in range(1, _LONGEST + 1):
+        group = cols["group"]
+        many = (np.bincount(group, cols["held"]) * np.bincount(group, ~cols["held"]) > work)[group]
+        if length == 1:
+            # of a rare word no set tells what follows
+            many &= (np.bincount(group, ~known) == 0)[group]
+        if length == _LONGEST:
+            many[:] = False
+        few = {k: x[~many] for k, x in cols.items()}
+        own = row[~many]
+        for i, j in probe(**few, wide=wide, line=lines[own] if length == 1 else np.full(len(own), -1)):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own[i]]), pa.array(ids[own[j]])], names=["id_a", "id_b"])
+        if not many.any():
+            return
+        row = row[many]
+        cols, of = longer({k: x[many] for k, x in cols.items()}, base[row], following, length)
+        row = row[of]
 
 
 def in_grid(posts: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -74,7 +128,7 @@ def in_grid(posts: DataFrame, hot: DataFrame | None) -> DataFrame:
     own, other = F.when(held, F.col("held_blocks")).otherwise(F.col("blocks")), F.when(held, F.col("blocks")).otherwise(F.col("held_blocks"))
     x = x.withColumn("mine", F.pmod(F.xxhash64("id"), own)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other - 1, F.lit(0)))))
     block = F.when(held, F.xxhash64("word", "other", "mine")).otherwise(F.xxhash64("word", "mine", "other"))
-    return x.select(F.when(F.col("blocks").isNull(), F.col("word")).otherwise(block).alias("word"), "id", "sketch_a", "sketch_b", "wide", "meta")
+    return x.select(F.when(F.col("blocks").isNull(), F.col("word")).otherwise(block).alias("word"), "id", "sketch_a", "sketch_b", "wide", "meta", "next")
 
 
 def _sided(df: DataFrame, id_col: str, text_col: str, split_col: str) -> DataFrame:

@@ -17,6 +17,8 @@ from plumbline.plans.staging import stage
 #: Words whose exact order every task holds, at 12 bytes each: the most frequent ones. Words beyond it
 #: are rarer than all of these, and stand before them in the order of their hashes.
 MOST_WORDS = 1 << 20
+#: Sets with a word from which on its postings tell the words that follow, see `following`.
+OFTEN = 1 << 11
 #: Bits of the filter on row keys: fixed, 1 MB.
 FILTER_BITS = 1 << 23
 MIN_WORDS = 15
@@ -162,6 +164,7 @@ class WordOrder(NamedTuple):
     rank: np.ndarray
     complete: bool
     most: int
+    rare: int = 0
 
     def of(self, flat: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -189,7 +192,7 @@ def distinct_sets(table: DataFrame, sided: bool = False) -> DataFrame:
     return stage(once.unionByName(again).select(F.monotonically_increasing_id().alias("id"), *on, *sides, "words"), "sets")
 
 
-def word_order(sets: DataFrame, sided: bool = False, most: int = MOST_WORDS) -> WordOrder:
+def word_order(sets: DataFrame, sided: bool = False, most: int = MOST_WORDS, often: int = OFTEN) -> WordOrder:
     """The order of the words by the exact number of distinct sets that have them. Words that only one
     set has, or with `sided` only one side, aren't listed, since they link nothing."""
 
@@ -237,7 +240,7 @@ def word_order(sets: DataFrame, sided: bool = False, most: int = MOST_WORDS) ->
     rank = np.empty(len(word), np.int32)
     rank[np.lexsort((word, n))] = np.arange(1, len(word) + 1)
     order = np.argsort(word)
-    return WordOrder(word[order], rank[order], complete, int(n.max(initial=0)))
+    return WordOrder(word[order], rank[order], complete, int(n.max(initial=0)), int((n < often).sum()))
 
 
 def key_filter(ids: DataFrame) -> np.ndarray:
@@ -321,9 +324,21 @@ def after(values: np.ndarray, p: Prefixes) -> np.ndarray:
     return upto[p.end[p.row]] ^ upto[p.start[p.row] + p.place + 1]
 
 
+def following(p: Prefixes, n: np.ndarray, some: np.ndarray) -> pa.Array:
+    """A binary column with 16 bits, the first 7 of them those of `bits`, of each word after the prefix
+    words marked in `some` that can be one of the next two common words of two similar sets: the k-th
+    common word is among the first n - least overlap + k of each."""
+    a, b = SIMILARITY
+    last = np.minimum(n - -(-a * n // b) + 2, n - 1)[p.row]
+    count = np.where(some, last - p.place, 0)
+    at = np.repeat(p.start[p.row] + p.place + 1 - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    data = ((p.ordered[at] >> 20) & 0xFFFF).astype(np.uint16)
+    return pa.Array.from_buffers(pa.binary(), len(p.row), [None, pa.py_buffer(np.r_[0, np.cumsum(2 * count)].astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def sketches_after(p: Prefixes) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit parity sketches of the words after each prefix word."""
-    return tuple(after(x, p) for x in _bits(p.ordered))
+    return tuple(after(x, p) for x in bits(p.ordered))
 
 
 def wide_sketches_after(p: Prefixes) -> np.ndarray:
@@ -335,10 +350,10 @@ def sketches(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit parity sketches of each set. A word in only one of two sets changes one bit of
     the pair at most, so their Hamming distance never exceeds the number of such words."""
     start = np.cumsum(n) - n
-    return tuple(np.bitwise_xor.reduceat(x, start) for x in _bits(flat))
+    return tuple(np.bitwise_xor.reduceat(x, start) for x in bits(flat))
 
 
-def _bits(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bits(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each word's bit in the two sketches."""
     one = np.uint64(1)
     bit = ((flat >> 20) & 127).astype(np.uint64)
