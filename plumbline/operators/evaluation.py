@@ -4,6 +4,7 @@ W09, W14, R04, and iterative or library-backed heads: H03, H06-H09, H12, H16, V0
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 from typing import NamedTuple
 
 import numpy as np
@@ -442,8 +443,11 @@ def routed_comparison(df: DataFrame, priors: tuple[float, ...] = (0.5, PRIOR), s
     Distance is that of the moments of the drawn rows from a head's mixture; gains and losses are against
     pooled; rho is the rank correlation of distance and area over the single families.
 
-    Statistics cover all rows of a family, in one pass; draws and scores are two more."""
+    Statistics cover all rows of a family, in one pass; draws and scores are two more. A row is scored
+    once by each head, whatever the number of draws that have it; quotas are taken for the chosen
+    heads only, and areas for all."""
     recipe = ("std", "lda", hyper)
+    df = stage(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
     parts = M.ClassStats.by(df, "family")
     total = _total(parts)
     usable = [f for f, p in parts.items() if min(p.n.values()) >= 2]
@@ -468,11 +472,14 @@ def routed_comparison(df: DataFrame, priors: tuple[float, ...] = (0.5, PRIOR), s
     spark = df.sparkSession
     h = spark.createDataFrame(heads, "family string, candidate string, w array<double>, b double")
     drawn = None
+    draws = [(prior, seed) for prior in priors for seed in seeds]
+    if len(draws) > 60:
+        raise ValueError(f"{len(draws)} draws; their marks have room for 60")
     for prior in priors:
         want = D.prior_counts(df, ["family"], "y", prior)
         for seed in seeds:
             o = df.withColumn("o", F.sha1(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary")))
-            part = D.take(o, want, ["family"], "y", "o", "vec_id").select("family", "vec_id", "y", "v", F.lit(prior).alias("prior"), F.lit(seed).alias("seed"))
+            part = D.take(o, want, ["family"], "y", "o", "vec_id").select("family", "vec_id", "y", "v", "__row", F.lit(prior).alias("prior"), F.lit(seed).alias("seed"), F.lit(1 << draws.index((prior, seed))).cast("long").alias("draw"))
             drawn = part if drawn is None else drawn.unionByName(part)
     drawn = stage(drawn.filter(F.col("family").isin(held_ones)), "drawn")
     moments: dict[tuple, dict[int, tuple[float, float]]] = {}
@@ -501,22 +508,112 @@ def routed_comparison(df: DataFrame, priors: tuple[float, ...] = (0.5, PRIOR), s
     ddl = "family string, prior double, seed int"
     far = spark.createDataFrame(distances, f"{ddl}, candidate string, distance double")
     chosen = spark.createDataFrame(methods, f"{ddl}, method string, candidate string")
-    x = stage(drawn.join(h, "family").select(*key, "candidate", "vec_id", "y", F.round(V.dot("v", "w") + F.col("b"), 9).alias("score")), "routed")
     by = [*key, "candidate"]
+    rows = drawn.groupBy("__row").agg(*(F.any_value(c).alias(c) for c in ("family", "y", "v")), F.bit_or("draw").alias("draws"))
+    drawn_as = spark.createDataFrame([(k, *d) for k, d in enumerate(draws)], "draw int, prior double, seed int")
+    facts = stage(drawn_areas(rows, heads, parts).join(drawn_as, "draw").select(*by, "auroc").join(far, by, "left"), "routed_areas")
+    # heads: at most four for each family and draw
+    x = drawn.join(F.broadcast(chosen.select(*by).distinct().join(h, ["family", "candidate"])), key).select(*by, "vec_id", "__row", "y", F.round(V.dot("v", "w") + F.col("b"), 9).alias("score"))
+    x = stage(x, "routed")
     pred = None
     for prior in priors:
         part = quota(x.filter(F.col("prior") == prior), by, "score", "vec_id", prior)
         pred = part if pred is None else pred.unionByName(part)
     pred = stage(pred, "routed_predictions")
-    base = pred.filter("candidate = 'pooled'").select(*key, "vec_id", F.col("pred").alias("base"))
+    base = pred.filter("candidate = 'pooled'").select(*key, "__row", F.col("pred").alias("base"))
     right, was = F.col("pred") == F.col("y"), F.col("base") == F.col("y")
-    facts = pred.join(base, [*key, "vec_id"]).groupBy(*by).agg(F.avg(right.cast("double")).alias("accuracy"), F.count_if(right & ~was).alias("gains"), F.count_if(~right & was).alias("losses"))
-    facts = stage(facts.join(area(x, by, "score", "y"), by).join(far, by, "left"), "routed_facts")
+    reached = pred.join(base, [*key, "__row"]).groupBy(*by).agg(F.avg(right.cast("double")).alias("accuracy"), F.count_if(right & ~was).alias("gains"), F.count_if(~right & was).alias("losses"))
     rho = spearman(facts.filter("candidate not in ('pooled', 'clean_pool')"), key, "distance", "auroc")
-    out = chosen.join(facts, by).join(rho, key, "left")
+    out = chosen.join(reached, by).join(facts, by).join(rho, key, "left")
     return out.select(*key, "method", "candidate", "distance", "accuracy", "auroc", "gains", "losses", "rho")
 
 
+#: Rows of a family scored at once, and rows whose scores by one head are sorted in one task, about.
+_SCORED, _SORTED = 1 << 15, 1 << 18
+
+
+def drawn_areas(rows: DataFrame, heads: list[tuple[str, str, list[float], float]], parts: dict[str, M.ClassStats], most: int = _SORTED) -> DataFrame:
+    """(family, candidate, draw, auroc) for the heads (family, candidate, w, b) of each family: the area
+    under the ROC curve of each draw, a bit of `draws` in (family, y, v, draws).
+
+    A row's score by a head is made and sorted once for all draws. The scores of a large family are
+    divided into ranges, about evenly by their mean and deviation, and a score is in one range, so areas
+    are exact however they divide; equal scores of a batch become one with their number."""
+    by_family: dict[str, tuple] = {}
+    for family in dict.fromkeys(h[0] for h in heads):
+        own = [h for h in heads if h[0] == family]
+        w, b = np.array([h[2] for h in own]), np.array([h[3] for h in own])
+        p = parts[family]
+        n = p.n[0] + p.n[1]
+        mean, second = (p.s[0] + p.s[1]) / n, (p.g[0] + p.g[1]) / n
+        sd = np.sqrt(np.maximum(np.einsum("ki,ij,kj->k", w, second - np.outer(mean, mean), w), 0))
+        z = np.array([NormalDist().inv_cdf(k / count) for k in range(1, count)]) if (count := -(-n // most)) > 1 else np.zeros(0)
+        by_family[family] = ([h[1] for h in own], w, b, (w @ mean + b)[:, None] + sd[:, None] * z)
+    shared = rows.sparkSession.sparkContext.broadcast(by_family)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        count: dict[str, int] = {}
+
+        def scored(family: str) -> Iterator[pa.RecordBatch]:
+            names, w, b, cuts = shared.value[family]
+            v, code = (np.concatenate(x) for x in zip(*held.pop(family)))
+            count.pop(family)
+            for name, own, at, cut in zip(names, w, b, cuts):
+                score = np.zeros(len(v))
+                for k, x in enumerate(own):
+                    score += v[:, k] * x
+                score = np.round(score + at, 9) + 0.0
+                order = np.lexsort((code, score))
+                s, c = score[order], code[order]
+                first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
+                n, s, c = np.diff(np.r_[first, len(s)]), s[first], c[first]
+                ends = np.r_[0, np.searchsorted(s, cut), len(s)]
+                some = [k for k in range(len(ends) - 1) if ends[k] < ends[k + 1]]
+                lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, ends[1:][some]].astype(np.int32)), pa.array(x)) for x in (s, c, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([family] * len(some)), pa.array([name] * len(some)), pa.array(some, pa.int32()), *lists], names=["family", "candidate", "part", "score", "code", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            code = batch.column("draws").to_numpy() * 2 + (batch.column("y").to_numpy() == 1)
+            family = batch.column("family").dictionary_encode()
+            for k, name in enumerate(family.dictionary.to_pylist()):
+                at = family.indices.to_numpy() == k
+                held.setdefault(name, []).append((v[at], code[at]))
+                count[name] = count.get(name, 0) + int(at.sum())
+                if count[name] >= _SCORED:
+                    yield from scored(name)
+        for name in list(held):
+            yield from scored(name)
+
+    def one_part(t: pa.Table) -> pa.Table:
+        score, code, n = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("score", "code", "n"))
+        order = np.argsort(score)
+        score, code, n = score[order], code[order], n[order]
+        start = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+        found = []
+        for draw in range(int(np.bitwise_or.reduce(code)).bit_length() - 1):
+            here = n * (code >> (draw + 1) & 1)
+            pos = np.add.reduceat(here * (code & 1), start)
+            neg = np.add.reduceat(here * (1 - (code & 1)), start)
+            found.append((draw, float((pos * (np.cumsum(neg) - neg / 2)).sum()), int(pos.sum()), int(neg.sum())))
+        first = t.slice(0, 1)
+        same = {c: pa.array([first.column(c)[0].as_py()] * len(found), t.schema.field(c).type) for c in ("family", "candidate", "part")}
+        rest = {c: pa.array([f[k] for f in found], kind) for k, (c, kind) in enumerate((("draw", pa.int32()), ("u", pa.float64()), ("pos", pa.int64()), ("neg", pa.int64())))}
+        return pa.table(same | rest)
+
+    ddl = "family string, candidate string, part int"
+    scored_rows = rows.select("family", "y", "v", "draws").mapInArrow(run, f"{ddl}, score array<double>, code array<long>, n array<long>")
+    per = scored_rows.groupBy("family", "candidate", "part").applyInArrow(one_part, f"{ddl}, draw int, u double, pos long, neg long")
+    by = ["family", "candidate", "draw"]
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    per = per.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
+    agg = per.groupBy(*by).agg(F.sum(F.col("u") + F.col("pos") * F.col("below")).alias("u"), F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("q"))
+    return agg.filter("p + q > 0").select(*by, F.try_divide("u", F.nullif(F.col("p") * F.col("q"), F.lit(0.0))).alias("auroc"))
+
+
 def routed_summary(compared: DataFrame) -> DataFrame:
     """(prior, method, mean_accuracy, mean_auroc, gains, losses) over families and seeds."""
     return compared.groupBy("prior", "method").agg(F.avg("accuracy").alias("mean_accuracy"), F.avg("auroc").alias("mean_auroc"), F.sum("gains").alias("gains"), F.sum("losses").alias("losses"))
