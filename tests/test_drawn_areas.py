@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import evaluation as E
 from plumbline.operators import moments as M
@@ -22,3 +23,19 @@ def test_areas_of_all_draws_from_one_score(spark, most):
             s = np.round(v[on] @ np.array(w) + b, 9)
             p, q = s[y[on] == 1], s[y[on] == 0]
             assert abs(got[f, c, d] - ((p[:, None] > q).mean() + (p[:, None] == q).mean() / 2)) < 1e-12
+
+
+def test_summary_ranks_chosen_heads_only(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=3).tolist(), k % 2, f"f{k // 2 % 6}") for k in range(360)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>, y int, family string")
+    ranked, quota = [], E.quota
+
+    def seen(x, by, *rest):
+        ranked.extend(r["n"] for r in x.groupBy("family", "prior", "seed").agg(F.count_distinct("candidate").alias("n")).collect())
+        return quota(x, by, *rest)
+
+    monkeypatch.setattr(E, "quota", seen)
+    got = E.routed_summary(E.routed_comparison(df, priors=(0.5,), seeds=(17,))).collect()
+    # of seven heads for each family
+    assert len(got) == 4 and len(ranked) == 6 and max(ranked) <= 4
