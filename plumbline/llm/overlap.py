@@ -23,7 +23,7 @@ from plumbline.plans.staging import stage
 
 _PAIRS = 1 << 21  # index entries looked at in one step
 #: Pairs of sets of a word above which the sets are compared by the next common word too.
-_WORK = 1 << 20
+_WORK = 1 << 24
 _LONGEST = 3  # words by which sets are brought together
 
 

@@ -18,7 +18,7 @@ from plumbline.plans.staging import stage
 #: are rarer than all of these, and stand before them in the order of their hashes.
 MOST_WORDS = 1 << 20
 #: Sets with a word from which on its postings tell the words that follow, see `following`.
-OFTEN = 1 << 11
+OFTEN = 1 << 13
 #: Bits of the filter on row keys: fixed, 1 MB.
 FILTER_BITS = 1 << 23
 MIN_WORDS = 15
