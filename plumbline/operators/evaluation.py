@@ -16,6 +16,7 @@ from plumbline.functions import vectors as V
 from plumbline.operators import moments as M
 from plumbline.operators import sampling as D
 from plumbline.operators.ranking_ops import area, best_cut, best_threshold, class_metrics, confusion, metric_score, quota, spearman
+from plumbline.plans.ranking import nth_by_hex
 from plumbline.plans.staging import stage
 from plumbline.plans.tables import VECTORS_SQL, correlation, rd, table, vectors
 
@@ -435,17 +436,18 @@ def guard_families(df: DataFrame, least: int = 3) -> int:
     return n
 
 
-def routed_comparison(df: DataFrame, priors: tuple[float, ...] = (0.5, PRIOR), seeds: tuple[int, ...] = (17, 29, 41), unclean: tuple[str, ...] = (), least: int = 20, hyper: float = 0.6) -> DataFrame:
+def routed_comparison(df: DataFrame, priors: tuple[float, ...] = (0.5, PRIOR), seeds: tuple[int, ...] = (17, 29, 41), unclean: tuple[str, ...] = (), least: int = 20, hyper: float = 0.6, correlated: bool = True) -> DataFrame:
     """(family, prior, seed, method, candidate, distance, accuracy, auroc, gains, losses, rho): for every held
     family, prior and seed the rows drawn to the prior, scored by the head of all other families
     (pooled), by the nearest stored head, pooled among them (routed), by the nearest of a single family
     (routed_source_only), and by the pool without the `unclean` families (clean_pool), all by quota.
     Distance is that of the moments of the drawn rows from a head's mixture; gains and losses are against
-    pooled; rho is the rank correlation of distance and area over the single families.
+    pooled; rho is the rank correlation of distance and area over the single families, left out with its
+    column if not `correlated`: only it needs the areas of heads that no method chooses.
 
-    Statistics cover all rows of a family, in one pass; draws and scores are two more. A row is scored
-    once by each head, whatever the number of draws that have it; quotas are taken for the chosen
-    heads only, and areas for all."""
+    Statistics cover all rows of a family, in one pass. A row is written once with marks of the draws
+    that have it, and scored once by each head, whatever their number. Quotas are cuts in the sorted
+    scores of the chosen heads; only rows of a score that a cut goes through are ranked."""
     recipe = ("std", "lda", hyper)
     df = stage(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
     parts = M.ClassStats.by(df, "family")
@@ -459,7 +461,7 @@ def routed_comparison(df: DataFrame, priors: tuple[float, ...] = (0.5, PRIOR), s
         return (a.T @ w).tolist(), float(b - (a.T @ w) @ c)
 
     sources = {f: head(parts[f]) for f in usable}
-    heads, pools = [], {}
+    heads, pools, same = [], {}, {}
     for held in held_ones:
         pool = total.without(parts[held])
         clean = pool
@@ -468,31 +470,25 @@ def routed_comparison(df: DataFrame, priors: tuple[float, ...] = (0.5, PRIOR), s
                 clean = clean.without(parts[f])
         pools[held] = pool
         heads += [(held, f, *sources[f]) for f in usable if f != held]
-        heads += [(held, "pooled", *head(pool)), (held, "clean_pool", *(head(clean) if min(clean.n.values()) > 0 else head(pool)))]
+        heads.append((held, "pooled", *head(pool)))
+        if clean is pool or min(clean.n.values()) <= 0:
+            same[held, "clean_pool"] = "pooled"
+        else:
+            heads.append((held, "clean_pool", *head(clean)))
     spark = df.sparkSession
-    h = spark.createDataFrame(heads, "family string, candidate string, w array<double>, b double")
-    drawn = None
     draws = [(prior, seed) for prior in priors for seed in seeds]
     if len(draws) > 60:
         raise ValueError(f"{len(draws)} draws; their marks have room for 60")
-    for prior in priors:
-        want = D.prior_counts(df, ["family"], "y", prior)
-        for seed in seeds:
-            o = df.withColumn("o", F.sha1(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary")))
-            part = D.take(o, want, ["family"], "y", "o", "vec_id").select("family", "vec_id", "y", "v", "__row", F.lit(prior).alias("prior"), F.lit(seed).alias("seed"), F.lit(1 << draws.index((prior, seed))).cast("long").alias("draw"))
-            drawn = part if drawn is None else drawn.unionByName(part)
-    drawn = stage(drawn.filter(F.col("family").isin(held_ones)), "drawn")
-    moments: dict[tuple, dict[int, tuple[float, float]]] = {}
-    for r in M.dim_moments(drawn, "v", "family", "prior", "seed").select("family", "prior", "seed", "i", "mean", "sd").collect():  # families x draws x d numbers
-        moments.setdefault((r["family"], r["prior"], r["seed"]), {})[r["i"]] = (r["mean"], r["sd"])
+    rows = stage(drawn_marks(df.filter(F.col("family").isin(held_ones)), draws), "drawn")
+    moments = M.marked_moments(rows, "v", "family", "draws")
 
     def mixture(p: M.ClassStats, prior: float) -> tuple[np.ndarray, np.ndarray]:
         (m0, m1), (v0, v1) = p.means, (np.diag(p.g[y]) / p.n[y] - (p.s[y] / p.n[y]) ** 2 for y in (0, 1))
         return (1 - prior) * m0 + prior * m1, np.sqrt(np.maximum((1 - prior) * v0 + prior * v1 + prior * (1 - prior) * (m1 - m0) ** 2, 1e-12))
 
-    distances, methods = [], []
-    for (held, prior, seed), m in moments.items():
-        mu, sg = (np.array([m[i][j] for i in sorted(m)]) for j in (0, 1))
+    distances, methods, quotas = [], [], {}
+    for (held, draw), (n, mu, sg) in moments.items():
+        prior, seed = draws[draw]
         _, scale = pools[held].center_and_scale()
         far = {}
         for f in [*(f for f in usable if f != held), "pooled"]:
@@ -503,42 +499,97 @@ def routed_comparison(df: DataFrame, priors: tuple[float, ...] = (0.5, PRIOR), s
         chosen = {"pooled": "pooled", "clean_pool": "clean_pool", "routed": min(far, key=lambda f: (far[f], f))}
         if single:
             chosen["routed_source_only"] = min(single, key=lambda f: (far[f], f))
-        methods += [(held, prior, seed, k, f) for k, f in chosen.items()]
+        methods += [(held, prior, seed, k, f, same.get((held, f), f)) for k, f in chosen.items()]
+        for name in {same.get((held, f), f) for f in chosen.values()}:
+            quotas[held, name, draw] = min(max(round(n * prior), 0), n)
     key = ["family", "prior", "seed"]
     ddl = "family string, prior double, seed int"
     far = spark.createDataFrame(distances, f"{ddl}, candidate string, distance double")
-    chosen = spark.createDataFrame(methods, f"{ddl}, method string, candidate string")
+    chosen = spark.createDataFrame(methods, f"{ddl}, method string, candidate string, head string")
     by = [*key, "candidate"]
-    rows = drawn.groupBy("__row").agg(*(F.any_value(c).alias(c) for c in ("family", "y", "v")), F.bit_or("draw").alias("draws"))
     drawn_as = spark.createDataFrame([(k, *d) for k, d in enumerate(draws)], "draw int, prior double, seed int")
-    facts = stage(drawn_areas(rows, heads, parts).join(drawn_as, "draw").select(*by, "auroc").join(far, by, "left"), "routed_areas")
-    # heads: at most four for each family and draw
-    x = drawn.join(F.broadcast(chosen.select(*by).distinct().join(h, ["family", "candidate"])), key).select(*by, "vec_id", "__row", "y", F.round(V.dot("v", "w") + F.col("b"), 9).alias("score"))
-    x = stage(x, "routed")
-    pred = None
-    for prior in priors:
-        part = quota(x.filter(F.col("prior") == prior), by, "score", "vec_id", prior)
-        pred = part if pred is None else pred.unionByName(part)
-    pred = stage(pred, "routed_predictions")
-    base = pred.filter("candidate = 'pooled'").select(*key, "__row", F.col("pred").alias("base"))
-    right, was = F.col("pred") == F.col("y"), F.col("base") == F.col("y")
-    reached = pred.join(base, [*key, "__row"]).groupBy(*by).agg(F.avg(right.cast("double")).alias("accuracy"), F.count_if(right & ~was).alias("gains"), F.count_if(~right & was).alias("losses"))
-    rho = spearman(facts.filter("candidate not in ('pooled', 'clean_pool')"), key, "distance", "auroc")
-    out = chosen.join(reached, by).join(facts, by).join(rho, key, "left")
-    return out.select(*key, "method", "candidate", "distance", "accuracy", "auroc", "gains", "losses", "rho")
-
-
-#: Rows of a family scored at once, and rows whose scores by one head are sorted in one task, about.
-_SCORED, _SORTED = 1 << 15, 1 << 18
-
-
-def drawn_areas(rows: DataFrame, heads: list[tuple[str, str, list[float], float]], parts: dict[str, M.ClassStats], most: int = _SORTED) -> DataFrame:
-    """(family, candidate, draw, auroc) for the heads (family, candidate, w, b) of each family: the area
-    under the ROC curve of each draw, a bit of `draws` in (family, y, v, draws).
+    named = {(family, name) for family, name, _ in quotas}
+    first = [h for h in heads if h[:2] in named]
+    ranges = stage(sorted_scores(rows, first, parts), "routed_scores")
+    counts = stage(_draw_counts(ranges), "routed_counts")
+    areas = _areas(counts)
+    if correlated:
+        areas = areas.unionByName(drawn_areas(rows, [h for h in heads if h[:2] not in named], parts))
+    areas = stage(areas.join(F.broadcast(drawn_as), "draw").select(*by, "auroc"), "routed_areas")
+    sums = _judged(rows, first, quotas, _cuts(ranges, counts, quotas), drawn_as)
+    reached = sums.select(*key, F.col("candidate").alias("head"), (F.col("right") / F.col("n")).alias("accuracy"), "gains", "losses")
+    out = chosen.join(reached, [*key, "head"]).join(areas.withColumnRenamed("candidate", "head"), [*key, "head"]).join(far, by, "left")
+    columns = [*key, "method", "candidate", "distance", "accuracy", "auroc", "gains", "losses"]
+    if not correlated:
+        return out.select(*columns)
+    rho = spearman(areas.filter("candidate not in ('pooled', 'clean_pool')").join(far, by), key, "distance", "auroc")
+    return out.join(rho, key, "left").select(*columns, "rho")
+
+
+def drawn_marks(df: DataFrame, draws: list[tuple[float, int]]) -> DataFrame:
+    """The rows of (family, y, v, vec_id, __row) that some draw (prior, seed) takes, with `draws`, a bit
+    for each that does: of each family and class the first in the seed's hash order, as many as the
+    prior wants. What is compared are the last rows taken, a few for each family and draw."""
+    spark = df.sparkSession
+    group = ["family", "y", "seed"]
+    seeds = list(dict.fromkeys(seed for _, seed in draws))
+    order = {seed: F.sha1(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary")) for seed in seeds}
+    each = F.explode(F.array(*(F.struct(F.lit(seed).alias("seed"), o.alias("o")) for seed, o in order.items())))
+    keys = df.select("family", "y", "vec_id", "__row", each.alias("k")).select("family", "y", "vec_id", "__row", "k.seed", "k.o").filter("o is not null")
+    wants: dict[tuple, dict[int, int]] = {}
+    for prior in dict.fromkeys(prior for prior, _ in draws):
+        for r in D.prior_counts(df, ["family"], "y", prior).collect():  # one row for each family
+            for k, draw in enumerate(draws):
+                if draw[0] == prior:
+                    for y, n in ((1, r["want_pos"]), (0, r["want_neg"])):
+                        wants.setdefault((r["family"], y), {})[k] = n
+    wanted = spark.createDataFrame([(*g, draws[k][1], k, n) for g, own in wants.items() for k, n in own.items() if n > 0], "family string, y int, seed int, draw int, nth long")
+    last = {(r["family"], r["y"], r["draw"]): (r["o"], r["vec_id"], r["__row"]) for r in nth_by_hex(keys, group, "o", ["vec_id", "__row"], wanted).collect()}
+    kind = df.schema["vec_id"].dataType.simpleString()
+    cuts = [(*g, sum(1 << k for k, n in own.items() if n > 0 and (*g, k) not in last), *(last.get((*g, k)) for k in range(len(draws)))) for g, own in wants.items()]
+    ddl = ", ".join(["family string", "y int", "__all long", *(f"__c{k} struct<o: string, vec_id: {kind}, __row: bigint>" for k in range(len(draws)))])
+    src = df.select("family", "y", "v", "vec_id", "__row", *(order[seed].alias(f"__o{seed}") for seed in seeds)).join(F.broadcast(spark.createDataFrame(cuts, ddl)), ["family", "y"])
+    marks = F.col("__all")
+    for k, (_, seed) in enumerate(draws):
+        own = F.struct(F.col(f"__o{seed}").alias("o"), "vec_id", "__row")
+        marks = marks.bitwiseOR(F.when(own <= F.col(f"__c{k}"), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+    return src.filter("vec_id is not null").select("family", "y", "v", "vec_id", "__row", marks.alias("draws")).filter("draws <> 0")
+
+
+#: Rows of a family scored at once, rows whose scores by one head are sorted in one task, about, and
+#: scores in a row of the sorted table.
+_SCORED, _SORTED, _RANGE = 1 << 15, 1 << 18, 1 << 14
+
+
+def _score(v: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """Scores of the rows by one head, rounded to nine digits where doubles have as many."""
+    score = np.zeros(len(v))
+    for k, x in enumerate(w):
+        score += v[:, k] * x
+    score += b
+    return np.where(np.abs(score) < 4e6, np.round(score, 9), score) + 0.0
+
+
+def _by_family(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(family, its rows in the batch, their vectors)."""
+    if batch.num_rows:
+        v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        family = batch.column("family").dictionary_encode()
+        of = family.indices.to_numpy()
+        for k, name in enumerate(family.dictionary.to_pylist()):
+            at = np.flatnonzero(of == k)
+            yield name, at, v[at]
+
+
+def sorted_scores(rows: DataFrame, heads: list[tuple[str, str, list[float], float]], parts: dict[str, M.ClassStats], most: int = _SORTED, size: int = _RANGE) -> DataFrame:
+    """(family, candidate, part, range, score, code, n): the scores of (family, y, v, draws) by the heads
+    (family, candidate, w, b) of each family, rising within a range, from range to range of a part and
+    from part to part. `code` has a row's draws and in its lowest bit whether it's positive; equal
+    scores and codes are one entry with their number, and equal scores are in one range.
 
     A row's score by a head is made and sorted once for all draws. The scores of a large family are
-    divided into ranges, about evenly by their mean and deviation, and a score is in one range, so areas
-    are exact however they divide; equal scores of a batch become one with their number."""
+    divided into parts, about evenly by their mean and deviation, and a score is in one part, so what
+    follows from them is exact however they divide."""
     by_family: dict[str, tuple] = {}
     for family in dict.fromkeys(h[0] for h in heads):
         own = [h for h in heads if h[0] == family]
@@ -560,10 +611,7 @@ def drawn_areas(rows: DataFrame, heads: list[tuple[str, str, list[float], float]
             v, code = (np.concatenate(x) for x in zip(*held.pop(family)))
             count.pop(family)
             for name, own, at, cut in zip(names, w, b, cuts):
-                score = np.zeros(len(v))
-                for k, x in enumerate(own):
-                    score += v[:, k] * x
-                score = np.round(score + at, 9) + 0.0
+                score = _score(v, own, at)
                 order = np.lexsort((code, score))
                 s, c = score[order], code[order]
                 first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
@@ -574,15 +622,13 @@ def drawn_areas(rows: DataFrame, heads: list[tuple[str, str, list[float], float]
                 yield pa.RecordBatch.from_arrays([pa.array([family] * len(some)), pa.array([name] * len(some)), pa.array(some, pa.int32()), *lists], names=["family", "candidate", "part", "score", "code", "n"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            code = batch.column("draws").to_numpy() * 2 + (batch.column("y").to_numpy() == 1)
-            family = batch.column("family").dictionary_encode()
-            for k, name in enumerate(family.dictionary.to_pylist()):
-                at = family.indices.to_numpy() == k
-                held.setdefault(name, []).append((v[at], code[at]))
-                count[name] = count.get(name, 0) + int(at.sum())
+            if batch.num_rows:
+                code = batch.column("draws").to_numpy() * 2 + (batch.column("y").to_numpy() == 1)
+            for name, at, v in _by_family(batch):
+                if name not in shared.value:
+                    continue
+                held.setdefault(name, []).append((v, code[at]))
+                count[name] = count.get(name, 0) + len(at)
                 if count[name] >= _SCORED:
                     yield from scored(name)
         for name in list(held):
@@ -590,30 +636,158 @@ def drawn_areas(rows: DataFrame, heads: list[tuple[str, str, list[float], float]
 
     def one_part(t: pa.Table) -> pa.Table:
         score, code, n = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("score", "code", "n"))
-        order = np.argsort(score)
+        order = np.lexsort((code, score))
         score, code, n = score[order], code[order], n[order]
         start = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
-        found = []
-        for draw in range(int(np.bitwise_or.reduce(code)).bit_length() - 1):
-            here = n * (code >> (draw + 1) & 1)
-            pos = np.add.reduceat(here * (code & 1), start)
-            neg = np.add.reduceat(here * (1 - (code & 1)), start)
-            found.append((draw, float((pos * (np.cumsum(neg) - neg / 2)).sum()), int(pos.sum()), int(neg.sum())))
+        ends = np.unique(np.r_[0, start[np.searchsorted(start, np.arange(size, start[-1] + 1, size))], len(score)]).astype(np.int32)
         first = t.slice(0, 1)
-        same = {c: pa.array([first.column(c)[0].as_py()] * len(found), t.schema.field(c).type) for c in ("family", "candidate", "part")}
-        rest = {c: pa.array([f[k] for f in found], kind) for k, (c, kind) in enumerate((("draw", pa.int32()), ("u", pa.float64()), ("pos", pa.int64()), ("neg", pa.int64())))}
-        return pa.table(same | rest)
+        same = {c: pa.array([first.column(c)[0].as_py()] * (len(ends) - 1), t.schema.field(c).type) for c in ("family", "candidate", "part")}
+        lists = {c: pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for c, x in (("score", score), ("code", code), ("n", n))}
+        return pa.table(same | {"range": pa.array(range(len(ends) - 1), pa.int32())} | lists)
 
     ddl = "family string, candidate string, part int"
-    scored_rows = rows.select("family", "y", "v", "draws").mapInArrow(run, f"{ddl}, score array<double>, code array<long>, n array<long>")
-    per = scored_rows.groupBy("family", "candidate", "part").applyInArrow(one_part, f"{ddl}, draw int, u double, pos long, neg long")
+    lists = "score array<double>, code array<long>, n array<long>"
+    scored_rows = rows.select("family", "y", "v", "draws").mapInArrow(run, f"{ddl}, {lists}")
+    return scored_rows.groupBy("family", "candidate", "part").applyInArrow(one_part, f"{ddl}, range int, {lists}")
+
+
+def _ranges_of(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(other columns, code, n, where each distinct score starts, these scores) of each row of sorted scores."""
+    rest = [c for c in batch.schema.names if c not in ("score", "code", "n")]
+    for i in range(batch.num_rows):
+        score, code, n = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("score", "code", "n"))
+        start = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+        yield {c: batch.column(c)[i].as_py() for c in rest}, code, n, start, score[start]
+
+
+def _draw_counts(ranges: DataFrame) -> DataFrame:
+    """(family, candidate, part, range, draw, u, pos, neg) of sorted scores: positives and negatives of each
+    draw, and the pairs within the range that stand in order, ties as a half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for at, code, n, start, _ in _ranges_of(batch):
+                for draw in range(int(np.bitwise_or.reduce(code)).bit_length() - 1):
+                    here = n * (code >> (draw + 1) & 1)
+                    pos = np.add.reduceat(here * (code & 1), start)
+                    neg = np.add.reduceat(here * (1 - (code & 1)), start)
+                    found.append(at | {"draw": draw, "u": float((pos * (np.cumsum(neg) - neg / 2)).sum()), "pos": int(pos.sum()), "neg": int(neg.sum())})
+            yield pa.RecordBatch.from_pylist(found, pa.schema([("family", pa.string()), ("candidate", pa.string()), *((c, pa.int32()) for c in ("part", "range", "draw")), ("u", pa.float64()), ("pos", pa.int64()), ("neg", pa.int64())]))
+
+    return ranges.mapInArrow(run, "family string, candidate string, part int, range int, draw int, u double, pos long, neg long")
+
+
+def _areas(counts: DataFrame) -> DataFrame:
+    """(family, candidate, draw, auroc) from the counts of ranges."""
     by = ["family", "candidate", "draw"]
-    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
-    per = per.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
+    before = Window.partitionBy(*by).orderBy("part", "range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    per = counts.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
     agg = per.groupBy(*by).agg(F.sum(F.col("u") + F.col("pos") * F.col("below")).alias("u"), F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("q"))
     return agg.filter("p + q > 0").select(*by, F.try_divide("u", F.nullif(F.col("p") * F.col("q"), F.lit(0.0))).alias("auroc"))
 
 
+def drawn_areas(rows: DataFrame, heads: list[tuple[str, str, list[float], float]], parts: dict[str, M.ClassStats], most: int = _SORTED) -> DataFrame:
+    """(family, candidate, draw, auroc) for the heads (family, candidate, w, b) of each family: the area
+    under the ROC curve of each draw, a bit of `draws` in (family, y, v, draws)."""
+    return _areas(_draw_counts(sorted_scores(rows, heads, parts, most)))
+
+
+def _cuts(ranges: DataFrame, counts: DataFrame, quotas: dict[tuple[str, str, int], int]) -> dict[tuple[str, str, int], tuple[float, float]]:
+    """{(family, candidate, draw): (score, share)}: the score of the last row of a quota, numbers of the
+    highest scores, and which share of the draw's rows of that score is in it. None for a quota of 0."""
+    by = ["family", "candidate", "draw"]
+    wanted = ranges.sparkSession.createDataFrame([(*k, n) for k, n in quotas.items() if n > 0], "family string, candidate string, draw int, quota long")
+    down = Window.partitionBy(*by).orderBy(F.desc("part"), F.desc("range")).rowsBetween(Window.unboundedPreceding, 0)  # one row for each range
+    n = F.col("pos") + F.col("neg")
+    per = counts.withColumn("upto", F.sum(n).over(down)).withColumn("above", F.col("upto") - n).join(F.broadcast(wanted), by).filter("above < quota and quota <= upto")
+    per = per.groupBy("family", "candidate", "part", "range").agg(F.collect_list(F.struct("draw", (F.col("quota") - F.col("above")).alias("nth"))).alias("wanted"))  # one entry for each draw at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for at, code, n, start, score in _ranges_of(batch):
+                for want in at["wanted"]:
+                    own = np.add.reduceat(n * (code >> (want["draw"] + 1) & 1), start)[::-1]
+                    upto = np.cumsum(own)
+                    k = int(np.searchsorted(upto, want["nth"]))
+                    found.append({"family": at["family"], "candidate": at["candidate"], "draw": want["draw"], "score": float(score[::-1][k]), "share": float((want["nth"] - upto[k] + own[k]) / own[k])})
+            yield pa.RecordBatch.from_pylist(found, pa.schema([("family", pa.string()), ("candidate", pa.string()), ("draw", pa.int32()), ("score", pa.float64()), ("share", pa.float64())]))
+
+    got = ranges.join(F.broadcast(per), ["family", "candidate", "part", "range"]).mapInArrow(run, "family string, candidate string, draw int, score double, share double")
+    return {(r["family"], r["candidate"], r["draw"]): (r["score"], r["share"]) for r in got.collect()}  # one row for each quota
+
+
+def _judged(rows: DataFrame, heads: list[tuple[str, str, list[float], float]], quotas: dict[tuple[str, str, int], int], cuts: dict[tuple[str, str, int], tuple[float, float]], drawn_as: DataFrame) -> DataFrame:
+    """(family, prior, seed, candidate, n, right, gains, losses) of each quota over (family, y, v, vec_id, __row,
+    draws): rows predicted right, and only by this head or only by the pooled one. Rows above or below
+    the cut are counted where they are read; those of its very score are ranked by vec_id."""
+    by_family: dict[str, tuple] = {}
+    for family in dict.fromkeys(h[0] for h in heads):
+        own = {h[1]: (np.array(h[2]), h[3]) for h in heads if h[0] == family}
+        of: dict[int, dict[str, tuple[float, float]]] = {}
+        for (f, name, draw) in quotas:
+            if f == family:
+                of.setdefault(draw, {})[name] = cuts.get((f, name, draw), (float("nan"), 1.0))
+        by_family[family] = (own, of)
+    shared = rows.sparkSession.sparkContext.broadcast(by_family)
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    numbers = ["n", "right", "gains", "losses"]
+    counted = pa.schema([("family", pa.string()), ("candidate", pa.string()), ("draw", pa.int32()), *((c, pa.int64()) for c in numbers)])
+    ranked = [("__row", pa.int64()), ("y", pa.int32()), ("score", pa.float64()), ("share", pa.float64()), ("pred", pa.int32()), ("base", pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        id_type = None
+
+        def out(own: pa.Table, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+            none = [pa.nulls(own.num_rows, f.type) if f.name not in own.schema.names else own.column(f.name).combine_chunks() for f in [*counted, *(pa.field(*f) for f in ranked)]]
+            yield pa.RecordBatch.from_arrays([*none, ids], names=[*counted.names, *(f[0] for f in ranked), "vec_id"])
+
+        for batch in batches:
+            id_type = batch.schema.field("vec_id").type
+            if batch.num_rows:
+                labels, marks, row = (batch.column(c).to_numpy() for c in ("y", "draws", "__row"))
+            for name, at, v in _by_family(batch):
+                if name not in shared.value:
+                    continue
+                own, of = shared.value[name]
+                scores = {c: _score(v, w, b) for c, (w, b) in own.items()}
+                for draw, cut in of.items():
+                    on = np.flatnonzero(marks[at] >> draw & 1)
+                    if not len(on):
+                        continue
+                    y = labels[at[on]]
+                    # 2 is a row of the cut's score
+                    side = {c: np.where(scores[c][on] == x, 2, scores[c][on] > x) for c, (x, _) in cut.items()}
+                    base = side["pooled"]
+                    for c, pred in side.items():
+                        sure = (pred < 2) & (base < 2)
+                        right, was = pred[sure] == y[sure], base[sure] == y[sure]
+                        got = np.array([sure.sum(), right.sum(), (right & ~was).sum(), (~right & was).sum()])
+                        sums[name, c, draw] = sums[name, c, draw] + got if (name, c, draw) in sums else got
+                        k = np.flatnonzero(~sure)
+                        if len(k):
+                            here = at[on[k]]
+                            columns = {"family": [name] * len(k), "candidate": [c] * len(k), "draw": pa.array([draw] * len(k), pa.int32()), "__row": row[here], "y": pa.array(y[k].astype(np.int32)), "score": scores[c][on[k]], "share": np.full(len(k), cut[c][1])}
+                            columns |= {a: pa.array(x[k].astype(np.int32), mask=x[k] == 2) for a, x in (("pred", pred), ("base", base))}
+                            yield from out(pa.table(columns), batch.column("vec_id").take(pa.array(here)))
+        if sums:
+            yield from out(pa.Table.from_pylist([dict(zip(counted.names, (*k, *map(int, x)))) for k, x in sums.items()], counted), pa.nulls(len(sums), id_type))
+
+    ddl = f"family string, candidate string, draw int, n long, right long, gains long, losses long, __row long, y int, score double, share double, pred int, base int, vec_id {kind}"
+    got = stage(rows.select("family", "y", "v", "vec_id", "__row", "draws").mapInArrow(run, ddl).join(F.broadcast(drawn_as), "draw"), "routed_judged")
+    key = ["family", "prior", "seed"]
+    by = [*key, "candidate"]
+    unsure = got.filter("n is null")
+    placed = stage(quota(unsure.filter("pred is null").select(*by, "vec_id", "__row", "score", "share"), by, "score", "vec_id", F.col("share"), "placed").select(*by, "__row", "placed"), "routed_placed")
+    of_pooled = placed.filter("candidate = 'pooled'").select(*key, "__row", F.col("placed").alias("placed_base"))
+    settled = unsure.join(placed, [*by, "__row"], "left").join(of_pooled, [*key, "__row"], "left")
+    right, was = F.coalesce("pred", "placed") == F.col("y"), F.coalesce("base", "placed_base") == F.col("y")
+    ones = settled.select(*by, F.lit(1).cast("long").alias("n"), *(x.cast("long").alias(c) for c, x in (("right", right), ("gains", right & ~was), ("losses", ~right & was))))
+    return got.filter("n is not null").select(*by, *numbers).unionByName(ones).groupBy(*by).agg(*(F.sum(c).alias(c) for c in numbers))
+
+
 def routed_summary(compared: DataFrame) -> DataFrame:
     """(prior, method, mean_accuracy, mean_auroc, gains, losses) over families and seeds."""
     return compared.groupBy("prior", "method").agg(F.avg("accuracy").alias("mean_accuracy"), F.avg("auroc").alias("mean_auroc"), F.sum("gains").alias("gains"), F.sum("losses").alias("losses"))
@@ -782,8 +956,8 @@ def _additive(s, d) -> DataFrame:
     return s.createDataFrame(additive_ensemble(p, sorted(got, key=lambda n: -got[n]), "y"), "name string, weight double")
 
 
-def _routed(s, d) -> DataFrame:
-    return routed_comparison(_v(s, d))
+def _routed(s, d, correlated: bool = True) -> DataFrame:
+    return routed_comparison(_v(s, d), correlated=correlated)
 
 
 QUERIES = {
@@ -812,7 +986,7 @@ QUERIES = {
     "e13_focused_grid": lambda s, d: _rounded(fold_summary(fold_facts(held_out_scores(_v(s, d), FOCUSED))), "recipe", "folds"),
     "e14_guard": lambda s, d: s.createDataFrame([(guard_families(_v(s, d)),)], "families long"),
     "r04_routed_comparison": lambda s, d: _rounded(_routed(s, d), "family", "prior", "seed", "method", "candidate", "gains", "losses"),
-    "a10_routed_summary": lambda s, d: _rounded(routed_summary(_routed(s, d)), "prior", "method", "gains", "losses"),
+    "a10_routed_summary": lambda s, d: _rounded(routed_summary(_routed(s, d, correlated=False)), "prior", "method", "gains", "losses"),
     "h03_logistic": lambda s, d: _head(s, ml_fit(ml_vectors(_v(s, d)), "logistic", C=0.05)),
     "h06_logistic_gd": lambda s, d: M._as_cells(s, *logistic_gd(_v(s, d), "v", "y")),
     "h06_direction": lambda s, d: M._as_cells(s, (lambda w: w / np.linalg.norm(w))(logistic_gd(_v(s, d), "v", "y")[0]), 0.0).filter("i > 0"),

@@ -60,21 +60,31 @@ def _merged(a: list, b: list) -> list:
     return [n + k, m + gap * k / total, q + r + gap * gap * n * k / total]
 
 
-def _partial_moments(df: DataFrame, vec: str, by: tuple[str, ...]) -> DataFrame:
+def _partial_moments(df: DataFrame, vec: str, by: tuple[str, ...], marks: str | None = None) -> DataFrame:
     """(by, n, mean, dev): arrays over the dimensions. A task sends one row for each group it meets, and
-    these are merged in two steps, so no vector is ever taken apart into rows."""
-    src = df.select(*by, F.col(vec).cast("array<double>").alias("__v")).filter("__v is not null")
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__v"), "n array<double>, mean array<double>, dev array<double>"])
+    these are merged in two steps, so no vector is ever taken apart into rows. With `marks`, a long, also
+    by `mark`: a row counts for each bit that its marks have."""
+    src = df.select(*by, F.col(vec).cast("array<double>").alias("__v"), *([F.col(marks).alias("__marks")] if marks else [])).filter("__v is not null")
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name not in ("__v", "__marks")), *(["mark int"] if marks else [])]
+    grouped = by
+    if marks:
+        by = (*by, "mark")
+    ddl = ", ".join([*fields, "n array<double>, mean array<double>, dev array<double>"])
     types: dict[str, pa.DataType] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[tuple, list] = {}
         for b in batches:
-            types.update({k: b.schema.field(k).type for k in by})
+            types.update({k: pa.int32() if marks and k == "mark" else b.schema.field(k).type for k in by})
             x, has = _rows_of(b.column("__v"))
             rows: dict[tuple, list[int]] = {}
-            for i, k in enumerate(zip(*(b.column(k).to_pylist() for k in by)) if by else [()] * b.num_rows):
+            for i, k in enumerate(zip(*(b.column(k).to_pylist() for k in grouped)) if grouped else [()] * b.num_rows):
                 rows.setdefault(k, []).append(i)
+            if marks:
+                marked = b.column("__marks").to_numpy()
+                bits = range(int(np.bitwise_or.reduce(marked)).bit_length() if len(marked) else 0)
+                each = (((*k, bit), np.array(at)[marked[at] >> bit & 1 == 1]) for k, at in rows.items() for bit in bits)
+                rows = {k: at for k, at in each if len(at)}
             for k, at in rows.items():
                 z, h = x[at], has[at]
                 n = h.sum(0).astype(float)
@@ -94,7 +104,7 @@ def _partial_moments(df: DataFrame, vec: str, by: tuple[str, ...]) -> DataFrame:
         return pa.Table.from_batches([_moment_rows({tuple(t.column(c)[0].as_py() for c in kept): total}, tuple(kept), kept)])
 
     part = src.mapInArrow(run, ddl).withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-    first = part.select(*by, "__salt", "n", "mean", "dev").groupBy(*by, "__salt").applyInArrow(add, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__v"), "`__salt` int, n array<double>, mean array<double>, dev array<double>"]))
+    first = part.select(*by, "__salt", "n", "mean", "dev").groupBy(*by, "__salt").applyInArrow(add, ", ".join([*fields, "`__salt` int, n array<double>, mean array<double>, dev array<double>"]))
     return first.drop("__salt").groupBy(*by).applyInArrow(add, ddl)
 
 
@@ -104,6 +114,14 @@ def _moment_rows(got: dict[tuple, list], by: tuple[str, ...], types: dict[str, p
     return pa.RecordBatch.from_arrays(columns, names=[*by, "n", "mean", "dev"])
 
 
+def marked_moments(df: DataFrame, vec: str, group: str, marks: str) -> dict[tuple, tuple[int, np.ndarray, np.ndarray]]:
+    """{(group, bit): (rows, means, population deviations)} of the rows whose marks have the bit, in one
+    pass; vectors of one length without nulls. On the driver: groups x bits x 2 d numbers."""
+    t = _partial_moments(df, vec, (group,), marks).toArrow().combine_chunks()
+    n, mean, dev = ([x.values.to_numpy(zero_copy_only=False) for x in t.column(c)] for c in ("n", "mean", "dev"))
+    return {(t.column(group)[i].as_py(), t.column("mark")[i].as_py()): (int(n[i][0]), mean[i], np.sqrt(dev[i] / n[i][0])) for i in range(t.num_rows)}
+
+
 def dim_moments(df: DataFrame, vec: str, *by: str) -> DataFrame:
     """(by, i, n, mean, var, sd) with population variance."""
     m = _partial_moments(df, vec, by).select(*by, F.posexplode(F.arrays_zip("n", "mean", "dev")).alias("i", "c"))

@@ -56,8 +56,9 @@ def places(df: DataFrame, group: list[str], score: str, tie: str, descending: bo
     return running_by_value(df, group, score, tie, {name: F.lit(1)}, descending)
 
 
-def quota(df: DataFrame, group: list[str], score: str, tie: str, rate: float, name: str = "pred") -> DataFrame:
-    """`df` with 1 for the round(rate * n) highest scores of each group; ties by ascending `tie`."""
+def quota(df: DataFrame, group: list[str], score: str, tie: str, rate: float | Column, name: str = "pred") -> DataFrame:
+    """`df` with 1 for the round(rate * n) highest scores of each group; ties by ascending `tie`. The
+    rate is a number, or a column with one value in each group."""
     n = df.groupBy(*group).agg(F.count("*").alias("__n"))
     placed = places(df, group, score, tie, True, "__p")
     k = F.least(F.greatest(F.bround(F.col("__n") * F.lit(rate)), F.lit(0)), F.col("__n"))

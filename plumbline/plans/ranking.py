@@ -56,6 +56,20 @@ def hex_rank(df: DataFrame, group: list[str], order: str, tie: str, name: str =
     return inside.join(base, on).select(*df.columns, (F.col("__base") + F.col("__within")).alias(name))
 
 
+def nth_by_hex(df: DataFrame, group: list[str], order: str, tie: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows of `df` at the places, from 1, that `wanted` has for its groups in the order of a hexadecimal
+    key, then `tie`, with the other columns of `wanted` (group, nth, ...), a small table. Rows are counted by
+    the key's first three digits, and only those in a bucket with a wanted place are sorted."""
+    src = df.withColumn("__bucket", F.substring(order, 1, 3))
+    per = src.groupBy(*group, "__bucket").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0))
+    held = per.withColumn("__upto", upto).join(F.broadcast(wanted), group).filter((F.col("nth") <= F.col("__upto")) & (F.col("nth") > F.col("__upto") - F.col("__n")))
+    held = held.withColumn("__nth", F.col("nth") - F.col("__upto") + F.col("__n")).drop("__n", "__upto")
+    near = src.join(F.broadcast(held), [*group, "__bucket"])
+    placed = near.withColumn("__place", F.row_number().over(Window.partitionBy(*wanted.columns).orderBy(order, *tie)))
+    return placed.filter("__place = __nth").select(*df.columns, *(c for c in wanted.columns if c not in group))
+
+
 def _attached(df: DataFrame, per: DataFrame, group: list[str]) -> DataFrame:
     """`df` with the columns of `per`, one row for each group; of no group, one row in all."""
     if not group:
