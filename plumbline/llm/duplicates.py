@@ -34,7 +34,21 @@ def distinct_keys(rows: DataFrame, id_col: str = "row_id", extra: dict[str, Colu
     are; texts whose 128-bit keys collide stay apart."""
     extra = extra or {}
     own = ["key_hi", "key_lo", "key_check"]
+    key = F.struct(*own)
     stats = rows.groupBy(*own).agg(F.count("*").alias("n"), F.min(id_col).alias("first"), *(c.alias(k) for k, c in extra.items()))
+    found = shared_keys(rows)
+    # a group has as many keys here as its texts have layouts, never its rows
+    w = Window.partitionBy("same")
+    return stats.join(found, [stats[c] == found[f"of_{c}"] for c in own], "left").withColumn("same", F.coalesce("same", key)).select(
+        *own, "n", F.col("same.key_hi").alias("same_hi"), F.col("same.key_lo").alias("same_lo"),
+        F.min("first").over(w).alias("first_row_id"), F.sum("n").over(w).alias("copies"), *(F.max(k).over(w).alias(k) for k in extra),
+    )
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """(of_key_hi, of_key_lo, of_key_check, same) of the keys in groups of several keys, see
+    `distinct_keys`; `same` is the group's least key."""
+    own = ["key_hi", "key_lo", "key_check"]
     # the letters and digits that several keys share, of which at least one is a record's
     key = F.struct(*own)
     plain = F.struct(F.coalesce("alias_hi", "key_hi").alias("hi"), F.coalesce("alias_lo", "key_lo").alias("lo"), F.coalesce("alias_check", "key_check").alias("check"))
@@ -45,7 +59,8 @@ def distinct_keys(rows: DataFrame, id_col: str = "row_id", extra: dict[str, Colu
     links = stage(links.join(shared, "plain", "left_semi"), "shared")
     count = links.count()
     if not count:
-        of = stats.sparkSession.createDataFrame([], f"key {stats.select(key.alias('k')).schema['k'].dataType.simpleString()}, same {stats.select(key.alias('k')).schema['k'].dataType.simpleString()}")
+        kind = rows.select(key.alias("k")).schema["k"].dataType.simpleString()
+        of = rows.sparkSession.createDataFrame([], f"key {kind}, same {kind}")
     else:
         # keys and letters are the two kinds of node; a name is the key itself in digits
         name = F.concat_ws(",", F.lit("k"), *(F.col(f"key.{c}") for c in own))
@@ -55,14 +70,7 @@ def distinct_keys(rows: DataFrame, id_col: str = "row_id", extra: dict[str, Colu
         of = links.select("key", name.alias("node")).distinct().join(label, "node")
         least = of.groupBy("label").agg(F.min("key").alias("same"))
         of = of.join(least, "label").select("key", "same")
-    found = of.select(*(F.col(f"key.{c}").alias(f"of_{c}") for c in own), "same")
-    on = (stats["key_hi"] == found["of_key_hi"]) & (stats["key_lo"] == found["of_key_lo"]) & (stats["key_check"] == found["of_key_check"])
-    # a group has as many keys here as its texts have layouts, never its rows
-    w = Window.partitionBy("same")
-    return stats.join(found, on, "left").withColumn("same", F.coalesce("same", key)).select(
-        *own, "n", F.col("same.key_hi").alias("same_hi"), F.col("same.key_lo").alias("same_lo"),
-        F.min("first").over(w).alias("first_row_id"), F.sum("n").over(w).alias("copies"), *(F.max(k).over(w).alias(k) for k in extra),
-    )
+    return of.select(*(F.col(f"key.{c}").alias(f"of_{c}") for c in own), "same")
 
 
 def copies(df: DataFrame, id_col: str = "row_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -45,15 +45,22 @@ def hot_words(sets: DataFrame, order: ws.WordOrder, block: int) -> DataFrame | N
     sets with columns in_train and in_held on one of these sides; None where there is none."""
     if order.most <= block:
         return None
-    shared = sets.sparkSession.sparkContext.broadcast(order)
+    # a word stands in the prefix of a set only if most of the set's words are as frequent
+    frequent = order.frequent(block)
+    shared = sets.sparkSession.sparkContext.broadcast((order._replace(number=None), frequent))
     sides = [F.col(c) for c in ("in_train", "in_held")] if "in_held" in sets.columns else [F.lit(True).alias("in_train"), F.lit(False).alias("in_held")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            order, among = shared.value
             flat, n = ws.flat_words(b.column("words"))
+            if among is not None and len(n):
+                has = among[np.minimum(np.searchsorted(among, flat), len(among) - 1)] == flat
+                some = np.add.reduceat(has.astype(np.int64), np.cumsum(n) - n) >= ws.least_after(n)
+                flat, n, b = flat[np.repeat(some, n)], n[some], b.filter(pa.array(some))
             if not len(n):
                 continue
-            p = ws.prefixes(flat, n, shared.value)
+            p = ws.prefixes(flat, n, order)
             word, inverse = np.unique(p.word, return_inverse=True)
             counts = [np.bincount(inverse, b.column(c).to_numpy(zero_copy_only=False)[p.row], len(word)).astype(np.int64) for c in ("in_train", "in_held")]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word, *counts)], names=["word", "n", "held"])
@@ -68,7 +75,7 @@ def postings(sets: DataFrame, order: ws.WordOrder) -> DataFrame:
     """(word, id, sketches, wide, meta) for the prefix words of every distinct set. meta packs the set's
     size, the word's place and three marks, see `unpacked`. With columns in_held and in_train a set is
     posted once for each side it is on, and next has the words that follow a frequent one."""
-    shared = sets.sparkSession.sparkContext.broadcast(order)
+    shared = sets.sparkSession.sparkContext.broadcast(order._replace(number=None))
     sided = "in_held" in sets.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,16 +308,27 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     mixed = F.col("id").bitwiseXOR(F.shiftright("id", 33) * 40503)  # ids rise within a file, and files begin alike
     of = sets.select("id", "set_hi", "set_lo", "words").withColumn("turn", mixed)
     ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).select(mixed.alias("turn"))
-    near = ws.keep_by_filter(of, "turn", ws.key_filter(ids)).drop("turn")
+    near = stage(ws.keep_by_filter(of, "turn", ws.key_filter(ids)).drop("turn"), "near")
     a = near.select(F.col("id").alias("id_a"), F.col("set_hi").alias("hi_a"), F.col("set_lo").alias("lo_a"), F.col("words").alias("words_a"))
     b = near.select(F.col("id").alias("id_b"), F.col("set_hi").alias("hi_b"), F.col("set_lo").alias("lo_b"), F.col("words").alias("words_b"))
     sim, of_ = ws.SIMILARITY
+    joined = pairs.join(a, "id_a").join(b, "id_b")
+    classes = ["hi_a", "lo_a", "hi_b", "lo_b"]
+    if dict(sets.dtypes)["words"] == "binary":
+        return joined.select(*classes, "words_a", "words_b").mapInArrow(_similar, "hi_a long, lo_a long, hi_b long, lo_b long")
     both = F.size(F.array_intersect("words_a", "words_b"))
-    return (
-        pairs.join(a, "id_a").join(b, "id_b")
-        .filter(both * of_ >= (F.size("words_a") + F.size("words_b") - both) * sim)
-        .select("hi_a", "lo_a", "hi_b", "lo_b")
-    )
+    return joined.filter(both * of_ >= (F.size("words_a") + F.size("words_b") - both) * sim).select(*classes)
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes of rows with similar packed words."""
+    sim, of = ws.SIMILARITY
+    for b in batches:
+        (x, n), (y, m) = (ws.flat_words(b.column(c)) for c in ("words_a", "words_b"))
+        rows = np.arange(b.num_rows)
+        word = np.sort(np.r_[np.repeat(rows, n) << 40 | x, np.repeat(rows, m) << 40 | y])
+        both = np.bincount(word[1:][word[1:] == word[:-1]] >> 40, minlength=b.num_rows)
+        yield b.select(["hi_a", "lo_a", "hi_b", "lo_b"]).filter(pa.array(both * of >= (n + m - both) * sim))
 
 
 def similar_classes(table: DataFrame, block: int = BLOCK) -> DataFrame:

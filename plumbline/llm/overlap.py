@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import wordsets as ws
-from plumbline.llm.duplicates import distinct_keys
+from plumbline.llm.duplicates import shared_keys
 from plumbline.llm.neardup import BLOCK, DIFFERENT, hot_words, in_word_groups, keyed, postings, unpacked, verified
 from plumbline.plans.staging import stage
 
@@ -143,22 +143,25 @@ def _sided(df: DataFrame, id_col: str, text_col: str, split_col: str) -> DataFra
 def _parts(df: DataFrame, id_col: str, text_col: str, split_col: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(row_id, held, same) of the rows in groups of the same text that have rows of both sides; all
     rows with their keys and word sets; and the verified pairs of an evaluation and a training set."""
-    table = stage(ws.word_table(_sided(df, id_col, text_col, split_col), "row_id", "text", "held", all_rows=True), "sides")
-    on = ["key_hi", "key_lo", "key_check"]
-    # the same: groups of problem 1, of all rows, with rows on both sides
-    keys = distinct_keys(table, extra={"any_held": F.max("held"), "any_train": F.max(~F.col("held"))})
-    keys = stage(keys.filter("any_held and any_train").select(*on, F.struct("same_hi", "same_lo").alias("same")), "both")
-    rows = ws.keep_by_filter(table.select("row_id", "held", *on), "key_lo", ws.key_filter(keys.select("key_lo"))).join(keys, on).select("row_id", "held", "same")
+    table = stage(ws.word_table(_sided(df, id_col, text_col, split_col), "row_id", "text", "held", all_rows=True, packed=True), "sides")
     # near copies
-    table = table.filter("held is not null")
-    sets = ws.distinct_sets(table, sided=True)
+    sets = ws.distinct_sets(table.filter("held is not null"), sided=True)
     order = ws.word_order(sets, sided=True)
     posts = in_grid(postings(sets, order), hot_words(sets, order, block))
     pairs = stage(in_word_groups(posts, _join, "id_a long, id_b long").distinct(), "candidates")
     classes = stage(verified(pairs, sets), "classes")
     ids = classes.select(F.explode(F.array("lo_a", "lo_b")).alias("set_lo"))
-    near = ws.keep_by_filter(keyed(table, "held"), "set_lo", ws.key_filter(ids))
-    return rows, near, classes
+    # the same: groups of problem 1, linked by all rows, with rows on both sides
+    own, same = ["key_hi", "key_lo", "key_check"], ["same_hi", "same_lo", "same_check"]
+    found = stage(shared_keys(table), "groups")
+    rows = table.filter("held is not null").join(found, [table[c] == found[f"of_{c}"] for c in own], "left")
+    rows = rows.withColumns({s: F.coalesce(F.col("same")[k], k) for s, k in zip(same, own)})
+    both = rows.groupBy(*same).agg(F.max("held").alias("any_held"), F.max(~F.col("held")).alias("any_train"))
+    both = stage(both.filter("any_held and any_train").select(*same), "both")
+    # rows of either kind
+    rows = rows.select("row_id", "held", "key_hi", "key_lo", "alias_hi", "alias_lo", "set_hi", "set_lo", *same)
+    rows = stage(ws.keep_by_filters(rows, {"same_lo": ws.key_filter(both.select("same_lo")), "set_lo": ws.key_filter(ids)}), "found")
+    return rows.join(both, same).select("row_id", "held", F.struct(*same).alias("same")), keyed(rows, "held"), classes
 
 
 def _near(classes: DataFrame, rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.charform import record_key, signs, visual_form, words
+from plumbline.llm.charform import record_key, signs, visual_form, word_bytes, word_record
 from plumbline.plans.staging import stage
 
 #: Words whose exact order every task holds, at 12 bytes each: the most frequent ones. Words beyond it
@@ -23,7 +23,7 @@ OFTEN = 1 << 13
 FILTER_BITS = 1 << 23
 MIN_WORDS = 15
 SIMILARITY = (7, 10)
-_CACHE_WORDS = 400_000
+_BYTES = 5  # of a word's hash
 
 KEYS = "key_hi long, key_lo long, key_check long, alias_hi long, alias_lo long, alias_check long"
 _NAMES = [c.split()[0] for c in KEYS.split(", ")]
@@ -74,55 +74,87 @@ def key_table(df: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFra
     return src.mapInArrow(run, ddl)
 
 
-def word_table(df: DataFrame, id_col: str, text_col: str, *carry: str, min_words: int = MIN_WORDS, all_rows: bool = False) -> DataFrame:
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """40-bit hashes of all words of texts whose words have blanks between them, and each word's text:
+    a sum over its bytes, by value and place, that is mixed."""
+    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    inside = data != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, n = edges[::2], edges[1::2] - edges[::2]
+    if not len(n):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.cumsum(n) - n
+    power = np.multiply.accumulate(np.full(n.max(), 0x9E3779B97F4A7C15, np.uint64))
+    value = _BYTE_VALUES[data[inside]] * power[np.arange(n.sum()) - np.repeat(first, n)]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return (_mixed(np.add.reduceat(value, first), 0xD1B54A32D192ED03) >> np.uint64(24)).astype(np.int64), np.searchsorted(ends, start, "right")
+
+
+def _hashed(text: bytes) -> bytes:
+    """The 128-bit hash and the check of `key_row`, as three longs, most significant byte first."""
+    return xxhash.xxh3_128_digest(text) + xxhash.xxh64_digest(text, seed=7)
+
+
+def _longs(hashes: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 3)
+
+
+def packed_words(flat: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A binary column with the 40-bit values of each row."""
+    data = flat.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :_BYTES]
+    offsets = np.r_[0, np.cumsum(n) * _BYTES].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def word_table(df: DataFrame, id_col: str, text_col: str, *carry: str, min_words: int = MIN_WORDS, all_rows: bool = False, packed: bool = False) -> DataFrame:
     """(id, *carry, keys, set_hi, set_lo, words) of every text with at least `min_words` words;
     with `all_rows` shorter texts stand in it too, their set columns null. `words` has the
-    40-bit hashes of the distinct words; set_hi/set_lo are the 128-bit hash of the set."""
+    40-bit hashes of the distinct words, `packed` five bytes each in a binary column; set_hi/set_lo
+    are the 128-bit hash of the set."""
     src = df.select(F.col(id_col), F.col(text_col).alias("__text"), *carry)
     fields = [src.schema[c] for c in (id_col, *carry)]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", {KEYS}, set_hi long, set_lo long, words array<long>"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", {KEYS}, set_hi long, set_lo long, words {'binary' if packed else 'array<long>'}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         for b in batches:
-            kept, keys, flat, offsets, sizes = [], [], [], [0], []
+            at, forms, texts = [], [], []
             for i, text in enumerate(b.column("__text").to_pylist()):
-                if not text:
-                    continue
-                form = visual_form(text)
-                found = words(form)
-                if len(found) < min_words and not all_rows:
-                    continue
-                row = key_row(form, "".join(found))
-                if row is None:
-                    continue
-                kept.append(i)
-                keys.append(row)
-                if len(found) < min_words:
-                    offsets[-1] = None
-                    sizes.append(0)
-                    offsets.append(len(flat))
-                    continue
-                own = set(map(known.get, found))
-                if None in own:
-                    for w in found:
-                        if w not in known:
-                            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 24
-                    own = set(map(known.get, found))
-                    if len(known) > _CACHE_WORDS:
-                        known.clear()
-                sizes.append(len(own))
-                flat += own
-                offsets.append(len(flat))
-            values, sizes = np.array(flat, np.int64), np.array(sizes, np.int64)
+                if text:
+                    form, found = word_bytes(text)
+                    at.append(i)
+                    forms.append(form)
+                    texts.append(found)
+            word, row = hashed_words(texts)
+            count = np.bincount(row, minlength=len(texts))
+            kept = np.flatnonzero(count >= (1 if all_rows else min_words))
+            keys, aliases, records = [], [], []
+            for k, i in enumerate(kept.tolist()):
+                plain = texts[i].translate(None, b" ")
+                record = word_record(forms[i])
+                if record is None:
+                    keys.append(_hashed(plain))
+                else:
+                    keys.append(_hashed(f"\x1d{record}".encode("utf-8", "surrogatepass")))
+                    aliases.append(_hashed(plain))
+                    records.append(k)
+            base = b.take(pa.array(np.array(at, np.int32)[kept]))
+            alias, none = np.zeros((len(kept), 3), np.int64), np.ones(len(kept), bool)
+            alias[records], none[records] = _longs(aliases), False
+            cols = [*map(pa.array, _longs(keys).T.copy()), *(pa.array(c, mask=none) for c in alias.T.copy())]
+            # the distinct words of each row
+            long = count >= min_words
+            own = np.sort((row << 40 | word)[long[row]])
+            own = own[np.r_[True, own[1:] != own[:-1]]] if len(own) else own
+            flat, sizes = own & ((1 << 40) - 1), np.bincount(own >> 40, minlength=len(texts))[kept]
             full = sizes > 0
-            base = b.take(pa.array(kept, pa.int32()))
-            cols = [pa.array(c, pa.int64()) for c in (zip(*keys) if keys else [[]] * 6)]
-            for sum_ in set_hash(values, sizes[full]):
+            for sum_ in set_hash(flat, sizes[full]):
                 column = np.zeros(len(sizes), np.int64)
                 column[full] = sum_
                 cols.append(pa.array(column, mask=~full))
-            cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)))
+            if packed:
+                cols.append(packed_words(flat, sizes))
+            else:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat), mask=pa.array(~full)))
             yield pa.RecordBatch.from_arrays(
                 [base.column(c) for c in (id_col, *carry)] + cols,
                 names=[id_col, *carry, *_NAMES, "set_hi", "set_lo", "words"],
@@ -139,6 +171,10 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+#: A number for each byte, see `hashed_words`.
+_BYTE_VALUES = _mixed(np.arange(256), 0x2545F4914F6CDD1D)
+
+
 def set_hash(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128-bit hash of each set, the sums of two mixes of its values, so their order is nothing."""
     if not len(n):
@@ -148,9 +184,15 @@ def set_hash(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def flat_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a list column without nulls, and each row's length."""
+    """All values of a list column without nulls, or of one from `packed_words`, and each row's length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if pa.types.is_binary(column.type):
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].reshape(-1, _BYTES)
+        out = np.zeros((len(data), 8), np.uint8)
+        out[:, :_BYTES] = data
+        return out.view("<i8").ravel(), np.diff(offsets).astype(np.int64) // _BYTES
     n = np.diff(column.offsets.to_numpy())
     return column.flatten().to_numpy(zero_copy_only=False), n.astype(np.int64)
 
@@ -158,13 +200,20 @@ def flat_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class WordOrder(NamedTuple):
     """Words from the rarest to the most frequent: `words` is sorted, `rank` counts from 1. A word that
     isn't listed has rank 0; if the list is `complete`, such a word can't link two sets. `most` is the
-    number of sets with the most frequent word."""
+    number of sets with the most frequent word, `number` that of each word by rank, on the driver only."""
 
     words: np.ndarray
     rank: np.ndarray
     complete: bool
     most: int
     rare: int = 0
+    number: np.ndarray | None = None
+
+    def frequent(self, block: int) -> np.ndarray | None:
+        """The words of more than `block` sets; None if there may be others that aren't listed."""
+        if self.number is None or (not self.complete and not (self.number <= block).any()):
+            return None
+        return self.words[self.rank > np.searchsorted(self.number, block, "right")]
 
     def of(self, flat: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -240,7 +289,7 @@ def word_order(sets: DataFrame, sided: bool = False, most: int = MOST_WORDS, oft
     rank = np.empty(len(word), np.int32)
     rank[np.lexsort((word, n))] = np.arange(1, len(word) + 1)
     order = np.argsort(word)
-    return WordOrder(word[order], rank[order], complete, int(n.max(initial=0)), int((n < often).sum()))
+    return WordOrder(word[order], rank[order], complete, int(n.max(initial=0)), int((n < often).sum()), np.sort(n))
 
 
 def key_filter(ids: DataFrame) -> np.ndarray:
@@ -273,12 +322,33 @@ def keep_by_filter(table: DataFrame, column: str, bitmap: np.ndarray, unset: boo
     return table.mapInArrow(run, table.schema)
 
 
+def keep_by_filters(table: DataFrame, bitmaps: dict[str, np.ndarray]) -> DataFrame:
+    """Rows of which at least one of these columns isn't null and has its bit set in its `key_filter`."""
+    shared = table.sparkSession.sparkContext.broadcast(bitmaps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = np.zeros(b.num_rows, bool)
+            for c, bits in shared.value.items():
+                bit = b.column(c).fill_null(0).to_numpy() % FILTER_BITS
+                kept |= ((bits[bit >> 6] >> (bit & 63)) & 1 == 1) & b.column(c).is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(kept))
+
+    return table.mapInArrow(run, table.schema)
+
+
 def needed_overlap(total: np.ndarray) -> np.ndarray:
     """Least number of common words of two sets of `total` words together at the similarity."""
     a, b = SIMILARITY
     return -(-a * total // (a + b))
 
 
+def least_after(n: np.ndarray) -> np.ndarray:
+    """Least number of words of a set that stand at or after a word of its prefix."""
+    a, b = SIMILARITY
+    return -(-a * n // b)
+
+
 class Prefixes(NamedTuple):
     """The rarest words of sets: the set's row, the word's place in the set's order and the word; and
     all words in that order, with where each row begins and ends among them."""
@@ -295,7 +365,6 @@ def prefixes(flat: np.ndarray, n: np.ndarray, order: WordOrder) -> Prefixes:
     """For each set as many of its rarest words as two sets of the wanted similarity can't both miss.
     Words are ordered by rank, those without one by 28 bits of their hash, then by all of it; the first
     two and the row fit into one number. Words that can't link two sets aren't returned."""
-    a, b = SIMILARITY
     row = np.repeat(np.arange(len(n)), n)
     rank, low = order.of(flat), flat & ((1 << 28) - 1)
     by = None
@@ -310,7 +379,7 @@ def prefixes(flat: np.ndarray, n: np.ndarray, order: WordOrder) -> Prefixes:
     end = np.cumsum(n)
     start = end - n
     at = np.arange(len(flat)) - np.repeat(start, n)
-    kept = at < np.repeat(n - -(-a * n // b) + 1, n)
+    kept = at < np.repeat(n - least_after(n) + 1, n)
     if order.complete:
         kept &= rank[by] > 0
     ordered = flat[by]
